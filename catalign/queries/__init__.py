@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import matching
+from . import matching, text
 
-_MODULES = [matching]
+_MODULES = [matching, text]
 
 
 def all_queries() -> dict:
