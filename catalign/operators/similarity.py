@@ -79,24 +79,32 @@ def _best_k(scores: np.ndarray, k: int):
     return rows[sel], cols[sel], vals[sel]
 
 
-def _cell_function(k: int, per_target: bool, exclude_self: bool, out_cols: list[str]):
+def _cell_function(k: int, per_target: bool, exclude_self: bool, out_cols: list[str],
+                   within_dataset: bool = False):
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({c: [] for c in out_cols})
         right = right.sort_values([DATASET, ITEM], kind="stable").reset_index(drop=True)
-        x = _unit_rows(left[VECTOR])
+        x_all = _unit_rows(left[VECTOR])
         y = _unit_rows(right[VECTOR])
         r_ds = right[DATASET].to_numpy()
         r_item = right[ITEM].to_numpy()
-        l_ds = left[DATASET].to_numpy()
-        l_item = left[ITEM].to_numpy()
-        if per_target:
+        l_ds_all = left[DATASET].to_numpy()
+        l_item_all = left[ITEM].to_numpy()
+        if per_target or within_dataset:
             bounds = np.flatnonzero(np.r_[True, r_ds[1:] != r_ds[:-1], True])
             slices = list(zip(bounds[:-1], bounds[1:]))
         else:
             slices = [(0, len(right))]
         parts = []
         for s, e in slices:
+            if within_dataset:
+                rows_g = np.flatnonzero(l_ds_all == r_ds[s])
+                if rows_g.size == 0:
+                    continue
+                x, l_ds, l_item = x_all[rows_g], l_ds_all[rows_g], l_item_all[rows_g]
+            else:
+                x, l_ds, l_item = x_all, l_ds_all, l_item_all
             yg = y[s:e]
             m = e - s
             self_col = None
@@ -104,8 +112,8 @@ def _cell_function(k: int, per_target: bool, exclude_self: bool, out_cols: list[
                 lookup = pd.Index(pd.MultiIndex.from_arrays([r_ds[s:e], r_item[s:e]]))
                 self_col = lookup.get_indexer(pd.MultiIndex.from_arrays([l_ds, l_item]))
             step = max(1, _MAX_SCORES_PER_BATCH // max(m, 1))
-            for b0 in range(0, len(left), step):
-                b1 = min(len(left), b0 + step)
+            for b0 in range(0, len(x), step):
+                b1 = min(len(x), b0 + step)
                 sc = x[b0:b1] @ yg.T
                 if self_col is not None:
                     hit = np.flatnonzero(self_col[b0:b1] >= 0)
@@ -147,8 +155,14 @@ def _cell_min_function(exclude_self: bool):
     return cell
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    # new attribute ids, so both cogroup sides may come from one lineage
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _blocked(left: DataFrame, right: DataFrame, cell_rows: int):
     spark = left.sparkSession
+    left, right = _fresh(left), _fresh(right)
     n_left, n_right = left.count(), right.count()
     gl, gr = grid_shape(n_left, n_right, cell_rows, spark.sparkContext.defaultParallelism)
     block = lambda g: F.pmod(F.xxhash64(DATASET, ITEM), F.lit(g)).cast("int")
@@ -165,12 +179,14 @@ def _blocked(left: DataFrame, right: DataFrame, cell_rows: int):
 
 def top_matches(left: DataFrame, right: DataFrame | None = None, *, k: int = 3,
                 per_target: bool = True, exclude_self: bool | None = None,
-                cell_rows: int = 8192) -> DataFrame:
+                within_dataset: bool = False, cell_rows: int = 8192) -> DataFrame:
     """Best ``k`` right items for every left item (per target dataset when
     ``per_target``), ranked ``1..k`` by score then smaller key.
 
     With ``right=None`` the left set is matched against itself (SIM2) and an
-    item never matches itself.  Output: ``dataset, item, target, match, score, rank``.
+    item never matches itself.  ``within_dataset`` compares a left item only
+    with right items of its own dataset value (used with dataset = fact name
+    for donor search).  Output: ``dataset, item, target, match, score, rank``.
     """
     if right is None:
         right = left
@@ -184,7 +200,7 @@ def top_matches(left: DataFrame, right: DataFrame | None = None, *, k: int = 3,
         T.StructField("score", T.DoubleType()),
     ])
     cells = _blocked(left.select(DATASET, ITEM, VECTOR), right.select(DATASET, ITEM, VECTOR), cell_rows)
-    fn = _cell_function(k, per_target, exclude_self, out_schema.fieldNames())
+    fn = _cell_function(k, per_target or within_dataset, exclude_self, out_schema.fieldNames(), within_dataset)
     partial = cells.applyInPandas(fn, schema=out_schema)
     keys = [DATASET, ITEM, "target"] if per_target else [DATASET, ITEM]
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("target"), F.asc("match"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import matching, text
+from . import facts, matching, relational, text
 
-_MODULES = [matching, text]
+_MODULES = [matching, text, relational, facts]
 
 
 def all_queries() -> dict:
