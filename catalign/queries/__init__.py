@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import facts, matching, relational, text
+from . import facts, matching, modelcalls, relational, text
 
-_MODULES = [matching, text, relational, facts]
+_MODULES = [matching, text, relational, facts, modelcalls]
 
 
 def all_queries() -> dict:
