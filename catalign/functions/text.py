@@ -74,16 +74,17 @@ def render_lines(lines: Sequence[tuple[str, Column | str, str]]) -> Column:
     """TXT2: one text per item from ``(label, column, mode)`` lines, each
     printed as ``label: value.`` and joined by newlines.
 
-    mode ``required`` always prints (null prints as ``None``), ``optional``
-    drops the line when the value is null, ``none`` prints ``None`` for null.
+    mode ``required`` and ``optional`` drop the line when the value is null
+    (a required field is only null after simplification), ``none`` prints
+    ``None`` for a null value.
     """
     parts = []
     for label, col, mode in lines:
         v = F.col(col) if isinstance(col, str) else col
         v = v.cast("string")
-        if mode in ("required", "none"):
+        if mode == "none":
             v = F.coalesce(v, F.lit("None"))
-        elif mode != "optional":
+        elif mode not in ("required", "optional"):
             raise ValueError(f"unknown line mode {mode!r}")
         parts.append(F.concat(F.lit(f"{label}: "), v, F.lit(".")))
     return F.concat_ws("\n", *parts)
