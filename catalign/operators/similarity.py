@@ -83,7 +83,7 @@ def _cell_function(k: int, per_target: bool, exclude_self: bool, out_cols: list[
                    within_dataset: bool = False):
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in out_cols})
+            return pd.DataFrame()
         right = right.sort_values([DATASET, ITEM], kind="stable").reset_index(drop=True)
         x_all = _unit_rows(left[VECTOR])
         y = _unit_rows(right[VECTOR])
@@ -131,7 +131,7 @@ def _cell_function(k: int, per_target: bool, exclude_self: bool, out_cols: list[
 def _cell_min_function(exclude_self: bool):
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"min_score": [], "max_score": []})
+            return pd.DataFrame()
         x = _unit_rows(left[VECTOR])
         y = _unit_rows(right[VECTOR])
         lo, hi = np.inf, -np.inf
@@ -150,7 +150,7 @@ def _cell_min_function(exclude_self: bool):
                 lo = min(lo, float(np.nanmin(sc)))
                 hi = max(hi, float(np.nanmax(sc)))
         if not np.isfinite(lo):
-            return pd.DataFrame({"min_score": [], "max_score": []})
+            return pd.DataFrame()
         return pd.DataFrame({"min_score": [lo], "max_score": [hi]})
     return cell
 

@@ -29,9 +29,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, header:
     ``keep_empty_strings`` an empty field stays ``''`` instead of null
     (pandas ``keep_default_na=False``)."""
     r = spark.read.schema(schema).option("header", str(header).lower()).option("mode", "FAILFAST")
-    if keep_empty_strings:
-        r = r.option("nullValue", "\u0000").option("emptyValue", "")
-    return nan_to_null(r.csv(path))
+    df = nan_to_null(r.csv(path))
+    return _empty_strings(df) if keep_empty_strings else df
+
+
+def _empty_strings(df: DataFrame) -> DataFrame:
+    """A CSV can only say "missing" with an empty field; keep it as ``''``."""
+    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.fillna("", subset=cols) if cols else df
 
 
 def read_nested_json(spark: SparkSession, path: str, array_field: str,
@@ -51,11 +56,12 @@ def read_sheet_rows(spark: SparkSession, path: str, n_columns: int | None = None
     the row position ``_idx`` (0-based, file order) for header promotion."""
     from ..operators.tables import with_row_index
     r = spark.read.option("header", "false")
-    if keep_empty_strings:
-        r = r.option("nullValue", "\u0000").option("emptyValue", "")
     if n_columns is not None:
         r = r.schema(T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(n_columns)]))
-    rows = r.csv(path).withColumn("_file", F.input_file_name()).withColumn("_mono", F.monotonically_increasing_id())
+    rows = r.csv(path)
+    if keep_empty_strings:
+        rows = _empty_strings(rows)
+    rows = rows.withColumn("_file", F.input_file_name()).withColumn("_mono", F.monotonically_increasing_id())
     return with_row_index(rows, ["_file", "_mono"], "_idx").drop("_file", "_mono")
 
 
