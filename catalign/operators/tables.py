@@ -39,6 +39,11 @@ def markdown_cells(df: DataFrame, doc: str, text: str) -> DataFrame:
                     "header", "value"))
 
 
+def quoted(name: str):
+    """Column reference for any name (dots, spaces, backticks)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def promote_header(rows: DataFrame, index_col: str, header_row: int, columns: Sequence[str]) -> DataFrame:
     """PRJ9: row ``header_row`` holds the column names; rows above it and the
     header itself are dropped, newlines are removed from the names.
@@ -59,8 +64,11 @@ def transpose_rows(rows: DataFrame, index_col: str, keep: Sequence[int], columns
     """PRJ10: the rows whose index is in ``keep`` become columns ``names``,
     one output row per input column: ``(column_name, names...)``."""
     sub = rows.filter(F.col(index_col).isin(list(keep)))
-    long = sub.select(index_col, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
-        [index_col], list(columns), "column_name", "v")
+    safe = [f"c{i}" for i in range(len(columns))]  # names with dots or spaces are data here
+    long = sub.select(index_col, *[quoted(c).cast("string").alias(s) for c, s in zip(columns, safe)]).unpivot(
+        [index_col], safe, "_slot", "v")
+    slot_names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.substring("_slot", 2, 10).cast("int") + 1)
+    long = long.withColumn("column_name", slot_names).drop("_slot")
     wide = long.groupBy("column_name").pivot(index_col, list(keep)).agg(F.first("v"))
     return wide.select("column_name", *[F.col(str(k)).alias(n) for k, n in zip(keep, names)])
 

@@ -16,7 +16,7 @@ from ..functions.columns import KJ_PER_KCAL, columns_first, concat_strict, fill_
 from ..operators.checks import assert_unique
 from ..operators.joins import join_dim
 from ..operators.reshape import pivot_first, pivot_mean, pivot_names
-from ..operators.tables import promote_header, transpose_rows
+from ..operators.tables import promote_header, quoted, transpose_rows
 from ..sources.readers import read_csv, read_nested_json, read_sheet_rows
 from ..specs import mext_groups
 
@@ -94,7 +94,7 @@ def sheet_with_offset_header(spark: SparkSession, path: str, header_row: int = 4
     data = rename(data, dict(name_map or {"Food and Description": "food_item"}))
     groups = mext_groups(spark).withColumnRenamed("food_group", "Food Group")
     items = data.join(F.broadcast(groups), "Food Group", "left")  # 18 literal rows
-    items = items.select("Item No.", "food_category", "food_item", "_idx")
+    items = items.select(quoted("Item No."), "food_category", "food_item", "_idx")
     return {"items": items, "meta": meta, "table": data}
 
 
