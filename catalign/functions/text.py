@@ -26,6 +26,7 @@ def _whitespace_class() -> str:
 
 
 WS = _whitespace_class()
+WS_CHARS = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace())
 STRIP_PATTERN = f"\\A{WS}+|{WS}+\\z"
 SPLIT_PATTERN = f"{WS}+"
 
@@ -38,8 +39,9 @@ CLEAN_DROP_CHARS = ",\"'()\t _"
 
 
 def strip_ws(c: Column) -> Column:
-    """Python ``str.strip()``: Spark's ``trim`` only strips spaces."""
-    return F.regexp_replace(c, STRIP_PATTERN, "")
+    """Python ``str.strip()``: ``btrim`` with the whole whitespace set
+    (plain ``trim`` only strips spaces); linear, no regex."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def _rep(c: Column, a: str, b: str) -> Column:
@@ -59,15 +61,37 @@ def normalise_text_steps(c: Column) -> Column:
     return _rep(s, ",", " ")
 
 
+def _rejects(s: Column) -> tuple[Column, Column]:
+    # a whitespace-separated word longer than the limit == a run of limit+1
+    # non-whitespace characters; map every whitespace to a space first so the
+    # regex class stays trivial (a large Unicode class costs ~5x per character)
+    spaced = F.translate(s, WS_CHARS, " " * len(WS_CHARS))
+    long_word = spaced.rlike(f"[^ ]{{{MAX_WORD_CHARS + 1}}}")
+    cleaned = F.length(strip_ws(F.translate(s, CLEAN_DROP_CHARS, "")))
+    return long_word, cleaned
+
+
 def normalise_text(c: Column | str) -> Column:
     """TXT1: normalised text, or null when a word is too long or the cleaned
-    text is too short / too long."""
+    text is too short / too long.  (One expression; on large texts prefer
+    ``with_normalised_text``, which evaluates the steps once.)"""
     c = F.col(c) if isinstance(c, str) else c
     s = normalise_text_steps(c)
-    long_word = F.exists(F.split(s, SPLIT_PATTERN), lambda w: F.length(w) > MAX_WORD_CHARS)
-    cleaned = F.length(strip_ws(F.translate(s, CLEAN_DROP_CHARS, "")))
-    bad = long_word | (cleaned < MIN_CLEAN_CHARS) | (cleaned > MAX_CLEAN_CHARS)
-    return F.when(~bad, s)
+    long_word, cleaned = _rejects(s)
+    return F.when(~long_word & cleaned.between(MIN_CLEAN_CHARS, MAX_CLEAN_CHARS), s)
+
+
+def with_normalised_text(df, src: str, dst: str | None = None):
+    """TXT1 as staged projections: the normalised text is computed once and
+    the two checks read it (a single CASE expression would repeat the
+    replacement chain three times)."""
+    dst = dst or src
+    tmp, lw, cl = "__txt1_s", "__txt1_long", "__txt1_len"
+    staged = df.withColumn(tmp, normalise_text_steps(F.col(src)))
+    long_word, cleaned = _rejects(F.col(tmp))
+    staged = staged.withColumns({lw: long_word, cl: cleaned})
+    ok = ~F.col(lw) & F.col(cl).between(MIN_CLEAN_CHARS, MAX_CLEAN_CHARS)
+    return staged.withColumn(dst, F.when(ok, F.col(tmp))).drop(tmp, lw, cl)
 
 
 def render_lines(lines: Sequence[tuple[str, Column | str, str]]) -> Column:

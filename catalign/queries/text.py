@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.arrays import is_member, pack_non_empty
 from ..functions.columns import concat_strict, energy_kcal, fill_null
 from ..functions.text import (CLEAN_DROP_CHARS, MAX_CLEAN_CHARS, MAX_WORD_CHARS, MIN_CLEAN_CHARS,
-                              SPLIT_PATTERN, STRIP_PATTERN, normalise_text, property_value,
-                              render_lines, render_properties)
+                              SPLIT_PATTERN, STRIP_PATTERN, property_value, render_lines,
+                              render_properties, with_normalised_text)
 from ..operators.checks import coerce_to_domain, column_profile, duplicate_keys, split_by_domain
 from ..operators.matching import top_k
 from ..operators.tables import markdown_cells, promote_header, row_slice
@@ -23,7 +23,7 @@ def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("key"), F.col("text").alias("t"))
     pages = read_table(spark, sf_dir, "pages").select(F.lit("pages").alias("src"), F.col("page_id").alias("key"), F.col("url").alias("t"))
     part = read_table(spark, sf_dir, "part").select(F.lit("part").alias("src"), F.col("p_partkey").alias("key"), F.col("p_name").alias("t"))
-    return docs.unionByName(pages).unionByName(part).select("src", "key", normalise_text("t").alias("norm_text"))
+    return with_normalised_text(docs.unionByName(pages).unionByName(part), "t", "norm_text").drop("t")
 
 
 def _part_lines():

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import normalise_text, render_lines
+from .functions.text import render_lines, with_normalised_text
 from .operators.checks import UNCLASSIFIED, coerce_to_domain, require_columns, split_by_domain
 
 # ---------------------------------------------------------------------------------------------
@@ -184,7 +184,9 @@ def prepare_items(df: DataFrame, spec: DatasetSpec, text_col: str = "text", mode
     Returns ``(items, rejected)``.
     """
     require_columns(df, spec.fields)
-    out = df.withColumns({f: normalise_text(f) for f in spec.text_fields})
+    out = df
+    for f in spec.text_fields:
+        out = with_normalised_text(out, f)
     out = out.withColumns({f: coerce_to_domain(f, spec.domain(f), UNCLASSIFIED) for f in spec.coerce})
     rejected = None
     for f in spec.strict:
