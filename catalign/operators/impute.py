@@ -26,7 +26,7 @@ def split_known(facts: DataFrame):
 def nearest_donors(facts: DataFrame, vectors: DataFrame, k: int, cell_rows: int = 8192) -> DataFrame:
     """``(item, fact, donor, score, rank)`` for every missing (item, fact)."""
     known, missing = split_known(facts)
-    vec = vectors.select(F.col(ITEM), F.col(VECTOR).cast("array<double>").alias(VECTOR)).dropna()
+    vec = vectors.select(F.col(ITEM), F.col(VECTOR)).dropna()
     left = missing.join(vec, ITEM).select(F.col("fact").alias(DATASET), ITEM, VECTOR)
     right = known.join(vec, ITEM).select(F.col("fact").alias(DATASET), ITEM, VECTOR)
     near = top_matches(left, right, k=k, per_target=True, exclude_self=False, within_dataset=True,

@@ -35,8 +35,9 @@ def as_items(df: DataFrame, dataset, item: str, vector: str = "embedding") -> Da
     ``dataset`` is a column name or a Column (e.g. ``F.lit('SR')``).
     """
     ds = F.col(dataset) if isinstance(dataset, str) else dataset
-    return (df.select(ds.alias(DATASET), F.col(item).alias(ITEM),
-                      F.col(vector).cast("array<double>").alias(VECTOR))
+    # the stored element type is kept (float32 halves the shuffled bytes);
+    # the cell computes in float64
+    return (df.select(ds.alias(DATASET), F.col(item).alias(ITEM), F.col(vector).alias(VECTOR))
             .dropna(subset=[ITEM, VECTOR]))
 
 
@@ -162,8 +163,10 @@ def _fresh(df: DataFrame) -> DataFrame:
 
 def _blocked(left: DataFrame, right: DataFrame, cell_rows: int):
     spark = left.sparkSession
+    same = left is right
     left, right = _fresh(left), _fresh(right)
-    n_left, n_right = left.count(), right.count()
+    n_left = left.count()
+    n_right = n_left if same else right.count()
     gl, gr = grid_shape(n_left, n_right, cell_rows, spark.sparkContext.defaultParallelism)
     block = lambda g: F.pmod(F.xxhash64(DATASET, ITEM), F.lit(g)).cast("int")
     lblk = (left.withColumn("lb", block(gl))
@@ -199,7 +202,9 @@ def top_matches(left: DataFrame, right: DataFrame | None = None, *, k: int = 3,
         T.StructField("match", right.schema[ITEM].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    cells = _blocked(left.select(DATASET, ITEM, VECTOR), right.select(DATASET, ITEM, VECTOR), cell_rows)
+    lsel = left.select(DATASET, ITEM, VECTOR)
+    rsel = lsel if right is left else right.select(DATASET, ITEM, VECTOR)
+    cells = _blocked(lsel, rsel, cell_rows)
     fn = _cell_function(k, per_target or within_dataset, exclude_self, out_schema.fieldNames(), within_dataset)
     partial = cells.applyInPandas(fn, schema=out_schema)
     keys = [DATASET, ITEM, "target"] if per_target else [DATASET, ITEM]
@@ -213,6 +218,8 @@ def score_range(left: DataFrame, right: DataFrame | None = None, *, exclude_self
     """One row ``(min_score, max_score)`` over all pairs, computed cell by cell."""
     if right is None:
         right = left
-    cells = _blocked(left.select(DATASET, ITEM, VECTOR), right.select(DATASET, ITEM, VECTOR), cell_rows)
+    lsel = left.select(DATASET, ITEM, VECTOR)
+    rsel = lsel if right is left else right.select(DATASET, ITEM, VECTOR)
+    cells = _blocked(lsel, rsel, cell_rows)
     part = cells.applyInPandas(_cell_min_function(exclude_self), schema="min_score double, max_score double")
     return part.agg(F.min("min_score").alias("min_score"), F.max("max_score").alias("max_score"))
