@@ -23,7 +23,7 @@ def split_known(facts: DataFrame):
     return facts.filter(F.col("value").isNotNull()), facts.filter(F.col("value").isNull())
 
 
-def nearest_donors(facts: DataFrame, vectors: DataFrame, k: int, cell_rows: int = 8192) -> DataFrame:
+def nearest_donors(facts: DataFrame, vectors: DataFrame, k: int, cell_rows: int | None = None) -> DataFrame:
     """``(item, fact, donor, score, rank)`` for every missing (item, fact)."""
     known, missing = split_known(facts)
     vec = vectors.select(F.col(ITEM), F.col(VECTOR)).dropna()
@@ -35,7 +35,7 @@ def nearest_donors(facts: DataFrame, vectors: DataFrame, k: int, cell_rows: int
 
 
 def knn_values(facts: DataFrame, vectors: DataFrame, k: int = 1, weights: str = "distance",
-               cell_rows: int = 8192) -> DataFrame:
+               cell_rows: int | None = None) -> DataFrame:
     """IMP2: predicted value per missing (item, fact).
 
     ``uniform``: mean of the k donor values.  ``distance``: ``sum(v/d)/sum(1/d)``;
@@ -59,7 +59,7 @@ def knn_values(facts: DataFrame, vectors: DataFrame, k: int = 1, weights: str =
 
 
 def impute(facts: DataFrame, vectors: DataFrame, k: int = 1, weights: str = "distance",
-           cell_rows: int = 8192) -> DataFrame:
+           cell_rows: int | None = None) -> DataFrame:
     """IMP3: every fact row, known values kept and missing ones filled from
     the nearest donors (a fact without donors stays null).
     Output ``(item, fact, value, imputed)``."""

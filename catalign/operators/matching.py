@@ -11,16 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reshape import first_per_key  # noqa: F401  (DED1 lives with the other aggregates)
 from .similarity import DATASET, ITEM, top_matches
+from .tables import rank_within
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """DED1: keep the first row per key under an explicit order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-
-
-def best_match(left: DataFrame, right: DataFrame, *, cell_rows: int = 8192) -> DataFrame:
+def best_match(left: DataFrame, right: DataFrame, *, cell_rows: int | None = None) -> DataFrame:
     """SIM4: one best right item per left item over the whole right set
     (ties: smaller target dataset, then smaller key)."""
     return top_matches(left, right, k=1, per_target=False, exclude_self=False,
@@ -28,7 +24,7 @@ def best_match(left: DataFrame, right: DataFrame, *, cell_rows: int = 8192) -> D
 
 
 def cross_dataset_top_n(items: DataFrame, n: int = 3, *, rank_by: str = "item",
-                        space_name: DataFrame | None = None, cell_rows: int = 8192) -> DataFrame:
+                        space_name: DataFrame | None = None, cell_rows: int | None = None) -> DataFrame:
     """SIM5 + SIM6 + SIM7: for every item, the best ``n`` items of every
     dataset (its own included, itself excluded), ranked.
 
@@ -42,9 +38,8 @@ def cross_dataset_top_n(items: DataFrame, n: int = 3, *, rank_by: str = "item",
     if rank_by != "space_name" or space_name is None:
         raise ValueError("rank_by='space_name' needs a space_name table")
     named = out.drop("rank").join(space_name, [DATASET, ITEM], "left")
-    w = Window.partitionBy(DATASET, "target", "space_name").orderBy(
-        F.desc("score"), F.asc(ITEM), F.asc("match"))
-    return named.withColumn("rank", F.row_number().over(w))
+    # many items may share one space name: rank without a per-group window
+    return rank_within(named, [DATASET, "target", "space_name"], [F.desc("score"), F.asc(ITEM), F.asc("match")])
 
 
 def choose_source(best: DataFrame, *, threshold: float, priority: Sequence, key: Sequence[str] = (DATASET, ITEM),

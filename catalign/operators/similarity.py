@@ -5,8 +5,9 @@ never materialised: both sides are hashed into blocks, each left block meets
 each right block in exactly one cell (a cogrouped ``applyInPandas`` task), the
 cell computes its scores with one dense product and keeps only the best ``k``
 per (left item, target dataset).  A window then merges the cells.  Every
-cell holds at most ``cell_rows`` rows per side, so the memory of one task is
-bounded whatever the table size or the size of the largest dataset.
+cell holds at most ``cell_rows`` rows per side (by default sized so one side
+is ``CELL_MB`` of float64 vectors), so the memory of one task is bounded
+whatever the table size or the size of the largest dataset.
 
 Ties are broken by the smaller target key, scores are reported unrounded;
 a zero vector has similarity 0 with everything (unit-normalising leaves it 0).
@@ -27,6 +28,9 @@ DATASET, ITEM, VECTOR = "dataset", "item", "embedding"
 
 # scores per cell before a batch of left rows is split further (~32 MB of float64)
 _MAX_SCORES_PER_BATCH = 4_000_000
+# memory budget of one side of a cell (float64 unit vectors), and a floor on its rows
+CELL_MB = 64
+MIN_CELL_ROWS = 256
 
 
 def as_items(df: DataFrame, dataset, item: str, vector: str = "embedding") -> DataFrame:
@@ -161,12 +165,25 @@ def _fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def _blocked(left: DataFrame, right: DataFrame, cell_rows: int):
+def _size(df: DataFrame) -> tuple[int, int]:
+    """Row count and largest vector length, in one aggregation."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(VECTOR)).alias("d")).first()
+    return int(r["n"]), int(r["d"] or 1)
+
+
+def cell_rows_for(dim: int, cell_mb: float = CELL_MB) -> int:
+    """Rows per cell side so one side's float64 vectors fit ``cell_mb``."""
+    return max(MIN_CELL_ROWS, int(cell_mb * 2 ** 20 // (8 * max(dim, 1))))
+
+
+def _blocked(left: DataFrame, right: DataFrame, cell_rows: int | None):
     spark = left.sparkSession
     same = left is right
     left, right = _fresh(left), _fresh(right)
-    n_left = left.count()
-    n_right = n_left if same else right.count()
+    n_left, d_left = _size(left)
+    n_right, d_right = (n_left, d_left) if same else _size(right)
+    if cell_rows is None:
+        cell_rows = cell_rows_for(max(d_left, d_right))
     gl, gr = grid_shape(n_left, n_right, cell_rows, spark.sparkContext.defaultParallelism)
     block = lambda g: F.pmod(F.xxhash64(DATASET, ITEM), F.lit(g)).cast("int")
     lblk = (left.withColumn("lb", block(gl))
@@ -182,7 +199,7 @@ def _blocked(left: DataFrame, right: DataFrame, cell_rows: int):
 
 def top_matches(left: DataFrame, right: DataFrame | None = None, *, k: int = 3,
                 per_target: bool = True, exclude_self: bool | None = None,
-                within_dataset: bool = False, cell_rows: int = 8192) -> DataFrame:
+                within_dataset: bool = False, cell_rows: int | None = None) -> DataFrame:
     """Best ``k`` right items for every left item (per target dataset when
     ``per_target``), ranked ``1..k`` by score then smaller key.
 
@@ -214,7 +231,7 @@ def top_matches(left: DataFrame, right: DataFrame | None = None, *, k: int = 3,
 
 
 def score_range(left: DataFrame, right: DataFrame | None = None, *, exclude_self: bool = False,
-                cell_rows: int = 8192) -> DataFrame:
+                cell_rows: int | None = None) -> DataFrame:
     """One row ``(min_score, max_score)`` over all pairs, computed cell by cell."""
     if right is None:
         right = left

@@ -100,3 +100,26 @@ def row_slice(df: DataFrame, order: Sequence[Column | str], start: int, stop: in
     """PRJ11: rows ``start <= position < stop`` under an explicit order."""
     idx = with_row_index(df, order, name)
     return idx.filter((F.col(name) >= start) & (F.col(name) < stop))
+
+
+def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str = "rank") -> DataFrame:
+    """``row_number()`` per group under an explicit order, safe for a hot group.
+
+    A window would place a whole group in one task.  Here the rows are
+    range-sorted by (group, order) -- the sampler splits a large group over
+    many partitions -- and checkpointed with a per-partition row id.  A small
+    table of (group, partition) first ids and counts gives each group's offset
+    in each partition (it has at most #groups + #partitions rows), and the
+    rank is that offset plus the row's place inside its partition.
+    """
+    from ..session import materialize
+    pid = F.spark_partition_id().cast("long")
+    ordered = materialize(df.orderBy(*group, *order)
+                          .withColumn("_pid", pid)
+                          .withColumn("_mono", F.monotonically_increasing_id()))
+    stats = ordered.groupBy(*group, "_pid").agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    joined = ordered.join(stats, [*group, "_pid"])
+    return (joined.withColumn(name, (F.col("_off") + F.col("_mono") - F.col("_first") + 1).cast("int"))
+            .drop("_pid", "_mono", "_first", "_off"))

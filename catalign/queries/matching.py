@@ -45,6 +45,24 @@ def best_source(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.round("chosen_score", 6).alias("chosen_score"))
 
 
+SPACE_DATASET = 0
+
+
+def rank_by_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SIM7 with the reference's grouping: matches are ranked per (dataset,
+    target, name of the item in the shared space).  Label 0 plays the space
+    dataset: its items are their own space name, every other item's space
+    name is its best match among label 0 (PRJ7 + SIM4)."""
+    items = _items(spark, sf_dir)
+    space = items.filter(F.col("dataset") == SPACE_DATASET)
+    others = items.filter(F.col("dataset") != SPACE_DATASET)
+    named_others = best_match(others, space).select("dataset", "item", F.col("match").alias("space_name"))
+    names = space.select("dataset", "item", F.col("item").alias("space_name")).unionByName(named_others)
+    out = cross_dataset_top_n(items, 3, rank_by="space_name", space_name=names)
+    return out.select("dataset", "item", "target", "match", "space_name", F.round("score", 6).alias("score"),
+                      F.col("rank").cast("int").alias("match_rank"))
+
+
 def distance_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ17 + AGG6: each item's 3 nearest items as distances
     ``clip(1 - s, 0, 1) / max distance over all pairs``."""
@@ -102,6 +120,26 @@ ok AS (
 SELECT e.item AS vec_id, coalesce(CAST(ok.target AS VARCHAR), 'no_relevant_match') AS database_choice,
        ok.match AS chosen_vec_id, round(ok.s, 6) AS chosen_score
 FROM e LEFT JOIN ok ON e.dataset = ok.dataset AND e.item = ok.item
+""",
+    "rank_by_space": f"""
+WITH e AS (SELECT label AS dataset, vec_id AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (
+  SELECT a.dataset, a.item, b.dataset AS target, b.item AS match,
+         CASE WHEN list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0.0
+              ELSE list_cosine_similarity(a.v, b.v) END AS s
+  FROM e a JOIN e b ON NOT (a.dataset = b.dataset AND a.item = b.item)
+),
+names AS (
+  SELECT dataset, item, item AS space_name FROM e WHERE dataset = {SPACE_DATASET}
+  UNION ALL
+  SELECT dataset, item, match FROM p WHERE dataset <> {SPACE_DATASET} AND target = {SPACE_DATASET}
+  QUALIFY row_number() OVER (PARTITION BY dataset, item ORDER BY s DESC, match) = 1
+),
+top AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY dataset, item, target ORDER BY s DESC, match) <= 3)
+SELECT top.dataset, top.item, top.target, top.match, names.space_name, round(top.s, 6) AS score,
+       CAST(row_number() OVER (PARTITION BY top.dataset, top.target, names.space_name
+                               ORDER BY top.s DESC, top.item, top.match) AS INTEGER) AS match_rank
+FROM top JOIN names ON top.dataset = names.dataset AND top.item = names.item
 """,
     "distance_scale": """
 WITH e AS (SELECT label AS dataset, vec_id AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -129,4 +167,5 @@ QUERIES = {
     "align_top1": align_top1,
     "best_source": best_source,
     "distance_scale": distance_scale,
+    "rank_by_space": rank_by_space,
 }

@@ -2,7 +2,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from catalign.functions.vectors import cosine
-from catalign.operators.matching import best_match, choose_source, cross_dataset_top_n, first_per_key
+from catalign.operators.matching import best_match, choose_source, cross_dataset_top_n
+from catalign.operators.reshape import first_per_key
 from catalign.operators.similarity import _best_k, as_items, grid_shape, score_range, top_matches
 
 SF = "/root/testdata/sf0.001"
