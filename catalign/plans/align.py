@@ -65,12 +65,13 @@ def phases_union(final: DataFrame, phase_1: DataFrame, redone: DataFrame, key: s
 
 def align(spark: SparkSession, items: DataFrame, source: DatasetSpec, target: DatasetSpec,
           target_embeddings: DataFrame, translate_fn: Callable[[dict], dict], embed_fn: Callable[[dict], dict],
-          out_dir: str, chunk_size: int = 100, chunk_start: int | None = None, chunk_end: int | None = None,
-          overwrite: bool = False, k: int = 1, **model_kw) -> list[int]:
+          out_dir: str, chunk_size: int = 100_000, chunk_start: int | None = None, chunk_end: int | None = None,
+          overwrite: bool = False, k: int = 1, **model_kw) -> DataFrame:
     """PIP5.  ``target_embeddings``: ``(key, embedding)`` of the external
     catalogue.  Writes per chunk ``embeddings`` (both phases), ``pair_scores``
     (best ``k`` per record, long) and ``top_match`` under ``out_dir``.
-    Returns the chunk ids that ran."""
+    Returns the table of chunk ids that ran.  The chunk size changes only
+    the file layout (one directory per chunk), never the results."""
 
     def per_chunk(todo: DataFrame) -> DataFrame:
         final, phase_1, redone = two_pass_translate(todo.drop("chunk"), source, target, translate_fn, **model_kw)
@@ -85,9 +86,9 @@ def align(spark: SparkSession, items: DataFrame, source: DatasetSpec, target: Da
 
     ran = run_chunks(spark, items, [source.key], chunk_size, f"{out_dir}/embeddings", compute,
                      chunk_start, chunk_end, overwrite)
-    if not ran:
+    if ran.isEmpty():
         return ran
-    emb = spark.read.parquet(f"{out_dir}/embeddings").filter(F.col("chunk").isin(ran))
+    emb = spark.read.parquet(f"{out_dir}/embeddings").join(ran, "chunk", "left_semi")
     left = as_items(emb.filter(F.col("phase") == "final"), F.lit(source.name), source.key)
     right = as_items(target_embeddings, F.lit(target.name), target.key)
     pairs = top_matches(left, right, k=k, per_target=False)
@@ -96,7 +97,8 @@ def align(spark: SparkSession, items: DataFrame, source: DatasetSpec, target: Da
                                                 F.col("score").alias("similarity_score"), "rank", "chunk")
     pairs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(
         f"{out_dir}/pair_scores")
-    top = spark.read.parquet(f"{out_dir}/pair_scores").filter(F.col("chunk").isin(ran) & (F.col("rank") == 1))
+    top = (spark.read.parquet(f"{out_dir}/pair_scores").join(ran, "chunk", "left_semi")
+           .filter(F.col("rank") == 1))
     top.drop("rank").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(
         f"{out_dir}/top_match")
     return ran
