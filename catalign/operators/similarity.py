@@ -34,15 +34,17 @@ MIN_CELL_ROWS = 256
 
 
 def as_items(df: DataFrame, dataset, item: str, vector: str = "embedding") -> DataFrame:
-    """Project a table to the kernel layout; rows without key or vector are dropped.
+    """Project a table to the kernel layout; rows without key or vector, or
+    whose vector holds a null or NaN element, are dropped (FLT3).
 
     ``dataset`` is a column name or a Column (e.g. ``F.lit('SR')``).
     """
     ds = F.col(dataset) if isinstance(dataset, str) else dataset
     # the stored element type is kept (float32 halves the shuffled bytes);
     # the cell computes in float64
+    bad = F.exists(F.col(VECTOR), lambda x: x.isNull() | F.isnan(x))
     return (df.select(ds.alias(DATASET), F.col(item).alias(ITEM), F.col(vector).alias(VECTOR))
-            .dropna(subset=[ITEM, VECTOR]))
+            .dropna(subset=[ITEM, VECTOR]).filter(~bad))
 
 
 def grid_shape(n_left: int, n_right: int, cell_rows: int, parallelism: int) -> tuple[int, int]:

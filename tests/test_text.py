@@ -49,3 +49,11 @@ def test_render_properties_skips_empty(spark):
         ("id", property_value(F.col("id"), "number")), ("name", property_value(F.col("name"))),
         ("category", property_value(F.col("cat"))), ("arabic_names", property_value(F.col("names"), "array"))])).collect()]
     assert out == ["name: n\narabic_names: ['x', 'y']", "id: 5\ncategory: s"]
+
+
+def test_java_whitespace_class_equals_python(spark):
+    from catalign.functions.text import NON_WS_JAVA
+    rows = [(c, chr(c)) for c in range(0x3100) if not (0xD800 <= c <= 0xDFFF)]
+    df = spark.createDataFrame(rows, "cp int, ch string")
+    java_ws = {r.cp for r in df.filter(~F.col("ch").rlike("^" + NON_WS_JAVA + "$")).collect()}
+    assert java_ws == {c for c, ch in rows if ch.isspace()}
