@@ -88,9 +88,10 @@ def with_normalised_text(df, src: str, dst: str | None = None):
     """TXT1 as staged projections: the normalised text is computed once and
     the two checks read it (a single CASE expression would repeat the
     replacement chain three times)."""
+    from ..session import spread
     dst = dst or src
     tmp, lw, cl = "__txt1_s", "__txt1_long", "__txt1_len"
-    staged = df.withColumn(tmp, normalise_text_steps(F.col(src)))
+    staged = spread(df).withColumn(tmp, normalise_text_steps(F.col(src)))
     long_word, cleaned = _rejects(F.col(tmp))
     staged = staged.withColumns({lw: long_word, cl: cleaned})
     ok = ~F.col(lw) & F.col(cl).between(MIN_CLEAN_CHARS, MAX_CLEAN_CHARS)

@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 
 from .checks import assert_unique
 
-# dimensions at or under this many rows are broadcast; larger ones are shuffled
-MAX_BROADCAST_ROWS = 2_000_000
+# dimensions whose estimated size is at or under this are broadcast; larger ones are shuffled
+MAX_BROADCAST_BYTES = 64 * 2 ** 20
 
 
 def join_dim(df: DataFrame, dim: DataFrame, on, how: str = "left",
-             max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+             max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """JN1/JN3/JN6: join to a dimension.  The dimension is broadcast only
-    when its counted size is within the bound; otherwise Spark shuffles
-    (and AQE may still broadcast at run time from measured sizes)."""
-    small = dim.count() <= max_broadcast_rows
+    when Catalyst's size estimate (an upper bound for scans, filters and
+    projections; no job runs) is within the bound; otherwise Spark shuffles
+    and AQE may still broadcast from sizes measured at run time."""
+    from ..session import plan_size_bytes
+    small = plan_size_bytes(dim) <= max_broadcast_bytes
     return df.join(F.broadcast(dim) if small else dim, on, how)
 
 

@@ -21,8 +21,9 @@ def markdown_cells(df: DataFrame, doc: str, text: str) -> DataFrame:
     and a column whose data cells are all empty is dropped (per document).
     Rows are numbered from 1 among the data lines.
     """
+    from ..session import spread
     keep = lambda l: (F.trim(l) != "") & ~l.rlike(_SEPARATOR)
-    lines = df.select(F.col(doc).alias("doc"),
+    lines = spread(df).select(F.col(doc).alias("doc"),
                       F.posexplode(F.filter(F.split(F.col(text), "\n"), keep)).alias("line_no", "line"))
     parts = F.split(F.trim(F.col("line")), r"\|")
     cells = (lines.select("doc", "line_no", F.posexplode(parts).alias("col", "cell"), F.size(parts).alias("n_cells"))

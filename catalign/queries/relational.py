@@ -12,7 +12,7 @@ from ..operators.matching import cross_dataset_top_n
 from ..operators.reshape import (composite_name, first_per_key, match_lists, melt_match_lists,
                                  pivot_first, pivot_mean, unit_table)
 from ..operators.similarity import as_items
-from ..session import read_table
+from ..session import read_table, spread
 
 RETURN_FLAGS = ["A", "N", "R"]
 FLAG_STATUS = ["A|F", "A|O", "N|F", "N|O", "R|F", "R|O"]
@@ -53,7 +53,7 @@ def melt_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC5 + ARR2 + ARR3 + AGG1: nested JSON records lifted to rows, then a
     mean pivot by description."""
-    ev = read_table(spark, sf_dir, "events")
+    ev = spread(read_table(spark, sf_dir, "events"))
     doc = F.to_json(F.struct(
         F.col("event_type").alias("description"),
         F.array(F.struct(F.struct(F.lit("k").alias("name")).alias("nutrient"),

@@ -70,5 +70,27 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def plan_size_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a DataFrame (no job runs).  For scans,
+    filters and projections it is an upper bound from file sizes -- the same
+    statistic Spark's own broadcast rule uses."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+# inputs smaller than this are left as they are
+SPREAD_MIN_BYTES = 4 * 2 ** 20
+
+
+def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+    """Round-robin a sizeable input that arrives in fewer splits than there
+    are cores (e.g. one large row group) before CPU-heavy row-wise work (text
+    rules, JSON or markdown parsing).  On a cluster reading many files the
+    input already has more partitions than cores and nothing happens."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores or plan_size_bytes(df) < min_bytes:
+        return df
+    return df.repartition(cores)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
