@@ -57,3 +57,18 @@ def test_java_whitespace_class_equals_python(spark):
     df = spark.createDataFrame(rows, "cp int, ch string")
     java_ws = {r.cp for r in df.filter(~F.col("ch").rlike("^" + NON_WS_JAVA + "$")).collect()}
     assert java_ws == {c for c, ch in rows if ch.isspace()}
+
+
+def test_text_rule_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    alphabet = st.sampled_from(list("aZ-/\\,\"':()_\t\n x  　\x1cÉß") + ["w" * 25, "  ", '":'])
+    texts = st.lists(st.lists(alphabet, max_size=30).map("".join), min_size=20, max_size=40)
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(texts)
+    def check(values):
+        assert _norm(spark, values) == [reference_rule(v) for v in values]
+
+    check()
