@@ -31,6 +31,9 @@ _MAX_SCORES_PER_BATCH = 4_000_000
 # memory budget of one side of a cell (float64 unit vectors), and a floor on its rows
 CELL_MB = 64
 MIN_CELL_ROWS = 256
+# a right side whose float64 unit vectors fit this is broadcast instead of gridded
+# (each Python worker holds one copy)
+BROADCAST_MB = 64
 
 
 def as_items(df: DataFrame, dataset, item: str, vector: str = "embedding") -> DataFrame:
@@ -61,6 +64,8 @@ def grid_shape(n_left: int, n_right: int, cell_rows: int, parallelism: int) -> t
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
+    if len(vectors) == 0:
+        return np.zeros((0, 0))
     m = np.asarray(np.stack(vectors.to_numpy()), dtype=np.float64)
     norms = np.linalg.norm(m, axis=1)
     norms[norms == 0.0] = 1.0
@@ -68,7 +73,8 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
 
 
 def _best_k(scores: np.ndarray, k: int):
-    """Exact top-k per row; ties go to the smaller column index; -inf never kept."""
+    """Exact top-k per row; ties go to the smaller column index; -inf never kept.
+    Returns rows, columns, values and the 1-based rank within the row."""
     n, m = scores.shape
     if k >= m:
         rows = np.repeat(np.arange(n), m)
@@ -83,55 +89,63 @@ def _best_k(scores: np.ndarray, k: int):
     rows, cols, vals = rows[order], cols[order], vals[order]
     pos = np.arange(rows.size) - np.searchsorted(rows, rows, side="left")
     sel = pos < k
-    return rows[sel], cols[sel], vals[sel]
+    return rows[sel], cols[sel], vals[sel], pos[sel] + 1
 
 
-def _cell_function(k: int, per_target: bool, exclude_self: bool, out_cols: list[str],
-                   within_dataset: bool = False):
+def _prepare_right(right: pd.DataFrame):
+    """Right side sorted by (dataset, item) -- column order is key order, so
+    ties resolve to the smaller key -- with float64 unit vectors."""
+    right = right.sort_values([DATASET, ITEM], kind="stable").reset_index(drop=True)
+    return right[DATASET].to_numpy(), right[ITEM].to_numpy(), _unit_rows(right[VECTOR])
+
+
+def _topk(left: pd.DataFrame, prepared, k: int, per_target: bool, exclude_self: bool,
+          within_dataset: bool) -> pd.DataFrame:
+    r_ds, r_item, y = prepared
+    x_all = _unit_rows(left[VECTOR])
+    l_ds_all = left[DATASET].to_numpy()
+    l_item_all = left[ITEM].to_numpy()
+    if per_target or within_dataset:
+        bounds = np.flatnonzero(np.r_[True, r_ds[1:] != r_ds[:-1], True])
+        slices = list(zip(bounds[:-1], bounds[1:]))
+    else:
+        slices = [(0, len(r_ds))]
+    parts = []
+    for s, e in slices:
+        if within_dataset:
+            rows_g = np.flatnonzero(l_ds_all == r_ds[s])
+            if rows_g.size == 0:
+                continue
+            x, l_ds, l_item = x_all[rows_g], l_ds_all[rows_g], l_item_all[rows_g]
+        else:
+            x, l_ds, l_item = x_all, l_ds_all, l_item_all
+        yg = y[s:e]
+        m = e - s
+        self_col = None
+        if exclude_self:
+            lookup = pd.Index(pd.MultiIndex.from_arrays([r_ds[s:e], r_item[s:e]]))
+            self_col = lookup.get_indexer(pd.MultiIndex.from_arrays([l_ds, l_item]))
+        step = max(1, _MAX_SCORES_PER_BATCH // max(m, 1))
+        for b0 in range(0, len(x), step):
+            b1 = min(len(x), b0 + step)
+            sc = x[b0:b1] @ yg.T
+            if self_col is not None:
+                hit = np.flatnonzero(self_col[b0:b1] >= 0)
+                sc[hit, self_col[b0:b1][hit]] = -np.inf
+            rows, cols, vals, rank = _best_k(sc, k)
+            rows = rows + b0
+            cols = cols + s
+            parts.append(pd.DataFrame({
+                DATASET: l_ds[rows], ITEM: l_item[rows],
+                "target": r_ds[cols], "match": r_item[cols], "score": vals, "rank": rank.astype("int32")}))
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
+
+
+def _cell_function(k: int, per_target: bool, exclude_self: bool, within_dataset: bool = False):
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame()
-        right = right.sort_values([DATASET, ITEM], kind="stable").reset_index(drop=True)
-        x_all = _unit_rows(left[VECTOR])
-        y = _unit_rows(right[VECTOR])
-        r_ds = right[DATASET].to_numpy()
-        r_item = right[ITEM].to_numpy()
-        l_ds_all = left[DATASET].to_numpy()
-        l_item_all = left[ITEM].to_numpy()
-        if per_target or within_dataset:
-            bounds = np.flatnonzero(np.r_[True, r_ds[1:] != r_ds[:-1], True])
-            slices = list(zip(bounds[:-1], bounds[1:]))
-        else:
-            slices = [(0, len(right))]
-        parts = []
-        for s, e in slices:
-            if within_dataset:
-                rows_g = np.flatnonzero(l_ds_all == r_ds[s])
-                if rows_g.size == 0:
-                    continue
-                x, l_ds, l_item = x_all[rows_g], l_ds_all[rows_g], l_item_all[rows_g]
-            else:
-                x, l_ds, l_item = x_all, l_ds_all, l_item_all
-            yg = y[s:e]
-            m = e - s
-            self_col = None
-            if exclude_self:
-                lookup = pd.Index(pd.MultiIndex.from_arrays([r_ds[s:e], r_item[s:e]]))
-                self_col = lookup.get_indexer(pd.MultiIndex.from_arrays([l_ds, l_item]))
-            step = max(1, _MAX_SCORES_PER_BATCH // max(m, 1))
-            for b0 in range(0, len(x), step):
-                b1 = min(len(x), b0 + step)
-                sc = x[b0:b1] @ yg.T
-                if self_col is not None:
-                    hit = np.flatnonzero(self_col[b0:b1] >= 0)
-                    sc[hit, self_col[b0:b1][hit]] = -np.inf
-                rows, cols, vals = _best_k(sc, k)
-                rows = rows + b0
-                cols = cols + s
-                parts.append(pd.DataFrame({
-                    DATASET: l_ds[rows], ITEM: l_item[rows],
-                    "target": r_ds[cols], "match": r_item[cols], "score": vals}))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in out_cols})
+        return _topk(left, _prepare_right(right), k, per_target, exclude_self, within_dataset)
     return cell
 
 
@@ -178,12 +192,12 @@ def cell_rows_for(dim: int, cell_mb: float = CELL_MB) -> int:
     return max(MIN_CELL_ROWS, int(cell_mb * 2 ** 20 // (8 * max(dim, 1))))
 
 
-def _blocked(left: DataFrame, right: DataFrame, cell_rows: int | None):
+def _blocked(left: DataFrame, right: DataFrame, cell_rows: int | None, sizes_l=None, sizes_r=None):
     spark = left.sparkSession
     same = left is right
+    n_left, d_left = sizes_l or _size(left)
+    n_right, d_right = sizes_r or ((n_left, d_left) if same else _size(right))
     left, right = _fresh(left), _fresh(right)
-    n_left, d_left = _size(left)
-    n_right, d_right = (n_left, d_left) if same else _size(right)
     if cell_rows is None:
         cell_rows = cell_rows_for(max(d_left, d_right))
     gl, gr = grid_shape(n_left, n_right, cell_rows, spark.sparkContext.defaultParallelism)
@@ -199,16 +213,39 @@ def _blocked(left: DataFrame, right: DataFrame, cell_rows: int | None):
     return lblk.groupBy("lb", "rb").cogroup(rblk.groupBy("lb", "rb"))
 
 
+def _broadcast_topk(left: DataFrame, right: DataFrame, k: int, per_target: bool, exclude_self: bool,
+                    within_dataset: bool, schema: T.StructType) -> DataFrame:
+    """Right side proven small: prepared once on the driver, broadcast, and
+    every left partition is matched against all of it -- no replication of
+    the right side per block and no merge shuffle (ranks are final)."""
+    from ..session import spread
+    spark = left.sparkSession
+    prepared = _prepare_right(right.toPandas())
+    bc = spark.sparkContext.broadcast(prepared)
+
+    def run(batches):
+        prep = bc.value
+        for batch in batches:
+            if len(batch):
+                out = _topk(batch, prep, k, per_target, exclude_self, within_dataset)
+                if len(out):
+                    yield out
+    return spread(left, min_bytes=0).mapInPandas(run, schema=schema)
+
+
 def top_matches(left: DataFrame, right: DataFrame | None = None, *, k: int = 3,
                 per_target: bool = True, exclude_self: bool | None = None,
-                within_dataset: bool = False, cell_rows: int | None = None) -> DataFrame:
+                within_dataset: bool = False, cell_rows: int | None = None,
+                broadcast_mb: float | None = None) -> DataFrame:
     """Best ``k`` right items for every left item (per target dataset when
     ``per_target``), ranked ``1..k`` by score then smaller key.
 
     With ``right=None`` the left set is matched against itself (SIM2) and an
     item never matches itself.  ``within_dataset`` compares a left item only
     with right items of its own dataset value (used with dataset = fact name
-    for donor search).  Output: ``dataset, item, target, match, score, rank``.
+    for donor search).  When the right side's exact size (rows x dim x 8
+    bytes) is within ``broadcast_mb`` it is broadcast; otherwise the block
+    grid runs.  Output: ``dataset, item, target, match, score, rank``.
     """
     if right is None:
         right = left
@@ -220,15 +257,23 @@ def top_matches(left: DataFrame, right: DataFrame | None = None, *, k: int = 3,
         T.StructField("target", right.schema[DATASET].dataType),
         T.StructField("match", right.schema[ITEM].dataType),
         T.StructField("score", T.DoubleType()),
+        T.StructField("rank", T.IntegerType()),
     ])
     lsel = left.select(DATASET, ITEM, VECTOR)
     rsel = lsel if right is left else right.select(DATASET, ITEM, VECTOR)
-    cells = _blocked(lsel, rsel, cell_rows)
-    fn = _cell_function(k, per_target or within_dataset, exclude_self, out_schema.fieldNames(), within_dataset)
-    partial = cells.applyInPandas(fn, schema=out_schema)
+    per_target = per_target or within_dataset
+    sizes_l = _size(lsel)
+    sizes_r = sizes_l if rsel is lsel else _size(rsel)
+    limit = (BROADCAST_MB if broadcast_mb is None else broadcast_mb) * 2 ** 20
+    if sizes_l[0] == 0 or sizes_r[0] == 0:
+        return left.sparkSession.createDataFrame([], out_schema)
+    if cell_rows is None and sizes_r[0] * sizes_r[1] * 8 <= limit:
+        return _broadcast_topk(lsel, rsel, k, per_target, exclude_self, within_dataset, out_schema)
+    cells = _blocked(lsel, rsel, cell_rows, sizes_l, sizes_r)
+    partial = cells.applyInPandas(_cell_function(k, per_target, exclude_self, within_dataset), schema=out_schema)
     keys = [DATASET, ITEM, "target"] if per_target else [DATASET, ITEM]
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("target"), F.asc("match"))
-    return (partial.withColumn("rank", F.row_number().over(w))
+    return (partial.drop("rank").withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k))
 
 

@@ -17,9 +17,19 @@ def _plan(spark, name):
     return df._jdf.queryExecution().executedPlan().toString(), df
 
 
-def test_top_n_uses_partial_window_limit(spark):
+def test_small_target_is_broadcast_not_gridded(spark):
     plan, df = _plan(spark, "cross_top3")
     df.collect()
+    assert "MapInPandas" in plan and "FlatMapCoGroupsInPandas" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_grid_top_n_uses_partial_window_limit(spark):
+    from catalign.operators.similarity import as_items, top_matches
+    items = as_items(spark.read.parquet(f"{SF}/embeddings.parquet"), "label", "vec_id")
+    df = top_matches(items, None, k=3, cell_rows=100)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan
     assert plan.count("WindowGroupLimit") >= 2  # partial before the exchange, final after
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

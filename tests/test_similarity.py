@@ -15,9 +15,10 @@ def _items(spark):
 
 def test_best_k_ties_go_to_smaller_column():
     s = np.array([[0.5, 0.9, 0.9, 0.1, 0.9]])
-    rows, cols, vals = _best_k(s, 2)
+    rows, cols, vals, rank = _best_k(s, 2)
     assert cols.tolist() == [1, 2]
-    rows, cols, vals = _best_k(np.array([[-np.inf, 0.3, 0.2]]), 5)
+    rows, cols, vals, rank = _best_k(np.array([[-np.inf, 0.3, 0.2]]), 5)
+    assert rank.tolist() == [1, 2]
     assert cols.tolist() == [1, 2]
 
 
@@ -99,3 +100,20 @@ def test_first_per_key_is_deterministic(spark):
     df = spark.createDataFrame([("a", 3, "z"), ("a", 1, "y"), ("b", 2, "x"), ("a", 1, "w")], "k string, o int, v string")
     out = sorted(tuple(r) for r in first_per_key(df, ["k"], ["o", "v"]).collect())
     assert out == [("a", 1, "w"), ("b", 2, "x")]
+
+
+def test_broadcast_path_equals_grid_path(spark):
+    items = _items(spark)
+    cols = ["dataset", "item", "target", "match", "rank"]
+    grid = top_matches(items, None, k=3, cell_rows=50)
+    bc = top_matches(items, None, k=3)
+    g = {tuple(r[c] for c in cols) + (round(r.score, 12),) for r in grid.collect()}
+    b = {tuple(r[c] for c in cols) + (round(r.score, 12),) for r in bc.collect()}
+    assert g == b and len(g) > 0
+    left = items.filter("dataset < 5")
+    right = items.filter("dataset >= 5")
+    g1 = {(r.item, r.match, r["rank"]) for r in top_matches(left, right, k=2, per_target=False, cell_rows=40).collect()}
+    b1 = {(r.item, r.match, r["rank"]) for r in top_matches(left, right, k=2, per_target=False).collect()}
+    assert g1 == b1
+    assert "MapInPandas" in bc._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in grid._jdf.queryExecution().executedPlan().toString()
