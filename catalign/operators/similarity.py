@@ -213,6 +213,11 @@ def _blocked(left: DataFrame, right: DataFrame, cell_rows: int | None, sizes_l=N
     return lblk.groupBy("lb", "rb").cogroup(rblk.groupBy("lb", "rb"))
 
 
+def _broadcastable(sizes, broadcast_mb: float | None) -> bool:
+    limit = (BROADCAST_MB if broadcast_mb is None else broadcast_mb) * 2 ** 20
+    return sizes[0] * sizes[1] * 8 <= limit
+
+
 def _broadcast_topk(left: DataFrame, right: DataFrame, k: int, per_target: bool, exclude_self: bool,
                     within_dataset: bool, schema: T.StructType) -> DataFrame:
     """Right side proven small: prepared once on the driver, broadcast, and
@@ -262,13 +267,12 @@ def top_matches(left: DataFrame, right: DataFrame | None = None, *, k: int = 3,
     lsel = left.select(DATASET, ITEM, VECTOR)
     rsel = lsel if right is left else right.select(DATASET, ITEM, VECTOR)
     per_target = per_target or within_dataset
-    sizes_l = _size(lsel)
-    sizes_r = sizes_l if rsel is lsel else _size(rsel)
-    limit = (BROADCAST_MB if broadcast_mb is None else broadcast_mb) * 2 ** 20
-    if sizes_l[0] == 0 or sizes_r[0] == 0:
+    sizes_r = _size(rsel)
+    if sizes_r[0] == 0:
         return left.sparkSession.createDataFrame([], out_schema)
-    if cell_rows is None and sizes_r[0] * sizes_r[1] * 8 <= limit:
+    if cell_rows is None and _broadcastable(sizes_r, broadcast_mb):
         return _broadcast_topk(lsel, rsel, k, per_target, exclude_self, within_dataset, out_schema)
+    sizes_l = sizes_r if rsel is lsel else _size(lsel)
     cells = _blocked(lsel, rsel, cell_rows, sizes_l, sizes_r)
     partial = cells.applyInPandas(_cell_function(k, per_target, exclude_self, within_dataset), schema=out_schema)
     keys = [DATASET, ITEM, "target"] if per_target else [DATASET, ITEM]
@@ -278,12 +282,28 @@ def top_matches(left: DataFrame, right: DataFrame | None = None, *, k: int = 3,
 
 
 def score_range(left: DataFrame, right: DataFrame | None = None, *, exclude_self: bool = False,
-                cell_rows: int | None = None) -> DataFrame:
-    """One row ``(min_score, max_score)`` over all pairs, computed cell by cell."""
+                cell_rows: int | None = None, broadcast_mb: float | None = None) -> DataFrame:
+    """One row ``(min_score, max_score)`` over all pairs; each task reduces
+    its pairs to two numbers, so no pair leaves a task."""
     if right is None:
         right = left
     lsel = left.select(DATASET, ITEM, VECTOR)
     rsel = lsel if right is left else right.select(DATASET, ITEM, VECTOR)
-    cells = _blocked(lsel, rsel, cell_rows)
-    part = cells.applyInPandas(_cell_min_function(exclude_self), schema="min_score double, max_score double")
+    fn = _cell_min_function(exclude_self)
+    schema = "min_score double, max_score double"
+    sizes_r = _size(rsel)
+    if cell_rows is None and sizes_r[0] and _broadcastable(sizes_r, broadcast_mb):
+        from ..session import spread
+        bc = lsel.sparkSession.sparkContext.broadcast(rsel.toPandas())
+
+        def run(batches):
+            right_pdf = bc.value
+            for batch in batches:
+                out = fn(batch, right_pdf)
+                if len(out):
+                    yield out
+        part = spread(lsel, min_bytes=0).mapInPandas(run, schema=schema)
+    else:
+        sizes_l = sizes_r if rsel is lsel else _size(lsel)
+        part = _blocked(lsel, rsel, cell_rows, sizes_l, sizes_r).applyInPandas(fn, schema=schema)
     return part.agg(F.min("min_score").alias("min_score"), F.max("max_score").alias("max_score"))

@@ -70,6 +70,8 @@ def test_best_match_and_range(spark):
     assert [(r.item, r.match) for r in out] == [(1, 6)]  # tie -> smaller key
     rng = score_range(df).first()
     assert abs(rng.max_score - 1.0) < 1e-12 and abs(rng.min_score - 0.0) < 1e-12
+    grid = score_range(df, cell_rows=1).first()
+    assert (grid.min_score, grid.max_score) == (rng.min_score, rng.max_score)
 
 
 def test_within_dataset_only_compares_same_group(spark):
