@@ -1,10 +1,17 @@
 """Nearest-donor imputation over long facts (IMP1-IMP3).
 
 Facts are long rows ``(item, fact, value)``.  For every (item, fact) whose
-value is missing, the ``k`` nearest items that *have* that fact are found by
-the blocked similarity kernel with ``dataset = fact`` and
-``within_dataset=True`` -- one job for all facts, exact, and no cell ever
-holds more than ``cell_rows`` rows per side, however large one fact is.
+value is missing, the ``k`` nearest items that *have* that fact are needed.
+
+Two exact ways are combined.  First, one similarity pass finds every item's
+``neighbours`` nearest items (independent of the number of facts), and each
+missing (item, fact) takes its ``k`` best donors among them.  That answer is
+exact when ``k`` donors score strictly above the last neighbour's score (no
+item outside the list can beat them, ties included) or when the list already
+holds every candidate item.  The remaining pairs -- and everything when
+``neighbours=None`` -- go through the direct search: the kernel with
+``dataset = fact`` and ``within_dataset=True``, one job for all facts, with
+no cell holding more than its bound, however large one fact is.
 Distance is ``clip(1 - cosine, 0, 1)``; ties go to the smaller donor key.
 Dividing distances by their global maximum changes neither the k=1 choice
 nor the weights below, so it is not applied here (see ``similarity_to_distance``).
@@ -12,21 +19,24 @@ nor the weights below, so it is not applied here (see ``similarity_to_distance``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .similarity import DATASET, ITEM, VECTOR, top_matches
 
+# neighbours listed per item in the first pass (the direct search handles the rest)
+NEIGHBOURS = 32
+
 
 def split_known(facts: DataFrame):
     """IMP1: ``(known, missing)`` facts."""
     return facts.filter(F.col("value").isNotNull()), facts.filter(F.col("value").isNull())
 
 
-def nearest_donors(facts: DataFrame, vectors: DataFrame, k: int, cell_rows: int | None = None) -> DataFrame:
-    """``(item, fact, donor, score, rank)`` for every missing (item, fact)."""
-    known, missing = split_known(facts)
-    vec = vectors.select(F.col(ITEM), F.col(VECTOR)).dropna()
+def _direct_donors(known: DataFrame, missing: DataFrame, vec: DataFrame, k: int,
+                   cell_rows: int | None) -> DataFrame:
+    """Exact donor search per fact for the given missing (item, fact) rows."""
+    known = known.join(missing.select("fact").distinct(), "fact", "left_semi")
     left = missing.join(vec, ITEM).select(F.col("fact").alias(DATASET), ITEM, VECTOR)
     right = known.join(vec, ITEM).select(F.col("fact").alias(DATASET), ITEM, VECTOR)
     near = top_matches(left, right, k=k, per_target=True, exclude_self=False, within_dataset=True,
@@ -34,8 +44,40 @@ def nearest_donors(facts: DataFrame, vectors: DataFrame, k: int, cell_rows: int
     return near.select(ITEM, F.col(DATASET).alias("fact"), F.col("match").alias("donor"), "score", "rank")
 
 
+def nearest_donors(facts: DataFrame, vectors: DataFrame, k: int, cell_rows: int | None = None,
+                   neighbours: int | None = NEIGHBOURS) -> DataFrame:
+    """``(item, fact, donor, score, rank)`` for every missing (item, fact)."""
+    known, missing = split_known(facts)
+    vec = vectors.select(F.col(ITEM), F.col(VECTOR)).dropna()
+    pairs = missing.select(ITEM, "fact")
+    if neighbours is None:
+        return _direct_donors(known, pairs, vec, k, cell_rows)
+    m = max(int(neighbours), k)
+    left = pairs.select(ITEM).distinct().join(vec, ITEM).select(F.lit(0).alias(DATASET), ITEM, VECTOR)
+    right = known.select(ITEM).distinct().join(vec, ITEM).select(F.lit(0).alias(DATASET), ITEM, VECTOR)
+    from ..session import materialize
+    # read three times below: checkpoint once (reliable, lineage cut)
+    nb = materialize(top_matches(left, right, k=m, per_target=False, exclude_self=True, cell_rows=cell_rows)
+                     .select(ITEM, F.col("match").alias("donor"), "score"))
+    edge = nb.groupBy(ITEM).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_edge"))
+    donors_of = known.select(F.col(ITEM).alias("donor"), "fact")
+    cand = pairs.join(nb, ITEM).join(donors_of, ["donor", "fact"])
+    w = Window.partitionBy(ITEM, "fact").orderBy(F.desc("score"), F.asc("donor"))  # at most m rows per group
+    top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    stats = top.groupBy(ITEM, "fact").agg(F.count(F.lit(1)).alias("_c"), F.min("score").alias("_kth"))
+    complete = F.coalesce(F.col("_n"), F.lit(0)) < m
+    exact = F.coalesce(complete | ((F.col("_c") >= k) & (F.col("_kth") > F.col("_edge"))), F.lit(False))
+    status = materialize(pairs.join(stats, [ITEM, "fact"], "left").join(edge, ITEM, "left")
+                         .select(ITEM, "fact", exact.alias("_exact")))
+    exact = F.col("_exact")
+    settled = status.filter(exact).select(ITEM, "fact")
+    rest = status.filter(~exact).select(ITEM, "fact")
+    first = top.join(settled, [ITEM, "fact"], "left_semi").select(ITEM, "fact", "donor", "score", "rank")
+    return first.unionByName(_direct_donors(known, rest, vec, k, cell_rows))
+
+
 def knn_values(facts: DataFrame, vectors: DataFrame, k: int = 1, weights: str = "distance",
-               cell_rows: int | None = None) -> DataFrame:
+               cell_rows: int | None = None, neighbours: int | None = NEIGHBOURS) -> DataFrame:
     """IMP2: predicted value per missing (item, fact).
 
     ``uniform``: mean of the k donor values.  ``distance``: ``sum(v/d)/sum(1/d)``;
@@ -44,7 +86,7 @@ def knn_values(facts: DataFrame, vectors: DataFrame, k: int = 1, weights: str =
     if weights not in ("uniform", "distance"):
         raise ValueError(weights)
     known, _ = split_known(facts)
-    near = nearest_donors(facts, vectors, k, cell_rows)
+    near = nearest_donors(facts, vectors, k, cell_rows, neighbours)
     donor_vals = known.select(F.col(ITEM).alias("donor"), "fact", F.col("value").alias("donor_value"))
     rows = near.join(donor_vals, ["donor", "fact"])
     d = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(1.0) - F.col("score")))
@@ -59,11 +101,11 @@ def knn_values(facts: DataFrame, vectors: DataFrame, k: int = 1, weights: str =
 
 
 def impute(facts: DataFrame, vectors: DataFrame, k: int = 1, weights: str = "distance",
-           cell_rows: int | None = None) -> DataFrame:
+           cell_rows: int | None = None, neighbours: int | None = NEIGHBOURS) -> DataFrame:
     """IMP3: every fact row, known values kept and missing ones filled from
     the nearest donors (a fact without donors stays null).
     Output ``(item, fact, value, imputed)``."""
-    pred = knn_values(facts, vectors, k, weights, cell_rows)
+    pred = knn_values(facts, vectors, k, weights, cell_rows, neighbours)
     out = facts.join(pred, [ITEM, "fact"], "left")
     return out.select(ITEM, "fact", F.coalesce(F.col("value"), F.col("imputed")).alias("value"),
                       (F.col("value").isNull() & F.col("imputed").isNotNull()).alias("imputed"))

@@ -60,3 +60,32 @@ def test_transfer_priority_and_means(spark):
     out = {r.item: r for r in transfer_facts(matches, facts, ["fat", "sugar"], low_priority=["Z"]).collect()}
     assert out["i1"].fat == 1.0 and out["i1"].sugar == 8.0 and abs(out["i1"].matched_score - 0.7) < 1e-12
     assert out["i2"].fat == 1.0 and out["i2"].matched_score == 0.5
+
+
+def _emb_facts(spark):
+    emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    e = F.col("embedding")
+    wide = emb.select(F.col("vec_id").alias("item"), F.when(e[1] > 0, e[0].cast("double")).alias("f0"),
+                      F.when(e[3] > 0.3, e[2].cast("double")).alias("f1"))
+    return wide.unpivot(["item"], ["f0", "f1"], "fact", "value"), emb.select(F.col("vec_id").alias("item"), "embedding")
+
+
+def test_two_phase_search_equals_direct(spark):
+    facts, vec = _emb_facts(spark)
+    def run(**kw):  # values compared to 12 places: summation order may differ
+        return {(r.item, r.fact): (None if r.value is None else round(r.value, 12)) for r in impute(facts, vec, **kw).collect()}
+    for k in (1, 3):
+        direct = run(k=k, neighbours=None)
+        few = run(k=k, neighbours=k)  # many pairs fall back to the direct search
+        assert direct == few == run(k=k)
+
+
+def test_edge_ties_fall_back_to_direct_search(spark):
+    # items 2, 3 and 4 are identical: a one-neighbour list cannot prove which donor is first
+    vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.6, 0.8]), (4, [0.6, 0.8])],
+                                "item int, embedding array<double>")
+    facts = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "a", 30.0), (4, "a", 40.0), (2, "b", 5.0)],
+                                  "item int, fact string, value double")
+    got = {(r.item, r.fact): r.value for r in impute(facts, vec, k=1, neighbours=1).collect()}
+    exp = {(r.item, r.fact): r.value for r in impute(facts, vec, k=1, neighbours=None).collect()}
+    assert got == exp and got[(1, "a")] == 30.0 and got[(2, "a")] == 30.0
