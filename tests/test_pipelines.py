@@ -204,3 +204,26 @@ def test_transfer_from_lists_and_impute_all(spark):
     vec = spark.createDataFrame([("h1", [1.0, 0.0]), ("h2", [0.9, 0.1]), ("h3", [0.0, 1.0])], "k string, embedding array<double>")
     filled = {r.k: r.fat for r in impute_all(table, vec, "k", ["fat", "matched_score"]).collect()}
     assert filled == {"h1": 1.0, "h2": 1.0, "h3": 3.0}
+
+
+def test_model_map_bounded_in_flight(spark):
+    import threading
+    import time as _time
+
+    def make():
+        state = {"now": 0, "peak": 0}
+        lock = threading.Lock()
+
+        def fn(row):
+            with lock:
+                state["now"] += 1
+                state["peak"] = max(state["peak"], state["now"])
+            _time.sleep(0.02)
+            with lock:
+                state["now"] -= 1
+                return {"peak": state["peak"]}
+        return fn
+    df = spark.range(0, 60, numPartitions=1).withColumnRenamed("id", "k")
+    out = model_map(df, make(), ["k"], "peak int", keep_cols=["k"], max_in_flight=3, retries=1, wait_s=0)
+    peak = max(r.peak for r in out.collect())
+    assert 2 <= peak <= 3
