@@ -212,9 +212,9 @@ def test_model_map_bounded_in_flight(spark):
 
     def make():
         state = {"now": 0, "peak": 0}
-        lock = threading.Lock()
 
         def fn(row):
+            lock = state.setdefault("lock", threading.Lock())  # created in the worker (locks do not pickle)
             with lock:
                 state["now"] += 1
                 state["peak"] = max(state["peak"], state["now"])
