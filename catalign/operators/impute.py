@@ -26,6 +26,8 @@ from .similarity import DATASET, ITEM, VECTOR, top_matches
 
 # neighbours listed per item in the first pass (the direct search handles the rest)
 NEIGHBOURS = 32
+# a collected per-fact summary never exceeds this many facts
+MAX_FACTS = 100_000
 
 
 def split_known(facts: DataFrame):
@@ -44,12 +46,31 @@ def _direct_donors(known: DataFrame, missing: DataFrame, vec: DataFrame, k: int,
     return near.select(ITEM, F.col(DATASET).alias("fact"), F.col("match").alias("donor"), "score", "rank")
 
 
+def prefer_direct(facts: DataFrame) -> bool:
+    """Cost choice (speed only; both ways are exact): the direct search
+    scores sum_f missing_f x known_f pairs, the neighbour pass about
+    items-with-a-gap x donor-items.  Two small aggregations decide."""
+    per_fact = (facts.groupBy("fact")
+                .agg(F.count_if(F.col("value").isNull()).alias("m"), F.count_if(F.col("value").isNotNull()).alias("d"))
+                .limit(MAX_FACTS + 1).collect())
+    if len(per_fact) > MAX_FACTS:
+        return False
+    direct = sum(r["m"] * r["d"] for r in per_fact)
+    items = facts.agg(F.approx_count_distinct(F.when(F.col("value").isNull(), F.col(ITEM))).alias("gap"),
+                      F.approx_count_distinct(F.when(F.col("value").isNotNull(), F.col(ITEM))).alias("donor")).first()
+    return direct <= (items["gap"] or 0) * (items["donor"] or 0)
+
+
 def nearest_donors(facts: DataFrame, vectors: DataFrame, k: int, cell_rows: int | None = None,
-                   neighbours: int | None = NEIGHBOURS) -> DataFrame:
-    """``(item, fact, donor, score, rank)`` for every missing (item, fact)."""
+                   neighbours: int | str | None = "auto") -> DataFrame:
+    """``(item, fact, donor, score, rank)`` for every missing (item, fact).
+    ``neighbours``: list length of the first pass, ``None`` for the direct
+    search only, ``'auto'`` to pick by estimated cost."""
     known, missing = split_known(facts)
     vec = vectors.select(F.col(ITEM), F.col(VECTOR)).dropna()
     pairs = missing.select(ITEM, "fact")
+    if neighbours == "auto":
+        neighbours = None if prefer_direct(facts) else NEIGHBOURS
     if neighbours is None:
         return _direct_donors(known, pairs, vec, k, cell_rows)
     m = max(int(neighbours), k)
@@ -77,7 +98,7 @@ def nearest_donors(facts: DataFrame, vectors: DataFrame, k: int, cell_rows: int
 
 
 def knn_values(facts: DataFrame, vectors: DataFrame, k: int = 1, weights: str = "distance",
-               cell_rows: int | None = None, neighbours: int | None = NEIGHBOURS) -> DataFrame:
+               cell_rows: int | None = None, neighbours: int | str | None = "auto") -> DataFrame:
     """IMP2: predicted value per missing (item, fact).
 
     ``uniform``: mean of the k donor values.  ``distance``: ``sum(v/d)/sum(1/d)``;
@@ -101,7 +122,7 @@ def knn_values(facts: DataFrame, vectors: DataFrame, k: int = 1, weights: str =
 
 
 def impute(facts: DataFrame, vectors: DataFrame, k: int = 1, weights: str = "distance",
-           cell_rows: int | None = None, neighbours: int | None = NEIGHBOURS) -> DataFrame:
+           cell_rows: int | None = None, neighbours: int | str | None = "auto") -> DataFrame:
     """IMP3: every fact row, known values kept and missing ones filled from
     the nearest donors (a fact without donors stays null).
     Output ``(item, fact, value, imputed)``."""

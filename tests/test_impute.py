@@ -77,7 +77,7 @@ def test_two_phase_search_equals_direct(spark):
     for k in (1, 3):
         direct = run(k=k, neighbours=None)
         few = run(k=k, neighbours=k)  # many pairs fall back to the direct search
-        assert direct == few == run(k=k)
+        assert direct == few == run(k=k) == run(k=k, neighbours=32)
 
 
 def test_edge_ties_fall_back_to_direct_search(spark):
