@@ -36,9 +36,11 @@ def split_known(facts: DataFrame):
 
 
 def _direct_donors(known: DataFrame, missing: DataFrame, vec: DataFrame, k: int,
-                   cell_rows: int | None) -> DataFrame:
-    """Exact donor search per fact for the given missing (item, fact) rows."""
-    known = known.join(missing.select("fact").distinct(), "fact", "left_semi")
+                   cell_rows: int | None, restrict: bool = False) -> DataFrame:
+    """Exact donor search per fact for the given missing (item, fact) rows
+    (``restrict``: only donors of the facts that occur in ``missing``)."""
+    if restrict:
+        known = known.join(missing.select("fact").distinct(), "fact", "left_semi")
     left = missing.join(vec, ITEM).select(F.col("fact").alias(DATASET), ITEM, VECTOR)
     right = known.join(vec, ITEM).select(F.col("fact").alias(DATASET), ITEM, VECTOR)
     near = top_matches(left, right, k=k, per_target=True, exclude_self=False, within_dataset=True,
@@ -48,17 +50,19 @@ def _direct_donors(known: DataFrame, missing: DataFrame, vec: DataFrame, k: int,
 
 def prefer_direct(facts: DataFrame) -> bool:
     """Cost choice (speed only; both ways are exact): the direct search
-    scores sum_f missing_f x known_f pairs, the neighbour pass about
-    items-with-a-gap x donor-items.  Two small aggregations decide."""
+    scores sum_f missing_f x known_f pairs, the neighbour pass
+    items-with-a-gap x donor-items, estimated as min(items, sum_f missing_f)
+    x min(items, sum_f known_f) with items = max_f (missing_f + known_f).
+    One small aggregation (a row per fact) decides."""
     per_fact = (facts.groupBy("fact")
                 .agg(F.count_if(F.col("value").isNull()).alias("m"), F.count_if(F.col("value").isNotNull()).alias("d"))
                 .limit(MAX_FACTS + 1).collect())
     if len(per_fact) > MAX_FACTS:
         return False
     direct = sum(r["m"] * r["d"] for r in per_fact)
-    items = facts.agg(F.approx_count_distinct(F.when(F.col("value").isNull(), F.col(ITEM))).alias("gap"),
-                      F.approx_count_distinct(F.when(F.col("value").isNotNull(), F.col(ITEM))).alias("donor")).first()
-    return direct <= (items["gap"] or 0) * (items["donor"] or 0)
+    items = max((r["m"] + r["d"] for r in per_fact), default=0)
+    neighbour_pass = min(items, sum(r["m"] for r in per_fact)) * min(items, sum(r["d"] for r in per_fact))
+    return direct <= neighbour_pass
 
 
 def nearest_donors(facts: DataFrame, vectors: DataFrame, k: int, cell_rows: int | None = None,
@@ -94,7 +98,7 @@ def nearest_donors(facts: DataFrame, vectors: DataFrame, k: int, cell_rows: int
     settled = status.filter(exact).select(ITEM, "fact")
     rest = status.filter(~exact).select(ITEM, "fact")
     first = top.join(settled, [ITEM, "fact"], "left_semi").select(ITEM, "fact", "donor", "score", "rank")
-    return first.unionByName(_direct_donors(known, rest, vec, k, cell_rows))
+    return first.unionByName(_direct_donors(known, rest, vec, k, cell_rows, restrict=True))
 
 
 def knn_values(facts: DataFrame, vectors: DataFrame, k: int = 1, weights: str = "distance",
