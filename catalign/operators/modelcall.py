@@ -54,9 +54,11 @@ def model_map(df: DataFrame, fn: Callable[[dict], object], in_cols: Sequence[str
     """
     if isinstance(out_schema, str):
         out_schema = T._parse_datatype_string(out_schema)
+    from ..session import spread
     fields = out_schema.fieldNames()
     in_cols, keep_cols = list(in_cols), list(keep_cols)
-    src = df.select(*dict.fromkeys(keep_cols + in_cols))
+    # calls are latency-bound: at least one partition per core, whatever the bytes
+    src = spread(df.select(*dict.fromkeys(keep_cols + in_cols)), min_bytes=0)
     schema = T.StructType([src.schema[c] for c in keep_cols] + list(out_schema.fields)
                           + [T.StructField(ERROR_COL, T.StringType())])
 
