@@ -42,3 +42,20 @@ def full_fact_table(transferred: DataFrame, facts: DataFrame, spine: DataFrame,
     """PIP10 tail: transferred facts of the items of interest, unioned with
     the source datasets' own facts, reindexed to the embedding spine."""
     return reindex(spine, union_all([transferred, facts]), list(key))
+
+
+def transfer_facts_long(matches: DataFrame, facts: DataFrame, *, low_priority: Sequence,
+                        key: Sequence[str] = ("dataset", "item"), match_dataset: str = "matched_dataset",
+                        match_key: str = "matched_item") -> DataFrame:
+    """Long form of ``transfer_facts`` for facts kept as
+    ``(dataset, item, fact, value)``: per (item, fact) the mean over the
+    rank-2 matches when any has a value, else the mean over rank-1 matches
+    (AGG4 per rank, then AGG5 as ``max_by`` over the rank).  Both steps are
+    partial-then-final aggregations; no pivot until the sink."""
+    key = list(key)
+    f = (facts.filter(F.col("value").isNotNull())
+         .select(F.col("dataset").alias(match_dataset), F.col("item").alias(match_key), "fact", "value"))
+    joined = matches.join(f, [match_dataset, match_key])
+    rank = F.when(F.col(match_dataset).isin(list(low_priority)), F.lit(1)).otherwise(F.lit(2))
+    per_rank = joined.withColumn("_rank", rank).groupBy(*key, "fact", "_rank").agg(F.avg("value").alias("_v"))
+    return per_rank.groupBy(*key, "fact").agg(F.max_by("_v", "_rank").alias("value"))

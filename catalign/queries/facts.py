@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.consolidate import transfer_facts
+from ..operators.consolidate import transfer_facts, transfer_facts_long
 from ..operators.impute import impute
 from ..operators.similarity import as_items, top_matches
 from ..session import read_table
@@ -42,6 +42,19 @@ def fact_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("item").alias("vec_id"), *[F.round(c, 6).alias(c) for c in FACTS + ["matched_score"]])
 
 
+def fact_transfer_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIP10 with facts kept long ``(dataset, item, fact, value)`` (AGG5 as
+    ``max_by`` over the priority); same matches and priorities as
+    ``fact_transfer``."""
+    items = as_items(read_table(spark, sf_dir, "embeddings"), "label", "vec_id")
+    top = top_matches(items, None, k=TRANSFER_TOP_N, per_target=True).filter(F.col("target") != F.col("dataset"))
+    matches = top.select("dataset", "item", F.col("target").alias("matched_dataset"),
+                         F.col("match").alias("matched_item"))
+    long = _facts_wide(spark, sf_dir).unpivot(["dataset", "item"], FACTS, "fact", "value")
+    out = transfer_facts_long(matches, long, low_priority=LOW_PRIORITY)
+    return out.select(F.col("item").alias("vec_id"), "fact", F.round("value", 6).alias("value"))
+
+
 def _impute(spark, sf_dir, k, weights):
     emb = read_table(spark, sf_dir, "embeddings")
     wide = emb.select(F.col("vec_id").alias("item"), *_fact_columns())
@@ -113,6 +126,26 @@ SELECT item AS vec_id,
   round(coalesce(avg(f1) FILTER (WHERE r = 2), avg(f1) FILTER (WHERE r = 1)), 6) AS f1,
   round(coalesce(avg(s) FILTER (WHERE r = 2), avg(s) FILTER (WHERE r = 1)), 6) AS matched_score
 FROM j GROUP BY item
+""",
+    "fact_transfer_long": f"""
+WITH e AS (SELECT label AS dataset, vec_id AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+facts AS (
+  SELECT vec_id AS item, 'f0' AS fact, CASE WHEN embedding[2] > 0 THEN CAST(embedding[1] AS DOUBLE) END AS value FROM embeddings
+  UNION ALL
+  SELECT vec_id, 'f1', CASE WHEN embedding[4] > 0 THEN CAST(embedding[3] AS DOUBLE) END FROM embeddings),
+p AS (
+  SELECT a.dataset, a.item, b.dataset AS target, b.item AS match,
+         CASE WHEN list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0.0
+              ELSE list_cosine_similarity(a.v, b.v) END AS s
+  FROM e a JOIN e b ON a.dataset <> b.dataset
+),
+top AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY dataset, item, target ORDER BY s DESC, match) <= {TRANSFER_TOP_N}),
+per AS (
+  SELECT top.item, facts.fact, CASE WHEN top.target IN ({", ".join(map(str, LOW_PRIORITY))}) THEN 1 ELSE 2 END AS r,
+         avg(facts.value) AS v
+  FROM top JOIN facts ON top.match = facts.item WHERE facts.value IS NOT NULL
+  GROUP BY ALL)
+SELECT item AS vec_id, fact, round(arg_max(v, r), 6) AS value FROM per GROUP BY item, fact
 """,
     "impute_k1": _impute_sql(1, "distance"),
     "impute_k3": _impute_sql(3, "distance"),
@@ -121,6 +154,7 @@ FROM j GROUP BY item
 
 QUERIES = {
     "fact_transfer": fact_transfer,
+    "fact_transfer_long": fact_transfer_long,
     "impute_k1": impute_k1,
     "impute_k3": impute_k3,
     "impute_k3_uniform": impute_k3_uniform,

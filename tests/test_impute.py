@@ -89,3 +89,22 @@ def test_edge_ties_fall_back_to_direct_search(spark):
     got = {(r.item, r.fact): r.value for r in impute(facts, vec, k=1, neighbours=1).collect()}
     exp = {(r.item, r.fact): r.value for r in impute(facts, vec, k=1, neighbours=None).collect()}
     assert got == exp and got[(1, "a")] == 30.0 and got[(2, "a")] == 30.0
+
+
+def test_long_and_wide_transfer_agree(spark):
+    from catalign.operators.consolidate import transfer_facts_long
+    from catalign.operators.similarity import as_items, top_matches
+    emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    items = as_items(emb, "label", "vec_id")
+    top = top_matches(items, None, k=2).filter("target != dataset")
+    matches = top.select("dataset", "item", F.col("target").alias("matched_dataset"),
+                         F.col("match").alias("matched_item"), F.col("score").alias("matched_score"))
+    e = F.col("embedding")
+    wide = emb.select(F.col("label").alias("dataset"), F.col("vec_id").alias("item"),
+                      F.when(e[1] > 0, e[0].cast("double")).alias("f0"), F.when(e[3] > 0, e[2].cast("double")).alias("f1"))
+    long = wide.unpivot(["dataset", "item"], ["f0", "f1"], "fact", "value")
+    w = {(r.dataset, r.item, f): (None if r[f] is None else round(r[f], 12))
+         for r in transfer_facts(matches, wide, ["f0", "f1"], low_priority=[1, 2]).collect() for f in ("f0", "f1")}
+    lg = {(r.dataset, r.item, r.fact): round(r.value, 12)
+          for r in transfer_facts_long(matches, long, low_priority=[1, 2]).collect()}
+    assert {k: v for k, v in w.items() if v is not None} == lg

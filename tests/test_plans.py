@@ -8,6 +8,7 @@ SF = "/root/testdata/sf0.001"
 PYTHON_NODES = ("FlatMapCoGroupsInPandas", "MapInPandas", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas")
 # queries whose semantics need the vector kernel or a caller's model function
 PYTHON_ALLOWED = {"cross_top3", "align_top1", "best_source", "distance_scale", "melt_lists", "fact_transfer",
+                  "fact_transfer_long", "rank_by_space",
                   "impute_k1", "impute_k3", "impute_k3_uniform", "judge_pairs", "embed_text"}
 
 
