@@ -10,7 +10,6 @@ import posixpath
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .functions.text import render_lines, with_normalised_text
 from .operators.checks import UNCLASSIFIED, coerce_to_domain, require_columns, split_by_domain
