@@ -1,13 +1,17 @@
 """Exact cosine similarity between item sets (SIM2, SIM3, AGG6 over pairs).
 
 Items are rows ``(dataset, item, embedding)``.  The all-pairs score matrix is
-never materialised: both sides are hashed into blocks, each left block meets
-each right block in exactly one cell (a cogrouped ``applyInPandas`` task), the
-cell computes its scores with one dense product and keeps only the best ``k``
-per (left item, target dataset).  A window then merges the cells.  Every
-cell holds at most ``cell_rows`` rows per side (by default sized so one side
-is ``CELL_MB`` of float64 vectors), so the memory of one task is bounded
-whatever the table size or the size of the largest dataset.
+never materialised.  When the target side's exact size (rows x dim x 8 bytes)
+is within ``BROADCAST_MB`` it is prepared once and broadcast, and every left
+partition is scored against all of it (``mapInPandas``; ranks are final, no
+shuffle of pairs).  Otherwise both sides are hashed into blocks, each left
+block meets each right block in exactly one cell (a cogrouped
+``applyInPandas`` task), the cell computes its scores with dense products
+and keeps only the best ``k`` per (left item, target dataset), and a window
+merges the cells.  Every cell holds at most ``cell_rows`` rows per side (by
+default sized so one side is ``CELL_MB`` of float64 vectors), so the memory
+of one task is bounded whatever the table size or the size of the largest
+dataset.
 
 Ties are broken by the smaller target key, scores are reported unrounded;
 a zero vector has similarity 0 with everything (unit-normalising leaves it 0).
@@ -150,11 +154,11 @@ def _cell_function(k: int, per_target: bool, exclude_self: bool, within_dataset:
 
 
 def _cell_min_function(exclude_self: bool):
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def cell(left: pd.DataFrame, right: pd.DataFrame, y: np.ndarray | None = None) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame()
         x = _unit_rows(left[VECTOR])
-        y = _unit_rows(right[VECTOR])
+        y = _unit_rows(right[VECTOR]) if y is None else y
         lo, hi = np.inf, -np.inf
         step = max(1, _MAX_SCORES_PER_BATCH // max(len(right), 1))
         same = None
@@ -298,8 +302,9 @@ def score_range(left: DataFrame, right: DataFrame | None = None, *, exclude_self
 
         def run(batches):
             right_pdf = bc.value
+            y = _unit_rows(right_pdf[VECTOR]) if len(right_pdf) else None  # once per task
             for batch in batches:
-                out = fn(batch, right_pdf)
+                out = fn(batch, right_pdf, y)
                 if len(out):
                     yield out
         part = spread(lsel, min_bytes=0).mapInPandas(run, schema=schema)
