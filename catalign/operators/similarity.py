@@ -153,30 +153,35 @@ def _cell_function(k: int, per_target: bool, exclude_self: bool, within_dataset:
     return cell
 
 
+def _range_of(left: pd.DataFrame, right: pd.DataFrame, y: np.ndarray, exclude_self: bool) -> pd.DataFrame:
+    """Min and max score over all pairs of one block of left rows."""
+    x = _unit_rows(left[VECTOR])
+    lo, hi = np.inf, -np.inf
+    step = max(1, _MAX_SCORES_PER_BATCH // max(len(right), 1))
+    same = None
+    if exclude_self:
+        lookup = pd.Index(pd.MultiIndex.from_arrays([right[DATASET].to_numpy(), right[ITEM].to_numpy()]))
+        same = lookup.get_indexer(pd.MultiIndex.from_arrays([left[DATASET].to_numpy(), left[ITEM].to_numpy()]))
+    for b0 in range(0, len(left), step):
+        b1 = min(len(left), b0 + step)
+        sc = x[b0:b1] @ y.T
+        if same is not None:
+            hit = np.flatnonzero(same[b0:b1] >= 0)
+            sc[hit, same[b0:b1][hit]] = np.nan
+        if np.isfinite(sc).any():
+            lo = min(lo, float(np.nanmin(sc)))
+            hi = max(hi, float(np.nanmax(sc)))
+    if not np.isfinite(lo):
+        return pd.DataFrame()
+    return pd.DataFrame({"min_score": [lo], "max_score": [hi]})
+
+
 def _cell_min_function(exclude_self: bool):
-    def cell(left: pd.DataFrame, right: pd.DataFrame, y: np.ndarray | None = None) -> pd.DataFrame:
+    # two arguments: PySpark passes (left, right) to a two-argument cogroup function
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame()
-        x = _unit_rows(left[VECTOR])
-        y = _unit_rows(right[VECTOR]) if y is None else y
-        lo, hi = np.inf, -np.inf
-        step = max(1, _MAX_SCORES_PER_BATCH // max(len(right), 1))
-        same = None
-        if exclude_self:
-            lookup = pd.Index(pd.MultiIndex.from_arrays([right[DATASET].to_numpy(), right[ITEM].to_numpy()]))
-            same = lookup.get_indexer(pd.MultiIndex.from_arrays([left[DATASET].to_numpy(), left[ITEM].to_numpy()]))
-        for b0 in range(0, len(left), step):
-            b1 = min(len(left), b0 + step)
-            sc = x[b0:b1] @ y.T
-            if same is not None:
-                hit = np.flatnonzero(same[b0:b1] >= 0)
-                sc[hit, same[b0:b1][hit]] = np.nan
-            if np.isfinite(sc).any():
-                lo = min(lo, float(np.nanmin(sc)))
-                hi = max(hi, float(np.nanmax(sc)))
-        if not np.isfinite(lo):
-            return pd.DataFrame()
-        return pd.DataFrame({"min_score": [lo], "max_score": [hi]})
+        return _range_of(left, right, _unit_rows(right[VECTOR]), exclude_self)
     return cell
 
 
@@ -293,7 +298,6 @@ def score_range(left: DataFrame, right: DataFrame | None = None, *, exclude_self
         right = left
     lsel = left.select(DATASET, ITEM, VECTOR)
     rsel = lsel if right is left else right.select(DATASET, ITEM, VECTOR)
-    fn = _cell_min_function(exclude_self)
     schema = "min_score double, max_score double"
     sizes_r = _size(rsel)
     if cell_rows is None and sizes_r[0] and _broadcastable(sizes_r, broadcast_mb):
@@ -302,13 +306,16 @@ def score_range(left: DataFrame, right: DataFrame | None = None, *, exclude_self
 
         def run(batches):
             right_pdf = bc.value
-            y = _unit_rows(right_pdf[VECTOR]) if len(right_pdf) else None  # once per task
+            y = _unit_rows(right_pdf[VECTOR])  # once per task
             for batch in batches:
-                out = fn(batch, right_pdf, y)
+                if not len(batch):
+                    continue
+                out = _range_of(batch, right_pdf, y, exclude_self)
                 if len(out):
                     yield out
         part = spread(lsel, min_bytes=0).mapInPandas(run, schema=schema)
     else:
         sizes_l = sizes_r if rsel is lsel else _size(lsel)
-        part = _blocked(lsel, rsel, cell_rows, sizes_l, sizes_r).applyInPandas(fn, schema=schema)
+        part = _blocked(lsel, rsel, cell_rows, sizes_l, sizes_r).applyInPandas(
+            _cell_min_function(exclude_self), schema=schema)
     return part.agg(F.min("min_score").alias("min_score"), F.max("max_score").alias("max_score"))
