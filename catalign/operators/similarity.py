@@ -222,19 +222,30 @@ def _blocked(left: DataFrame, right: DataFrame, cell_rows: int | None, sizes_l=N
     return lblk.groupBy("lb", "rb").cogroup(rblk.groupBy("lb", "rb"))
 
 
-def _broadcastable(sizes, broadcast_mb: float | None) -> bool:
+def _collect_if_small(df: DataFrame, broadcast_mb: float | None):
+    """The target side as pandas when it provably fits the broadcast budget,
+    ``None`` otherwise.  The vector length is read from one row; at most the
+    budget's worth of rows plus one is collected, and the collected bytes are
+    checked again, so the driver never holds more than the budget."""
     limit = (BROADCAST_MB if broadcast_mb is None else broadcast_mb) * 2 ** 20
-    return sizes[0] * sizes[1] * 8 <= limit
+    head = df.select(F.size(VECTOR).alias("d")).first()
+    if head is None:
+        return df.limit(0).toPandas()
+    max_rows = int(limit // (8 * max(int(head["d"]), 1)))
+    pdf = df.limit(max_rows + 1).toPandas()
+    if len(pdf) > max_rows or sum(len(v) for v in pdf[VECTOR]) * 8 > limit:
+        return None
+    return pdf
 
 
-def _broadcast_topk(left: DataFrame, right: DataFrame, k: int, per_target: bool, exclude_self: bool,
+def _broadcast_topk(left: DataFrame, right_pdf: pd.DataFrame, k: int, per_target: bool, exclude_self: bool,
                     within_dataset: bool, schema: T.StructType) -> DataFrame:
     """Right side proven small: prepared once on the driver, broadcast, and
     every left partition is matched against all of it -- no replication of
     the right side per block and no merge shuffle (ranks are final)."""
     from ..session import spread
     spark = left.sparkSession
-    prepared = _prepare_right(right.toPandas())
+    prepared = _prepare_right(right_pdf)
     bc = spark.sparkContext.broadcast(prepared)
 
     def run(batches):
@@ -276,11 +287,15 @@ def top_matches(left: DataFrame, right: DataFrame | None = None, *, k: int = 3,
     lsel = left.select(DATASET, ITEM, VECTOR)
     rsel = lsel if right is left else right.select(DATASET, ITEM, VECTOR)
     per_target = per_target or within_dataset
+    if cell_rows is None:
+        small = _collect_if_small(rsel, broadcast_mb)
+        if small is not None:
+            if small.empty:
+                return left.sparkSession.createDataFrame([], out_schema)
+            return _broadcast_topk(lsel, small, k, per_target, exclude_self, within_dataset, out_schema)
     sizes_r = _size(rsel)
     if sizes_r[0] == 0:
         return left.sparkSession.createDataFrame([], out_schema)
-    if cell_rows is None and _broadcastable(sizes_r, broadcast_mb):
-        return _broadcast_topk(lsel, rsel, k, per_target, exclude_self, within_dataset, out_schema)
     sizes_l = sizes_r if rsel is lsel else _size(lsel)
     cells = _blocked(lsel, rsel, cell_rows, sizes_l, sizes_r)
     partial = cells.applyInPandas(_cell_function(k, per_target, exclude_self, within_dataset), schema=out_schema)
@@ -299,10 +314,10 @@ def score_range(left: DataFrame, right: DataFrame | None = None, *, exclude_self
     lsel = left.select(DATASET, ITEM, VECTOR)
     rsel = lsel if right is left else right.select(DATASET, ITEM, VECTOR)
     schema = "min_score double, max_score double"
-    sizes_r = _size(rsel)
-    if cell_rows is None and sizes_r[0] and _broadcastable(sizes_r, broadcast_mb):
+    small = _collect_if_small(rsel, broadcast_mb) if cell_rows is None else None
+    if small is not None and not small.empty:
         from ..session import spread
-        bc = lsel.sparkSession.sparkContext.broadcast(rsel.toPandas())
+        bc = lsel.sparkSession.sparkContext.broadcast(small)
 
         def run(batches):
             right_pdf = bc.value
@@ -315,6 +330,7 @@ def score_range(left: DataFrame, right: DataFrame | None = None, *, exclude_self
                     yield out
         part = spread(lsel, min_bytes=0).mapInPandas(run, schema=schema)
     else:
+        sizes_r = _size(rsel)
         sizes_l = sizes_r if rsel is lsel else _size(lsel)
         part = _blocked(lsel, rsel, cell_rows, sizes_l, sizes_r).applyInPandas(
             _cell_min_function(exclude_self), schema=schema)
