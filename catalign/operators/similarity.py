@@ -104,9 +104,11 @@ def _prepare_right(right: pd.DataFrame):
 
 
 def _topk(left: pd.DataFrame, prepared, k: int, per_target: bool, exclude_self: bool,
-          within_dataset: bool) -> pd.DataFrame:
+          within_dataset: bool, with_range: bool = False) -> pd.DataFrame:
     r_ds, r_item, y = prepared
     x_all = _unit_rows(left[VECTOR])
+    rmin = np.full(len(left), np.inf)
+    rmax = np.full(len(left), -np.inf)
     l_ds_all = left[DATASET].to_numpy()
     l_item_all = left[ITEM].to_numpy()
     if per_target or within_dataset:
@@ -122,6 +124,7 @@ def _topk(left: pd.DataFrame, prepared, k: int, per_target: bool, exclude_self:
                 continue
             x, l_ds, l_item = x_all[rows_g], l_ds_all[rows_g], l_item_all[rows_g]
         else:
+            rows_g = np.arange(len(left))
             x, l_ds, l_item = x_all, l_ds_all, l_item_all
         yg = y[s:e]
         m = e - s
@@ -136,20 +139,33 @@ def _topk(left: pd.DataFrame, prepared, k: int, per_target: bool, exclude_self:
             if self_col is not None:
                 hit = np.flatnonzero(self_col[b0:b1] >= 0)
                 sc[hit, self_col[b0:b1][hit]] = -np.inf
+            if with_range:
+                finite = np.isfinite(sc)
+                idx = rows_g[b0:b1]
+                rmin[idx] = np.minimum(rmin[idx], np.where(finite, sc, np.inf).min(axis=1))
+                rmax[idx] = np.maximum(rmax[idx], np.where(finite, sc, -np.inf).max(axis=1))
             rows, cols, vals, rank = _best_k(sc, k)
             rows = rows + b0
             cols = cols + s
             parts.append(pd.DataFrame({
                 DATASET: l_ds[rows], ITEM: l_item[rows],
-                "target": r_ds[cols], "match": r_item[cols], "score": vals, "rank": rank.astype("int32")}))
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
+                "target": r_ds[cols], "match": r_item[cols], "score": vals, "rank": rank.astype("int32"),
+                "_lidx": rows_g[rows]}))
+    if not parts:
+        return pd.DataFrame()
+    out = pd.concat(parts, ignore_index=True)
+    if with_range:
+        out["_row_min"] = rmin[out["_lidx"].to_numpy()]
+        out["_row_max"] = rmax[out["_lidx"].to_numpy()]
+    return out.drop(columns=["_lidx"])
 
 
-def _cell_function(k: int, per_target: bool, exclude_self: bool, within_dataset: bool = False):
+def _cell_function(k: int, per_target: bool, exclude_self: bool, within_dataset: bool = False,
+                   with_range: bool = False):
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame()
-        return _topk(left, _prepare_right(right), k, per_target, exclude_self, within_dataset)
+        return _topk(left, _prepare_right(right), k, per_target, exclude_self, within_dataset, with_range)
     return cell
 
 
@@ -239,7 +255,7 @@ def _collect_if_small(df: DataFrame, broadcast_mb: float | None):
 
 
 def _broadcast_topk(left: DataFrame, right_pdf: pd.DataFrame, k: int, per_target: bool, exclude_self: bool,
-                    within_dataset: bool, schema: T.StructType) -> DataFrame:
+                    within_dataset: bool, schema: T.StructType, with_range: bool = False) -> DataFrame:
     """Right side proven small: prepared once on the driver, broadcast, and
     every left partition is matched against all of it -- no replication of
     the right side per block and no merge shuffle (ranks are final)."""
@@ -252,7 +268,7 @@ def _broadcast_topk(left: DataFrame, right_pdf: pd.DataFrame, k: int, per_target
         prep = bc.value
         for batch in batches:
             if len(batch):
-                out = _topk(batch, prep, k, per_target, exclude_self, within_dataset)
+                out = _topk(batch, prep, k, per_target, exclude_self, within_dataset, with_range)
                 if len(out):
                     yield out
     return spread(left, min_bytes=0).mapInPandas(run, schema=schema)
@@ -335,3 +351,45 @@ def score_range(left: DataFrame, right: DataFrame | None = None, *, exclude_self
         part = _blocked(lsel, rsel, cell_rows, sizes_l, sizes_r).applyInPandas(
             _cell_min_function(exclude_self), schema=schema)
     return part.agg(F.min("min_score").alias("min_score"), F.max("max_score").alias("max_score"))
+
+
+def top_matches_with_range(left: DataFrame, right: DataFrame | None = None, *, k: int = 3,
+                           per_target: bool = True, exclude_self: bool | None = None,
+                           cell_rows: int | None = None, broadcast_mb: float | None = None):
+    """``top_matches`` plus the lowest and highest score over all scored pairs,
+    from the same pass: every output row carries its left row's min / max
+    (per cell on the grid), the pass is checkpointed once, and one
+    aggregation reads the range.  Returns ``(top_k, min_score, max_score)``."""
+    from ..session import materialize
+    if right is None:
+        right = left
+        exclude_self = True if exclude_self is None else exclude_self
+    exclude_self = bool(exclude_self)
+    base = [
+        T.StructField(DATASET, left.schema[DATASET].dataType),
+        T.StructField(ITEM, left.schema[ITEM].dataType),
+        T.StructField("target", right.schema[DATASET].dataType),
+        T.StructField("match", right.schema[ITEM].dataType),
+        T.StructField("score", T.DoubleType()),
+        T.StructField("rank", T.IntegerType()),
+    ]
+    schema = T.StructType(base + [T.StructField("_row_min", T.DoubleType()), T.StructField("_row_max", T.DoubleType())])
+    lsel = left.select(DATASET, ITEM, VECTOR)
+    rsel = lsel if right is left else right.select(DATASET, ITEM, VECTOR)
+    small = _collect_if_small(rsel, broadcast_mb) if cell_rows is None else None
+    if small is not None and small.empty:
+        return left.sparkSession.createDataFrame([], T.StructType(base)), None, None
+    if small is not None:
+        rows = materialize(_broadcast_topk(lsel, small, k, per_target, exclude_self, False, schema, True))
+        merged = rows
+    else:
+        sizes_r = _size(rsel)
+        sizes_l = sizes_r if rsel is lsel else _size(lsel)
+        cells = _blocked(lsel, rsel, cell_rows, sizes_l, sizes_r)
+        rows = materialize(cells.applyInPandas(_cell_function(k, per_target, exclude_self, False, True), schema=schema))
+        keys = [DATASET, ITEM, "target"] if per_target else [DATASET, ITEM]
+        w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("target"), F.asc("match"))
+        merged = rows.drop("rank").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    rng = rows.agg(F.min("_row_min").alias("lo"), F.max("_row_max").alias("hi")).first()
+    out = merged.select(DATASET, ITEM, "target", "match", "score", "rank")
+    return out, rng["lo"], rng["hi"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.matching import best_match, choose_source, cross_dataset_top_n
-from ..operators.similarity import as_items, score_range, top_matches
+from ..operators.similarity import as_items, top_matches, top_matches_with_range
 from ..session import read_table
 
 # one source, one target: all rows of labels 0-4 matched against all rows of labels 5-9
@@ -67,9 +67,9 @@ def distance_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ17 + AGG6: each item's 3 nearest items as distances
     ``clip(1 - s, 0, 1) / max distance over all pairs``."""
     items = _items(spark, sf_dir)
-    lowest = score_range(items).first()["min_score"]  # one scalar from a global aggregate
+    # one pass gives the 3 nearest and the lowest score over all pairs (a scalar)
+    near, lowest, _ = top_matches_with_range(items, None, k=3, per_target=False)
     max_d = min(1.0, max(0.0, 1.0 - lowest)) if lowest is not None else None
-    near = top_matches(items, None, k=3, per_target=False)
     dist = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(1.0) - F.col("score")))
     return near.select(F.col("item").alias("vec_id"), F.col("match").alias("match_vec_id"),
                        F.round(F.try_divide(dist, F.lit(max_d).cast("double")), 6).alias("distance"),

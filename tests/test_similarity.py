@@ -119,3 +119,15 @@ def test_broadcast_path_equals_grid_path(spark):
     assert g1 == b1
     assert "MapInPandas" in bc._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in grid._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_matches_with_range_equals_separate_passes(spark):
+    from catalign.operators.similarity import top_matches_with_range
+    items = _items(spark)
+    for cell_rows in (None, 60):
+        top, lo, hi = top_matches_with_range(items, None, k=3, per_target=False, cell_rows=cell_rows)
+        ref = top_matches(items, None, k=3, per_target=False, cell_rows=cell_rows)
+        cols = ["dataset", "item", "target", "match", "rank"]
+        assert {tuple(r[c] for c in cols) for r in top.collect()} == {tuple(r[c] for c in cols) for r in ref.collect()}
+        rng = score_range(items, exclude_self=True, cell_rows=cell_rows).first()
+        assert abs(lo - rng.min_score) < 1e-12 and abs(hi - rng.max_score) < 1e-12
