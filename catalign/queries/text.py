@@ -26,6 +26,17 @@ def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_normalised_text(docs.unionByName(pages).unionByName(part), "t", "norm_text").drop("t")
 
 
+def turn_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT1 over whole conversation turns and benchmark passages."""
+    conv = read_table(spark, sf_dir, "conversations").select(
+        F.lit("conversations").alias("src"), F.col("conv_id").alias("key"), F.col("turn").alias("sub"),
+        F.col("text").alias("t"))
+    bench = read_table(spark, sf_dir, "benchmark").select(
+        F.lit("benchmark").alias("src"), F.col("item_id").alias("key"), F.lit(0).cast("long").alias("sub"),
+        F.col("text").alias("t"))
+    return with_normalised_text(conv.unionByName(bench), "t", "norm_text").drop("t")
+
+
 def _part_lines():
     return [("Name", "p_name", "required"),
             ("Brand", F.when(F.col("p_size") <= 40, F.col("p_brand")), "optional"),
@@ -136,10 +147,10 @@ def _sql_str(s: str) -> str:
 _TAB, _NL = "chr(9)", "chr(10)"
 _DROP = " || ".join(_TAB if ch == "\t" else _sql_str(ch) for ch in CLEAN_DROP_CHARS)
 _TXT1_SQL = f"""
-s0 AS (SELECT src, key, lower(regexp_replace(replace(replace(replace(t, {_NL}, ''), {_TAB}, ' '), '-', ' '),
+s0 AS (SELECT src, key{{extra}}, lower(regexp_replace(replace(replace(replace(t, {_NL}, ''), {_TAB}, ' '), '-', ' '),
                                              {_sql_str(STRIP_PATTERN)}, '', 'g')) AS s FROM raw),
-s1 AS (SELECT src, key, replace(replace(replace(replace(replace(s, '\\', ' '), '/', ' '), '  ', ' '), '":', ''), ',', ' ') AS s FROM s0)
-SELECT src, key,
+s1 AS (SELECT src, key{{extra}}, replace(replace(replace(replace(replace(s, '\\', ' '), '/', ' '), '  ', ' '), '":', ''), ',', ' ') AS s FROM s0)
+SELECT src, key{{extra}},
   CASE WHEN len(list_filter(regexp_split_to_array(s, {_sql_str(SPLIT_PATTERN)}), lambda w: length(w) > {MAX_WORD_CHARS})) > 0 THEN NULL
        WHEN length(regexp_replace(translate(s, {_DROP}, ''), {_sql_str(STRIP_PATTERN)}, '', 'g')) < {MIN_CLEAN_CHARS} THEN NULL
        WHEN length(regexp_replace(translate(s, {_DROP}, ''), {_sql_str(STRIP_PATTERN)}, '', 'g')) > {MAX_CLEAN_CHARS} THEN NULL
@@ -155,7 +166,12 @@ WITH raw AS (
   SELECT 'documents' AS src, doc_id AS key, text AS t FROM documents
   UNION ALL SELECT 'pages', page_id, url FROM pages
   UNION ALL SELECT 'part', p_partkey, p_name FROM part),
-""" + _TXT1_SQL,
+""" + _TXT1_SQL.replace("{extra}", ""),
+    "turn_normalise": """
+WITH raw AS (
+  SELECT 'conversations' AS src, conv_id AS key, turn AS sub, text AS t FROM conversations
+  UNION ALL SELECT 'benchmark', item_id, CAST(0 AS BIGINT), text FROM benchmark),
+""" + _TXT1_SQL.replace("{extra}", ", sub"),
     "item_render": """
 SELECT 'part' AS src, p_partkey AS key,
   concat_ws(chr(10), 'Name: ' || coalesce(p_name, 'None') || '.',
@@ -228,6 +244,7 @@ SELECT p_partkey, p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p
 
 QUERIES = {
     "text_normalise": text_normalise,
+    "turn_normalise": turn_normalise,
     "item_render": item_render,
     "domain_coerce": domain_coerce,
     "domain_reject": domain_reject,
