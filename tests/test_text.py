@@ -72,3 +72,20 @@ def test_text_rule_property(spark):
         assert _norm(spark, values) == [reference_rule(v) for v in values]
 
     check()
+
+
+def test_staged_and_single_expression_forms_agree(spark):
+    from catalign.functions.text import with_normalised_text
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    a = {r.doc_id: r.n for r in docs.select("doc_id", normalise_text("text").alias("n")).collect()}
+    b = {r.doc_id: r.n for r in with_normalised_text(docs, "text", "n").select("doc_id", "n").collect()}
+    assert a == b
+
+
+def test_spread_only_when_needed(spark):
+    from catalign.session import spread
+    wide = spark.range(0, 1000, numPartitions=16)
+    assert spread(wide, min_bytes=0) is wide  # enough partitions: untouched
+    one = spark.range(0, 1000, numPartitions=1)
+    assert spread(one) is one  # small: untouched
+    assert spread(one, min_bytes=0).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
