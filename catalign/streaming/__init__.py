@@ -1 +1 @@
-
+"""Incremental processing of newly arriving files (availableNow file stream)."""
