@@ -90,7 +90,8 @@ def _keyed(fps: DataFrame, radius: int, level: int) -> DataFrame:
 
 
 def _links(bucket: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links in one bucket of distinct fingerprints."""
+    """A spanning forest of the links in one bucket of distinct fingerprints
+    (unsigned: bitwise_count takes the absolute value of signed numbers)."""
     left, out = np.sort(bucket), []
     while left.size > 1:
         root, rest = left[0], left[1:]
@@ -100,7 +101,7 @@ def _links(bucket: np.ndarray, radius: int) -> list[tuple[int, int]]:
             for f in front:
                 near |= np.bitwise_count(rest ^ f) <= radius
             front, rest = rest[near], rest[~near]
-            out += [(int(root), x) for x in front.tolist()]
+            out += [(int(root.view(np.int64)), x) for x in front.view(np.int64).tolist()]
         left = rest
     return out
 
@@ -114,7 +115,7 @@ def _bucket_links(buckets: DataFrame, radius: int) -> DataFrame:
                     if ((fps[0] ^ fps[1]) & (1 << 64) - 1).bit_count() <= radius:
                         found.append((fps[0], fps[1]))
                 else:
-                    found += _links(np.array(fps, np.int64), radius)
+                    found += _links(np.array(fps, np.int64).view(np.uint64), radius)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return buckets.select("fps").mapInArrow(run, "a long, b long")
@@ -164,5 +165,5 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFra
     cols = docs.columns
     named = docs.join(kept, docs["doc_id"] == kept["_keep_id"], "left_semi")
     whole = F.struct(*[F.col(f"`{c}`").alias(c) for c in cols])
-    one = named.groupBy(F.col("doc_id").alias("_keep_id")).agg(F.min_by(whole, F.col("text")).alias("_row"))
+    one = named.groupBy(F.col("doc_id").alias("_keep_id")).agg(F.min_by(whole, F.struct("text")).alias("_row"))
     return one.select("_row.*").unionByName(docs.where(F.col("doc_id").isNull()))
