@@ -58,8 +58,10 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Every row stays.  A null text stays null with no lines; a null site is no
     site; rows that repeat an id are treated alike; rows with a null id share
-    one id, before all others in order; an empty table gives an empty one."""
+    one id, before all others in order; an empty table gives an empty one;
+    input columns of the names added are replaced."""
     scratch = Scratch(docs.sparkSession, "lines")
+    docs = docs.drop("n_lines", "n_removed")
     lines = _lines(docs, id_col, text_col, site_col)
     found = boilerplate(lines, scratch, min_sites)
     hits = scratch.put(lines.join(found, "h", "left_semi").select("id", "pos", "h"), "hits")

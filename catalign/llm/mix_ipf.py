@@ -88,8 +88,10 @@ def mix(docs: DataFrame, dims: dict[str, Column] | None = None, text_col: str =
     dimension without any gets smoothed shares (``POWER``).  Every row
     returns.  A null category is one of its own; documents without tokens
     have no weight to mix and are always sampled; rows that repeat id and
-    text share one draw, which depends on id, text and ``seed`` only."""
+    text share one draw, which depends on id, text and ``seed`` only.  Input
+    columns of the names added are replaced."""
     scratch = Scratch(docs.sparkSession, "mix")
+    docs = docs.drop("mix_tokens", "mix_weight", "mix_probability", "mix_sampled")
     text = F.col(text_col).cast("string")
     dims = dims or {"source": F.col("source"), "lang": F.col("lang"), "topic": register(text)}
     keyed = docs.select("*", n_tokens(text).alias("mix_tokens"), *[category(c).alias(f"_m_{d}") for d, c in dims.items()])

@@ -62,11 +62,13 @@ def place(df: DataFrame, key: Column, names: list[str] | None = None, slots: int
 
     The slot is a hash of the key's text (null counts as empty), so equal
     keys meet in one shard.  A hot key is split by ``split``, any column that
-    divides its rows (a salt); rows of one key and split still meet."""
+    divides its rows (a salt); rows of one key and split still meet.
+    Input columns named ``slot`` or ``shard`` are replaced."""
     text = F.coalesce(key.cast("string"), F.lit(""))
     if split is not None:
         text = F.concat(text, F.lit("\x1f"), F.coalesce(split.cast("string"), F.lit("")))
     table = lookup_table(df.sparkSession, names, slots)
+    df = df.drop("slot", "shard")
     keyed = df.withColumn("slot", (_md5_number(text) % slots).cast("int"))
     return keyed.join(F.broadcast(table), "slot").select(*[keyed[c] for c in df.columns], keyed["slot"], table["shard"])
 
@@ -79,7 +81,7 @@ def hot_salt(df: DataFrame, key: str, row: Column, max_rows: int) -> DataFrame:
     hot = df.groupBy(F.col(key).alias("_hot_key")).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows)
     out = df.join(hot, df[key].eqNullSafe(hot["_hot_key"]), "left")
     salt = F.pmod(F.xxhash64(row), F.ceil(F.col("_n") / max_rows))
-    return out.select(*[df[c] for c in df.columns], F.coalesce(salt, F.lit(0)).cast("long").alias("salt"))
+    return out.select(*[df[c] for c in df.columns if c != "salt"], F.coalesce(salt, F.lit(0)).cast("long").alias("salt"))
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
