@@ -88,10 +88,9 @@ def with_normalised_text(df, src: str, dst: str | None = None):
     """TXT1 as staged projections: the normalised text is computed once and
     the two checks read it (a single CASE expression would repeat the
     replacement chain three times)."""
-    from ..session import spread
     dst = dst or src
     tmp, lw, cl = "__txt1_s", "__txt1_long", "__txt1_len"
-    staged = spread(df).withColumn(tmp, normalise_text_steps(F.col(src)))
+    staged = df.withColumn(tmp, normalise_text_steps(F.col(src)))
     long_word, cleaned = _rejects(F.col(tmp))
     staged = staged.withColumns({lw: long_word, cl: cleaned})
     ok = ~F.col(lw) & F.col(cl).between(MIN_CLEAN_CHARS, MAX_CLEAN_CHARS)
@@ -102,17 +101,16 @@ def render_lines(lines: Sequence[tuple[str, Column | str, str]]) -> Column:
     """TXT2: one text per item from ``(label, column, mode)`` lines, each
     printed as ``label: value.`` and joined by newlines.
 
-    mode ``required`` and ``optional`` drop the line when the value is null
-    (a required field is only null after simplification), ``none`` prints
-    ``None`` for a null value.
+    Mode ``optional`` drops the line when the value is null (a field that was
+    simplified away); ``required`` and ``none`` print ``None`` for a null.
     """
     parts = []
     for label, col, mode in lines:
         v = F.col(col) if isinstance(col, str) else col
         v = v.cast("string")
-        if mode == "none":
+        if mode in ("required", "none"):
             v = F.coalesce(v, F.lit("None"))
-        elif mode not in ("required", "optional"):
+        elif mode != "optional":
             raise ValueError(f"unknown line mode {mode!r}")
         parts.append(F.concat(F.lit(f"{label}: "), v, F.lit(".")))
     return F.concat_ws("\n", *parts)

@@ -3,15 +3,15 @@
 Facts are long rows ``(item, fact, value)``.  For every (item, fact) whose
 value is missing, the ``k`` nearest items that *have* that fact are needed.
 
-Two exact ways are combined.  First, one similarity pass finds every item's
-``neighbours`` nearest items (independent of the number of facts), and each
-missing (item, fact) takes its ``k`` best donors among them.  That answer is
-exact when ``k`` donors score strictly above the last neighbour's score (no
-item outside the list can beat them, ties included) or when the list already
-holds every candidate item.  The remaining pairs -- and everything when
-``neighbours=None`` -- go through the direct search: the kernel with
-``dataset = fact`` and ``within_dataset=True``, one job for all facts, with
-no cell holding more than its bound, however large one fact is.
+The direct search is the kernel with ``dataset = fact`` and
+``within_dataset=True``: one job for all facts, with no cell holding more than
+its bound, however large one fact is.  With many facts the caller can ask for
+a neighbour list first (``neighbours=m``): one similarity pass finds every
+item's ``m`` nearest items, and each missing (item, fact) takes its ``k`` best
+donors among them.  That answer is exact when ``k`` donors score strictly above
+the last neighbour's score (no item outside the list can beat them, ties
+included) or when the list holds every candidate; the remaining pairs go
+through the direct search, so both ways give the same values.
 Distance is ``clip(1 - cosine, 0, 1)``; ties go to the smaller donor key.
 Dividing distances by their global maximum changes neither the k=1 choice
 nor the weights below, so it is not applied here (see ``similarity_to_distance``).
@@ -24,12 +24,6 @@ from pyspark.sql import functions as F
 
 from .similarity import DATASET, ITEM, VECTOR, top_matches
 
-# neighbours listed per item in the first pass (the direct search handles the rest)
-NEIGHBOURS = 32
-# a collected per-fact summary never exceeds this many facts
-MAX_FACTS = 100_000
-
-
 def split_known(facts: DataFrame):
     """IMP1: ``(known, missing)`` facts."""
     return facts.filter(F.col("value").isNotNull()), facts.filter(F.col("value").isNull())
@@ -48,33 +42,14 @@ def _direct_donors(known: DataFrame, missing: DataFrame, vec: DataFrame, k: int,
     return near.select(ITEM, F.col(DATASET).alias("fact"), F.col("match").alias("donor"), "score", "rank")
 
 
-def prefer_direct(facts: DataFrame) -> bool:
-    """Cost choice (speed only; both ways are exact): the direct search
-    scores sum_f missing_f x known_f pairs, the neighbour pass
-    items-with-a-gap x donor-items, estimated as min(items, sum_f missing_f)
-    x min(items, sum_f known_f) with items = max_f (missing_f + known_f).
-    One small aggregation (a row per fact) decides."""
-    per_fact = (facts.groupBy("fact")
-                .agg(F.count_if(F.col("value").isNull()).alias("m"), F.count_if(F.col("value").isNotNull()).alias("d"))
-                .limit(MAX_FACTS + 1).collect())
-    if len(per_fact) > MAX_FACTS:
-        return False
-    direct = sum(r["m"] * r["d"] for r in per_fact)
-    items = max((r["m"] + r["d"] for r in per_fact), default=0)
-    neighbour_pass = min(items, sum(r["m"] for r in per_fact)) * min(items, sum(r["d"] for r in per_fact))
-    return direct <= neighbour_pass
-
-
 def nearest_donors(facts: DataFrame, vectors: DataFrame, k: int, cell_rows: int | None = None,
-                   neighbours: int | str | None = "auto") -> DataFrame:
+                   neighbours: int | None = None) -> DataFrame:
     """``(item, fact, donor, score, rank)`` for every missing (item, fact).
     ``neighbours``: list length of the first pass, ``None`` for the direct
-    search only, ``'auto'`` to pick by estimated cost."""
+    search only."""
     known, missing = split_known(facts)
     vec = vectors.select(F.col(ITEM), F.col(VECTOR)).dropna()
     pairs = missing.select(ITEM, "fact")
-    if neighbours == "auto":
-        neighbours = None if prefer_direct(facts) else NEIGHBOURS
     if neighbours is None:
         return _direct_donors(known, pairs, vec, k, cell_rows)
     m = max(int(neighbours), k)
@@ -102,7 +77,7 @@ def nearest_donors(facts: DataFrame, vectors: DataFrame, k: int, cell_rows: int
 
 
 def knn_values(facts: DataFrame, vectors: DataFrame, k: int = 1, weights: str = "distance",
-               cell_rows: int | None = None, neighbours: int | str | None = "auto") -> DataFrame:
+               cell_rows: int | None = None, neighbours: int | None = None) -> DataFrame:
     """IMP2: predicted value per missing (item, fact).
 
     ``uniform``: mean of the k donor values.  ``distance``: ``sum(v/d)/sum(1/d)``;
@@ -126,7 +101,7 @@ def knn_values(facts: DataFrame, vectors: DataFrame, k: int = 1, weights: str =
 
 
 def impute(facts: DataFrame, vectors: DataFrame, k: int = 1, weights: str = "distance",
-           cell_rows: int | None = None, neighbours: int | str | None = "auto") -> DataFrame:
+           cell_rows: int | None = None, neighbours: int | None = None) -> DataFrame:
     """IMP3: every fact row, known values kept and missing ones filled from
     the nearest donors (a fact without donors stays null).
     Output ``(item, fact, value, imputed)``."""

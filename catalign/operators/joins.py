@@ -1,4 +1,5 @@
-"""Join helpers (JN1-JN12).  Broadcast only behind a row-count check."""
+"""Join helpers (JN1-JN12).  Whether a side is broadcast is Spark's choice, by
+its own size rule at planning and by measured sizes at run time."""
 
 from __future__ import annotations
 
@@ -10,19 +11,10 @@ from pyspark.sql import functions as F
 
 from .checks import assert_unique
 
-# dimensions whose estimated size is at or under this are broadcast; larger ones are shuffled
-MAX_BROADCAST_BYTES = 64 * 2 ** 20
 
-
-def join_dim(df: DataFrame, dim: DataFrame, on, how: str = "left",
-             max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """JN1/JN3/JN6: join to a dimension.  The dimension is broadcast only
-    when Catalyst's size estimate (an upper bound for scans, filters and
-    projections; no job runs) is within the bound; otherwise Spark shuffles
-    and AQE may still broadcast from sizes measured at run time."""
-    from ..session import plan_size_bytes
-    small = plan_size_bytes(dim) <= max_broadcast_bytes
-    return df.join(F.broadcast(dim) if small else dim, on, how)
+def join_dim(df: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
+    """JN1/JN3/JN6: join to a dimension."""
+    return df.join(dim, on, how)
 
 
 def left_join_all(base: DataFrame, tables: Sequence[DataFrame], on, dedupe: bool = True) -> DataFrame:
@@ -55,13 +47,13 @@ def reindex(spine: DataFrame, src: DataFrame, on, check_unique: bool = True) ->
 
 
 def keyed_update(df: DataFrame, updates: DataFrame, on, columns: Sequence[str]) -> DataFrame:
-    """JN11: overwrite ``columns`` for the keys present in ``updates``
-    (a null update value keeps the old value)."""
+    """JN11: overwrite ``columns`` for the keys present in ``updates``; a null
+    in an update is written like any other value."""
     keys = [on] if isinstance(on, str) else list(on)
-    upd = updates.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    upd = updates.select(*keys, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = df.join(upd, keys, "left")
-    return joined.withColumns({c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in columns}).drop(
-        *[f"_new_{c}" for c in columns])
+    return joined.withColumns({c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}).drop(
+        "_hit", *[f"_new_{c}" for c in columns])
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -44,12 +44,14 @@ def cross_dataset_top_n(items: DataFrame, n: int = 3, *, rank_by: str = "item",
 
 def choose_source(best: DataFrame, *, threshold: float, priority: Sequence, key: Sequence[str] = (DATASET, ITEM),
                   source_col: str = "target", score_col: str = "score",
-                  none_label: str = "no_relevant_match") -> DataFrame:
+                  none_label: str = "no_relevant_match", items: DataFrame | None = None) -> DataFrame:
     """SIM8: pick one source per item among its candidate best matches.
 
     The highest score at or above ``threshold`` wins; equal scores go to the
     source listed first in ``priority``.  Items with no candidate above the
-    threshold get ``none_label``.  One aggregation, no N-way join.
+    threshold get ``none_label``; ``items`` lists all items by ``key``, so
+    that those without any candidate row are answered as well.  One
+    aggregation, no N-way join.
     """
     prio = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in priority]), F.col(source_col)),
                       F.lit(len(priority) + 1))
@@ -59,6 +61,8 @@ def choose_source(best: DataFrame, *, threshold: float, priority: Sequence, key:
                                         F.col(score_col).alias("score"))),
                     F.when(ok, F.struct(F.col(score_col), -F.col("_prio"))))
     agg = cand.groupBy(*key).agg(pick.alias("_best"))
+    if items is not None:
+        agg = items.select(*key).distinct().join(agg, list(key), "left")
     return agg.select(*key,
                       F.coalesce(F.col("_best.source").cast("string"), F.lit(none_label)).alias("database_choice"),
                       F.col("_best.match").alias("chosen_match"),

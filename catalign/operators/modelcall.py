@@ -45,20 +45,22 @@ def _call_with_retry(fn, args, retries, wait_s, validate):
 
 def model_map(df: DataFrame, fn: Callable[[dict], object], in_cols: Sequence[str], out_schema: T.StructType | str,
               keep_cols: Sequence[str] = (), retries: int = 3, wait_s: float = 1.0, max_in_flight: int = 8,
-              on_error: str = "null", validate: Callable[[dict, object], bool] | None = None) -> DataFrame:
+              on_error: str = "null", validate: Callable[[dict, object], bool] | None = None,
+              partitions: int | None = None) -> DataFrame:
     """Apply ``fn(row_dict) -> dict | value`` to each row.
 
     ``out_schema`` names the output fields; ``fn`` returns a dict with those
     keys (or a bare value when there is one field).  Output columns:
-    ``keep_cols``, the output fields, ``_error``.
+    ``keep_cols``, the output fields, ``_error``.  ``partitions`` deals the
+    rows over as many tasks first; nothing is computed before the action.
     """
     if isinstance(out_schema, str):
         out_schema = T._parse_datatype_string(out_schema)
-    from ..session import spread
     fields = out_schema.fieldNames()
     in_cols, keep_cols = list(in_cols), list(keep_cols)
-    # calls are latency-bound: at least one partition per core, whatever the bytes
-    src = spread(df.select(*dict.fromkeys(keep_cols + in_cols)), min_bytes=0)
+    src = df.select(*dict.fromkeys(keep_cols + in_cols))
+    if partitions:
+        src = src.repartition(partitions)
     schema = T.StructType([src.schema[c] for c in keep_cols] + list(out_schema.fields)
                           + [T.StructField(ERROR_COL, T.StringType())])
 

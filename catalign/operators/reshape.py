@@ -7,33 +7,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# a pivot never creates more columns than this
-MAX_PIVOT_COLUMNS = 2_000
 
+def pivot_names(df: DataFrame, col: str) -> list:
+    """Distinct non-null values of ``col``, sorted: the column names of a wide form."""
+    return [r[0] for r in df.select(col).dropna().distinct().orderBy(col).collect()]
 
-def pivot_names(df: DataFrame, col: str, limit: int = MAX_PIVOT_COLUMNS) -> list:
-    """Distinct non-null values of ``col`` (sorted), checked against the column bound."""
-    vals = [r[0] for r in df.select(col).dropna().distinct().orderBy(col).limit(limit + 1).collect()]
-    if len(vals) > limit:
-        raise ValueError(f"more than {limit} distinct values in {col}")
-    return vals
+
+def _listed(name: Column, values: Sequence) -> Column:
+    """``name``, or an error for a value outside ``values``: a wide form never
+    loses rows because the caller's list of columns is incomplete."""
+    return F.when(name.isNull() | name.isin(list(values)), name).otherwise(
+        F.raise_error(F.concat(F.lit("value without a column: "), name.cast("string"))))
 
 
 def pivot_mean(df: DataFrame, index: Sequence[str], names: str, value: str,
                values: Sequence | None = None) -> DataFrame:
     """AGG1: long -> wide with the mean (pandas ``pivot_table`` default);
-    null keys dropped, nulls skipped."""
+    null keys dropped, nulls skipped.  ``values`` lists the columns (all
+    distinct names by default); a name outside the list is an error."""
     values = list(values) if values is not None else pivot_names(df, names)
-    return df.filter(F.col(names).isNotNull()).groupBy(*index).pivot(names, values).agg(F.avg(value))
+    if not values:
+        return df.select(*index).limit(0)
+    base = df.withColumn("_name", _listed(F.col(names), values))
+    return base.filter(F.col(names).isNotNull()).groupBy(*index).pivot("_name", values).agg(F.avg(value))
 
 
 def pivot_first(df: DataFrame, index: Sequence[str], names: str, value: str, order: Sequence[str],
                 values: Sequence | None = None) -> DataFrame:
-    """AGG2: long -> wide with the first non-null value under an explicit
-    row order; null keys and null values dropped first (pandas ``first``)."""
+    """AGG2: long -> wide with the first non-null value under an explicit row
+    order; null keys and null values dropped first (pandas ``first``).  One
+    row per (index, name) is found first, then pivoted.  ``values`` as in
+    ``pivot_mean``."""
     base = df.filter(F.col(names).isNotNull() & F.col(value).isNotNull())
     values = list(values) if values is not None else pivot_names(base, names)
-    return base.groupBy(*index).pivot(names, values).agg(F.min_by(value, F.struct(*order)))
+    if not values:
+        return df.select(*index).limit(0)
+    base = base.withColumn("_name", _listed(F.col(names), values))
+    first = base.groupBy(*index, "_name").agg(F.min(F.struct(*order, F.col(value).alias("_value"))).alias("_first"))
+    return first.groupBy(*index).pivot("_name", values).agg(F.max("_first._value"))
 
 
 def composite_name(name: Column | str, unit: Column | str, sep: str = "|") -> Column:
@@ -63,14 +74,16 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def match_lists(matches: DataFrame, key: Sequence[str], target: str, name: str, score: str,
-                targets: Sequence) -> DataFrame:
+                targets: Sequence | None = None) -> DataFrame:
     """Wide match lists (the reference's storage form): one
-    ``array<struct<name, score>>`` column per target, best first.  Input is a
-    top-N table, so every list holds at most N entries."""
-    pairs = F.struct(F.col(score).alias("score"), F.col(name).alias("name"))
-    lists = matches.groupBy(*key, target).agg(F.sort_array(F.collect_list(pairs), asc=False).alias("_l"))
+    ``array<struct<name, score>>`` column per target, best first, equal scores
+    by the smaller name.  Input is a top-N table, so every list holds at most
+    N entries.  ``targets`` defaults to those in the data."""
+    targets = list(targets) if targets is not None else pivot_names(matches, target)
+    pairs = F.struct((-F.col(score)).alias("order"), F.col(name).alias("name"), F.col(score).alias("score"))
+    lists = matches.withColumn("_target", _listed(F.col(target), targets)).groupBy(*key, "_target").agg(F.array_sort(F.collect_list(pairs)).alias("_l"))
     lists = lists.withColumn("_l", F.transform("_l", lambda s: F.struct(s["name"].alias("name"), s["score"].alias("score"))))
-    return lists.groupBy(*key).pivot(target, list(targets)).agg(F.first("_l"))
+    return lists.groupBy(*key).pivot("_target", targets).agg(F.first("_l"))
 
 
 def melt_match_lists(wide: DataFrame, key: Sequence[str], list_cols: Sequence[str],

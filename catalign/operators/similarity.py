@@ -1,20 +1,19 @@
 """Exact cosine similarity between item sets (SIM2, SIM3, AGG6 over pairs).
 
 Items are rows ``(dataset, item, embedding)``.  The all-pairs score matrix is
-never materialised.  When the target side's exact size (rows x dim x 8 bytes)
-is within ``BROADCAST_MB`` it is prepared once and broadcast, and every left
-partition is scored against all of it (``mapInPandas``; ranks are final, no
-shuffle of pairs).  Otherwise both sides are hashed into blocks, each left
-block meets each right block in exactly one cell (a cogrouped
-``applyInPandas`` task), the cell computes its scores with dense products
-and keeps only the best ``k`` per (left item, target dataset), and a window
-merges the cells.  Every cell holds at most ``cell_rows`` rows per side (by
-default sized so one side is ``CELL_MB`` of float64 vectors), so the memory
-of one task is bounded whatever the table size or the size of the largest
-dataset.
-
-Ties are broken by the smaller target key, scores are reported unrounded;
-a zero vector has similarity 0 with everything (unit-normalising leaves it 0).
+never materialised: both sides are hashed into blocks, each left block meets
+each right block in one cell (a cogrouped ``applyInArrow`` group) that keeps
+the best ``k`` per (left item, target dataset), and a window merges the
+cells.  A cell holds at most about ``cell_rows`` rows per side (by default
+``CELL_MB`` of float64 vectors), so the memory of one task is bounded
+whatever the table size or the size of the largest dataset.  There is one
+path for every size.
+
+A matrix product finds the candidates; those within ``_MARGIN`` of the k-th
+score are scored again by a sum in fixed order over the pair's unit vectors.
+Equal vectors therefore get equal scores whatever the batch, and ties go to
+the smaller (target, match) key.  Scores are reported unrounded; a zero
+vector has similarity 0 with everything.
 """
 
 from __future__ import annotations
@@ -23,21 +22,24 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # fixed layout of item tables fed to the kernel
 DATASET, ITEM, VECTOR = "dataset", "item", "embedding"
 
-# scores per cell before a batch of left rows is split further (~32 MB of float64)
-_MAX_SCORES_PER_BATCH = 4_000_000
+# scores held at once by a cell (~16 MB of float64)
+_MAX_SCORES = 2_000_000
+# pairs scored again at once
+_MAX_PAIRS = 50_000
+# far above the rounding of a product of unit vectors, far below any real difference
+_MARGIN = 1e-9
 # memory budget of one side of a cell (float64 unit vectors), and a floor on its rows
 CELL_MB = 64
 MIN_CELL_ROWS = 256
-# a right side whose float64 unit vectors fit this is broadcast instead of gridded
-# (each Python worker holds one copy)
-BROADCAST_MB = 64
 
 
 def as_items(df: DataFrame, dataset, item: str, vector: str = "embedding") -> DataFrame:
@@ -67,137 +69,118 @@ def grid_shape(n_left: int, n_right: int, cell_rows: int, parallelism: int) -> t
     return gl, gr
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    if len(vectors) == 0:
-        return np.zeros((0, 0))
-    m = np.asarray(np.stack(vectors.to_numpy()), dtype=np.float64)
-    norms = np.linalg.norm(m, axis=1)
+def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of an Arrow list column as unit rows, from the flat value buffer."""
+    n = len(column)
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks if len(c)]
+    if not n or not flat:
+        return np.zeros((n, 0))
+    m = np.concatenate(flat).astype(np.float64).reshape(n, -1)
+    norms = np.sqrt((m * m).sum(axis=1))
     norms[norms == 0.0] = 1.0
     return m / norms[:, None]
 
 
-def _best_k(scores: np.ndarray, k: int):
-    """Exact top-k per row; ties go to the smaller column index; -inf never kept.
-    Returns rows, columns, values and the 1-based rank within the row."""
+def _pair_scores(x: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Scores of single pairs, each summed in the same order whatever the batch."""
+    out = np.empty(rows.size)
+    for at in range(0, rows.size, _MAX_PAIRS):
+        part = slice(at, at + _MAX_PAIRS)
+        out[part] = (x[rows[part]] * y[cols[part]]).sum(axis=1)
+    return out
+
+
+def _best_k(scores: np.ndarray, x: np.ndarray, y: np.ndarray, k: int):
+    """Exact top-k per row; ties go to the smaller column; -inf is never kept."""
     n, m = scores.shape
-    if k >= m:
-        rows = np.repeat(np.arange(n), m)
-        cols = np.tile(np.arange(m), n)
-    else:
+    if k < m:
         kth = np.partition(scores, m - k, axis=1)[:, m - k]
-        rows, cols = np.nonzero(scores >= kth[:, None])
-    vals = scores[rows, cols]
-    keep = np.isfinite(vals)
-    rows, cols, vals = rows[keep], cols[keep], vals[keep]
+        rows, cols = np.nonzero(scores >= kth[:, None] - _MARGIN)
+    else:
+        rows, cols = np.nonzero(scores > -np.inf)
+    keep = scores[rows, cols] > -np.inf
+    rows, cols = rows[keep], cols[keep]
+    vals = _pair_scores(x, y, rows, cols)
     order = np.lexsort((cols, -vals, rows))
     rows, cols, vals = rows[order], cols[order], vals[order]
-    pos = np.arange(rows.size) - np.searchsorted(rows, rows, side="left")
-    sel = pos < k
-    return rows[sel], cols[sel], vals[sel], pos[sel] + 1
-
-
-def _prepare_right(right: pd.DataFrame):
-    """Right side sorted by (dataset, item) -- column order is key order, so
-    ties resolve to the smaller key -- with float64 unit vectors."""
-    right = right.sort_values([DATASET, ITEM], kind="stable").reset_index(drop=True)
-    return right[DATASET].to_numpy(), right[ITEM].to_numpy(), _unit_rows(right[VECTOR])
-
-
-def _topk(left: pd.DataFrame, prepared, k: int, per_target: bool, exclude_self: bool,
-          within_dataset: bool, with_range: bool = False) -> pd.DataFrame:
-    r_ds, r_item, y = prepared
-    x_all = _unit_rows(left[VECTOR])
-    rmin = np.full(len(left), np.inf)
-    rmax = np.full(len(left), -np.inf)
-    l_ds_all = left[DATASET].to_numpy()
-    l_item_all = left[ITEM].to_numpy()
-    if per_target or within_dataset:
-        bounds = np.flatnonzero(np.r_[True, r_ds[1:] != r_ds[:-1], True])
-        slices = list(zip(bounds[:-1], bounds[1:]))
-    else:
-        slices = [(0, len(r_ds))]
-    parts = []
-    for s, e in slices:
-        if within_dataset:
-            rows_g = np.flatnonzero(l_ds_all == r_ds[s])
-            if rows_g.size == 0:
-                continue
-            x, l_ds, l_item = x_all[rows_g], l_ds_all[rows_g], l_item_all[rows_g]
-        else:
-            rows_g = np.arange(len(left))
-            x, l_ds, l_item = x_all, l_ds_all, l_item_all
-        yg = y[s:e]
-        m = e - s
-        self_col = None
+    sel = np.arange(rows.size) - np.searchsorted(rows, rows, side="left") < k
+    return rows[sel], cols[sel], vals[sel]
+
+
+def _codes(left: pa.Table, right: pa.Table, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the key of every row; rising over ``right``, which is sorted by it."""
+    keys = pd.concat([right.select(names).to_pandas(), left.select(names).to_pandas()], ignore_index=True)
+    code = keys.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
+    return code[right.num_rows:], code[:right.num_rows]
+
+
+class _Cell:
+    """Scores of one cell, in batches of left rows against slices of right rows."""
+
+    def __init__(self, left: pa.Table, right: pa.Table, per_target: bool, exclude_self: bool, within_dataset: bool):
+        self.left = left
+        self.right = right.sort_by([(DATASET, "ascending"), (ITEM, "ascending")])
+        self.x, self.y = _unit_rows(left.column(VECTOR)), _unit_rows(self.right.column(VECTOR))
+        l_ds, r_ds = _codes(left, self.right, [DATASET])
+        self.l_ds, self.within = l_ds, within_dataset
+        cut = np.flatnonzero(np.r_[True, r_ds[1:] != r_ds[:-1], True]) if per_target or within_dataset else np.array([0, len(r_ds)])
+        self.slices = [(s, e, r_ds[s]) for s, e in zip(cut[:-1], cut[1:])]
         if exclude_self:
-            lookup = pd.Index(pd.MultiIndex.from_arrays([r_ds[s:e], r_item[s:e]]))
-            self_col = lookup.get_indexer(pd.MultiIndex.from_arrays([l_ds, l_item]))
-        step = max(1, _MAX_SCORES_PER_BATCH // max(m, 1))
-        for b0 in range(0, len(x), step):
-            b1 = min(len(x), b0 + step)
-            sc = x[b0:b1] @ yg.T
-            if self_col is not None:
-                hit = np.flatnonzero(self_col[b0:b1] >= 0)
-                sc[hit, self_col[b0:b1][hit]] = -np.inf
+            l_key, r_key = _codes(left, self.right, [DATASET, ITEM])
+            self.same = np.searchsorted(r_key, l_key, "left"), np.searchsorted(r_key, l_key, "right")
+        else:
+            self.same = None
+
+    def batches(self):
+        """(left row numbers, first right row, scores); pairs of an item with itself are -inf."""
+        for s, e, code in self.slices:
+            rows = np.flatnonzero(self.l_ds == code) if self.within else np.arange(self.left.num_rows)
+            step = max(1, _MAX_SCORES // max(e - s, 1))
+            for at in range(0, rows.size, step):
+                part = rows[at:at + step]
+                scores = self.x[part] @ self.y[s:e].T
+                if self.same is not None:
+                    lo, hi = (np.clip(b[part], s, e) - s for b in self.same)
+                    for i in np.flatnonzero(lo < hi):
+                        scores[i, lo[i]:hi[i]] = -np.inf
+                yield part, s, scores
+
+
+def _cell_function(k: int, per_target: bool, exclude_self: bool, within_dataset: bool, with_range: bool, schema: T.StructType):
+    empty = to_arrow_schema(schema).empty_table()
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return empty
+        work = _Cell(left, right, per_target, exclude_self, within_dataset)
+        found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+        low, high = np.full(left.num_rows, np.inf), np.full(left.num_rows, -np.inf)
+        for part, s, scores in work.batches():
+            e = s + scores.shape[1]
+            rows, cols, vals = _best_k(scores, work.x[part], work.y[s:e], k)
+            found.append((part[rows], cols + s, vals))
             if with_range:
-                finite = np.isfinite(sc)
-                idx = rows_g[b0:b1]
-                rmin[idx] = np.minimum(rmin[idx], np.where(finite, sc, np.inf).min(axis=1))
-                rmax[idx] = np.maximum(rmax[idx], np.where(finite, sc, -np.inf).max(axis=1))
-            rows, cols, vals, rank = _best_k(sc, k)
-            rows = rows + b0
-            cols = cols + s
-            parts.append(pd.DataFrame({
-                DATASET: l_ds[rows], ITEM: l_item[rows],
-                "target": r_ds[cols], "match": r_item[cols], "score": vals, "rank": rank.astype("int32"),
-                "_lidx": rows_g[rows]}))
-    if not parts:
-        return pd.DataFrame()
-    out = pd.concat(parts, ignore_index=True)
-    if with_range:
-        out["_row_min"] = rmin[out["_lidx"].to_numpy()]
-        out["_row_max"] = rmax[out["_lidx"].to_numpy()]
-    return out.drop(columns=["_lidx"])
-
-
-def _cell_function(k: int, per_target: bool, exclude_self: bool, within_dataset: bool = False,
-                   with_range: bool = False):
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame()
-        return _topk(left, _prepare_right(right), k, per_target, exclude_self, within_dataset, with_range)
+                low[part] = np.minimum(low[part], np.where(np.isinf(scores), np.inf, scores).min(axis=1, initial=np.inf))
+                high[part] = np.maximum(high[part], scores.max(axis=1, initial=-np.inf))
+        rows, cols, vals = (np.concatenate(f) for f in zip(*found))
+        columns = {DATASET: left.column(DATASET).take(rows), ITEM: left.column(ITEM).take(rows),
+                   "target": work.right.column(DATASET).take(cols), "match": work.right.column(ITEM).take(cols), "score": vals}
+        if with_range:
+            columns |= {"_row_min": low[rows], "_row_max": high[rows]}
+        return pa.table(columns)
     return cell
 
 
-def _range_of(left: pd.DataFrame, right: pd.DataFrame, y: np.ndarray, exclude_self: bool) -> pd.DataFrame:
-    """Min and max score over all pairs of one block of left rows."""
-    x = _unit_rows(left[VECTOR])
-    lo, hi = np.inf, -np.inf
-    step = max(1, _MAX_SCORES_PER_BATCH // max(len(right), 1))
-    same = None
-    if exclude_self:
-        lookup = pd.Index(pd.MultiIndex.from_arrays([right[DATASET].to_numpy(), right[ITEM].to_numpy()]))
-        same = lookup.get_indexer(pd.MultiIndex.from_arrays([left[DATASET].to_numpy(), left[ITEM].to_numpy()]))
-    for b0 in range(0, len(left), step):
-        b1 = min(len(left), b0 + step)
-        sc = x[b0:b1] @ y.T
-        if same is not None:
-            hit = np.flatnonzero(same[b0:b1] >= 0)
-            sc[hit, same[b0:b1][hit]] = np.nan
-        if np.isfinite(sc).any():
-            lo = min(lo, float(np.nanmin(sc)))
-            hi = max(hi, float(np.nanmax(sc)))
-    if not np.isfinite(lo):
-        return pd.DataFrame()
-    return pd.DataFrame({"min_score": [lo], "max_score": [hi]})
-
-
-def _cell_min_function(exclude_self: bool):
-    # two arguments: PySpark passes (left, right) to a two-argument cogroup function
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame()
-        return _range_of(left, right, _unit_rows(right[VECTOR]), exclude_self)
+def _range_function(exclude_self: bool):
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        low, high = np.inf, -np.inf
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"min_score": np.zeros(0), "max_score": np.zeros(0)})
+        for _, _, scores in _Cell(left, right, False, exclude_self, False).batches():
+            low = min(low, np.where(np.isinf(scores), np.inf, scores).min(initial=np.inf))
+            high = max(high, scores.max(initial=-np.inf))
+        seen = high > -np.inf
+        return pa.table({"min_score": np.array([low] if seen else [], float), "max_score": np.array([high] if seen else [], float)})
     return cell
 
 
@@ -217,179 +200,90 @@ def cell_rows_for(dim: int, cell_mb: float = CELL_MB) -> int:
     return max(MIN_CELL_ROWS, int(cell_mb * 2 ** 20 // (8 * max(dim, 1))))
 
 
-def _blocked(left: DataFrame, right: DataFrame, cell_rows: int | None, sizes_l=None, sizes_r=None):
-    spark = left.sparkSession
+def _blocked(left: DataFrame, right: DataFrame, cell_rows: int | None):
+    """The cells as cogrouped blocks.  Rows are dealt by the key and the
+    vector, so a key that many rows repeat is split as well.  The number of
+    shuffle partitions is the session's; a task works its cells one by one."""
     same = left is right
-    n_left, d_left = sizes_l or _size(left)
-    n_right, d_right = sizes_r or ((n_left, d_left) if same else _size(right))
+    n_left, d_left = _size(left)
+    n_right, d_right = (n_left, d_left) if same else _size(right)
     left, right = _fresh(left), _fresh(right)
     if cell_rows is None:
         cell_rows = cell_rows_for(max(d_left, d_right))
-    gl, gr = grid_shape(n_left, n_right, cell_rows, spark.sparkContext.defaultParallelism)
-    block = lambda g: F.pmod(F.xxhash64(DATASET, ITEM), F.lit(g)).cast("int")
-    lblk = (left.withColumn("lb", block(gl))
-            .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(gr - 1)))))
-    rblk = (right.withColumn("rb", block(gr))
-            .withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(gl - 1)))))
-    # one shuffle partition per cell keeps every cell its own task
-    n_cells = gl * gr
-    lblk = lblk.repartition(n_cells, "lb", "rb")
-    rblk = rblk.repartition(n_cells, "lb", "rb")
+    gl, gr = grid_shape(n_left, n_right, cell_rows, left.sparkSession.sparkContext.defaultParallelism)
+    block = lambda g: F.pmod(F.xxhash64(DATASET, ITEM, VECTOR), F.lit(g)).cast("int")
+    every = lambda g: F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
+    lblk = left.withColumn("lb", block(gl)).withColumn("rb", every(gr))
+    rblk = right.withColumn("rb", block(gr)).withColumn("lb", every(gl))
     return lblk.groupBy("lb", "rb").cogroup(rblk.groupBy("lb", "rb"))
 
 
-def _collect_if_small(df: DataFrame, broadcast_mb: float | None):
-    """The target side as pandas when it provably fits the broadcast budget,
-    ``None`` otherwise.  The vector length is read from one row; at most the
-    budget's worth of rows plus one is collected, and the collected bytes are
-    checked again, so the driver never holds more than the budget."""
-    limit = (BROADCAST_MB if broadcast_mb is None else broadcast_mb) * 2 ** 20
-    head = df.select(F.size(VECTOR).alias("d")).first()
-    if head is None:
-        return df.limit(0).toPandas()
-    max_rows = int(limit // (8 * max(int(head["d"]), 1)))
-    pdf = df.limit(max_rows + 1).toPandas()
-    if len(pdf) > max_rows or sum(len(v) for v in pdf[VECTOR]) * 8 > limit:
-        return None
-    return pdf
-
-
-def _broadcast_topk(left: DataFrame, right_pdf: pd.DataFrame, k: int, per_target: bool, exclude_self: bool,
-                    within_dataset: bool, schema: T.StructType, with_range: bool = False) -> DataFrame:
-    """Right side proven small: prepared once on the driver, broadcast, and
-    every left partition is matched against all of it -- no replication of
-    the right side per block and no merge shuffle (ranks are final)."""
-    from ..session import spread
-    spark = left.sparkSession
-    prepared = _prepare_right(right_pdf)
-    bc = spark.sparkContext.broadcast(prepared)
-
-    def run(batches):
-        prep = bc.value
-        for batch in batches:
-            if len(batch):
-                out = _topk(batch, prep, k, per_target, exclude_self, within_dataset, with_range)
-                if len(out):
-                    yield out
-    return spread(left, min_bytes=0).mapInPandas(run, schema=schema)
+def _pair_schema(left: DataFrame, right: DataFrame, with_range: bool = False) -> T.StructType:
+    fields = [
+        T.StructField(DATASET, left.schema[DATASET].dataType),
+        T.StructField(ITEM, left.schema[ITEM].dataType),
+        T.StructField("target", right.schema[DATASET].dataType),
+        T.StructField("match", right.schema[ITEM].dataType),
+        T.StructField("score", T.DoubleType()),
+    ]
+    extra = [T.StructField("_row_min", T.DoubleType()), T.StructField("_row_max", T.DoubleType())]
+    return T.StructType(fields + extra * with_range)
+
+
+def _sides(left: DataFrame, right: DataFrame | None, exclude_self: bool | None):
+    if right is None:
+        right = left
+        exclude_self = True if exclude_self is None else exclude_self
+    lsel = left.select(DATASET, ITEM, VECTOR)
+    return lsel, lsel if right is left else right.select(DATASET, ITEM, VECTOR), bool(exclude_self)
+
+
+def _ranked(pairs: DataFrame, k: int, per_target: bool) -> DataFrame:
+    keys = [DATASET, ITEM, "target"] if per_target else [DATASET, ITEM]
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("target"), F.asc("match"))
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def top_matches(left: DataFrame, right: DataFrame | None = None, *, k: int = 3,
                 per_target: bool = True, exclude_self: bool | None = None,
-                within_dataset: bool = False, cell_rows: int | None = None,
-                broadcast_mb: float | None = None) -> DataFrame:
+                within_dataset: bool = False, cell_rows: int | None = None) -> DataFrame:
     """Best ``k`` right items for every left item (per target dataset when
     ``per_target``), ranked ``1..k`` by score then smaller key.
 
     With ``right=None`` the left set is matched against itself (SIM2) and an
     item never matches itself.  ``within_dataset`` compares a left item only
     with right items of its own dataset value (used with dataset = fact name
-    for donor search).  When the right side's exact size (rows x dim x 8
-    bytes) is within ``broadcast_mb`` it is broadcast; otherwise the block
-    grid runs.  Output: ``dataset, item, target, match, score, rank``.
+    for donor search).  A right key that occurs on several rows is a candidate
+    by each.  Output: ``dataset, item, target, match, score, rank``.
     """
-    if right is None:
-        right = left
-        exclude_self = True if exclude_self is None else exclude_self
-    exclude_self = bool(exclude_self)
-    out_schema = T.StructType([
-        T.StructField(DATASET, left.schema[DATASET].dataType),
-        T.StructField(ITEM, left.schema[ITEM].dataType),
-        T.StructField("target", right.schema[DATASET].dataType),
-        T.StructField("match", right.schema[ITEM].dataType),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("rank", T.IntegerType()),
-    ])
-    lsel = left.select(DATASET, ITEM, VECTOR)
-    rsel = lsel if right is left else right.select(DATASET, ITEM, VECTOR)
+    lsel, rsel, exclude_self = _sides(left, right, exclude_self)
     per_target = per_target or within_dataset
-    if cell_rows is None:
-        small = _collect_if_small(rsel, broadcast_mb)
-        if small is not None:
-            if small.empty:
-                return left.sparkSession.createDataFrame([], out_schema)
-            return _broadcast_topk(lsel, small, k, per_target, exclude_self, within_dataset, out_schema)
-    sizes_r = _size(rsel)
-    if sizes_r[0] == 0:
-        return left.sparkSession.createDataFrame([], out_schema)
-    sizes_l = sizes_r if rsel is lsel else _size(lsel)
-    cells = _blocked(lsel, rsel, cell_rows, sizes_l, sizes_r)
-    partial = cells.applyInPandas(_cell_function(k, per_target, exclude_self, within_dataset), schema=out_schema)
-    keys = [DATASET, ITEM, "target"] if per_target else [DATASET, ITEM]
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("target"), F.asc("match"))
-    return (partial.drop("rank").withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k))
+    cells = _blocked(lsel, rsel, cell_rows)
+    schema = _pair_schema(lsel, rsel)
+    pairs = cells.applyInArrow(_cell_function(k, per_target, exclude_self, within_dataset, False, schema), schema=schema)
+    return _ranked(pairs, k, per_target)
 
 
 def score_range(left: DataFrame, right: DataFrame | None = None, *, exclude_self: bool = False,
-                cell_rows: int | None = None, broadcast_mb: float | None = None) -> DataFrame:
-    """One row ``(min_score, max_score)`` over all pairs; each task reduces
+                cell_rows: int | None = None) -> DataFrame:
+    """One row ``(min_score, max_score)`` over all pairs; each cell reduces
     its pairs to two numbers, so no pair leaves a task."""
-    if right is None:
-        right = left
-    lsel = left.select(DATASET, ITEM, VECTOR)
-    rsel = lsel if right is left else right.select(DATASET, ITEM, VECTOR)
-    schema = "min_score double, max_score double"
-    small = _collect_if_small(rsel, broadcast_mb) if cell_rows is None else None
-    if small is not None and not small.empty:
-        from ..session import spread
-        bc = lsel.sparkSession.sparkContext.broadcast(small)
-
-        def run(batches):
-            right_pdf = bc.value
-            y = _unit_rows(right_pdf[VECTOR])  # once per task
-            for batch in batches:
-                if not len(batch):
-                    continue
-                out = _range_of(batch, right_pdf, y, exclude_self)
-                if len(out):
-                    yield out
-        part = spread(lsel, min_bytes=0).mapInPandas(run, schema=schema)
-    else:
-        sizes_r = _size(rsel)
-        sizes_l = sizes_r if rsel is lsel else _size(lsel)
-        part = _blocked(lsel, rsel, cell_rows, sizes_l, sizes_r).applyInPandas(
-            _cell_min_function(exclude_self), schema=schema)
+    lsel, rsel, _ = _sides(left, right, exclude_self)
+    part = _blocked(lsel, rsel, cell_rows).applyInArrow(_range_function(exclude_self), schema="min_score double, max_score double")
     return part.agg(F.min("min_score").alias("min_score"), F.max("max_score").alias("max_score"))
 
 
 def top_matches_with_range(left: DataFrame, right: DataFrame | None = None, *, k: int = 3,
-                           per_target: bool = True, exclude_self: bool | None = None,
-                           cell_rows: int | None = None, broadcast_mb: float | None = None):
+                           per_target: bool = True, exclude_self: bool | None = None, cell_rows: int | None = None):
     """``top_matches`` plus the lowest and highest score over all scored pairs,
-    from the same pass: every output row carries its left row's min / max
-    (per cell on the grid), the pass is checkpointed once, and one
-    aggregation reads the range.  Returns ``(top_k, min_score, max_score)``."""
+    from the same pass: every row carries its left row's range within the
+    cell, the pass is checkpointed once, and one aggregation reads the range.
+    Returns ``(top_k, min_score, max_score)``."""
     from ..session import materialize
-    if right is None:
-        right = left
-        exclude_self = True if exclude_self is None else exclude_self
-    exclude_self = bool(exclude_self)
-    base = [
-        T.StructField(DATASET, left.schema[DATASET].dataType),
-        T.StructField(ITEM, left.schema[ITEM].dataType),
-        T.StructField("target", right.schema[DATASET].dataType),
-        T.StructField("match", right.schema[ITEM].dataType),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("rank", T.IntegerType()),
-    ]
-    schema = T.StructType(base + [T.StructField("_row_min", T.DoubleType()), T.StructField("_row_max", T.DoubleType())])
-    lsel = left.select(DATASET, ITEM, VECTOR)
-    rsel = lsel if right is left else right.select(DATASET, ITEM, VECTOR)
-    small = _collect_if_small(rsel, broadcast_mb) if cell_rows is None else None
-    if small is not None and small.empty:
-        return left.sparkSession.createDataFrame([], T.StructType(base)), None, None
-    if small is not None:
-        rows = materialize(_broadcast_topk(lsel, small, k, per_target, exclude_self, False, schema, True))
-        merged = rows
-    else:
-        sizes_r = _size(rsel)
-        sizes_l = sizes_r if rsel is lsel else _size(lsel)
-        cells = _blocked(lsel, rsel, cell_rows, sizes_l, sizes_r)
-        rows = materialize(cells.applyInPandas(_cell_function(k, per_target, exclude_self, False, True), schema=schema))
-        keys = [DATASET, ITEM, "target"] if per_target else [DATASET, ITEM]
-        w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("target"), F.asc("match"))
-        merged = rows.drop("rank").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    lsel, rsel, exclude_self = _sides(left, right, exclude_self)
+    cells = _blocked(lsel, rsel, cell_rows)
+    schema = _pair_schema(lsel, rsel, True)
+    rows = materialize(cells.applyInArrow(_cell_function(k, per_target, exclude_self, False, True, schema), schema=schema))
     rng = rows.agg(F.min("_row_min").alias("lo"), F.max("_row_max").alias("hi")).first()
-    out = merged.select(DATASET, ITEM, "target", "match", "score", "rank")
-    return out, rng["lo"], rng["hi"]
+    out = _ranked(rows.drop("_row_min", "_row_max"), k, per_target)
+    return out.select(DATASET, ITEM, "target", "match", "score", "rank"), rng["lo"], rng["hi"]

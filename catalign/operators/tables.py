@@ -19,25 +19,24 @@ def markdown_cells(df: DataFrame, doc: str, text: str) -> DataFrame:
     Line 0 is the header, separator lines are dropped, cells are split on
     ``|`` and trimmed, the outer empty cells of ``| a | b |`` are removed,
     and a column whose data cells are all empty is dropped (per document).
-    Rows are numbered from 1 among the data lines.
+    Rows are numbered from 1 among the data lines.  All in one row: the lines
+    stay an array until one explode at the end.
     """
-    from ..session import spread
     keep = lambda l: (F.trim(l) != "") & ~l.rlike(_SEPARATOR)
-    lines = spread(df).select(F.col(doc).alias("doc"),
-                      F.posexplode(F.filter(F.split(F.col(text), "\n"), keep)).alias("line_no", "line"))
-    parts = F.split(F.trim(F.col("line")), r"\|")
-    cells = (lines.select("doc", "line_no", F.posexplode(parts).alias("col", "cell"), F.size(parts).alias("n_cells"))
-             # drop the empty cell before a leading pipe and after a trailing pipe
-             .filter(~(((F.col("col") == 0) | (F.col("col") == F.col("n_cells") - 1)) & (F.trim(F.col("cell")) == "")))
-             .select("doc", "line_no", "col", F.trim(F.col("cell")).alias("value")))
-    header = cells.filter(F.col("line_no") == 0).select("doc", "col", F.col("value").alias("header"))
-    data = cells.filter(F.col("line_no") > 0)
-    filled = (data.groupBy("doc", "col").agg(F.count(F.when(F.col("value") != "", 1)).alias("n_filled"))
-              .filter(F.col("n_filled") > 0).select("doc", "col"))
-    return (data.join(filled, ["doc", "col"], "left_semi")
-            .join(header, ["doc", "col"], "left")
-            .select("doc", F.col("line_no").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
-                    "header", "value"))
+    cells_of = lambda l: F.transform(F.split(F.trim(l), r"\|"), lambda c: F.trim(c))
+    # outer empty cells become null; inner ones stay empty
+    edge = lambda cells: F.transform(cells, lambda c, i: F.when((c == "") & ((i == 0) | (i == F.size(cells) - 1)), None).otherwise(c))
+    rows = df.select(F.col(doc).alias("doc"), F.filter(F.split(F.col(text), "\n"), keep).alias("_lines"))
+    rows = rows.filter(F.size("_lines") > 1)
+    rows = rows.select("doc", F.transform("_lines", lambda l: edge(cells_of(l))).alias("_cells"))
+    rows = rows.select("doc", F.get("_cells", F.lit(0)).alias("_head"), F.slice(F.col("_cells"), F.lit(2), F.size("_cells")).alias("_data"))
+    rows = rows.withColumn("_width", F.array_max(F.transform("_data", lambda r: F.size(r))))
+    filled = F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda j: F.exists("_data", lambda r: F.coalesce(F.get(r, j), F.lit("")) != ""))
+    rows = rows.withColumn("_filled", filled)
+    line = rows.select("doc", "_head", "_filled", F.posexplode("_data").alias("_row", "_line"))
+    cell = line.select("doc", "_head", "_filled", (F.col("_row") + 1).alias("row"), F.posexplode("_line").alias("col", "value"))
+    return cell.filter(F.col("value").isNotNull() & F.get("_filled", F.col("col"))).select(
+        "doc", "row", "col", F.get("_head", F.col("col")).alias("header"), "value")
 
 
 def quoted(name: str):
@@ -98,9 +97,11 @@ def with_row_index(df: DataFrame, order: Sequence[Column | str], name: str = "_i
 
 def row_slice(df: DataFrame, order: Sequence[Column | str], start: int, stop: int,
               name: str = "position") -> DataFrame:
-    """PRJ11: rows ``start <= position < stop`` under an explicit order."""
-    idx = with_row_index(df, order, name)
-    return idx.filter((F.col(name) >= start) & (F.col(name) < stop))
+    """PRJ11: rows ``start <= position < stop`` under an explicit order.  Each
+    task keeps its first ``stop`` rows; the position is numbered over the
+    slice alone."""
+    rows = df.orderBy(*order).offset(start).limit(stop - start)
+    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1 + start)
 
 
 def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str = "rank") -> DataFrame:
@@ -121,6 +122,10 @@ def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
     stats = ordered.groupBy(*group, "_pid").agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = ordered.join(stats, [*group, "_pid"])
+    stats = stats.withColumnsRenamed({c: f"_g_{c}" for c in [*group, "_pid"]})
+    same = F.lit(True)
+    for c in [*group, "_pid"]:  # a null group ranks like any other
+        same = same & ordered[c].eqNullSafe(stats[f"_g_{c}"])
+    joined = ordered.join(stats, same).drop(*[f"_g_{c}" for c in [*group, "_pid"]])
     return (joined.withColumn(name, (F.col("_off") + F.col("_mono") - F.col("_first") + 1).cast("int"))
             .drop("_pid", "_mono", "_first", "_off"))

@@ -19,6 +19,7 @@ from ..operators.joins import flag_in, keyed_update, union_all, with_prefix
 from ..operators.matching import best_match
 from ..operators.modelcall import ERROR_COL, embed_texts, model_map
 from ..operators.similarity import as_items, top_matches
+from ..session import materialize
 from ..sources.sinks import run_chunks
 from ..specs import SECOND_PASS_FLAGS, DatasetSpec, prepare_items, simplify_items
 
@@ -32,18 +33,28 @@ def record_schema(spec: DatasetSpec) -> T.StructType:
 
 def translate(items: DataFrame, source: DatasetSpec, target: DatasetSpec, fn: Callable[[dict], dict],
               **model_kw) -> DataFrame:
-    """MDL1: each source record -> a ``target`` record struct (``record``),
-    then checked and normalised with the target's rules."""
+    """MDL1: each source record -> a ``target`` record, checked and normalised
+    with the target's rules.  Every record comes back once: ``status`` is
+    ``ok``, ``failed`` (the call gave no answer; ``_error`` says why) or
+    ``rejected`` (an answer outside a strict domain).  The calls run once;
+    the checked records are materialised."""
     out = model_map(items, fn, list(source.fields), record_schema(target), keep_cols=[source.key], **model_kw)
-    checked, _ = prepare_items(out, target, text_col="text", mode="quarantine")
-    return checked
+    out = materialize(out)
+    checked, rejected = prepare_items(out, target, text_col="text", mode="quarantine")
+    status = lambda df, s: df.withColumn("status", F.when(F.col(ERROR_COL).isNotNull(), "failed").otherwise(s))
+    checked = status(checked, "ok")
+    if rejected is None:
+        return checked
+    rejected = rejected.withColumn("text", F.lit(None).cast("string")) if "text" not in rejected.columns else rejected
+    return checked.unionByName(status(rejected, "rejected"), allowMissingColumns=True)
 
 
 def two_pass_translate(items: DataFrame, source: DatasetSpec, target: DatasetSpec, fn: Callable[[dict], dict],
                        flags: Sequence[str] = SECOND_PASS_FLAGS, **model_kw):
     """MDL2: translate all; records whose answer is flagged inconsistent are
     simplified (PRJ18 on the source) and translated again; the redone answers
-    replace the first ones by key (JN11).  Returns ``(final, phase_1, redone)``."""
+    replace the first ones by key (JN11), nulls included.  The model is called
+    once per record and pass.  Returns ``(final, phase_1, redone)``."""
     phase_1 = translate(items, source, target, fn, **model_kw)
     flagged = phase_1.filter(flag_in("food_item_discrepancy", flags)).select(source.key)
     retry_src = simplify_items(items.join(flagged, source.key, "left_semi"), source)
@@ -68,37 +79,37 @@ def align(spark: SparkSession, items: DataFrame, source: DatasetSpec, target: Da
           out_dir: str, chunk_size: int = 100_000, chunk_start: int | None = None, chunk_end: int | None = None,
           overwrite: bool = False, k: int = 1, **model_kw) -> DataFrame:
     """PIP5.  ``target_embeddings``: ``(key, embedding)`` of the external
-    catalogue.  Writes per chunk ``embeddings`` (both phases), ``pair_scores``
-    (best ``k`` per record, long) and ``top_match`` under ``out_dir``.
+    catalogue.  Writes per chunk ``embeddings`` (both phases; failed and
+    rejected records with their status and no vector), ``pair_scores`` (best
+    ``k`` per record, long) and ``top_match`` (one row per record, without a
+    match where it has none) under ``out_dir``, in this order.  A chunk is
+    done when it is in ``top_match``, so a run that stopped anywhere resumes.
     Returns the table of chunk ids that ran.  The chunk size changes only
     the file layout (one directory per chunk), never the results."""
 
-    def per_chunk(todo: DataFrame) -> DataFrame:
+    def compute(todo: DataFrame) -> DataFrame:
         final, phase_1, redone = two_pass_translate(todo.drop("chunk"), source, target, translate_fn, **model_kw)
-        chunk_of = todo.select(source.key, "chunk")
         both = phases_union(final, phase_1, redone, source.key, target.name)
-        text = both.select(source.key, "phase", F.col(f"{target.name}__text").alias("text"))
-        emb = embed_texts(text, "text", embed_fn, **model_kw).drop(ERROR_COL)
-        return emb.join(chunk_of, source.key)
-
-    def compute(todo: DataFrame) -> DataFrame:
-        return per_chunk(todo)
+        text = both.select(source.key, "phase", F.col(f"{target.name}__status").alias("status"),
+                           F.when(F.col(f"{target.name}__status") == "ok", F.col(f"{target.name}__text")).alias("text"))
+        emb = embed_texts(materialize(text), "text", embed_fn, **model_kw).drop(ERROR_COL)
+        return emb.join(todo.select(source.key, "chunk"), source.key)
 
     ran = run_chunks(spark, items, [source.key], chunk_size, f"{out_dir}/embeddings", compute,
-                     chunk_start, chunk_end, overwrite)
+                     chunk_start, chunk_end, overwrite, done_path=f"{out_dir}/top_match")
     if ran.isEmpty():
         return ran
-    emb = spark.read.parquet(f"{out_dir}/embeddings").join(ran, "chunk", "left_semi")
-    left = as_items(emb.filter(F.col("phase") == "final"), F.lit(source.name), source.key)
+    emb = spark.read.parquet(f"{out_dir}/embeddings").join(ran, "chunk", "left_semi").filter(F.col("phase") == "final")
+    left = as_items(emb, F.lit(source.name), source.key)
     right = as_items(target_embeddings, F.lit(target.name), target.key)
     pairs = top_matches(left, right, k=k, per_target=False)
-    chunk_of = emb.select(F.col(source.key).alias("item"), "chunk").distinct()
-    pairs = pairs.join(chunk_of, "item").select(F.col("item").alias(source.key), F.col("match").alias(target.key),
-                                                F.col("score").alias("similarity_score"), "rank", "chunk")
+    keys = emb.select(source.key, "chunk")
+    pairs = keys.join(pairs.select(F.col("item").alias(source.key), F.col("match").alias(target.key),
+                                   F.col("score").alias("similarity_score"), "rank"), source.key, "left")
     pairs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(
         f"{out_dir}/pair_scores")
     top = (spark.read.parquet(f"{out_dir}/pair_scores").join(ran, "chunk", "left_semi")
-           .filter(F.col("rank") == 1))
+           .filter(F.coalesce(F.col("rank"), F.lit(1)) == 1))
     top.drop("rank").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(
         f"{out_dir}/top_match")
     return ran

@@ -1,7 +1,7 @@
 """Ingest jobs (PIP1-PIP4): heterogeneous raw files -> item and fact tables.
 
 Facts stay long ``(item, nutrient, unit, amount)`` inside; a wide table is
-produced once at the end with an explicit, size-checked column list.
+produced once at the end with an explicit column list.
 """
 
 from __future__ import annotations
@@ -67,10 +67,10 @@ def sr_style(spark: SparkSession, main_dir: str) -> dict[str, DataFrame]:
 
 
 def nested_json_facts(spark: SparkSession, path: str, array_field: str = "SurveyFoods",
-                      nutrients: Sequence[str] | None = None) -> dict[str, DataFrame]:
+                      nutrients: Sequence[str] | None = None, multiline: bool = True) -> dict[str, DataFrame]:
     """PIP2: JSON array of foods with nested nutrient lists -> long facts and
     a mean pivot per description.  A food with an empty list gives no row."""
-    foods = read_nested_json(spark, path, array_field)
+    foods = read_nested_json(spark, path, array_field, multiline=multiline)
     long = (foods.select("description", F.explode("foodNutrients").alias("n"))
             .select("description", F.col("n.nutrient.name").alias("nutrient"), F.col("n.amount").alias("amount")))
     wide = pivot_mean(long, ["description"], "nutrient", "amount", nutrients)

@@ -77,11 +77,16 @@ def cross_dataset_mapping(spark: SparkSession, tables: Mapping[str, DataFrame],
 
 
 def validate_mappings(mapping: DataFrame, judge: Callable[[dict], dict], texts: DataFrame | None = None,
-                      only: Sequence[tuple[str, str]] | None = None, **model_kw) -> DataFrame:
+                      only: Sequence[tuple[str, str]] | None = None, out_path: str | None = None,
+                      overwrite: bool = False, **model_kw) -> DataFrame | None:
     """PIP7 + MDL4 + JN12: judge each distinct (item, match) pair once and
     attach ``same_item`` by the pair key.  ``texts`` ``(dataset, item, text)``
     supplies the rendered texts given to the judge as ``a`` / ``b``;
-    ``only`` limits the work to listed (dataset, target) pairs."""
+    ``only`` limits the work to listed (dataset, target) pairs.  With
+    ``out_path`` the result is written; an existing output is skipped, before
+    any call, unless ``overwrite`` (SNK3)."""
+    if out_path is not None and output_exists(mapping.sparkSession, out_path) and not overwrite:
+        return None
     m = mapping
     if only:
         cond = None
@@ -100,8 +105,12 @@ def validate_mappings(mapping: DataFrame, judge: Callable[[dict], dict], texts:
         in_cols = ["similarity_score"]
     judged = model_map(pairs, judge, in_cols, "same_item boolean",
                        keep_cols=["dataset", "item", "target", "match"], **model_kw)
-    return mapping.join(judged.select("dataset", "item", "target", "match", "same_item"),
-                        ["dataset", "item", "target", "match"], "left")
+    out = mapping.join(judged.select("dataset", "item", "target", "match", "same_item"),
+                       ["dataset", "item", "target", "match"], "left")
+    if out_path is None:
+        return out
+    write_parquet(out, out_path, "overwrite", ["dataset", "target"])
+    return mapping.sparkSession.read.parquet(out_path)
 
 
 def match_in_shared_space(a: DataFrame, b: DataFrame, key_a: str, key_b: str, vector: str = "embedding") -> DataFrame:

@@ -20,12 +20,13 @@ def registry_with_sources(base: DataFrame, key: str, best: Mapping[str, DataFram
                           order: Sequence[str] = ("similarity_score",)) -> DataFrame:
     """PIP8 / JN4: left-join the one-best-match table of every candidate
     source onto the registry; each table is deduplicated on the key first
-    (the best score wins, then the smaller match key)."""
+    (the best score wins, then the smaller match key; a match without a score
+    comes last)."""
     tables = []
     for name, t in best.items():
         cols = [c for c in t.columns if c != key]
-        t = t.withColumn("_neg", -F.col(order[0]))
-        t = first_per_key(t, [key], ["_neg", *[c for c in cols if c not in order]]).drop("_neg")
+        t = t.withColumn("_none", F.col(order[0]).isNull()).withColumn("_neg", -F.col(order[0]))
+        t = first_per_key(t, [key], ["_none", "_neg", *[c for c in cols if c not in order]]).drop("_none", "_neg")
         tables.append(t.select(key, *[F.col(c).alias(f"{name}__{c}") for c in cols]))
     return left_join_all(base, tables, key, dedupe=False)
 

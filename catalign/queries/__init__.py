@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import facts, matching, modelcalls, relational, text
+from . import facts, flows, matching, modelcalls, relational, text
 
-_MODULES = [matching, text, relational, facts, modelcalls]
+_MODULES = [matching, text, relational, facts, modelcalls, flows]
 
 
 def all_queries() -> dict:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.consolidate import transfer_facts, transfer_facts_long
 from ..operators.impute import impute
+from ..operators.reshape import pivot_names
 from ..operators.similarity import as_items, top_matches
 from ..session import read_table
 
@@ -72,6 +73,36 @@ def impute_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _impute(spark, sf_dir, 3, "distance")
 
 
+# neighbours listed per item before the direct search
+NEIGHBOURS = 32
+
+
+def _item_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long facts of every embedded item from its line items: the mean
+    quantity per return flag and line number (a fact each), null where the
+    item has no such line."""
+    li = read_table(spark, sf_dir, "lineitem")
+    seen = li.groupBy(F.col("l_partkey").alias("item"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("fact")).agg(
+        F.avg(F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))).alias("value"))
+    names = F.array(*[F.lit(f) for f in pivot_names(seen, "fact")])  # 3 flags by 7 line numbers
+    spine = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), F.explode(names).alias("fact"))
+    return spine.join(seen, ["item", "fact"], "left")
+
+
+def impute_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMP1-IMP3 with the neighbour list first, over the facts of the line items."""
+    vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), "embedding")
+    out = impute(_item_facts(spark, sf_dir), vectors, k=3, weights="uniform", neighbours=NEIGHBOURS)
+    return out.select(F.col("item").alias("vec_id"), "fact", F.round("value", 6).alias("value"), "imputed")
+
+
+def impute_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the direct search, weighted by distance."""
+    vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), "embedding")
+    out = impute(_item_facts(spark, sf_dir), vectors, k=3, weights="distance")
+    return out.select(F.col("item").alias("vec_id"), "fact", F.round("value", 6).alias("value"), "imputed")
+
+
 def impute_k3_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _impute(spark, sf_dir, 3, "uniform")
 
@@ -90,14 +121,27 @@ p AS (SELECT m.item, m.fact, d.donor, d.value,
 """
 
 
-def _impute_sql(k: int, weights: str) -> str:
+_LINE_FACTS_SQL = """
+e AS (SELECT vec_id AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+seen AS (SELECT l_partkey AS item, l_returnflag || l_linenumber AS fact, avg(l_quantity) FILTER (WHERE l_linestatus = 'F') AS value FROM lineitem GROUP BY ALL),
+f AS (SELECT e.item, n.fact, seen.value FROM e CROSS JOIN (SELECT DISTINCT fact FROM seen) n LEFT JOIN seen ON seen.item = e.item AND seen.fact = n.fact),
+miss AS (SELECT f.item, f.fact, e.v FROM f JOIN e USING (item) WHERE f.value IS NULL),
+don AS (SELECT f.item AS donor, f.fact, f.value, e.v FROM f JOIN e USING (item) WHERE f.value IS NOT NULL),
+p AS (SELECT m.item, m.fact, d.donor, d.value,
+             CASE WHEN list_dot_product(m.v, m.v) = 0 OR list_dot_product(d.v, d.v) = 0 THEN 0.0
+                  ELSE list_cosine_similarity(m.v, d.v) END AS s
+      FROM miss m JOIN don d ON m.fact = d.fact)
+"""
+
+
+def _impute_sql(k: int, weights: str, facts: str = _FACTS_SQL) -> str:
     if weights == "uniform":
         pred = "avg(value)"
     else:
         pred = ("CASE WHEN count(*) FILTER (WHERE d = 0) > 0 THEN avg(value) FILTER (WHERE d = 0) "
                 "ELSE sum(value / d) / sum(1.0 / d) END")
     return f"""
-WITH {_FACTS_SQL},
+WITH {facts},
 near AS (SELECT item, fact, value, least(1.0, greatest(0.0, 1.0 - s)) AS d FROM p
          QUALIFY row_number() OVER (PARTITION BY item, fact ORDER BY s DESC, donor) <= {k}),
 pred AS (SELECT item, fact, {pred} AS imputed FROM near GROUP BY item, fact)
@@ -150,6 +194,8 @@ SELECT item AS vec_id, fact, round(arg_max(v, r), 6) AS value FROM per GROUP BY
     "impute_k1": _impute_sql(1, "distance"),
     "impute_k3": _impute_sql(3, "distance"),
     "impute_k3_uniform": _impute_sql(3, "uniform"),
+    "impute_neighbours": _impute_sql(3, "uniform", _LINE_FACTS_SQL),
+    "impute_lines": _impute_sql(3, "distance", _LINE_FACTS_SQL),
 }
 
 QUERIES = {
@@ -158,4 +204,6 @@ QUERIES = {
     "impute_k1": impute_k1,
     "impute_k3": impute_k3,
     "impute_k3_uniform": impute_k3_uniform,
+    "impute_neighbours": impute_neighbours,
+    "impute_lines": impute_lines,
 }

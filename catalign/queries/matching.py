@@ -25,6 +25,42 @@ def cross_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("match_rank"))
 
 
+def cross_top3_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``cross_top3`` with cells of at most about 200 rows a side."""
+    out = cross_dataset_top_n(_items(spark, sf_dir), 3, cell_rows=200)
+    return out.select("dataset", "item", "target", "match",
+                      F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("match_rank"))
+
+
+def _tied_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors with planted cases: every 5th occurs under a second key,
+    every 17th is zero, every 23rd row is repeated, every 29th has no label."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    zero = F.transform("embedding", lambda x: (x * F.lit(0.0)).cast("float"))
+    emb = emb.select(F.when(F.col("vec_id") % 29 != 0, F.col("label")).alias("label"), "vec_id",
+                     F.when(F.col("vec_id") % 17 == 0, zero).otherwise(F.col("embedding")).alias("embedding"))
+    copies = F.filter(F.array(F.lit(0), F.when(F.col("vec_id") % 5 == 0, 1_000_000), F.when(F.col("vec_id") % 23 == 0, 0)), lambda x: x.isNotNull())
+    emb = emb.withColumn("_add", F.explode(copies)).withColumn("vec_id", F.col("vec_id") + F.col("_add"))
+    return as_items(emb.withColumn("label", F.coalesce("label", F.lit(-1))), "label", "vec_id")
+
+
+def cross_top3_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SIM5 + SIM6 where vectors are equal, zero or repeated under one key."""
+    out = cross_dataset_top_n(_tied_items(spark, sf_dir), 3, cell_rows=300)
+    return out.select("dataset", "item", "target", "match",
+                      F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("match_rank"))
+
+
+def space_rank_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SIM7 where some items have no name in the shared space: those of one
+    dataset and target rank together like any other name."""
+    items = _items(spark, sf_dir)
+    names = items.filter(F.col("item") % 3 != 0).select("dataset", "item", (F.col("item") % 7).alias("space_name"))
+    out = cross_dataset_top_n(items, 2, rank_by="space_name", space_name=names)
+    return out.select("dataset", "item", "target", "match", "space_name", F.round("score", 6).alias("score"),
+                      F.col("rank").cast("int").alias("match_rank"))
+
+
 def align_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = read_table(spark, sf_dir, "embeddings")
     src = as_items(emb.filter(F.col("label") < ALIGN_SPLIT), F.lit("source"), "vec_id")
@@ -39,7 +75,7 @@ def best_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = top_matches(items, None, k=1, per_target=True)
     best = best.filter(F.col("target") != F.col("dataset"))
     labels = list(range(10))
-    out = choose_source(best, threshold=BEST_SOURCE_THRESHOLD, priority=labels)
+    out = choose_source(best, threshold=BEST_SOURCE_THRESHOLD, priority=labels, items=items)
     return out.select(F.col("item").alias("vec_id"), "database_choice",
                       F.col("chosen_match").alias("chosen_vec_id"),
                       F.round("chosen_score", 6).alias("chosen_score"))
@@ -76,6 +112,25 @@ def distance_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("rank").cast("int").alias("match_rank"))
 
 
+_TIES_SQL = """
+WITH base AS (SELECT coalesce(CASE WHEN vec_id % 29 <> 0 THEN label END, -1) AS dataset, vec_id AS item,
+                     CASE WHEN vec_id % 17 = 0 THEN list_transform(embedding, lambda x: CAST(0 AS DOUBLE)) ELSE CAST(embedding AS DOUBLE[]) END AS v
+              FROM embeddings),
+e AS (SELECT dataset, item, v FROM base
+      UNION ALL SELECT dataset, item + 1000000, v FROM base WHERE item % 5 = 0
+      UNION ALL SELECT dataset, item, v FROM base WHERE item % 23 = 0),
+p AS (
+  SELECT a.dataset, a.item, b.dataset AS target, b.item AS match,
+         CASE WHEN list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0.0
+              ELSE list_cosine_similarity(a.v, b.v) END AS s
+  FROM e a JOIN e b ON NOT (a.dataset = b.dataset AND a.item = b.item)
+)
+SELECT dataset, item, target, match, round(s, 6) AS score,
+       CAST(row_number() OVER (PARTITION BY dataset, item, target ORDER BY s DESC, match) AS INTEGER) AS match_rank
+FROM p
+QUALIFY row_number() OVER (PARTITION BY dataset, item, target ORDER BY s DESC, match) <= 3
+"""
+
 ORACLES = {
     "cross_top3": """
 WITH e AS (SELECT label AS dataset, vec_id AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -162,8 +217,28 @@ FROM near, mx
 """,
 }
 
+ORACLES["cross_top3_grid"] = ORACLES["cross_top3"]
+ORACLES["cross_top3_ties"] = _TIES_SQL
+ORACLES["space_rank_nulls"] = """
+WITH e AS (SELECT label AS dataset, vec_id AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (
+  SELECT a.dataset, a.item, b.dataset AS target, b.item AS match,
+         CASE WHEN list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0.0
+              ELSE list_cosine_similarity(a.v, b.v) END AS s
+  FROM e a JOIN e b ON NOT (a.dataset = b.dataset AND a.item = b.item)
+),
+top AS (SELECT *, CASE WHEN item % 3 <> 0 THEN item % 7 END AS space_name FROM p
+        QUALIFY row_number() OVER (PARTITION BY dataset, item, target ORDER BY s DESC, match) <= 2)
+SELECT dataset, item, target, match, space_name, round(s, 6) AS score,
+       CAST(row_number() OVER (PARTITION BY dataset, target, space_name ORDER BY s DESC, item, match) AS INTEGER) AS match_rank
+FROM top
+"""
+
 QUERIES = {
     "cross_top3": cross_top3,
+    "cross_top3_grid": cross_top3_grid,
+    "cross_top3_ties": cross_top3_ties,
+    "space_rank_nulls": space_rank_nulls,
     "align_top1": align_top1,
     "best_source": best_source,
     "distance_scale": distance_scale,

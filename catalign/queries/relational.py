@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import simplify
-from ..operators.joins import (drop_matching, join_dim, keep_matching, keyed_update, reindex,
-                               to_record, union_all, with_prefix)
+from ..operators.joins import drop_matching, flag_in, join_dim, keep_matching, keyed_update, reindex, to_record, with_prefix
 from ..operators.matching import cross_dataset_top_n
 from ..operators.reshape import (composite_name, first_per_key, match_lists, melt_match_lists,
                                  pivot_first, pivot_mean, unit_table)
 from ..operators.similarity import as_items
-from ..session import read_table, spread
+from ..session import read_table
 
 RETURN_FLAGS = ["A", "N", "R"]
 FLAG_STATUS = ["A|F", "A|O", "N|F", "N|O", "R|F", "R|O"]
@@ -43,28 +41,20 @@ def melt_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-3 long -> wide match lists per target dataset -> back to ranked long."""
     items = as_items(read_table(spark, sf_dir, "embeddings"), "label", "vec_id")
     top = cross_dataset_top_n(items, 3)
-    targets = list(range(10))
-    wide = match_lists(top, ["dataset", "item"], "target", "match", "score", targets)
-    long = melt_match_lists(wide, ["dataset", "item"], [str(t) for t in targets])
+    wide = match_lists(top, ["dataset", "item"], "target", "match", "score")
+    long = melt_match_lists(wide, ["dataset", "item"], [c for c in wide.columns if c not in ("dataset", "item")])
     return long.select(F.col("item").alias("vec_id"), F.col("matched_dataset").cast("int").alias("matched_dataset"),
                        F.col("matched_name").alias("matched_vec_id"), F.round("matched_score", 6).alias("matched_score"))
 
 
 def json_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC5 + ARR2 + ARR3 + AGG1: nested JSON records lifted to rows, then a
-    mean pivot by description."""
-    ev = spread(read_table(spark, sf_dir, "events"))
-    doc = F.to_json(F.struct(
-        F.col("event_type").alias("description"),
-        F.array(F.struct(F.struct(F.lit("k").alias("name")).alias("nutrient"),
-                         F.get_json_object("props", "$.k").cast("double").alias("amount")),
-                F.struct(F.struct(F.lit("value").alias("name")).alias("nutrient"),
-                         F.col("value").alias("amount"))).alias("foodNutrients")))
-    schema = "description string, foodNutrients array<struct<nutrient: struct<name: string>, amount: double>>"
-    parsed = ev.select(F.from_json(doc, schema).alias("f")).select("f.*")
-    rows = parsed.select("description", F.explode("foodNutrients").alias("n")).select(
-        "description", F.col("n.nutrient.name").alias("nutrient"), F.col("n.amount").alias("amount"))
-    wide = pivot_mean(rows, ["description"], "nutrient", "amount", ["k", "value"])
+    """ARR2 + ARR3 + AGG1: a JSON column read once, its fields and the value
+    column lifted to (name, amount) rows, then a mean pivot by description."""
+    ev = read_table(spark, sf_dir, "events")
+    props = ev.select(F.col("event_type").alias("description"), "value", F.from_json("props", "k double").alias("p"))
+    entry = lambda name, amount: F.struct(F.lit(name).alias("nutrient"), amount.alias("amount"))
+    rows = props.select("description", F.explode(F.array(entry("k", F.col("p.k")), entry("value", F.col("value")))).alias("n"))
+    wide = pivot_mean(rows.select("description", "n.*"), ["description"], "nutrient", "amount", ["k", "value"])
     return wide.select("description", F.round("k", 6).alias("k"), F.round("value", 6).alias("value"))
 
 
@@ -86,11 +76,21 @@ def dim_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN7 + JN8: rows with and without a partner in the labels, told apart by
+    one left join with a marker; the two sides apart are ``keep_matching``
+    and ``drop_matching`` (``doc_sides``)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    marks = read_table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("_hit", F.lit(True))
+    return docs.join(marks, "doc_id", "left").select("doc_id", "lang", F.coalesce("_hit", F.lit(False)).alias("labelled"))
+
+
+def doc_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN7 + JN8 + SET3: counts per language of the documents kept by a semi
+    join and of those kept by an anti join."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
     labels = read_table(spark, sf_dir, "labels").select("doc_id")
-    with_l = keep_matching(docs, labels, "doc_id").withColumn("labelled", F.lit(True))
-    without = drop_matching(docs, labels, "doc_id").withColumn("labelled", F.lit(False))
-    return with_l.unionByName(without)
+    count = lambda df, side: df.groupBy("lang").agg(F.count("*").alias("n")).withColumn("side", F.lit(side))
+    return count(keep_matching(docs, labels, "doc_id"), "with").unionByName(count(drop_matching(docs, labels, "doc_id"), "without"))
 
 
 def spine_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,34 +100,28 @@ def spine_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed_update_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN11 + PRJ18 + FLT4: toxic documents get their source and language
-    replaced; all others keep theirs."""
+    """JN11 + FLT4: toxic documents get their source replaced and their
+    language nulled; all others keep theirs."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     labels = read_table(spark, sf_dir, "labels")
-    flagged = labels.filter(F.col("toxic") == 1).select("doc_id").distinct()
-    upd = docs.join(flagged, "doc_id", "left_semi").select(
+    upd = labels.filter(flag_in(F.col("toxic").cast("string"), ["1"])).select("doc_id").distinct().select(
         "doc_id", F.lit("redacted").alias("source"), F.lit(None).cast("string").alias("lang"))
-    updated = keyed_update(docs, upd, "doc_id", ["source", "lang"])
-    # simplify: null out the language of the flagged rows
-    mark = docs.join(flagged.withColumn("_flag", F.lit(True)), "doc_id", "left").select("doc_id", "_flag")
-    return simplify(updated.join(mark, "doc_id"), ["lang"], F.coalesce(F.col("_flag"), F.lit(False))).drop("_flag")
+    return keyed_update(docs, upd, "doc_id", ["source", "lang"])
 
 
 def phase_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET2 + STR1 + STR2: phase-1 records, a redone subset (p_size > 40,
-    simplified), the final set = redone where redone else phase 1; phases
-    tagged and unioned, records expanded with a target prefix."""
+    simplified), the final record = redone where redone else phase 1; phases
+    tagged, records expanded with a target prefix.  Whether a record is
+    redone depends on its own row, so the phases are one explode."""
     part = read_table(spark, sf_dir, "part")
-    phase1 = to_record(part, ["p_name", "p_brand", "p_type"], keep=["p_partkey"])
-    redo_mask = F.col("p_size") > 40
-    redone = to_record(simplify(part.filter(redo_mask), ["p_brand"]).withColumn("p_type", F.lower("p_type")),
-                       ["p_name", "p_brand", "p_type"], keep=["p_partkey"])
-    final = (phase1.join(redone.withColumnRenamed("record", "_redo"), "p_partkey", "left")
-             .select("p_partkey", F.coalesce(F.col("_redo"), F.col("record")).alias("record")))
-    discrepancy = phase1.join(redone, "p_partkey", "left_semi")
-    frames = [with_prefix(final, "record", "space", ["p_partkey"]).withColumn("phase", F.lit("final")),
-              with_prefix(discrepancy, "record", "space", ["p_partkey"]).withColumn("phase", F.lit("first_phase_discrepancy"))]
-    return union_all(frames)
+    fields, redo = ["p_name", "p_brand", "p_type"], F.col("p_size") > 40
+    redone = F.when(redo, F.struct("p_name", F.lit(None).cast("string").alias("p_brand"), F.lower("p_type").alias("p_type")))
+    rows = to_record(part.withColumn("_redone", redone), fields, keep=["p_partkey", "_redone"])
+    phase = lambda name, rec: F.struct(F.lit(name).alias("phase"), rec.alias("record"))
+    both = F.array(phase("final", F.coalesce("_redone", "record")), phase("first_phase_discrepancy", F.when(F.col("_redone").isNotNull(), F.col("record"))))
+    rows = rows.select("p_partkey", F.explode(both).alias("p")).select("p_partkey", "p.phase", "p.record").filter(F.col("record").isNotNull())
+    return with_prefix(rows, "record", "space", ["p_partkey", "phase"])
 
 
 ORACLES = {
@@ -183,6 +177,10 @@ LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 """,
     "semi_anti": """
 SELECT doc_id, lang, doc_id IN (SELECT doc_id FROM labels) AS labelled FROM documents
+""",
+    "doc_sides": """
+SELECT lang, count(*) AS n, CASE WHEN l.doc_id IS NULL THEN 'without' ELSE 'with' END AS side
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY 1, 3
 """,
     "spine_reindex": """
 SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
@@ -213,6 +211,7 @@ QUERIES = {
     "dedupe_first": dedupe_first,
     "dim_joins": dim_joins,
     "semi_anti": semi_anti,
+    "doc_sides": doc_sides,
     "spine_reindex": spine_reindex,
     "keyed_update": keyed_update_q,
     "phase_union": phase_union,

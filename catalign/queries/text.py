@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import is_member, pack_non_empty
 from ..functions.columns import concat_strict, energy_kcal, fill_null
-from ..functions.text import (CLEAN_DROP_CHARS, MAX_CLEAN_CHARS, MAX_WORD_CHARS, MIN_CLEAN_CHARS,
-                              SPLIT_PATTERN, STRIP_PATTERN, property_value, render_lines,
-                              render_properties, with_normalised_text)
+from ..functions.text import property_value, render_lines, render_properties, with_normalised_text
 from ..operators.checks import coerce_to_domain, column_profile, duplicate_keys, split_by_domain
 from ..operators.matching import top_k
 from ..operators.tables import markdown_cells, promote_header, row_slice
@@ -20,7 +18,7 @@ PART_TYPE_DOMAIN = ["ECONOMY", "LARGE", "MEDIUM", "PROMO"]
 
 
 def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("key"), F.col("text").alias("t"))
+    docs = read_table(spark, sf_dir, "documents", spread=True).select(F.lit("documents").alias("src"), F.col("doc_id").alias("key"), F.col("text").alias("t"))
     pages = read_table(spark, sf_dir, "pages").select(F.lit("pages").alias("src"), F.col("page_id").alias("key"), F.col("url").alias("t"))
     part = read_table(spark, sf_dir, "part").select(F.lit("part").alias("src"), F.col("p_partkey").alias("key"), F.col("p_name").alias("t"))
     return with_normalised_text(docs.unionByName(pages).unionByName(part), "t", "norm_text").drop("t")
@@ -28,7 +26,7 @@ def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turn_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT1 over whole conversation turns and benchmark passages."""
-    conv = read_table(spark, sf_dir, "conversations").select(
+    conv = read_table(spark, sf_dir, "conversations", spread=True).select(
         F.lit("conversations").alias("src"), F.col("conv_id").alias("key"), F.col("turn").alias("sub"),
         F.col("text").alias("t"))
     bench = read_table(spark, sf_dir, "benchmark").select(
@@ -40,7 +38,7 @@ def turn_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _part_lines():
     return [("Name", "p_name", "required"),
             ("Brand", F.when(F.col("p_size") <= 40, F.col("p_brand")), "optional"),
-            ("Type", "p_type", "optional"),
+            ("Type", F.when(F.col("p_size") <= 45, F.col("p_type")), "required"),
             ("Size", "p_size", "required")]
 
 
@@ -144,6 +142,12 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# the oracle's own statement of the rule: the white space of the text rule, the
+# characters not counted, the longest word and the bounds of the length
+_WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}-\x{2029}\x{202f}\x{205f}\x{3000}]"
+STRIP_PATTERN, SPLIT_PATTERN = rf"\A{_WS}+|{_WS}+\z", f"{_WS}+"
+CLEAN_DROP_CHARS = ",\"'()\t _"
+MAX_WORD_CHARS, MIN_CLEAN_CHARS, MAX_CLEAN_CHARS = 20, 2, 200
 _TAB, _NL = "chr(9)", "chr(10)"
 _DROP = " || ".join(_TAB if ch == "\t" else _sql_str(ch) for ch in CLEAN_DROP_CHARS)
 _TXT1_SQL = f"""
@@ -176,7 +180,7 @@ WITH raw AS (
 SELECT 'part' AS src, p_partkey AS key,
   concat_ws(chr(10), 'Name: ' || coalesce(p_name, 'None') || '.',
             CASE WHEN p_size <= 40 THEN 'Brand: ' || p_brand || '.' END,
-            'Type: ' || p_type || '.',
+            'Type: ' || coalesce(CASE WHEN p_size <= 45 THEN p_type END, 'None') || '.',
             'Size: ' || coalesce(CAST(p_size AS VARCHAR), 'None') || '.') AS rendered
 FROM part
 UNION ALL

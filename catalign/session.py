@@ -7,7 +7,9 @@ helper used where an expensive intermediate is read twice.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.ui.enabled": "false",
         "spark.driver.memory": driver_memory,
         "spark.ui.showConsoleProgress": "false",
+        # a checkpoint's files go when nothing refers to it any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -43,7 +47,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster must name a shared folder; only a local-mode session without
-    one (tests, laptops) gets a fresh temporary folder of its own.
+    one (tests, laptops) gets a fresh temporary folder, removed at exit.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -56,6 +60,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
     path = tempfile.mkdtemp(prefix="catalign-ckpt-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     return path
 
@@ -70,27 +75,11 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def plan_size_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a DataFrame (no job runs).  For scans,
-    filters and projections it is an upper bound from file sizes -- the same
-    statistic Spark's own broadcast rule uses."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-# inputs smaller than this are left as they are
-SPREAD_MIN_BYTES = 4 * 2 ** 20
-
-
-def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
-    """Round-robin a sizeable input that arrives in fewer splits than there
-    are cores (e.g. one large row group) before CPU-heavy row-wise work (text
-    rules, JSON or markdown parsing).  On a cluster reading many files the
-    input already has more partitions than cores and nothing happens."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores or plan_size_bytes(df) < min_bytes:
-        return df
-    return df.repartition(cores)
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table's scan.  ``spread`` deals the rows of a file that Spark cannot
+    split (one large row group) over the cores, for CPU-heavy row work; only
+    the scan's own splits are looked at, so no job runs, and a table of many
+    files is left as it is."""
+    df = spark.read.parquet(table_path(sf_dir, name))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df

@@ -53,9 +53,10 @@ def read_nested_json(spark: SparkSession, path: str, array_field: str,
 def read_sheet_rows(spark: SparkSession, path: str, n_columns: int | None = None,
                     keep_empty_strings: bool = True) -> DataFrame:
     """SRC6: rows of a sheet exported as a headerless CSV, all strings, with
-    the row position ``_idx`` (0-based, file order) for header promotion."""
+    the row position ``_idx`` (0-based, file order) for header promotion.  A
+    quoted cell may hold line ends, so a file is read as a whole by one task."""
     from ..operators.tables import with_row_index
-    r = spark.read.option("header", "false")
+    r = spark.read.option("header", "false").option("multiLine", "true").option("escape", '"')
     if n_columns is not None:
         r = r.schema(T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(n_columns)]))
     rows = r.csv(path)

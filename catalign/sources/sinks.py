@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,21 +69,24 @@ def done_chunks(spark: SparkSession, path: str, name: str = "chunk") -> DataFram
 
 def run_chunks(spark: SparkSession, items: DataFrame, order: Sequence[str], chunk_size: int, path: str,
                compute: Callable[[DataFrame], DataFrame], chunk_start: int | None = None,
-               chunk_end: int | None = None, overwrite: bool = False, name: str = "chunk") -> DataFrame:
+               chunk_end: int | None = None, overwrite: bool = False, name: str = "chunk",
+               done_path: str | None = None) -> DataFrame:
     """SNK4: resumable chunked run.  Rows get a chunk id; chunks already in
     the output are skipped (``left_anti``) unless ``overwrite``; only chunks
     in ``[chunk_start, chunk_end)`` run; results are written partitioned by
     chunk with dynamic partition overwrite, so a rerun of one chunk replaces
     just that chunk.  Returns the (distributed) table of chunk ids that ran;
     nothing per chunk is brought to the driver.  Every chunk is one output
-    directory, so size chunks in the 1e5-1e6 row range at scale."""
+    directory, so size chunks in the 1e5-1e6 row range at scale.  Where
+    further outputs follow this one, ``done_path`` names the last of them: a
+    chunk counts as done when it is there."""
     from ..session import materialize
     tagged = chunk_ids(items, order, chunk_size, name)
     if chunk_start is not None:
         tagged = tagged.filter(F.col(name) >= chunk_start)
     if chunk_end is not None:
         tagged = tagged.filter(F.col(name) < chunk_end)
-    done = None if overwrite else done_chunks(spark, path, name)
+    done = None if overwrite else done_chunks(spark, done_path or path, name)
     todo = tagged if done is None else tagged.join(done, name, "left_anti")
     todo = materialize(todo)
     ran = todo.select(name).distinct()
@@ -92,50 +95,61 @@ def run_chunks(spark: SparkSession, items: DataFrame, order: Sequence[str], chun
     out = compute(todo)
     if name not in out.columns:
         raise ValueError(f"compute() must keep the {name!r} column")
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        out.write.mode("overwrite").partitionBy(name).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
     return ran
 
 
 def process_new_keys(spark: SparkSession, items: DataFrame, key: Sequence[str] | str, log_path: str,
                      compute: Callable[[DataFrame], DataFrame], out_path: str) -> int:
-    """SNK5: process only keys not yet in the log; append results, then
-    append the processed keys to the log (after the output is written).
-    Returns the number of new keys."""
+    """SNK5: process only keys not yet in the log.  A run writes its output
+    and then its keys as the next batch, each a folder that is replaced as a
+    whole: a run that failed between the two is repeated under the same
+    number and leaves no duplicate.  Returns the number of new keys."""
+    from ..operators.reshape import pivot_names
     from ..session import materialize
     keys = [key] if isinstance(key, str) else list(key)
-    todo = items
+    todo, batch = items, 0
     if output_exists(spark, log_path):
-        todo = items.join(spark.read.parquet(log_path), keys, "left_anti")
+        log = spark.read.parquet(log_path)
+        todo = items.join(log.select(*keys), keys, "left_anti")
+        batch = max(pivot_names(log, "batch"), default=-1) + 1
     todo = materialize(todo)
     n = todo.count()
     if n == 0:
         return 0
-    compute(todo).write.mode("append").parquet(out_path)
-    todo.select(*keys).distinct().write.mode("append").parquet(log_path)
+    compute(todo).write.mode("overwrite").parquet(f"{out_path}/batch={batch}")
+    todo.select(*keys).distinct().write.mode("overwrite").parquet(f"{log_path}/batch={batch}")
     return n
 
 
 def dedupe_names(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
     """SNK6 naming rule: repeated names get ``_1, _2, ..`` in order, the
     first keeps its name."""
-    rn = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
-    return df.withColumn(name, F.when(rn == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), rn.cast("string"))))
-
-
-# a wide matrix export is for small inputs; larger ones stay long
-MAX_MATRIX_COLUMNS = 1_000
+    from ..operators.tables import rank_within
+    ranked = rank_within(df, [name], list(order), "_rank")
+    again = F.concat(F.col(name), F.lit("_"), (F.col("_rank") - 1).cast("string"))
+    return ranked.withColumn(name, F.when(F.col("_rank") > 1, again).otherwise(F.col(name))).drop("_rank")
 
 
 def wide_matrix(pairs: DataFrame, row: str, col: str, value: str, col_order: Sequence[str] | None = None) -> DataFrame:
-    """SNK6: long pairs -> wide matrix (one column per ``col`` name).  Column
-    names must already be unique (``dedupe_names``); their number is checked."""
+    """SNK6: long pairs -> wide matrix (one column per ``col`` name, all of
+    them).  Column names must already be unique (``dedupe_names``)."""
     from ..operators.reshape import pivot_names
-    names = list(col_order) if col_order is not None else pivot_names(pairs, col, MAX_MATRIX_COLUMNS)
-    if len(names) > MAX_MATRIX_COLUMNS:
-        raise ValueError("too many columns for a wide export; keep the long form")
-    return pairs.groupBy(row).pivot(col, names).agg(F.first(value))
+    names = list(col_order) if col_order is not None else pivot_names(pairs, col)
+    return pairs.groupBy(row).pivot(col, names).agg(F.first(value)) if names else pairs.select(row).distinct()
+
+
+def matrix_blocks(pairs: DataFrame, row: str, col: str, value: str, width: int = 1_000) -> DataFrame:
+    """SNK6 for any number of columns: ``(row, block, names, values)``, each
+    block holding the next ``width`` columns in the order of their names,
+    with null where a row has no value.  Column numbers come from a sorted
+    table of names, so neither the driver nor one row holds all columns."""
+    from ..operators.tables import with_row_index
+    names = with_row_index(pairs.select(F.col(col).alias("_name")).dropna().distinct(), ["_name"], "_at")
+    heads = names.groupBy(F.floor(F.col("_at") / width).alias("block")).agg(F.array_sort(F.collect_list(F.struct("_at", "_name"))).alias("_head"))
+    cells = pairs.select(F.col(row).alias("row"), F.col(col).alias("_name"), F.col(value).alias("_value")).join(names, "_name")
+    cells = cells.groupBy("row", F.floor(F.col("_at") / width).alias("block")).agg(
+        F.map_from_entries(F.collect_list(F.struct((F.col("_at") % width).alias("at"), "_value"))).alias("_cells"))
+    full = cells.join(heads, "block")
+    at = F.transform("_head", lambda h: F.get(F.map_values(F.map_filter("_cells", lambda k, _: k == h["_at"] % width)), F.lit(0)))
+    return full.select("row", "block", F.transform("_head", lambda h: h["_name"]).alias("names"), at.alias("values"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions.text import render_lines, with_normalised_text
 from .operators.checks import UNCLASSIFIED, coerce_to_domain, require_columns, split_by_domain
+from .sources.readers import literal_table
 
 # ---------------------------------------------------------------------------------------------
 # Closed category domains of the catalogues, exactly as published
@@ -256,10 +257,5 @@ class Paths:
         return self._p("AggregatedMap", space, f"top_{n}_validated_{kind}")
 
 
-def dimension(spark: SparkSession, rows, schema: str) -> DataFrame:
-    """A literal dimension table (SRC8)."""
-    return spark.createDataFrame(list(rows), schema)
-
-
 def mext_groups(spark: SparkSession) -> DataFrame:
-    return dimension(spark, [(c, n) for c, n in MEXT_FOOD_GROUPS], "food_group string, food_category string")
+    return literal_table(spark, [(c, n) for c, n in MEXT_FOOD_GROUPS], "food_group string, food_category string")

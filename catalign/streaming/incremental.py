@@ -3,8 +3,9 @@
 The reference keeps a log of processed inputs and skips them on the next
 run.  For file inputs the Spark-native form is a file-source stream with an
 ``availableNow`` trigger: each run processes exactly the files that arrived
-since the last one, the checkpoint (in a shared folder) is the log, and a
-failed batch is retried without double-processing.
+since the last one and the checkpoint (in a shared folder) is the log.  A
+batch writes a folder of its own number and replaces it as a whole, so a
+batch that is retried after a failure leaves no duplicate.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ def process_new_files(spark: SparkSession, source_dir: str, out_dir: str, checkp
                       transform: Callable[[DataFrame], DataFrame], fmt: str = "binaryFile",
                       schema: T.StructType | str | None = None, glob: str | None = None,
                       max_files_per_batch: int | None = None) -> int:
-    """Run ``transform`` over files not processed yet and append the result
-    to ``out_dir``; returns the number of batches that ran."""
+    """Run ``transform`` over files not processed yet and write the result to
+    ``out_dir`` (a folder per batch, the column ``batch``); returns the
+    number of batches that ran."""
     r = spark.readStream.format(fmt)
     if schema is not None:
         r = r.schema(schema)
@@ -35,7 +37,7 @@ def process_new_files(spark: SparkSession, source_dir: str, out_dir: str, checkp
     batches = []
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("append").parquet(out_dir)
+        transform(batch).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
         batches.append(batch_id)
 
     q = (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_dir)

@@ -83,7 +83,7 @@ def main(argv):
 
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]
-    spark = build_session("local[8]", 8)
+    spark = build_session("local[8]", 8, driver_memory=os.environ.get("HARNESS_MEMORY", "8g"))
     con = duck(sf_dir)
     qs, os_ = queries(), oracle_sql()
     bad = 0

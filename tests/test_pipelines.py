@@ -227,3 +227,111 @@ def test_model_map_bounded_in_flight(spark):
     out = model_map(df, make(), ["k"], "peak int", keep_cols=["k"], max_in_flight=3, retries=1, wait_s=0)
     peak = max(r.peak for r in out.collect())
     assert 2 <= peak <= 3
+
+
+def _hpp_items(spark, n):
+    return spark.createDataFrame([(f"h{i}", f"item {i}", "oil" if i in (3, 8) else "dairy") for i in range(n)],
+                                 "hebrew_name string, short_description string, category_hint string")
+
+
+def test_each_record_is_translated_once_per_pass(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def fn(row):
+        calls.add(1)
+        bad = row["category_hint"] == "oil"
+        return {"description": row["short_description"] or "none", "food_category": "Beverages",
+                "food_item_discrepancy": "not same food item" if bad else "same food item"}
+    lazy = model_map(_hpp_items(spark, 20), fn, ["category_hint", "short_description"], "description string", keep_cols=["hebrew_name"], retries=1, wait_s=0)
+    assert lazy.columns and calls.value == 0
+    final, phase_1, redone = two_pass_translate(_hpp_items(spark, 20), SPECS["HPP"], SPECS["SR_Legacy"], fn, retries=1, wait_s=0)
+    assert final.count() == 20 and phase_1.count() == 20 and redone.count() == 2
+    assert calls.value == 22
+
+
+def test_failed_and_rejected_records_stay(spark):
+    def fn(row):
+        if row["hebrew_name"] == "h1":
+            raise RuntimeError("down")
+        category = "Nonsense" if row["hebrew_name"] == "h2" else "Beverages"
+        return {"description": row["short_description"] or "none", "food_category": category, "food_item_discrepancy": "same food item"}
+    final, _, _ = two_pass_translate(_hpp_items(spark, 20), SPECS["HPP"], SPECS["SR_Legacy"], fn, retries=1, wait_s=0)
+    got = {r.hebrew_name: r.status for r in final.collect()}
+    assert len(got) == 20 and got["h1"] == "failed" and got["h2"] == "rejected" and got["h0"] == "ok"
+
+
+def test_align_resumes_after_a_crash_between_its_outputs(spark, tmp_dir, monkeypatch):
+    from catalign.plans import align as plan
+    emb = hashed_token_embedding(16)
+    tgt = model_map(spark.createDataFrame([("item 3",), ("tea",)], "text string"), emb, ["text"], "embedding array<double>",
+                    keep_cols=["text"], retries=1, wait_s=0).withColumnRenamed("text", "description")
+    fn = lambda r: {"description": r["short_description"] or "none", "food_category": "Beverages", "food_item_discrepancy": "same food item"}
+    run = lambda: align(spark, _hpp_items(spark, 6), SPECS["HPP"], SPECS["SR_Legacy"], tgt, fn, emb, f"{tmp_dir}/al", chunk_size=3, retries=1, wait_s=0)
+    whole = plan.top_matches
+
+    def crash(*a, **k):
+        raise RuntimeError("stopped")
+    monkeypatch.setattr(plan, "top_matches", crash)
+    import pytest
+    with pytest.raises(RuntimeError, match="stopped"):
+        run()
+    assert spark.read.parquet(f"{tmp_dir}/al/embeddings").count() >= 6
+    monkeypatch.setattr(plan, "top_matches", whole)
+    assert sorted(r.chunk for r in run().collect()) == [0, 1]
+    assert spark.read.parquet(f"{tmp_dir}/al/top_match").count() == 6
+    assert run().count() == 0
+
+
+def test_update_writes_nulls_and_ranks_null_groups(spark):
+    from catalign.operators.joins import keyed_update
+    from catalign.operators.tables import rank_within
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    upd = spark.createDataFrame([(1, None)], "k int, v string")
+    assert sorted(tuple(r) for r in keyed_update(df, upd, "k", ["v"]).collect()) == [(1, None), (2, "b")]
+    g = spark.createDataFrame([(None, 1), (None, 2), ("x", 3), ("x", 4)], "g string, o int")
+    assert sorted(((r.g, r.o), r["rank"]) for r in rank_within(g, ["g"], ["o"]).collect() if r.g) == [(("x", 3), 1), (("x", 4), 2)]
+    assert sorted((r.o, r["rank"]) for r in rank_within(g, ["g"], ["o"]).collect() if r.g is None) == [(1, 1), (2, 2)]
+
+
+def test_unscored_match_loses_and_tied_list_is_in_name_order(spark):
+    from catalign.operators.reshape import match_lists
+    base = spark.createDataFrame([("a",)], "k string")
+    s = spark.createDataFrame([("a", "m1", None), ("a", "m2", 0.1)], "k string, match string, similarity_score double")
+    assert registry_with_sources(base, "k", {"S": s}).first().S__match == "m2"
+    top = spark.createDataFrame([("d", 1, "x", n, 0.5) for n in (12, 10, 11)], "dataset string, item int, target string, match int, score double")
+    assert [p.name for p in match_lists(top, ["dataset", "item"], "target", "match", "score").first().x] == [10, 11, 12]
+
+
+def test_sheet_header_with_a_line_end(spark, tmp_dir):
+    p = f"{tmp_dir}/sheet.csv"
+    _write(p, 't,,\n,,\n,,\n,,\nFood Group,Item No.,"Food and\n Description"\n,,TAG\n,,g\n01,1,Rice\n')
+    from catalign.sources.readers import read_sheet_rows
+    rows = read_sheet_rows(spark, p, 3).orderBy("_idx").collect()
+    assert len(rows) == 8 and rows[4]["_c2"] == "Food and\n Description"
+
+
+def test_name_outside_the_column_list_is_an_error(spark):
+    import pytest
+    from catalign.operators.reshape import pivot_mean
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0)], "k int, n string, v double")
+    with pytest.raises(Exception, match="value without a column"):
+        pivot_mean(df, ["k"], "n", "v", ["a"]).collect()
+
+
+def test_processed_log_survives_a_crash_between_its_writes(spark, tmp_dir):
+    import shutil
+    from catalign.sources.sinks import process_new_keys
+    items = spark.createDataFrame([("a",), ("b",)], "name string")
+    args = ("name", f"{tmp_dir}/log", lambda d: d, f"{tmp_dir}/out")
+    process_new_keys(spark, items, *args)
+    shutil.rmtree(f"{tmp_dir}/log")  # as if the run had stopped before the log was written
+    process_new_keys(spark, items, *args)
+    assert spark.read.parquet(f"{tmp_dir}/out").count() == 2
+
+
+def test_matrix_blocks_hold_any_number_of_columns(spark):
+    from catalign.sources.sinks import matrix_blocks
+    pairs = spark.range(2500).select((F.col("id") % 3).alias("r"), F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("c"), F.col("id").alias("v"))
+    rows = matrix_blocks(pairs, "r", "c", "v", width=400).collect()
+    got = {(r.row, n): v for r in rows for n, v in zip(r.names, r["values"]) if v is not None}
+    assert got == {(i % 3, f"c{i:05d}"): i for i in range(2500)} and len(rows) == 21

@@ -5,11 +5,12 @@ import re
 import pytest
 
 SF = "/root/testdata/sf0.001"
-PYTHON_NODES = ("FlatMapCoGroupsInPandas", "MapInPandas", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas")
+PYTHON_NODES = ("FlatMapCoGroupsInPandas", "FlatMapCoGroupsInArrow", "MapInPandas", "MapInArrow", "ArrowEvalPython",
+                "BatchEvalPython", "FlatMapGroupsInPandas", "FlatMapGroupsInArrow")
 # queries whose semantics need the vector kernel or a caller's model function
-PYTHON_ALLOWED = {"cross_top3", "align_top1", "best_source", "distance_scale", "melt_lists", "fact_transfer",
-                  "fact_transfer_long", "rank_by_space",
-                  "impute_k1", "impute_k3", "impute_k3_uniform", "judge_pairs", "embed_text"}
+PYTHON_ALLOWED = {"cross_top3", "cross_top3_grid", "cross_top3_ties", "space_rank_nulls", "align_top1", "best_source",
+                  "distance_scale", "melt_lists", "fact_transfer", "fact_transfer_long", "rank_by_space",
+                  "impute_k1", "impute_k3", "impute_k3_uniform", "impute_neighbours", "impute_lines", "judge_pairs", "embed_text"}
 
 
 def _plan(spark, name):
@@ -18,20 +19,11 @@ def _plan(spark, name):
     return df._jdf.queryExecution().executedPlan().toString(), df
 
 
-def test_small_target_is_broadcast_not_gridded(spark):
-    plan, df = _plan(spark, "cross_top3")
-    df.collect()
-    assert "MapInPandas" in plan and "FlatMapCoGroupsInPandas" not in plan
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-
-
-def test_grid_top_n_uses_partial_window_limit(spark):
-    from catalign.operators.similarity import as_items, top_matches
-    items = as_items(spark.read.parquet(f"{SF}/embeddings.parquet"), "label", "vec_id")
-    df = top_matches(items, None, k=3, cell_rows=100)
+def test_top_n_runs_in_cells_and_limits_before_the_shuffle(spark):
+    plan, df = _plan(spark, "cross_top3_grid")
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "FlatMapCoGroupsInPandas" in plan
+    assert "FlatMapCoGroupsInArrow" in plan
     assert plan.count("WindowGroupLimit") >= 2  # partial before the exchange, final after
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
@@ -56,9 +48,10 @@ def test_relational_queries_stay_in_the_jvm(spark, name):
 
 
 def test_python_only_where_needed(spark):
-    from __spark_entry__ import queries
-    for name in queries():
-        if name in PYTHON_ALLOWED:
+    from catalign.queries import all_queries
+    from catalign.queries.flows import QUERIES as flows  # whole jobs, some of which call a model
+    for name, query in all_queries().items():
+        if name in PYTHON_ALLOWED or name in flows:
             continue
-        plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert not any(n in plan for n in PYTHON_NODES), name

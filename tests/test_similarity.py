@@ -1,6 +1,10 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from catalign.operators import similarity
+
 from catalign.functions.vectors import cosine
 from catalign.operators.matching import best_match, choose_source, cross_dataset_top_n
 from catalign.operators.reshape import first_per_key
@@ -14,14 +18,39 @@ def _items(spark):
 
 
 def test_best_k_ties_go_to_smaller_column():
-    s = np.array([[0.5, 0.9, 0.9, 0.1, 0.9]])
-    rows, cols, vals, rank = _best_k(s, 2)
-    assert cols.tolist() == [1, 2]
-    rows, cols, vals, rank = _best_k(np.array([[-np.inf, 0.3, 0.2]]), 5)
-    assert rank.tolist() == [1, 2]
+    y = np.array([[1.0, 0.0], [0.6, 0.8], [0.6, 0.8], [0.0, 1.0], [0.6, 0.8]])
+    x = np.array([[0.6, 0.8]])
+    rows, cols, vals = _best_k(x @ y.T, x, y, 2)
+    assert cols.tolist() == [1, 2] and vals[0] == vals[1]
+    scores = np.array([[-np.inf, 0.3, 0.2]])
+    rows, cols, vals = _best_k(scores, np.array([[1.0]]), np.array([[9.0], [0.3], [0.2]]), 5)
     assert cols.tolist() == [1, 2]
 
 
+@pytest.mark.parametrize("n_left,n_right,batch", [(333, 37, 333), (333, 37, 1), (333, 1003, 7), (1, 1003, 1)])
+def test_equal_vectors_score_equally_whatever_the_batch(spark, n_left, n_right, batch, monkeypatch):
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=64).astype("float32")
+    left = pa.table({"dataset": ["l"] * n_left, "item": np.arange(n_left), "embedding": list(rng.normal(size=(n_left, 64)).astype("float32"))})
+    right = pa.table({"dataset": ["r"] * n_right, "item": np.arange(n_right)[::-1], "embedding": [one] * n_right})
+    monkeypatch.setattr(similarity, "_MAX_SCORES", batch * n_right)
+    schema = similarity.T._parse_datatype_string("dataset string, item long, target string, match long, score double")
+    out = similarity._cell_function(2, False, False, False, False, schema)(left, right).to_pandas()
+    assert (out.groupby("item")["match"].apply(list).map(tuple) == (0, 1)).all() and len(out) == 2 * n_left
+
+
+def test_repeated_keys_are_tolerated(spark):
+    df = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 1, [1.0, 0.0]), ("a", 2, [0.9, 0.1]), ("b", 3, [0.0, 1.0]), ("b", 3, [0.5, 0.5])],
+                               "dataset string, item int, embedding array<double>")
+    for cell_rows in (None, 1):
+        out = top_matches(df, None, k=2, per_target=False, cell_rows=cell_rows).collect()
+        best = {}
+        for r in out:
+            assert (r.dataset, r.item) != (r.target, r.match)
+            best.setdefault(r.item, []).append((r["rank"], r.match))
+        assert sorted(best[2]) == [(1, 1), (2, 1)]
+
+
 def test_grid_shape_bounds():
     assert grid_shape(10, 10, 100, 8)[0] * grid_shape(10, 10, 100, 8)[1] >= 8
     gl, gr = grid_shape(1_000_000, 50_000, 8192, 8)
@@ -104,21 +133,14 @@ def test_first_per_key_is_deterministic(spark):
     assert out == [("a", 1, "w"), ("b", 2, "x")]
 
 
-def test_broadcast_path_equals_grid_path(spark):
+def test_cell_size_changes_nothing(spark):
     items = _items(spark)
-    cols = ["dataset", "item", "target", "match", "rank"]
-    grid = top_matches(items, None, k=3, cell_rows=50)
-    bc = top_matches(items, None, k=3)
-    g = {tuple(r[c] for c in cols) + (round(r.score, 12),) for r in grid.collect()}
-    b = {tuple(r[c] for c in cols) + (round(r.score, 12),) for r in bc.collect()}
-    assert g == b and len(g) > 0
-    left = items.filter("dataset < 5")
-    right = items.filter("dataset >= 5")
-    g1 = {(r.item, r.match, r["rank"]) for r in top_matches(left, right, k=2, per_target=False, cell_rows=40).collect()}
-    b1 = {(r.item, r.match, r["rank"]) for r in top_matches(left, right, k=2, per_target=False).collect()}
-    assert g1 == b1
-    assert "MapInPandas" in bc._jdf.queryExecution().executedPlan().toString()
-    assert "FlatMapCoGroupsInPandas" in grid._jdf.queryExecution().executedPlan().toString()
+    cols = ["dataset", "item", "target", "match", "score", "rank"]
+    rows = [{tuple(r[c] for c in cols) for r in top_matches(items, None, k=3, cell_rows=c).collect()} for c in (None, 50, 13)]
+    assert rows[0] == rows[1] == rows[2] and rows[0]
+    left, right = items.filter("dataset < 5"), items.filter("dataset >= 5")
+    g, b = ({(r.item, r.match, r.score, r["rank"]) for r in top_matches(left, right, k=2, per_target=False, cell_rows=c).collect()} for c in (40, None))
+    assert g == b
 
 
 def test_top_matches_with_range_equals_separate_passes(spark):

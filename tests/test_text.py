@@ -82,10 +82,18 @@ def test_staged_and_single_expression_forms_agree(spark):
     assert a == b
 
 
-def test_spread_only_when_needed(spark):
-    from catalign.session import spread
-    wide = spark.range(0, 1000, numPartitions=16)
-    assert spread(wide, min_bytes=0) is wide  # enough partitions: untouched
-    one = spark.range(0, 1000, numPartitions=1)
-    assert spread(one) is one  # small: untouched
-    assert spread(one, min_bytes=0).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_scan_is_spread_only_when_needed(spark, tmp_dir):
+    from catalign.session import read_table
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_dir}/one.parquet")
+    spark.range(100).repartition(2 * cores).write.parquet(f"{tmp_dir}/many.parquet")
+    assert read_table(spark, tmp_dir, "one", spread=True).rdd.getNumPartitions() == cores
+    assert read_table(spark, tmp_dir, "one").rdd.getNumPartitions() == 1
+    assert "Exchange" not in read_table(spark, tmp_dir, "many", spread=True)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_required_lines_print_none(spark):
+    df = spark.createDataFrame([("milk", None), (None, "x")], "a string, b string")
+    lines = [("Description", "a", "required"), ("Hint", "b", "optional")]
+    got = [r[0] for r in df.select(render_lines(lines)).collect()]
+    assert got == ["Description: milk.", "Description: None.\nHint: x."]
