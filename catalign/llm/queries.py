@@ -83,20 +83,20 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 WITH RECURSIVE names AS (
   SELECT i AS shard, 'shard-' || i AS name FROM range({shard_table.SHARDS}) t(i)
 ), pref AS (
-  SELECT list(CAST(('0x' || substr(md5(name || ':first'), 1, 15)) AS BIGINT) % {shard_table.SLOTS} ORDER BY shard) AS first,
-         list(CAST(('0x' || substr(md5(name || ':step'), 1, 15)) AS BIGINT) % ({shard_table.SLOTS} - 1) + 1 ORDER BY shard) AS step
+  SELECT shard, CAST(('0x' || substr(md5(name || ':first'), 1, 15)) AS BIGINT) % {shard_table.SLOTS} AS first,
+         CAST(('0x' || substr(md5(name || ':step'), 1, 15)) AS BIGINT) % ({shard_table.SLOTS} - 1) + 1 AS step
   FROM names
+), choice AS (
+  SELECT shard, list(CAST((first + j * step) % {shard_table.SLOTS} AS INTEGER) ORDER BY j) AS slots
+  FROM pref, range({shard_table.SLOTS}) r(j) GROUP BY shard
 ), fill(n, slot, taken) AS (
-  SELECT 0, CAST(-1 AS BIGINT), CAST([] AS BIGINT[])
+  SELECT 0, -1, bitstring('0', {shard_table.SLOTS})
   UNION ALL
-  SELECT n + 1, s, list_append(taken, s) FROM (
-    SELECT n, taken, (SELECT x FROM (
-        SELECT j, (first[n % {shard_table.SHARDS} + 1] + j * step[n % {shard_table.SHARDS} + 1]) % {shard_table.SLOTS} AS x
-        FROM pref, range({shard_table.SLOTS}) r(j)) c
-      WHERE NOT list_contains(taken, x) ORDER BY j LIMIT 1) AS s
-    FROM fill WHERE n < {shard_table.SLOTS})
+  SELECT n + 1, s, set_bit(taken, s, 1) FROM (
+    SELECT f.n, f.taken, list_filter(c.slots, lambda x: get_bit(f.taken, x) = 0)[1] AS s
+    FROM fill f JOIN choice c ON c.shard = f.n % {shard_table.SHARDS} WHERE f.n < {shard_table.SLOTS})
 ), owner AS (
-  SELECT CAST(slot AS INTEGER) AS slot, CAST((n - 1) % {shard_table.SHARDS} AS INTEGER) AS shard FROM fill WHERE n > 0
+  SELECT slot, CAST((n - 1) % {shard_table.SHARDS} AS INTEGER) AS shard FROM fill WHERE n > 0
 )
 SELECT d.doc_id, o.slot, o.shard
 FROM (SELECT doc_id, CAST(CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) % {shard_table.SLOTS} AS INTEGER) AS slot FROM documents) d

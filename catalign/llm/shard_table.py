@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SHARDS = 32
+SHARDS = 16
 #: Prime, at least a hundred times the shards.
-SLOTS = 4099
+SLOTS = 2053
 
 
 def _md5_number(text: Column) -> Column:
