@@ -19,22 +19,23 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Alternates the two star steps: a node first links its larger neighbours to
     the smallest node it knows, then its smaller neighbours and itself.  Each
-    step is an aggregation by node (pre-aggregated before the shuffle) and a
-    join back onto the edges, which splits a hot node; no step gathers the
-    neighbours of a node.  The edge set shrinks to one edge per node."""
+    step is an aggregation by node (pre-aggregated before the shuffle),
+    written, and a join back onto the edges, in which Spark can split a hot
+    node; no step gathers the neighbours of a node.  The edge set shrinks to
+    one edge per node."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     cur = scratch.put(edges, "edges")
     state = _state(cur)
     while True:
         both = cur.select("a", "b").unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = scratch.put(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         step = scratch.put(large, "large")
-        low = step.groupBy("a").agg(F.min("b").alias("m"))
-        small = step.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        nxt = scratch.put(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "small")
+        down = scratch.put(step.groupBy("a").agg(F.min("b").alias("m")), "down")
+        small = step.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        nxt = scratch.put(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct(), "small")
         now = _state(nxt)
-        scratch.drop(cur, step)
+        scratch.drop(cur, low, step, down)
         cur = nxt
         if now == state:
             return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -127,7 +127,7 @@ def near_pairs(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, max_bucke
     cur, found = fps, None
     for level in range(3):
         keyed = _keyed(cur, radius, level)
-        sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
+        sizes = scratch.put(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
         multi = scratch.put(keyed.join(sizes, ["mask", "key"]), "buckets")
         last = level == 2
         small = multi if last else multi.where(F.col("n") <= max_bucket)
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = scratch.put(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = components(near_pairs(nodes.select("fp"), scratch, radius, max_bucket), scratch)
     member = scratch.put(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "members")
-    best = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    best = scratch.put(member.groupBy("root").agg(F.min("first_id").alias("component_id")), "first")
     label = scratch.put(member.select("fp", "root").join(best, "root").select("fp", "component_id"), "labels")
     return rows.join(label, "fp").select("doc_id", "fp", "component_id")
 
