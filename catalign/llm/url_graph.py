@@ -16,8 +16,6 @@ from .scratch import Scratch
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING = 0.85
 ROUNDS = 12
-#: Rounds between written tables.
-WRITE_EVERY = 4
 #: Share of distrust in a host's trust and distrust from which it is blocked.
 BLOCK_SHARE = 0.5
 
@@ -62,19 +60,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int
     """(host, kind, r) for kind 0 (trust) and 1 (distrust) from seeds of the
     same columns.  Trust follows edges in proportion to the source's links,
     distrust runs back over them in proportion to the target's; what reaches
-    a host without onward links ends there."""
-    out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    into = edges.groupBy("dst").agg(F.sum("n").alias("total"))
+    a host without onward links ends there.  Every round is written, so the
+    join that sends the ranks on can split a hot host."""
+    out = scratch.put(edges.groupBy("src").agg(F.sum("n").alias("total")), "out")
+    into = scratch.put(edges.groupBy("dst").agg(F.sum("n").alias("total")), "into")
     forward = edges.join(out, "src").select(F.col("src").alias("host"), F.lit(0).alias("kind"), F.col("dst").alias("to"), (F.col("n") / F.col("total")).alias("w"))
     back = edges.join(into, "dst").select(F.col("dst").alias("host"), F.lit(1).alias("kind"), F.col("src").alias("to"), (F.col("n") / F.col("total")).alias("w"))
     flow = scratch.put(forward.unionByName(back), "flow")
     base = seeds.withColumn("r", F.col("r") * (1 - damping))
-    cur = seeds
-    for i in range(1, rounds + 1):
+    cur = scratch.put(seeds, "ranks")
+    for _ in range(rounds):
         sent = cur.join(flow, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("r") * F.col("w") * damping).alias("r"))
-        cur = base.unionByName(sent).groupBy("host", "kind").agg(F.sum("r").alias("r"))
-        if i % WRITE_EVERY == 0 or i == rounds:
-            cur = scratch.put(cur, "ranks")
+        nxt = scratch.put(base.unionByName(sent).groupBy("host", "kind").agg(F.sum("r").alias("r")), "ranks")
+        scratch.drop(cur)
+        cur = nxt
     return cur
 
 
