@@ -61,15 +61,15 @@ def ingest_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PIP2 + SRC5: the events as one JSON document per user with nested
-    nutrient lists, read back and averaged by description."""
+    nutrient lists (amounts in hundredths), read back and averaged by description."""
     out = _folder(spark)
     ev = read_table(spark, sf_dir, "events")
-    fact = F.struct(F.struct(F.concat(F.lit("n_"), F.col("event_type")).alias("name")).alias("nutrient"), F.col("value").alias("amount"))
+    fact = F.struct(F.struct(F.concat(F.lit("n_"), F.col("event_type")).alias("name")).alias("nutrient"), F.round(F.col("value") * 100).cast("long").alias("amount"))
     foods = ev.groupBy("user_id").agg(F.collect_list(fact).alias("foodNutrients")).select(
         F.struct(F.concat(F.lit("user "), F.pmod("user_id", F.lit(50)).cast("string")).alias("description"), "foodNutrients").alias("food"))
     foods.select(F.array("food").alias("SurveyFoods")).write.json(f"{out}/foods")
     got = nested_json_facts(spark, f"{out}/foods", multiline=False)["facts"]
-    return got.select("description", *[F.round(c, 6).alias(c) for c in sorted(set(got.columns) - {"description"})])
+    return got.select("description", *sorted(set(got.columns) - {"description"}))
 
 
 def ingest_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -465,7 +465,7 @@ UNION ALL SELECT 'customer', count(*), count(DISTINCT c_nationkey), NULL FROM cu
 }
 # the event types are the columns of the wide form
 ORACLES["ingest_nested_json"] = "SELECT 'user ' || (user_id % 50) AS description, " + ", ".join(
-    f"round(avg(value) FILTER (WHERE event_type = '{t}'), 6) AS n_{t}" for t in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1"
+    f"avg(CAST(round(value * 100) AS BIGINT)) FILTER (WHERE event_type = '{t}') AS n_{t}" for t in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1"
 
 QUERIES = {f.__name__: f for f in (
     ingest_relational, ingest_nested_json, ingest_sheet, ingest_flat, sheet_meta, align_two_pass, align_resume, failing_calls,
