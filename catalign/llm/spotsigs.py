@@ -96,20 +96,29 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text ends in the beginning of the next document, by descending
     id, in place of its own last third; after the last comes the first.
     Null texts count as empty.  Rows that repeat an id share their place; the
-    smallest text stands for the id towards the row before it.  A row without
-    an id has no place in the order and is its own next document."""
+    shortest text (of equal lengths, that of the smallest hash) stands for
+    the id towards the row before it.  A row without an id has no place in
+    the order and is its own next document.
+
+    The texts are shuffled once, by id; of a next document only the part
+    that is needed and its signatures travel."""
     scratch = Scratch(docs.sparkSession, "spots")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("n", F.length("text"))
-    order = neighbours(rows, scratch)
-    placed = with_signatures(rows.join(order, "doc_id", "left"), "text", "sigs")
+    # a plain column where it will do: an alias would keep the two uses below from sharing their exchange
+    plain = id_col == "doc_id" and dict(docs.dtypes)[id_col] == "bigint"
+    rows = docs.select(F.col("doc_id") if plain else F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    known = rows.where("doc_id is not null")
+    order = neighbours(known.withColumn("n", F.length("text")), scratch)
+    # both uses of this join read one exchange: they ask it for the same columns
+    placed = with_signatures(known.join(order, "doc_id"), "text", "sigs")
     head = F.substring(F.col("text"), F.lit(1), F.floor(F.col("before_n") / 3).cast("int"))
-    heads = placed.where("before_id is not null").select(F.col("before_id").alias("to_id"), F.struct("text", head.alias("head"), "sigs").alias("next"))
-    heads = heads.groupBy("to_id").agg(F.min_by(F.struct("next.head", "next.sigs"), "next.text").alias("next"))
-    out = placed.join(heads, F.col("doc_id") == F.col("to_id"), "left")
-    third = F.floor(F.col("n") / 3).cast("int")
-    begins = F.when(F.col("to_id").isNull(), F.col("text")).otherwise(F.col("next.head"))
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - third), F.substring(begins, F.lit(1), third))
-    out = out.select("doc_id", F.col("n").cast("long").alias("n_chars"), "text", edited.alias("edited"), "sigs", F.coalesce("next.sigs", "sigs").alias("next_sigs"))
-    out = with_signatures(out, "edited", "edited_sigs")
+    heads = placed.select(F.col("before_id").alias("to_id"), F.struct(F.length("text"), F.xxhash64("text")).alias("rank"), F.struct(head.alias("head"), "sigs").alias("next"))
+    heads = heads.groupBy("to_id").agg(F.min_by("next", "rank").alias("next"))
+    out = placed.join(heads, F.col("doc_id") == F.col("to_id")).select("doc_id", "text", "sigs", F.col("next.head").alias("head"), F.col("next.sigs").alias("next_sigs"))
+    lost = with_signatures(rows.where("doc_id is null"), "text", "sigs")
+    out = out.unionByName(lost.select("doc_id", "text", "sigs", F.col("text").alias("head"), F.col("sigs").alias("next_sigs")))
+    n = F.length("text")
+    third = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("head"), F.lit(1), third))
+    out = with_signatures(out.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "sigs", "next_sigs"), "edited", "edited_sigs")
     return out.withColumn("near_edited", likeness(F.col("sigs"), F.col("edited_sigs"))).withColumn("near_next", likeness(F.col("sigs"), F.col("next_sigs")))
