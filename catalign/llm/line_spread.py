@@ -65,11 +65,13 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lines = _lines(docs, id_col, text_col, site_col)
     found = boilerplate(lines, scratch, min_sites)
     hits = scratch.put(lines.join(found, "h", "left_semi").select("id", "pos", "h"), "hits")
-    first = hits.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("first"))
+    # a table of its own, so that Spark can split the join's hot lines
+    first = scratch.put(hits.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("first")), "first")
     others = hits.join(first, "h").where(~F.struct("id", "pos").eqNullSafe(F.col("first")))
     # one mark per removed (line, place); rows that share an id share the marks
     marks = scratch.put(others.groupBy(F.col("id").alias("_line_id")).agg(F.collect_set(F.xxhash64("h", "pos")).alias("_marks")), "marks")
-    joined = docs.join(marks, docs[id_col].eqNullSafe(marks["_line_id"]), "left")
+    # one plan at every size: texts are shuffled once, by id
+    joined = docs.join(marks.hint("merge"), docs[id_col].eqNullSafe(marks["_line_id"]), "left")
     all_lines = split_lines(F.col(text_col).cast("string"))
     kept = F.filter(all_lines, lambda line, i: ~F.array_contains(F.col("_marks"), F.xxhash64(line_hash(line), i)))
     out = joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_lines)).cast("long"))
