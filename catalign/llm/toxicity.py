@@ -20,14 +20,14 @@ from .scratch import Scratch
 #: Bound of the labelled rows a fit reads, chosen by a hash of their id.
 MAX_LABELLED = 12_000
 #: Features kept, by the strength of their link with the label.
-VOCABULARY = 8_000
+VOCABULARY = 3_000
 #: Documents of the sample in which a feature has to occur.
-MIN_DF = 4
+MIN_DF = 3
 PREFIXES = (4, 5, 6, 7)
 PENALTY = 4.0
 RIDGE = 1e-3
-#: Weight of a toxic row against a clean one.
-POSITIVE_WEIGHT = 3.0
+#: Weight of a toxic row against a clean one; None gives both labels equal total weight.
+POSITIVE_WEIGHT = None
 ROUNDS = 300
 THRESHOLD = 0.7
 #: Feature counts held by a task before they are sent on.
@@ -96,7 +96,7 @@ def _rows(idx: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_logistic(idx: list[np.ndarray], y: np.ndarray, n: int, pairs: list[tuple[np.ndarray, np.ndarray]],
-                 penalty: float = PENALTY, ridge: float = RIDGE, positive_weight: float = POSITIVE_WEIGHT,
+                 penalty: float = PENALTY, ridge: float = RIDGE, positive_weight: float | None = POSITIVE_WEIGHT,
                  rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Weights and bias for sparse binary rows ``idx``; ``pairs`` are the
     rows of texts and of their swapped copies.  Full-batch Adam."""
@@ -104,6 +104,8 @@ def fit_logistic(idx: list[np.ndarray], y: np.ndarray, n: int, pairs: list[tuple
     flat = [(np.setdiff1d(a, b), np.setdiff1d(b, a)) for a, b in pairs]
     pcol, prow = _rows([np.concatenate(p) for p in flat])
     psign = np.concatenate([np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in flat]) if flat else np.zeros(0)
+    if positive_weight is None:
+        positive_weight = (y <= 0).sum() / max((y > 0).sum(), 1)
     weight = np.where(y > 0, positive_weight, 1.0)
     weight /= weight.sum()
     w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
