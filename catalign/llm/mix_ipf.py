@@ -28,17 +28,17 @@ def register(text: Column) -> Column:
     """A coarse topic from the make-up of the whole text: the share of
     digits, of symbols and of line ends."""
     size = F.length(text)
-    share = lambda drop: (size - F.length(F.translate(text, drop, ""))) / size
+    share = lambda chars: F.regexp_count(text, F.lit(chars)) / size
     return (F.when(F.coalesce(size, F.lit(0)) == 0, "empty")
-            .when(share("0123456789") >= 0.05, "numbers")
-            .when(share("|#$%&*<>{}[]=+_\\/~^@") >= 0.03, "symbols")
+            .when(share("[0-9]") >= 0.05, "numbers")
+            .when(share(r"[|#$%&*<>{}\[\]=+_\\/~^@]") >= 0.03, "symbols")
             .when(share("\n") >= 0.02, "lists")
             .when(size >= 8000, "long prose").otherwise("prose"))
 
 
 def category(col: Column) -> Column:
     """A category's key; null is a category of its own."""
-    return F.when(col.isNull(), "n").otherwise(F.concat(F.lit("v:"), col.cast("string")))
+    return F.coalesce(F.concat(F.lit("v:"), col.cast("string")), F.lit("n"))
 
 
 def power_targets(cells: DataFrame, dim: str, power: float, floor: float = FLOOR) -> DataFrame:

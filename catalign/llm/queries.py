@@ -25,8 +25,9 @@ def op3_simhash_dedup(spark, sf_dir):
 
 
 def op4_source_mix(spark, sf_dir):
-    out = mix_ipf.mix(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", "lang", mix_ipf.register(F.col("text")).alias("topic"), F.col("mix_tokens").alias("n_tokens"),
+    docs = _table(spark, sf_dir, "documents").withColumn("topic", mix_ipf.register(F.col("text")))
+    out = mix_ipf.mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("topic")})
+    return out.select("doc_id", "source", "lang", "topic", F.col("mix_tokens").alias("n_tokens"),
                       F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.col("mix_sampled").alias("sampled"))
 
 
