@@ -14,10 +14,10 @@ from oracle_harness import duck  # noqa: E402
 
 
 def main(sf_dir):
-    from __spark_entry__ import oracle_sql
+    from catalign.queries import all_oracles
     con = duck(sf_dir)
     out = {}
-    for name, sql in sorted(oracle_sql().items()):
+    for name, sql in sorted(all_oracles().items()):
         t0 = time.perf_counter()
         con.execute(sql).to_arrow_table()  # materialise every column, as the Spark bench does
         out[name] = round(time.perf_counter() - t0, 3)

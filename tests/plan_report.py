@@ -26,19 +26,19 @@ def shape(plan: str) -> list[str]:
 
 
 def main(sf_dir: str) -> None:
-    from __spark_entry__ import queries
+    from catalign.queries import all_queries
     from catalign.session import build_session
     spark = build_session("local[8]", 8)
     out = ["# PLANS", "", f"Physical plans of the registered queries on `{sf_dir}` (`local[8]`, AQE on), after one execution,",
            "so the adaptive plan is final. Generated by `python tests/plan_report.py`. Per query: exchanges (shuffles),",
            "broadcasts, Python nodes, and the scans' pushed filters and read schemas.", ""]
-    for name, fn in sorted(queries().items()):
+    for name, fn in sorted(all_queries().items()):
         df = fn(spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         plan = df._jdf.queryExecution().executedPlan().toString()
         exch = len(re.findall(r"\bExchange hashpartitioning|\bExchange rangepartitioning|\bExchange RoundRobin|\bExchange SinglePartition|ShuffleQueryStage", plan))
         bcast = plan.count("BroadcastExchange") + plan.count("BroadcastQueryStage")
-        py = sorted(set(re.findall(r"(FlatMapCoGroupsInPandas|MapInPandas|ArrowEvalPython|BatchEvalPython)", plan)))
+        py = sorted(set(re.findall(r"(FlatMapCoGroupsInArrow|FlatMapGroupsInPandas|MapInPandas|MapInArrow|ArrowEvalPython|BatchEvalPython)", plan)))
         wgl = plan.count("WindowGroupLimit")
         scans = sorted(set(re.findall(r"ReadSchema: (\S+)", plan)))
         pushed = sorted(set(re.findall(r"PushedFilters: (\[[^\]]*\])", plan)) - {"[]"})
