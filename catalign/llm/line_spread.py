@@ -14,7 +14,8 @@ from .scratch import Scratch
 
 #: Distinct sites from which a line is boilerplate.
 MIN_SITES = 10
-#: Shorter lines (trimmed) are never boilerplate: they recur by chance.
+#: Shorter lines (trimmed) stay unless the caller gives another ``min_chars``;
+#: the SQL of op7_line_dedup has this floor.
 MIN_CHARS = 20
 #: Sketch size (2^12 registers: 1.6 % standard error) and the band around
 #: the threshold, 15 standard errors wide, that is counted exactly.
@@ -30,11 +31,11 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(" \t\r")))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """(id, site, pos, h) of every line that is long enough."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(id, site, pos, h) of every line of ``min_chars`` or more."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"),
                        F.posexplode(split_lines(F.col(text_col).cast("string"))).alias("pos", "line"))
-    return rows.where(F.length(F.btrim("line", F.lit(" \t\r"))) >= MIN_CHARS).select("id", "site", "pos", line_hash(F.col("line")).alias("h"))
+    return rows.where(F.length(F.btrim("line", F.lit(" \t\r"))) >= min_chars).select("id", "site", "pos", line_hash(F.col("line")).alias("h"))
 
 
 def boilerplate(lines: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> DataFrame:
@@ -51,10 +52,11 @@ def boilerplate(lines: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES)
 
 
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                       min_sites: int = MIN_SITES, chars_col: str | None = "n_chars") -> DataFrame:
+                       min_sites: int = MIN_SITES, chars_col: str | None = "n_chars", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with boilerplate lines removed from the text, the column
     ``chars_col`` (if present) set to the new length, and two more columns:
-    ``n_lines`` (before) and ``n_removed``.
+    ``n_lines`` (before) and ``n_removed``.  Lines shorter than ``min_chars``
+    (trimmed) all stay; 1 takes every line that is not blank.
 
     Every row stays.  A null text stays null with no lines; a null site is no
     site; rows that repeat an id are treated alike; rows with a null id share
@@ -62,7 +64,7 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     input columns of the names added are replaced."""
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.drop("n_lines", "n_removed")
-    lines = _lines(docs, id_col, text_col, site_col)
+    lines = _lines(docs, id_col, text_col, site_col, min_chars)
     found = boilerplate(lines, scratch, min_sites)
     hits = scratch.put(lines.join(found, "h", "left_semi").select("id", "pos", "h"), "hits")
     # a table of its own, so that Spark can split the join's hot lines

@@ -18,9 +18,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that recur across sites.  A document that
+    """Documents without lines, however short, that recur across sites.  A document that
     consisted of nothing else goes: its lines stand where they came first."""
-    out = line_spread.remove_boilerplate(docs)
+    out = line_spread.remove_boilerplate(docs, min_chars=1)
     emptied = (F.col("n_removed") > 0) & (F.length(F.btrim("text", F.lit(" \t\r\n"))) == 0)
     return out.where(~emptied).select(*[F.col(f"`{c}`") for c in docs.columns])
 
