@@ -1,9 +1,11 @@
 """Source mixing by iterative proportional fitting.
 
 Token counts per (source, language, topic) cell are raked until the totals of
-each dimension meet their target shares; a document is then sampled with a
-probability in proportion to its cell's factor.  The largest factor gets
-probability 1, so the sample has the target mix without repeating anything."""
+each dimension meet their target shares; a document is then taken in
+proportion to its cell's factor.  With a ``scale`` the expected number of
+copies is scale times the factor, so no rare cell sets the scale for the
+rest; what exceeds 1 is met by whole copies.  Without one the largest factor
+gets probability 1, and the sample has the target mix without copies."""
 
 from __future__ import annotations
 
@@ -79,9 +81,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, max_
 
 
 def mix(docs: DataFrame, dims: dict[str, Column] | None = None, text_col: str = "text", id_col: str = "doc_id",
-        targets: dict[str, DataFrame] | None = None, seed: int = 7) -> DataFrame:
+        targets: dict[str, DataFrame] | None = None, seed: int = 7, scale: float | None = None) -> DataFrame:
     """``docs`` with the columns ``mix_tokens``, ``mix_weight`` (factor of the
-    document's cell), ``mix_probability`` and ``mix_sampled``.
+    document's cell), ``mix_probability`` (of at least one copy),
+    ``mix_sampled`` and ``mix_copies``.
+
+    With ``scale`` the expected copies are scale times the factor (1 expects
+    as many tokens as the data has): the whole part always, one more by the
+    draw.  Without, the largest factor gets probability 1.
 
     ``dims`` maps dimension names to columns (source, lang and the text's
     register by default); ``targets`` gives target shares by dimension, and a
@@ -91,7 +98,7 @@ def mix(docs: DataFrame, dims: dict[str, Column] | None = None, text_col: str =
     text share one draw, which depends on id, text and ``seed`` only.  Input
     columns of the names added are replaced."""
     scratch = Scratch(docs.sparkSession, "mix")
-    docs = docs.drop("mix_tokens", "mix_weight", "mix_probability", "mix_sampled")
+    docs = docs.drop("mix_tokens", "mix_weight", "mix_probability", "mix_sampled", "mix_copies")
     text = F.col(text_col).cast("string")
     dims = dims or {"source": F.col("source"), "lang": F.col("lang"), "topic": register(text)}
     keyed = docs.select("*", n_tokens(text).alias("mix_tokens"), *[category(c).alias(f"_m_{d}") for d, c in dims.items()])
@@ -103,12 +110,15 @@ def mix(docs: DataFrame, dims: dict[str, Column] | None = None, text_col: str =
         want[f"_m_{d}"] = (given.select(category(F.col(d)).alias(f"_m_{d}"), "share") if given is not None
                            else power_targets(cells, f"_m_{d}", POWER.get(d, 1.0)))
     raked = rake(cells, want, scratch).withColumn("mix_weight", F.col("weight") / F.col("tokens"))
-    top = raked.agg(F.max("mix_weight")).first()[0] or 1.0
-    factors = scratch.put(raked.select(*names, "mix_weight", (F.col("mix_weight") / F.lit(top)).alias("mix_probability")), "factors")
+    one = 1.0 / scale if scale else raked.agg(F.max("mix_weight")).first()[0] or 1.0  # the factor of one copy
+    factors = scratch.put(raked.select(*names, "mix_weight", (F.col("mix_weight") / F.lit(one)).alias("_copies")), "factors")
     out = keyed.join(factors, names, "left")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), text), F.lit(1 << 40)) / F.lit(float(1 << 40))
     weightless = F.col("mix_tokens") == 0
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_tokens",
-                      F.when(weightless, 1.0).otherwise(F.coalesce("mix_weight", F.lit(0.0))).alias("mix_weight"),
-                      F.when(weightless, 1.0).otherwise(F.coalesce("mix_probability", F.lit(0.0))).alias("mix_probability")
-                      ).withColumn("mix_sampled", draw < F.col("mix_probability"))
+    copies = F.when(weightless, 1.0).otherwise(F.coalesce("_copies", F.lit(0.0)))
+    whole = F.floor(copies)
+    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_tokens",
+                     F.when(weightless, 1.0).otherwise(F.coalesce("mix_weight", F.lit(0.0))).alias("mix_weight"),
+                     F.least(copies, F.lit(1.0)).alias("mix_probability"),
+                     (whole + (draw < copies - whole).cast("long")).alias("mix_copies"))
+    return out.withColumn("mix_sampled", F.col("mix_copies") > 0)

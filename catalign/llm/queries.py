@@ -26,9 +26,9 @@ def op3_simhash_dedup(spark, sf_dir):
 
 def op4_source_mix(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").withColumn("topic", mix_ipf.register(F.col("text")))
-    out = mix_ipf.mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("topic")})
+    out = mix_ipf.mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("topic")}, scale=1.0)
     return out.select("doc_id", "source", "lang", "topic", F.col("mix_tokens").alias("n_tokens"),
-                      F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.col("mix_sampled").alias("sampled"))
+                      F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.col("mix_sampled").alias("sampled"), F.col("mix_copies").alias("copies"))
 
 
 def op5_shard_table(spark, sf_dir):

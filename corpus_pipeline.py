@@ -31,8 +31,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample with the target mix of sources, languages and topics."""
-    return mix_ipf.mix(docs).where("mix_sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """A sample whose mix of sources, languages and topics lies between the
+    data's and the target: a document of a cell that is to shrink stays with
+    the cell's factor as probability, the others stay, each once."""
+    return mix_ipf.mix(docs, scale=1.0).where("mix_sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

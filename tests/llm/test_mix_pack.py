@@ -76,6 +76,27 @@ def test_weights_and_sampling_equal_brute_force(spark):
     assert len({r["mix_sampled"] for r in out if r["doc_id"] == 9002}) == 1
 
 
+def test_a_rare_cell_does_not_set_the_scale(spark):
+    import corpus_pipeline
+    # one short document is the only one of its cell, and rare in each dimension
+    rows = [(i, "word " * 20, "en", "big") for i in range(900)] + [(900 + i, "word " * 20, "de", "small") for i in range(100)]
+    rows += [(5000, "12345 67890", "fr", "tiny")]
+    got = {r["doc_id"]: r for r in mix_ipf.mix(docs(spark, rows), scale=1.0).collect()}
+    shares = {"big": 18000 / 20002, "small": 2000 / 20002}
+    assert got[5000]["mix_sampled"] and all(got[i]["mix_probability"] > 0.9 for i in range(900))
+    assert sum(r["mix_sampled"] for r in got.values()) > 0.9 * len(rows)
+    for r in got.values():
+        assert r["mix_copies"] - 1 < r["mix_weight"] < r["mix_copies"] + 1
+        assert r["mix_probability"] == min(1.0, r["mix_weight"])
+    # with the copies, tokens by source are the raked ones
+    for s, share in shares.items():
+        want = sum(r["mix_tokens"] * r["mix_weight"] for r in got.values() if r["source"] == s)
+        assert (want > share * 20002) == (s == "small")
+        assert sum(r["mix_tokens"] * r["mix_copies"] for r in got.values() if r["source"] == s) == pytest.approx(want, rel=0.12)
+    kept = corpus_pipeline.mix_sources(spark, docs(spark, rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in got.items() if r["mix_sampled"])
+
+
 def test_given_targets_and_empty(spark):
     rows = corpus(800, 2)
     want = spark.createDataFrame([("hot", 0.1), ("s1", 0.9), ("absent", 5.0)], "source string, share double")
