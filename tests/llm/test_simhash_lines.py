@@ -188,13 +188,6 @@ def test_short_lines_are_removed_where_the_caller_asks(spark):
     assert all(r["n_removed"] == 0 for r in line_spread.remove_boilerplate(frame(spark, rows)).collect())
 
 
-def test_pipeline_removes_short_lines(spark):
-    import corpus_pipeline
-    rows = [(i, f"Les.\nown line {i} of this document", f"s{i}") for i in range(12)]
-    out = corpus_pipeline.drop_boilerplate(spark, frame(spark, rows), "")
-    assert sorted(r["doc_id"] for r in out.where("text like '%Les.%'").collect()) == [0]
-
-
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 180)] + [(0, i) for i in range(1, 60)] + [(5, 5), (1, 0)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()}
