@@ -1,0 +1,258 @@
+"""Quality rules, importance resampling and the Merkle manifest against brute force."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from catalign.llm import importance, merkle, quality_rules as qr, textbytes as tb
+from catalign.llm.scratch import Scratch
+
+TEXTS = ["Hello wörld  it's 9 x", "", None, "a" * 200 + " b " + "c" * 70 + " " + "d" * 130, "—ab", "z", "Ab ab AB", "two words", "| one | two |", " \n\t "]
+# clashing names: columns that the operators add themselves
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank string, score string, leaf string, at string, n_words string, _text string"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, lang, s, n, "x", "y", "z", "a", "b", "c") for i, t, lang, s, n in rows], DOCS)
+
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def runs_of(text):
+    w = words_of(text)
+    return [" ".join(w[i:i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+
+
+@pytest.mark.parametrize("most", [1, 10, 1 << 20])
+def test_crc_of_runs_equals_zlib(most):
+    column = pa.chunked_array([pa.array(TEXTS[:4], pa.string()), pa.array(TEXTS, pa.string())[4:], pa.array([], pa.string())])
+    got = [[] for _ in TEXTS]
+    for p in tb.pieces(column, most):
+        data = tb.LOWER[p.data]
+        for crc, text in tb.crc_runs(data, *tb.words(data, p.bounds), 3):
+            for c, t in zip(crc, text):
+                got[p.first + t].append(int(c))
+    assert [sorted(g) for g in got] == [sorted(zlib.crc32(r.encode()) for r in runs_of(t)) for t in TEXTS]
+
+
+# --- importance resampling ----------------------------------------------------------------
+
+def slow_resample(rows, target, buckets, share, min_words):
+    bucket = lambda f: zlib.crc32(f.encode()) % buckets
+    s, t = Counter(bucket(f) for r in rows for f in runs_of(r[1])), Counter(bucket(f) for x in target for f in runs_of(x))
+    of, at = sum(s.values()) + buckets, sum(t.values()) + buckets
+    out = []
+    for r in rows:
+        fs = runs_of(r[1])
+        weight = sum(math.floor(1000 * math.log((t[bucket(f)] + 1) * of / ((s[bucket(f)] + 1) * at))) for f in fs)
+        h = int(hashlib.sha256(f"42:{'' if r[0] is None else r[0]}".encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2 ** 32)))
+        out.append([r[0], len(words_of(r[1])), len(fs), weight, score, None])
+    able = sorted((r for r in out if r[1] >= min_words), key=lambda r: (-r[4], r[0] is None, r[0] or 0))
+    for i, r in enumerate(able[:share[0] * len(able) // share[1]]):
+        r[5] = i + 1
+    return sorted(map(tuple, out), key=str)
+
+
+def corpus(n=300, seed=3):
+    rng = random.Random(seed)
+    vocab = ["Alpha", "beta", "gämma", "9delta", "eps,ilon", "zeta"] + [f"w{i}" for i in range(50)]
+    text = lambda: " ".join(rng.choices(vocab, k=rng.randint(0, 30)))
+    rows = [(i, text(), rng.choice(["en", "en", "de", None]), rng.choice(["a", None]), rng.choice([i, None])) for i in range(n)]
+    rows += [(7, rows[7][1], "en", "a", 7)] * 5 + [(None, text(), None, None, None), (None, None, "fr", "", 0), (n + 1, None, "en", "a", 3), (n + 2, "", "en", "a", 3)]
+    return rows + [(n + 3, "very long words " * 20_000, "en", "a", 3), (n + 4, "x" * 100_000, "en", "a", 3)]
+
+
+@pytest.mark.parametrize("share, accuracy", [((5, 100), 1000), ((40, 100), 2), ((40, 100), 100), ((100, 100), 10), ((0, 1), 10)])
+def test_resample_equals_brute_force(spark, share, accuracy):
+    rows, target = corpus(), ["alpha beta w1 w2", None, "w1 w2 w3 zeta zeta", ""]
+    wanted = spark.createDataFrame([(t,) for t in target], "text string")
+    out = importance.resample(docs(spark, rows).repartition(5), wanted, buckets=97, share=share, min_words=10, accuracy=accuracy).collect()
+    assert sorted(map(tuple, out), key=str) == slow_resample(rows, target, 97, share, 10)
+
+
+def test_bracket_is_widened_until_exact_counts_confirm_it(spark):
+    rng = random.Random(5)
+    values = [int(rng.gauss(0, 1) ** 5 * 100) for _ in range(5000)] + [40] * 2500  # a value that a third of the rows share
+    scores = Scratch(spark, "t").put(spark.createDataFrame([(v,) for v in values], "score long"))
+    for k in (1, 2, 375, 3000, 7499, 7500):
+        for accuracy in (1, 3, 50, 2000):
+            low, high, above = importance.bracket(scores, k, len(values), accuracy)
+            assert above == sum(high is not None and v > high for v in values) < k
+            kth = sorted(values, reverse=True)[k - 1]
+            assert (low is None or low <= kth) and (high is None or kth <= high)
+
+
+def test_resample_of_empty_tables(spark):
+    none = docs(spark, [])
+    assert importance.resample(none, none).collect() == []
+    rows = corpus(30)
+    out = importance.resample(docs(spark, rows), none, buckets=50, share=(1, 2), min_words=5).collect()
+    assert sorted(map(tuple, out), key=str) == slow_resample(rows, [], 50, (1, 2), 5)
+
+
+# --- Merkle manifest ----------------------------------------------------------------------
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def slow_leaf(i, source, lang, n, text):
+    return sha(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (i, source, lang, n, text)))
+
+
+def slow_tree(nodes, fanout):
+    out = [nodes]
+    while len(out[-1]) > 1:
+        out.append([sha(*out[-1][i:i + fanout]) for i in range(0, len(out[-1]), fanout)])
+    return out
+
+
+def slow_manifest(rows, fanout):
+    groups = {}
+    for i, text, lang, source, n in rows:
+        bad = i is not None and zlib.crc32(str(i).encode()) % 7 == 0
+        groups.setdefault(lang, []).append((i, slow_leaf(i, source, lang, n, text), slow_leaf(i, source, lang, None if n is None else n + bad, text)))
+    order = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {}
+    for g in order:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        trees[g] = slow_tree([r[1] for r in groups[g]], fanout)
+    top = slow_tree([trees[g][-1][0] for g in order], fanout) if order else []
+    out = []
+    for at_g, g in enumerate(order):
+        for pos, (i, leaf, changed) in enumerate(groups[g]):
+            node, proof = changed, ""
+            for tree, at in ((trees[g], pos), (top, at_g)):
+                for level in tree[:-1]:
+                    run = level[at - at % fanout:at - at % fanout + fanout]
+                    proof += "".join(run[:at % fanout] + run[at % fanout + 1:])
+                    run[at % fanout] = node
+                    node, at = sha(*run), at // fanout
+            root = top[-1][0]
+            out.append((i, g, leaf, trees[g][-1][0], root, sha(proof), node, node == root))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("fanout, block_levels, n", [(2, 2, 300), (2, 0, 41), (3, 1, 200), (4, 3, 120), (2, 12, 90), (5, 1, 9)])
+def test_manifest_equals_brute_force(spark, fanout, block_levels, n):
+    rows = corpus(n, seed=n)
+    out = merkle.manifest(docs(spark, rows).repartition(3), fanout, block_levels).collect()
+    assert sorted(map(tuple, out), key=str) == slow_manifest(rows, fanout)
+
+
+def test_manifest_of_one_row_of_one_language_and_of_none(spark):
+    assert merkle.manifest(docs(spark, [])).collect() == []
+    one = merkle.manifest(docs(spark, [(1, "t", None, "s", 1)])).collect()[0]
+    assert one["leaf"] == one["subroot"] == one["root"] and one["proof_sha256"] == sha("")
+    rows = [(i, f"t{i}", "en", None, 2 ** 63 - 1) for i in range(19)]
+    assert sorted(map(tuple, merkle.manifest(docs(spark, rows), 2, 1).collect()), key=str) == slow_manifest(rows, 2)
+
+
+def test_large_ids_stay_exact_beside_null_ids(spark):
+    rows = [(2 ** 62 + i, "t", "en", "s", i) for i in range(5)] + [(None, "t", "en", "s", 0)]
+    out = merkle.manifest(docs(spark, rows), 2, 1).collect()
+    assert {r["doc_id"] for r in out} == {r[0] for r in rows}
+
+
+# --- quality rules ------------------------------------------------------------------------
+
+def slow_statistics(text):
+    raw = (text or "").encode()
+    size = len(raw)
+    kind = lambda s: sum(b in s for b in raw)
+    lower, upper, beyond = kind(range(97, 123)), kind(range(65, 91)), kind(range(128, 256))
+    tokens = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    low = [bytes(b + 32 if 65 <= b < 91 else b for b in t) for t in tokens]
+    lines = [x for x in raw.split(b"\n") if x]
+    wordy = [bool(re.search(rb"[0-9A-Za-z\x80-\xff]", t)) for t in tokens]
+    odd = [any(b in b"#$%&*+/<=>@\\^_`~[]{}!?|" for b in t) for t in tokens]
+    div = lambda a, b: a / b if b else 0.0
+    n = len(tokens)
+    return [n, div(sum(map(len, tokens)), n), max(map(len, tokens), default=0), div(lower + upper + beyond, size), div(upper, lower + upper), div(kind(range(48, 58)), size),
+            div(kind(b"#$%&*+/<=>@\\^_`~[]{}"), size), div(kind(b".,;:'\"()-"), size), div(kind(b"!?"), size), div(kind(b"|"), size), div(kind(b" \t\n\v\f\r"), size),
+            div(sum(w and o for w, o in zip(wordy, odd)), n), div(n - sum(wordy), n), div(sum(a == b for a, b in zip(low, low[1:])), n), div(len(set(low)), n),
+            div(len({a + b for a, b in zip(low, low[1:])}), n - (n > 0)), div(size, len(lines)), max((len(m[0]) for m in re.finditer(rb"(.)\1*", raw, re.S)), default=0)]
+
+
+def test_statistics_equal_brute_force(spark):
+    texts = TEXTS + ["Line one!\nline two?\n\nLine### one!", "aaa bbb aaa bbb", "é é É", "x\0y"] + [r[1] for r in corpus(60)]
+    table = docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]).repartition(3)
+    got = {r["doc_id"]: [r[c] for c in qr.STATISTICS] for r in qr.with_statistics(table, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(slow_statistics(t)), t
+
+
+def test_paths_are_conjunctions_with_one_pair_of_bounds():
+    tree = "\n".join(["DecisionTreeClassificationModel: depth=2", "  If (feature 0 <= 10.0)", "   If (feature 0 <= 4.5)", "    Predict: 0.0", "   Else (feature 0 > 4.5)",
+                      "    Predict: 1.0", "  Else (feature 0 > 10.0)", "   If (feature 2 <= -1.0E-4)", "    Predict: 0.0", "   Else (feature 2 > -1.0E-4)", "    Predict: 1.0"])
+    inf, a, c = math.inf, qr.STATISTICS[0], qr.STATISTICS[2]
+    assert {r.bounds for r in qr.tree_rules(tree)} == {((a, -inf, 10.0),), ((a, -inf, 4.5),), ((a, 4.5, 10.0),), ((a, 10.0, inf),),
+                                                      ((c, -inf, -1e-4), (a, 10.0, inf)), ((c, -1e-4, inf), (a, 10.0, inf))}
+
+
+def test_compiled_score_equals_a_sum_over_rules(spark):
+    rng = random.Random(2)
+    rules = tuple((qr.Rule(tuple((s, rng.choice([-math.inf, 0.1, 2.0]), rng.choice([0.3, 5.0])) for s in sorted(rng.sample(qr.STATISTICS, 2)))), rng.gauss(0, 2)) for _ in range(30))
+    model = qr.Model(rules, -0.3)
+    texts = [r[1] for r in corpus(80)]
+    rows = qr.with_statistics(docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), ["doc_id"]).select("doc_id", *qr.STATISTICS, model.score().alias("p"))
+    for r in rows.collect():
+        z = model.bias + sum(w for rule, w in rules if all(lo < r[s] <= hi for s, lo, hi in rule.bounds))
+        assert r["p"] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_lasso_meets_its_optimality_conditions():
+    rng = np.random.default_rng(1)
+    x = (rng.random((400, 30)) < rng.random(30)).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(3 * x[:, 0] - 4 * x[:, 1] + x[:, 2] - 0.5)))).astype(float)
+    for lasso in (0.002, 0.02, 10.0):
+        w, b = qr.fit_lasso(x, y, lasso, 20_000)
+        g = x.T @ (1 / (1 + np.exp(-(x @ w + b))) - y) / 400
+        assert np.abs(g).max() <= lasso + 1e-6
+        assert np.allclose(g[w != 0], -lasso * np.sign(w[w != 0]), atol=1e-6)
+        assert abs(((1 / (1 + np.exp(-(x @ w + b)))) - y).mean()) < 1e-6
+        assert (w != 0).sum() < 30
+
+
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    table, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = qr.train(table, labels)
+    assert 0 < len(model.rules) < 150
+    rows = qr.score_rows(table, model).join(labels, "doc_id").where("held_out").collect()
+    good, bad = [r for r in rows if r["quality"] == 1], [r for r in rows if r["quality"] == 0]
+    assert len(bad) > 5
+    assert sum(r["predicted"] for r in good) >= 0.97 * len(good) and sum(r["predicted"] for r in bad) <= 0.1 * len(bad)
+    pairs = [(a["score"] > b["score"]) + (a["score"] == b["score"]) / 2 for a in good for b in bad]
+    assert sum(pairs) / len(pairs) > 0.97
+
+
+def test_quality_reads_only_texts_and_unheld_labels(spark):
+    table = docs(spark, [(i, ("good words here " if i % 2 else "### $$$ ") * (i % 9 + 1), None, None, None) for i in range(90)])
+    labels = spark.createDataFrame([(i, i % 2 if zlib.crc32(str(i).encode()) % 3 != 1 else 1 - i % 2) for i in range(90)] + [(None, 1), (1, None), (3, 1)], "doc_id long, quality int")
+    rows = qr.score_rows(table, qr.train(table, labels, trees=5)).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 and 0 <= r["score"] <= 1 for r in rows)
+
+
+def test_quality_of_odd_inputs(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    rows = [(None, "some words", None, None, None), (1, None, None, None, None), (1, None, None, None, None), (2, "", None, None, None), (3, "x" * 300_000 + " y", None, None, None)]
+    model = qr.train(docs(spark, []), none)
+    out = qr.score_rows(docs(spark, rows), model).collect()
+    assert [r["score"] for r in out] == [0.5] * 5 and not out[0]["held_out"]
+    ones = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "doc_id long, quality int")
+    assert all(r["predicted"] == 1 for r in qr.score_rows(docs(spark, rows), qr.train(docs(spark, rows), ones)).collect())
+    assert qr.score_rows(docs(spark, []), model).collect() == []
+    with pytest.raises(ValueError):
+        qr.with_statistics(docs(spark, rows), ["n_words"])
