@@ -14,9 +14,8 @@ from .scratch import Scratch
 
 #: Distinct sites from which a line is boilerplate.
 MIN_SITES = 10
-#: Shorter lines (trimmed) stay unless the caller gives another ``min_chars``;
-#: the SQL of op7_line_dedup has this floor.
-MIN_CHARS = 20
+#: Characters (trimmed) from which a line counts: every line that is not blank.
+MIN_CHARS = 1
 #: Sketch size (2^12 registers: 1.6 % standard error) and the band around
 #: the threshold, 15 standard errors wide, that is counted exactly.
 LG_K = 12
@@ -55,8 +54,8 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        min_sites: int = MIN_SITES, chars_col: str | None = "n_chars", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with boilerplate lines removed from the text, the column
     ``chars_col`` (if present) set to the new length, and two more columns:
-    ``n_lines`` (before) and ``n_removed``.  Lines shorter than ``min_chars``
-    (trimmed) all stay; 1 takes every line that is not blank.
+    ``n_lines`` (before) and ``n_removed``.  Blank lines all stay, as do
+    those shorter than a larger ``min_chars`` (trimmed).
 
     Every row stays.  A null text stays null with no lines; a null site is no
     site; rows that repeat an id are treated alike; rows with a null id share

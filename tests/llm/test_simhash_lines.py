@@ -135,7 +135,7 @@ def slow_lines(rows, min_sites):
     sites, first = defaultdict(set), {}
     for i, t, s in rows:
         for p, line in enumerate((t or "").split("\n") if t is not None else []):
-            if len(key(line)) >= line_spread.MIN_CHARS:
+            if key(line):
                 if s is not None:
                     sites[key(line)].add(s)
                 at = (i is not None, i or 0, p)
@@ -146,7 +146,7 @@ def slow_lines(rows, min_sites):
             out.append((i, None, 0, 0))
             continue
         lines = t.split("\n")
-        keep = [x for p, x in enumerate(lines) if len(key(x)) < line_spread.MIN_CHARS or len(sites[key(x)]) < min_sites or first[key(x)] == (i is not None, i or 0, p)]
+        keep = [x for p, x in enumerate(lines) if not key(x) or len(sites[key(x)]) < min_sites or first[key(x)] == (i is not None, i or 0, p)]
         out.append((i, "\n".join(keep), len(lines), len(lines) - len(keep)))
     return sorted(out, key=str)
 
@@ -178,14 +178,21 @@ def test_near_threshold_lines_are_counted_exactly(spark):
     assert {r["h"] for r in found.collect()} == want
 
 
-def test_short_lines_are_removed_where_the_caller_asks(spark):
+def test_short_lines_are_removed(spark):
     # 'Les.' is on 12 sites, 'Of.' on 9; blank lines are no lines to remove
     rows = [(i, f"Les.\n\nown line {i} of this document\n  Les. " + ("\nOf." if i < 9 else ""), f"s{i}") for i in range(12)]
-    out = {r["doc_id"]: r for r in line_spread.remove_boilerplate(frame(spark, rows), min_chars=1).collect()}
+    out = {r["doc_id"]: r for r in line_spread.remove_boilerplate(frame(spark, rows)).collect()}
     assert out[0]["text"] == "Les.\n\nown line 0 of this document\nOf."
     assert out[11]["text"] == "\nown line 11 of this document"
     assert [out[i]["n_removed"] for i in range(12)] == [1] + [2] * 11
-    assert all(r["n_removed"] == 0 for r in line_spread.remove_boilerplate(frame(spark, rows)).collect())
+    assert all(r["n_removed"] == 0 for r in line_spread.remove_boilerplate(frame(spark, rows), min_chars=20).collect())
+
+
+def test_pipeline_removes_short_lines(spark):
+    import corpus_pipeline
+    rows = [(i, f"Les.\nown line {i} of this document", f"s{i}") for i in range(12)]
+    out = corpus_pipeline.drop_boilerplate(spark, frame(spark, rows), "")
+    assert sorted(r["doc_id"] for r in out.where("text like '%Les.%'").collect()) == [0]
 
 
 def test_components_of_a_long_path_and_a_star(spark):
