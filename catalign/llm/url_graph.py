@@ -15,7 +15,9 @@ from .scratch import Scratch
 #: (verdict, host and path prefix).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING = 0.85
-ROUNDS = 12
+#: Ranks are settled when none changes by more than this share of itself and
+#: no new host is reached.
+TOLERANCE = 1e-3
 #: Share of distrust in a host's trust and distrust from which it is blocked.
 BLOCK_SHARE = 0.5
 
@@ -56,28 +58,36 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return links.unionByName(both).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(host, kind, r) for kind 0 (trust) and 1 (distrust) from seeds of the
     same columns.  Trust follows edges in proportion to the source's links,
     distrust runs back over them in proportion to the target's; what reaches
-    a host without onward links ends there.  Every round is written, so the
-    join that sends the ranks on can split a hot host."""
+    a host without onward links ends there.  Rounds go on until every rank
+    changes by at most ``tolerance`` of itself; a host that is reached for the
+    first time changes by all of it.  Every round is written, so the join
+    that sends the ranks on can split a hot host."""
     out = scratch.put(edges.groupBy("src").agg(F.sum("n").alias("total")), "out")
     into = scratch.put(edges.groupBy("dst").agg(F.sum("n").alias("total")), "into")
     forward = edges.join(out, "src").select(F.col("src").alias("host"), F.lit(0).alias("kind"), F.col("dst").alias("to"), (F.col("n") / F.col("total")).alias("w"))
     back = edges.join(into, "dst").select(F.col("dst").alias("host"), F.lit(1).alias("kind"), F.col("src").alias("to"), (F.col("n") / F.col("total")).alias("w"))
     flow = scratch.put(forward.unionByName(back), "flow")
     base = seeds.withColumn("r", F.col("r") * (1 - damping))
-    cur = scratch.put(seeds, "ranks")
-    for _ in range(rounds):
-        sent = cur.join(flow, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("r") * F.col("w") * damping).alias("r"))
-        nxt = scratch.put(base.unionByName(sent).groupBy("host", "kind").agg(F.sum("r").alias("r")), "ranks")
+    none = F.lit(0.0)
+    base = base.withColumn("old", none)
+    cur = scratch.put(seeds.withColumn("old", none), "ranks")
+    while True:
+        sent = cur.join(flow, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("r") * F.col("w") * damping).alias("r"), none.alias("old"))
+        before = cur.select("host", "kind", none.alias("r"), F.col("r").alias("old"))
+        # the sum brings each rank beside the one before it
+        nxt = base.unionByName(sent).unionByName(before).groupBy("host", "kind").agg(F.sum("r").alias("r"), F.sum("old").alias("old"))
+        nxt = scratch.put(nxt.where("r > 0"), "ranks")
         scratch.drop(cur)
         cur = nxt
-    return cur
+        if (cur.agg(F.max(F.abs(F.col("r") - F.col("old")) / F.col("r"))).first()[0] or 0.0) <= tolerance:
+            return cur.drop("old")
 
 
-def judge(pages: DataFrame, rules=RULES, block_share: float = BLOCK_SHARE, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, block_share: float = BLOCK_SHARE, tolerance: float = TOLERANCE) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of
     ``pages`` (page_id, url, html).
 
@@ -93,7 +103,7 @@ def judge(pages: DataFrame, rules=RULES, block_share: float = BLOCK_SHARE, round
     hits = ruled.where("rule_verdict is not null and host <> ''").groupBy("host", F.when(F.col("rule_verdict") == "allow", 0).otherwise(1).alias("kind")).agg(F.count("*").alias("n"))
     hits = scratch.put(hits, "seeds")
     total = hits.agg(F.sum("n")).first()[0] or 1
-    ranks = propagate(edges, hits.select("host", "kind", (F.col("n") / F.lit(float(total))).alias("r")), scratch, rounds)
+    ranks = propagate(edges, hits.select("host", "kind", (F.col("n") / F.lit(float(total))).alias("r")), scratch, tolerance)
     scores = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("r")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("r")).otherwise(0.0)).alias("distrust"))
     scores = scratch.put(scores, "hosts")
     out = ruled.join(scores, "host", "left")

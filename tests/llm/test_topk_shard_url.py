@@ -123,8 +123,8 @@ def parse(url):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), path
 
 
-def brute_urls(pages, rules, rounds, share):
-    """The whole method on dictionaries."""
+def brute_urls(pages, rules, share, rounds=500):
+    """The whole method on dictionaries, run far beyond convergence."""
     parsed = [(pid, *parse(u), h or "") for pid, u, h in pages]
     ruled = []
     for _, host, path, _ in parsed:
@@ -163,10 +163,21 @@ def brute_urls(pages, rules, rounds, share):
     for (pid, host, path, _), r in zip(parsed, ruled):
         t, d = rank[0].get(host, 0), rank[1].get(host, 0)
         own = "block" if d > 0 and d >= share * (t + d) else "allow"
-        out[pid] = (host, path, r[0] if r else None, r[1] if r else own, round(t, 9), round(d, 9))
+        out[pid] = (host, path, r[0] if r else None, r[1] if r else own, t, d)
     return out
 
 
+def check_urls(spark, pages):
+    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, rule string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["trust"], r["distrust"]) for r in url_graph.judge(df).collect()}
+    want = brute_urls(pages, url_graph.RULES, url_graph.BLOCK_SHARE)
+    assert {k: v[:4] for k, v in got.items()} == {k: v[:4] for k, v in want.items()}
+    for k, v in want.items():
+        # a last change of at most the tolerance leaves at most damping / (1 - damping) times it
+        assert got[k][4:] == pytest.approx(v[4:], rel=10 * url_graph.TOLERANCE)
+    return got
+
+
 def test_url_verdicts_equal_brute_force(spark):
     link = lambda *hs: "".join(f'<a href="https://{h}/x">x</a>' for h in hs)
     pages = [
@@ -177,14 +188,18 @@ def test_url_verdicts_equal_brute_force(spark):
         (12, "http://org", ""), (13, "http://forg/", ""), (14, "http://a.com?/fr/", ""), (15, "http://n3.net/a://b.org/", link("n3.net")),
         (16, "http://sub.n4.net/", ""), (17, "https://bad.com/de/9", ""), (18, "://org/", ""), (19, "http://É.ORG/é", ""),
     ]
-    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, rule string")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], round(r["trust"], 9), round(r["distrust"], 9)) for r in url_graph.judge(df).collect()}
-    want = brute_urls(pages, url_graph.RULES, url_graph.ROUNDS, url_graph.BLOCK_SHARE)
-    assert got == want
+    got = check_urls(spark, pages)
     assert got[4][3] == "block" and got[2][3] == "allow" and got[10][:4] == ("", "", None, "allow")
     assert got[7][2:4] == ("example.org/en/1", "block") and got[8][2:4] == ("org/", "allow") and got[12][2] is None
 
 
+def test_distrust_runs_the_whole_length_of_a_chain(spark):
+    # 15 hosts link to the next; the last one's page is blocked by a rule
+    pages = [(i, f"http://h{i}.net/", f'<a href="http://{f"h{i + 1}.net" if i < 15 else "bad.com"}/">x</a>') for i in range(1, 16)]
+    got = check_urls(spark, pages + [(99, "http://bad.com/de/1", "")])
+    assert all(got[i][3] == "block" for i in range(1, 16))
+
+
 def test_url_repeated_and_empty(spark):
     schema = "page_id long, url string, html string"
     assert url_graph.judge(spark.createDataFrame([], schema)).count() == 0
