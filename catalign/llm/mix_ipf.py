@@ -17,8 +17,11 @@ from .scratch import Scratch
 #: categories shrink, small ones grow.  Categories below FLOOR keep their share.
 POWER = {"source": 0.8, "lang": 0.9, "topic": 0.9}
 FLOOR = 0.001
-MAX_ROUNDS = 12
+#: Every category's total is met within this share of it.
 TOLERANCE = 1e-4
+#: Rounds in which the largest miss has to fall by a hundredth; targets that
+#: it does not fall for contradict each other on the cells there are.
+PATIENCE = 20
 
 
 def n_tokens(text: Column) -> Column:
@@ -51,13 +54,15 @@ def power_targets(cells: DataFrame, dim: str, power: float, floor: float = FLOOR
     return cells.groupBy(dim).agg(F.when(share >= floor, F.pow(share, F.lit(power))).otherwise(share).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, max_rounds: int = MAX_ROUNDS,
-         tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, tolerance: float = TOLERANCE, strict: bool = True) -> DataFrame:
     """``cells`` (one row per cell with ``tokens``) with a column ``weight``:
     raked tokens, whose shares by each dimension meet ``targets`` (dimension
     -> (dimension, share); shares are normalised over the categories present,
     cells of a category without a target leave).  Every step is an
-    aggregation by one dimension and a join back."""
+    aggregation by one dimension and a join back, and rounds go on until the
+    targets are met within ``tolerance``.  Targets that cannot be met
+    together are an error, unless not ``strict``: then the weights of the
+    last round are a compromise that meets the last dimension."""
     cur = cells.withColumn("weight", F.col("tokens").cast("double"))
     for d, target in targets.items():
         cur = cur.join(target.withColumnRenamed("share", f"_t_{d}"), d)
@@ -65,7 +70,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, max_
     total = cur.agg(F.sum("weight")).first()[0] or 1.0
     # target tokens in place of shares: one value per category, summed over the categories present
     sums = [cur.groupBy(d).agg(F.max(f"_t_{d}").alias("t")).agg(F.sum("t")).first()[0] or 1.0 for d in targets]
-    for _ in range(max_rounds):
+    best, stuck = float("inf"), 0
+    while True:
         nxt = cur.withColumn("_off", F.lit(0.0))
         for d, of in zip(targets, sums):
             want = F.max(f"_t_{d}") / F.lit(of) * F.lit(total)
@@ -77,6 +83,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, max_
         off = cur.agg(F.max("_off")).first()[0]
         if off is None or off < tolerance:
             break
+        best, stuck = (off, 0) if off < 0.99 * best else (best, stuck + 1)
+        if stuck >= PATIENCE:
+            if strict:
+                raise ValueError(f"the target shares cannot be met together: a category stays off by {off:.3g} of its total")
+            break
     return cur.drop("_off", *[f"_t_{d}" for d in targets])
 
 
@@ -92,7 +103,9 @@ def mix(docs: DataFrame, dims: dict[str, Column] | None = None, text_col: str =
 
     ``dims`` maps dimension names to columns (source, lang and the text's
     register by default); ``targets`` gives target shares by dimension, and a
-    dimension without any gets smoothed shares (``POWER``).  Every row
+    dimension without any gets smoothed shares (``POWER``).  Given targets
+    that cannot be met together are an error; smoothed ones then meet the
+    last dimension.  Every row
     returns.  A null category is one of its own; documents without tokens
     have no weight to mix and are always sampled; rows that repeat id and
     text share one draw, which depends on id, text and ``seed`` only.  Input
@@ -109,7 +122,7 @@ def mix(docs: DataFrame, dims: dict[str, Column] | None = None, text_col: str =
         given = (targets or {}).get(d)
         want[f"_m_{d}"] = (given.select(category(F.col(d)).alias(f"_m_{d}"), "share") if given is not None
                            else power_targets(cells, f"_m_{d}", POWER.get(d, 1.0)))
-    raked = rake(cells, want, scratch).withColumn("mix_weight", F.col("weight") / F.col("tokens"))
+    raked = rake(cells, want, scratch, strict=bool(targets)).withColumn("mix_weight", F.col("weight") / F.col("tokens"))
     one = 1.0 / scale if scale else raked.agg(F.max("mix_weight")).first()[0] or 1.0  # the factor of one copy
     factors = scratch.put(raked.select(*names, "mix_weight", (F.col("mix_weight") / F.lit(one)).alias("_copies")), "factors")
     out = keyed.join(factors, names, "left")

@@ -174,8 +174,31 @@ def test_pack_repeated_rows_null_ids_and_empty(spark):
     assert pb.bins_of(pb.pack_documents(docs(spark, []))).count() == 0
 
 
+def test_targets_that_contradict_each_other(spark):
+    cells = spark.createDataFrame([("a", "x", 10), ("b", "y", 30)], "s string, l string, tokens long")
+    share = lambda d, *rows: spark.createDataFrame(rows, f"{d} string, share double")
+    targets = {"s": share("s", ("a", 0.5), ("b", 0.5)), "l": share("l", ("x", 0.9), ("y", 0.1))}
+    with pytest.raises(ValueError):
+        mix_ipf.rake(cells, targets, Scratch(spark, "test"))
+    got = {r["l"]: r["weight"] for r in mix_ipf.rake(cells, targets, Scratch(spark, "test"), strict=False).collect()}
+    assert got == {"x": pytest.approx(36), "y": pytest.approx(4)}
+
+
+def test_rake_goes_on_to_its_tolerance(spark):
+    rng = random.Random(8)  # many rounds: cells that all but follow the diagonal
+    rows = [(f"s{i}", f"l{j}", 10_000 if i == j else rng.choice([1, 1, 2])) for i in range(6) for j in range(6)]
+    cells = spark.createDataFrame(rows, "s string, l string, tokens long")
+    share = lambda d, p: spark.createDataFrame([(f"{d}{i}", p ** i) for i in range(6)], f"{d} string, share double")
+    out = mix_ipf.rake(cells, {"s": share("s", 0.7), "l": share("l", 1.2)}, Scratch(spark, "test")).collect()
+    total = sum(r["tokens"] for r in out)
+    for d, p in (("s", 0.7), ("l", 1.2)):
+        for i in range(6):
+            want = p ** i / sum(p ** j for j in range(6)) * total
+            assert sum(r["weight"] for r in out if r[d] == f"{d}{i}") == pytest.approx(want, rel=1e-3)
+
+
 def test_rake_writes_one_row_per_cell(spark):
     cells = spark.createDataFrame([("a", "x", 10), ("a", "y", 30), ("b", "x", 60)], "s string, l string, tokens long")
     targets = {"s": spark.createDataFrame([("a", 1.0), ("b", 1.0)], "s string, share double"), "l": spark.createDataFrame([("x", 0.7), ("y", 0.3)], "l string, share double")}
-    got = {(r["s"], r["l"]): r["weight"] for r in mix_ipf.rake(cells, targets, Scratch(spark, "test"), 100).collect()}
+    got = {(r["s"], r["l"]): r["weight"] for r in mix_ipf.rake(cells, targets, Scratch(spark, "test")).collect()}
     assert got[("a", "y")] == pytest.approx(30, rel=1e-3) and got[("b", "x")] == pytest.approx(50, rel=1e-3)
