@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .scratch import Scratch
 
 CHAIN = 2
-#: Likeness below this is taken as 0 when the set sizes alone prove it.
-PRUNE_BELOW = 0.05
 #: Common words of the four languages that anchor a signature.
 ANCHORS = tuple("""
 a an the of and to in is was for on that with by at from as are be it this or
@@ -61,12 +59,11 @@ def as_text(sigs: Column) -> Column:
     return F.array_join(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))), 8, "0"))), " ")
 
 
-def likeness(a: Column, b: Column, prune_below: float = PRUNE_BELOW) -> Column:
+def likeness(a: Column, b: Column) -> Column:
     """Jaccard measure of two signature sets, 0 to 1; 1 for two empty sets."""
     na, nb = F.size(a), F.size(b)
     both = F.size(F.array_intersect(a, b))
     return (F.when((na == 0) & (nb == 0), 1.0)
-            .when(F.least(na, nb) < prune_below * F.greatest(na, nb), 0.0)
             .otherwise(both / (na + nb - both)))
 
 

@@ -131,7 +131,7 @@ def test_pairs_equal_brute_force(spark, tmp_dir):
         assert len(r["fingerprint"].split()) == (len(own) or (1 if text else 0))
         if own and other:
             assert r["near_edited"] == pytest.approx(jaccard(own, other))
-        if own and after and min(len(own), len(after)) >= 0.05 * max(len(own), len(after)):
+        if own and after:
             assert r["near_next"] == pytest.approx(jaccard(own, after))
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
     assert got[5004]["fingerprint"] == got[rows[0][0]]["fingerprint"]
@@ -156,6 +156,6 @@ def test_spots_run_without_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def test_likeness_is_pruned_only_by_proof(spark):
+def test_likeness_is_exact_however_unlike(spark):
     df = spark.createDataFrame([([1, 2, 3], [2, 3, 4]), ([], []), ([1], []), ([1], list(range(1, 100)))], "a array<int>, b array<int>")
-    assert [r[0] for r in df.select(spotsigs.likeness(F.col("a"), F.col("b"))).collect()] == [0.5, 1.0, 0.0, 0.0]
+    assert [r[0] for r in df.select(spotsigs.likeness(F.col("a"), F.col("b"))).collect()] == [0.5, 1.0, 0.0, pytest.approx(1 / 99)]

@@ -151,4 +151,4 @@ def test_stages_take_empty_and_odd_tables(spark, tmp_path):
 def test_queries_are_registered():
     import __spark_entry__ as e
     names = set(e.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
