@@ -48,12 +48,17 @@ def reindex(spine: DataFrame, src: DataFrame, on, check_unique: bool = True) ->
 
 def keyed_update(df: DataFrame, updates: DataFrame, on, columns: Sequence[str]) -> DataFrame:
     """JN11: overwrite ``columns`` for the keys present in ``updates``; a null
-    in an update is written like any other value."""
+    in an update is written like any other value, and a null key meets a null
+    key.  A key with several updates is an error."""
     keys = [on] if isinstance(on, str) else list(on)
-    upd = updates.select(*keys, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
-    joined = df.join(upd, keys, "left")
-    return joined.withColumns({c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}).drop(
-        "_hit", *[f"_new_{c}" for c in columns])
+    new = F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)])
+    # the check is part of the plan: an aggregation by the key, no job of its own
+    upd = updates.groupBy(*[F.col(k).alias(f"_on_{i}") for i, k in enumerate(keys)]).agg(F.first(new).alias("_new"), F.count(F.lit(1)).alias("_n"))
+    upd = upd.withColumn("_new", F.when(F.col("_n") == 1, F.col("_new")).otherwise(F.raise_error(F.lit(f"several updates for one key of {keys}"))))
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_on_{i}")) for i, k in enumerate(keys)])
+    joined = df.join(upd, same, "left")
+    return joined.withColumns({c: F.when(F.col("_n").isNotNull(), F.col(f"_new._{i}")).otherwise(F.col(f"`{c}`")) for i, c in enumerate(columns)}).drop(
+        "_new", "_n", *[f"_on_{i}" for i in range(len(keys))])
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

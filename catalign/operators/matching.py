@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .reshape import first_per_key  # noqa: F401  (DED1 lives with the other aggregates)
 from .similarity import DATASET, ITEM, top_matches
 from .tables import rank_within
 
@@ -37,8 +36,13 @@ def cross_dataset_top_n(items: DataFrame, n: int = 3, *, rank_by: str = "item",
         return out
     if rank_by != "space_name" or space_name is None:
         raise ValueError("rank_by='space_name' needs a space_name table")
-    named = out.drop("rank").join(space_name, [DATASET, ITEM], "left")
-    # many items may share one space name: rank without a per-group window
+    return rank_by_space_name(out, space_name)
+
+
+def rank_by_space_name(matches: DataFrame, space_name: DataFrame) -> DataFrame:
+    """SIM7: ``matches`` ranked per (dataset, target, name of the item in the
+    shared space).  Many items may share one name: no per-group window."""
+    named = matches.drop("rank").join(space_name, [DATASET, ITEM], "left")
     return rank_within(named, [DATASET, "target", "space_name"], [F.desc("score"), F.asc(ITEM), F.asc("match")])
 
 

@@ -9,8 +9,19 @@ cells.  A cell holds at most about ``cell_rows`` rows per side (by default
 whatever the table size or the size of the largest dataset.  There is one
 path for every size.
 
-A matrix product finds the candidates; those within ``_MARGIN`` of the k-th
-score are scored again by a sum in fixed order over the pair's unit vectors.
+Inside a cell a bound rules pairs out before they are scored.  The cell's
+vectors are rotated to the principal axes of a bounded sample of its right
+rows; a product over the leading axes plus the product of the remaining norms
+bounds a score from above, and only pairs whose bound reaches the floor of
+their (item, target) -- the k-th score over a bounded sample of the target's
+rows -- are scored.  Where a trial on a few rows shows that too many pairs
+would survive to be worth it (vectors without a preferred direction), one
+product covers the whole batch.
+
+Products and bounds are in single precision and only choose candidates: a
+pair within twice the largest possible rounding error of its floor, or of the
+k-th score, is scored by a sum in fixed order over the pair's unit vectors in
+double precision.  So both ways give the same values.
 Equal vectors therefore get equal scores whatever the batch, and ties go to
 the smaller (target, match) key.  Scores are reported unrounded; a zero
 vector has similarity 0 with everything.
@@ -35,11 +46,19 @@ DATASET, ITEM, VECTOR = "dataset", "item", "embedding"
 _MAX_SCORES = 2_000_000
 # pairs scored again at once
 _MAX_PAIRS = 50_000
-# far above the rounding of a product of unit vectors, far below any real difference
+# far above the rounding of a double precision product of unit vectors, far below any real difference
 _MARGIN = 1e-9
 # memory budget of one side of a cell (float64 unit vectors), and a floor on its rows
 CELL_MB = 64
 MIN_CELL_ROWS = 256
+# right rows of a target whose scores give the floor, and of a cell that give its axes
+FLOOR_ROWS, AXES_ROWS = 512, 4096
+# leading axes by share of all, tried in this order
+LEADING = (0.125, 0.25, 0.5, 0.75)
+# left rows of a batch on which the bound is tried first
+_TRIAL_ROWS = 32
+# costs as shares of a batch's product (measured): of scoring every pair alone, and of comparing the bounds
+_PAIR_COST, _COMPARE_COST = 100, 0.3
 
 
 def as_items(df: DataFrame, dataset, item: str, vector: str = "embedding") -> DataFrame:
@@ -81,6 +100,11 @@ def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
     return m / norms[:, None]
 
 
+def _rounding(d: int) -> float:
+    """Twice the largest error of a single precision product of two unit vectors of ``d`` components."""
+    return _MARGIN + 2 * (d + 4) * 2.0 ** -24
+
+
 def _pair_scores(x: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Scores of single pairs, each summed in the same order whatever the batch."""
     out = np.empty(rows.size)
@@ -91,22 +115,71 @@ def _pair_scores(x: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarra
 
 
 def _best_k(scores: np.ndarray, x: np.ndarray, y: np.ndarray, k: int):
-    """Exact top-k per row; ties go to the smaller column; -inf is never kept."""
+    """Exact top-k per row; ties go to the smaller column; -inf is never kept.
+    Also the number of pairs scored."""
     n, m = scores.shape
     if k < m:
         kth = np.partition(scores, m - k, axis=1)[:, m - k]
-        rows, cols = np.nonzero(scores >= kth[:, None] - _MARGIN)
+        rows, cols = np.nonzero(scores >= kth[:, None] - scores.dtype.type(_rounding(x.shape[1])))
     else:
         rows, cols = np.nonzero(scores > -np.inf)
     keep = scores[rows, cols] > -np.inf
     rows, cols = rows[keep], cols[keep]
     vals = _pair_scores(x, y, rows, cols)
+    return *_first_k(rows, cols, vals, k), rows.size
+
+
+def _first_k(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, k: int):
+    """The k highest values of each row, equal ones by the smaller column."""
     order = np.lexsort((cols, -vals, rows))
     rows, cols, vals = rows[order], cols[order], vals[order]
     sel = np.arange(rows.size) - np.searchsorted(rows, rows, side="left") < k
     return rows[sel], cols[sel], vals[sel]
 
 
+class _Bound:
+    """Upper bounds of a cell's scores from its leading principal axes.
+
+    ``always`` uses the bound whatever a trial says, with the most leading
+    axes (for measuring it); otherwise it is used where it pays."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, always: bool = False):
+        self.always, d = always, y.shape[1]
+        some = y[::max(1, len(y) // AXES_ROWS)][:AXES_ROWS]
+        # the axes cost d^3: where the cell's product is not far above that, take the coordinates by size
+        if len(x) * len(y) > 20 * d * d:
+            axes = np.linalg.eigh(some.T @ some)[1][:, ::-1]
+            self.x, self.y = (x @ axes).astype(np.float32), (y @ axes).astype(np.float32)
+        else:
+            order = np.argsort(-(some * some).sum(axis=0), kind="stable")
+            self.x, self.y = x[:, order].astype(np.float32), y[:, order].astype(np.float32)
+        self.margin = np.float32(_rounding(d))
+        self.leads = sorted({h for h in (int(d * s) for s in LEADING) if 0 < h < d})
+        if always:
+            self.leads = self.leads[-1:]
+        rest = lambda m, h: np.sqrt((m[:, h:] ** 2).sum(axis=1))
+        self.rest = {h: (rest(self.x, h), rest(self.y, h)) for h in self.leads}
+
+    def above(self, rows: np.ndarray, s: int, e: int, h: int, floor: np.ndarray) -> np.ndarray:
+        """Which pairs of ``rows`` and right rows s..e may reach their row's floor."""
+        rx, ry = self.rest[h]
+        most = self.x[rows, :h] @ self.y[s:e, :h].T
+        most += rx[rows, None] * ry[None, s:e]
+        return most >= floor[:, None] - self.margin
+
+    def leading(self, rows: np.ndarray, s: int, e: int, floor: np.ndarray) -> int | None:
+        """The number of leading axes that pays for this batch, if any does."""
+        if self.always:
+            return self.leads[0] if self.leads else None
+        some = np.arange(0, rows.size, max(1, rows.size // _TRIAL_ROWS))[:_TRIAL_ROWS]
+        best, cost = None, 1.0
+        for h in self.leads:
+            got = _COMPARE_COST + h / self.y.shape[1] + _PAIR_COST * self.above(rows[some], s, e, h, floor[some]).mean()
+            if got < cost:
+                best, cost = h, got
+        return best
+
+
 def _codes(left: pa.Table, right: pa.Table, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Number of the key of every row; rising over ``right``, which is sorted by it."""
     keys = pd.concat([right.select(names).to_pandas(), left.select(names).to_pandas()], ignore_index=True)
@@ -121,6 +194,7 @@ class _Cell:
         self.left = left
         self.right = right.sort_by([(DATASET, "ascending"), (ITEM, "ascending")])
         self.x, self.y = _unit_rows(left.column(VECTOR)), _unit_rows(self.right.column(VECTOR))
+        self.x32, self.y32 = self.x.astype(np.float32), self.y.astype(np.float32)
         l_ds, r_ds = _codes(left, self.right, [DATASET])
         self.l_ds, self.within = l_ds, within_dataset
         cut = np.flatnonzero(np.r_[True, r_ds[1:] != r_ds[:-1], True]) if per_target or within_dataset else np.array([0, len(r_ds)])
@@ -131,22 +205,55 @@ class _Cell:
         else:
             self.same = None
 
-    def batches(self):
-        """(left row numbers, first right row, scores); pairs of an item with itself are -inf."""
+    def parts(self):
+        """Batches: (left row numbers, first right row, end of the right rows)."""
         for s, e, code in self.slices:
             rows = np.flatnonzero(self.l_ds == code) if self.within else np.arange(self.left.num_rows)
             step = max(1, _MAX_SCORES // max(e - s, 1))
             for at in range(0, rows.size, step):
-                part = rows[at:at + step]
-                scores = self.x[part] @ self.y[s:e].T
-                if self.same is not None:
-                    lo, hi = (np.clip(b[part], s, e) - s for b in self.same)
-                    for i in np.flatnonzero(lo < hi):
-                        scores[i, lo[i]:hi[i]] = -np.inf
-                yield part, s, scores
-
-
-def _cell_function(k: int, per_target: bool, exclude_self: bool, within_dataset: bool, with_range: bool, schema: T.StructType):
+                yield rows[at:at + step], s, e
+
+    def own(self, part: np.ndarray, s: int, e: int):
+        """Per left row, where among right rows s..e the item itself begins and ends."""
+        return None if self.same is None else tuple(np.clip(b[part], s, e) - s for b in self.same)
+
+    def scores(self, part: np.ndarray, s: int, e: int, exact: bool = False) -> np.ndarray:
+        """Scores of a batch, in double precision if ``exact``; pairs of an item with itself are -inf."""
+        scores = self.x[part] @ self.y[s:e].T if exact else self.x32[part] @ self.y32[s:e].T
+        own = self.own(part, s, e)
+        if own is not None:
+            for i in np.flatnonzero(own[0] < own[1]):
+                scores[i, own[0][i]:own[1][i]] = -np.inf
+        return scores
+
+
+def _best_below(work: _Cell, bound: _Bound, part: np.ndarray, s: int, e: int, k: int):
+    """As ``_best_k`` for a batch, without a product of all its pairs.
+    ``None`` where the bound does not pay."""
+    m = e - s
+    if m < 2 * k:
+        return None
+    some = np.arange(0, m, max(1, m // FLOOR_ROWS))[:FLOOR_ROWS]
+    sample = work.x32[part] @ work.y32[s + some].T
+    own = work.own(part, s, e)
+    if own is not None:
+        sample[(some >= own[0][:, None]) & (some < own[1][:, None])] = -np.inf
+    if some.size < k:
+        return None
+    floor = np.partition(sample, some.size - k, axis=1)[:, some.size - k]
+    h = bound.leading(part, s, e, floor)
+    if h is None:
+        return None
+    alive = bound.above(part, s, e, h, floor)
+    if own is not None:
+        for i in np.flatnonzero(own[0] < own[1]):
+            alive[i, own[0][i]:own[1][i]] = False
+    rows, cols = np.nonzero(alive)
+    vals = _pair_scores(work.x[part], work.y[s:e], rows, cols)
+    return *_first_k(rows, cols, vals, k), rows.size
+
+
+def _cell_function(k: int, per_target: bool, exclude_self: bool, within_dataset: bool, with_range: bool, schema: T.StructType, always: bool = False):
     empty = to_arrow_schema(schema).empty_table()
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -155,9 +262,14 @@ def _cell_function(k: int, per_target: bool, exclude_self: bool, within_dataset:
         work = _Cell(left, right, per_target, exclude_self, within_dataset)
         found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
         low, high = np.full(left.num_rows, np.inf), np.full(left.num_rows, -np.inf)
-        for part, s, scores in work.batches():
-            e = s + scores.shape[1]
-            rows, cols, vals = _best_k(scores, work.x[part], work.y[s:e], k)
+        # the range needs every score
+        bound = None if with_range else _Bound(work.x, work.y, always)
+        for part, s, e in work.parts():
+            got = bound and _best_below(work, bound, part, s, e, k)
+            if not got:
+                scores = work.scores(part, s, e, with_range)
+                got = _best_k(scores, work.x[part], work.y[s:e], k)
+            rows, cols, vals = got[:3]
             found.append((part[rows], cols + s, vals))
             if with_range:
                 low[part] = np.minimum(low[part], np.where(np.isinf(scores), np.inf, scores).min(axis=1, initial=np.inf))
@@ -176,7 +288,9 @@ def _range_function(exclude_self: bool):
         low, high = np.inf, -np.inf
         if not left.num_rows or not right.num_rows:
             return pa.table({"min_score": np.zeros(0), "max_score": np.zeros(0)})
-        for _, _, scores in _Cell(left, right, False, exclude_self, False).batches():
+        work = _Cell(left, right, False, exclude_self, False)
+        for part in work.parts():
+            scores = work.scores(*part, True)
             low = min(low, np.where(np.isinf(scores), np.inf, scores).min(initial=np.inf))
             high = max(high, scores.max(initial=-np.inf))
         seen = high > -np.inf
@@ -246,7 +360,7 @@ def _ranked(pairs: DataFrame, k: int, per_target: bool) -> DataFrame:
 
 def top_matches(left: DataFrame, right: DataFrame | None = None, *, k: int = 3,
                 per_target: bool = True, exclude_self: bool | None = None,
-                within_dataset: bool = False, cell_rows: int | None = None) -> DataFrame:
+                within_dataset: bool = False, cell_rows: int | None = None, always_bound: bool = False) -> DataFrame:
     """Best ``k`` right items for every left item (per target dataset when
     ``per_target``), ranked ``1..k`` by score then smaller key.
 
@@ -255,15 +369,37 @@ def top_matches(left: DataFrame, right: DataFrame | None = None, *, k: int = 3,
     with right items of its own dataset value (used with dataset = fact name
     for donor search).  A right key that occurs on several rows is a candidate
     by each.  Output: ``dataset, item, target, match, score, rank``.
+    ``always_bound`` uses the cell's bound even where it does not pay.
     """
     lsel, rsel, exclude_self = _sides(left, right, exclude_self)
     per_target = per_target or within_dataset
     cells = _blocked(lsel, rsel, cell_rows)
     schema = _pair_schema(lsel, rsel)
-    pairs = cells.applyInArrow(_cell_function(k, per_target, exclude_self, within_dataset, False, schema), schema=schema)
+    pairs = cells.applyInArrow(_cell_function(k, per_target, exclude_self, within_dataset, False, schema, always_bound), schema=schema)
     return _ranked(pairs, k, per_target)
 
 
+def scored_pairs(left: DataFrame, right: DataFrame | None = None, *, k: int = 3, per_target: bool = True,
+                 exclude_self: bool | None = None, cell_rows: int | None = None, always_bound: bool = False) -> DataFrame:
+    """One row ``(pairs, scored)``: all pairs that ``top_matches`` looks at with
+    the same arguments, and those that it scores because no bound or
+    rounding error rules them out."""
+    lsel, rsel, exclude_self = _sides(left, right, exclude_self)
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        pairs = scored = 0
+        if left.num_rows and right.num_rows:
+            work = _Cell(left, right, per_target, exclude_self, False)
+            bound = _Bound(work.x, work.y, always_bound)
+            for part, s, e in work.parts():
+                got = _best_below(work, bound, part, s, e, k) or _best_k(work.scores(part, s, e), work.x[part], work.y[s:e], k)
+                pairs += part.size * (e - s)
+                scored += got[3]
+        return pa.table({"pairs": [pairs], "scored": [scored]})
+    cells = _blocked(lsel, rsel, cell_rows).applyInArrow(cell, schema="pairs long, scored long")
+    return cells.agg(F.sum("pairs").alias("pairs"), F.sum("scored").alias("scored"))
+
+
 def score_range(left: DataFrame, right: DataFrame | None = None, *, exclude_self: bool = False,
                 cell_rows: int | None = None) -> DataFrame:
     """One row ``(min_score, max_score)`` over all pairs; each cell reduces

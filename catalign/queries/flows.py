@@ -28,7 +28,7 @@ from ..plans.mapping import collect_embeddings, cross_dataset_mapping, match_in_
 from ..plans.transfer import best_name, choose_source_model, impute_all, registry_with_sources, transfer_from_lists
 from ..session import ensure_checkpoint_dir, read_table
 from ..sources.readers import read_csv, read_parquet
-from ..sources.sinks import dedupe_names, matrix_blocks, process_new_keys, run_chunks, run_unless_exists, write_csv, write_parquet
+from ..sources.sinks import dedupe_names, matrix_blocks, process_new_keys, read_committed, run_chunks, run_unless_exists, write_csv, write_parquet
 from ..specs import MEXT_FOOD_GROUPS, SPECS
 
 
@@ -60,12 +60,13 @@ def ingest_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PIP2 + SRC5: the events as one JSON document per user with nested
-    nutrient lists (amounts in hundredths), read back and averaged by description."""
+    """PIP2 + SRC5: the events as JSON documents with nested nutrient lists
+    (amounts in hundredths), read back and averaged by description.  A user's
+    events are dealt over documents of about a hundred, however many there are."""
     out = _folder(spark)
     ev = read_table(spark, sf_dir, "events")
     fact = F.struct(F.struct(F.concat(F.lit("n_"), F.col("event_type")).alias("name")).alias("nutrient"), F.round(F.col("value") * 100).cast("long").alias("amount"))
-    foods = ev.groupBy("user_id").agg(F.collect_list(fact).alias("foodNutrients")).select(
+    foods = ev.groupBy("user_id", F.floor(F.col("event_id") / 100).alias("document")).agg(F.collect_list(fact).alias("foodNutrients")).select(
         F.struct(F.concat(F.lit("user "), F.pmod("user_id", F.lit(50)).cast("string")).alias("description"), "foodNutrients").alias("food"))
     foods.select(F.array("food").alias("SurveyFoods")).write.json(f"{out}/foods")
     got = nested_json_facts(spark, f"{out}/foods", multiline=False)["facts"]
@@ -83,7 +84,8 @@ def ingest_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
         c.select((F.col("c_custkey") + 7).alias("i"), F.lpad((F.col("c_nationkey") % 18 + 1).cast("string"), 2, "0").alias("a"),
                  F.col("c_custkey").cast("string").alias("b"), F.lit("1").alias("c"), "c_name", "c_acctbal").withColumnsRenamed(
                      {"c_name": "d", "c_acctbal": "e"}).withColumn("e", F.col("e").cast("string")))
-    sheet.orderBy("i").drop("i").coalesce(1).write.option("escape", '"').csv(f"{out}/sheet")
+    # range-sorted numbered files, the header in the first
+    sheet.orderBy("i").drop("i").write.option("escape", '"').csv(f"{out}/sheet")
     got = sheet_with_offset_header(spark, f"{out}/sheet", n_columns=5)
     meta = got["meta"].select(F.lit("meta").alias("kind"), F.col("descriptions").alias("key"), F.col("tag_names").alias("a"), F.col("unit").alias("b"))
     items = got["items"].select(F.lit("item").alias("kind"), F.col("`Item No.`").alias("key"), F.col("food_category").alias("a"), F.col("food_item").alias("b"))
@@ -108,9 +110,9 @@ def ingest_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sheet_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ10: two rows of the region-like table become columns, one output
-    row per input column."""
-    c = read_table(spark, sf_dir, "customer").filter(F.col("c_custkey") < 2).select(F.col("c_custkey").alias("_idx"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("the segment"), F.col("c_nationkey").alias("nation.key"))
+    """PRJ10: two rows of a sheet made of the whole customer table become
+    columns, one output row per input column."""
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_idx"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("the segment"), F.col("c_nationkey").alias("nation.key"))
     return transpose_rows(c, "_idx", [0, 1], ["name", "the segment", "nation.key"], ["first", "second"])
 
 
@@ -140,6 +142,16 @@ def align_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return final.select(F.col("hebrew_name").alias("p_partkey"), "status", "description", "food_category", "common_name", "food_item_discrepancy", "text", F.col("_error").isNotNull().alias("has_error"))
 
 
+def align_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MDL2 + JN11 where keys repeat and are null: every record is one record
+    of the result, and flagged ones get their second pass whatever their key."""
+    items = _source_items(spark, sf_dir)
+    key = F.when(F.col("hebrew_name").cast("long") % 5 != 0, (F.col("hebrew_name").cast("long") % 40).cast("string"))
+    final, _, redone = two_pass_translate(items.withColumn("hebrew_name", key), SPECS["HPP"], SPECS["SR_Legacy"], _translate, retries=1, wait_s=0)
+    done = redone.select("_row", F.lit(True).alias("again"))
+    return final.join(done, "_row", "left").select(F.col("hebrew_name").alias("key"), "status", "description", "food_item_discrepancy", F.coalesce("again", F.lit(False)).alias("again"))
+
+
 def _embed(row: dict) -> dict:
     return {"embedding": [float(row["text"].count(c)) for c in "abcdefghijklmnopqrst"]}
 
@@ -227,6 +239,30 @@ def mapping_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("dataset", F.col("item").cast("long").alias("item"), "target", F.col("match").cast("long").alias("match"), "rank", "match_space_name", F.round("similarity_score", 6).alias("score"), "same_item")
 
 
+def mapping_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIP6 + PIP7 + SIM6 by pair ledger: three datasets are mapped and one
+    pair is judged, a fourth dataset joins; the files of the nine old pairs
+    stay, seven pairs are computed, and only pairs newly asked for are judged."""
+    out = _folder(spark)
+    emb = read_table(spark, sf_dir, "embeddings")
+    tables = {f"D{i}": emb.filter(F.col("label") % 4 == i).select("vec_id", F.col("vec_id").alias("name"), "embedding") for i in range(4)}
+    keys = {d: "vec_id" for d in tables}
+    judge = lambda row: {"same_item": row["similarity_score"] >= 0.25}
+    files = lambda: {r[0] for r in spark.read.parquet(f"{out}/map").select(F.input_file_name()).distinct().collect()}
+    how = dict(out_path=f"{out}/map", n=1)
+    old = {d: tables[d] for d in ("D0", "D1", "D2")}
+    mapping = cross_dataset_mapping(spark, old, "D0", keys, "name", **how)
+    validate_mappings(mapping, judge, only=[("D0", "D1")], out_path=f"{out}/checked", retries=1, wait_s=0)
+    before = files()
+    assert cross_dataset_mapping(spark, old, "D0", keys, "name", **how) is None
+    mapping = cross_dataset_mapping(spark, tables, "D0", keys, "name", **how)
+    assert before <= files()
+    no_more = lambda row: {"same_item": None}
+    assert validate_mappings(mapping, no_more, only=[("D0", "D1")], out_path=f"{out}/checked", retries=1, wait_s=0) is None
+    checked = validate_mappings(mapping, judge, only=[("D0", "D1"), ("D3", "D2")], out_path=f"{out}/checked", retries=1, wait_s=0)
+    return checked.select("dataset", F.col("item").cast("long").alias("item"), "target", F.col("match").cast("long").alias("match"), F.round("similarity_score", 6).alias("score"), "same_item")
+
+
 def shared_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PIP9 + PIP12 + SRC2 + FLT1: embeddings collected from a folder per
     dataset, final phase only, and the best match between two of them."""
@@ -244,10 +280,12 @@ _FLAGS = ["A", "N", "R"]
 
 
 def _wide_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dataset, item, A, N, R): mean quantity per return flag of every
-    embedded item that has line items."""
-    li = read_table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") > 5)
-    per = [F.avg(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))).alias(f) for f in _FLAGS]
+    """(dataset, item, A, N, R): mean quantity per return flag over all line
+    items of every embedded item.  A mean whose whole part is divisible by 3
+    counts as missing, so that every fact has gaps."""
+    li = read_table(spark, sf_dir, "lineitem")
+    mean = lambda f: F.avg(F.when(F.col("l_returnflag") == f, F.col("l_quantity")))
+    per = [F.when(F.floor(mean(f)) % 3 != 0, mean(f)).alias(f) for f in _FLAGS]
     emb = read_table(spark, sf_dir, "embeddings").select((F.col("label") % 3).cast("string").alias("dataset"), F.col("vec_id").alias("item"))
     return emb.join(li.groupBy(F.col("l_partkey").alias("item")).agg(*per), "item", "left").select("dataset", "item", *_FLAGS)
 
@@ -257,8 +295,8 @@ def transfer_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     match lists in the others, then every gap is filled from the nearest donor."""
     emb = read_table(spark, sf_dir, "embeddings")
     items = as_items(emb, (F.col("label") % 3).cast("string"), "vec_id")
-    top = top_matches(items, None, k=2, per_target=True).filter(F.col("target") != F.col("dataset"))
-    lists = match_lists(top, ["dataset", "item"], "target", "match", "score", ["0", "1", "2"])
+    top = top_matches(items.filter("dataset = '0'"), items.filter("dataset <> '0'"), k=2, per_target=True, exclude_self=False)
+    lists = match_lists(top, ["dataset", "item"], "target", "match", "score", ["1", "2"])
     full = transfer_from_lists(lists, _wide_facts(spark, sf_dir), _FLAGS, ["1", "2"], "0", ["2"], items.select("dataset", "item"))
     vec = items.select("item", "embedding")
     filled = impute_all(full.select("item", *_FLAGS), vec, "item", _FLAGS)
@@ -294,6 +332,44 @@ def chunk_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("c_custkey", "v")
 
 
+def chunk_growing_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK4 over an input that changes: between three runs rows are added in
+    front, changed and removed.  Every row carries the run that computed it."""
+    out = f"{_folder(spark)}/chunks"
+    c = read_table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") != 1, F.col("c_custkey")).alias("k"), "c_nationkey", "c_name")
+    later = c.filter(F.coalesce("k", F.lit(1)) % 3 != 0)
+    changed = c.withColumn("c_nationkey", F.when(F.col("c_nationkey") == 7, -1).otherwise(F.col("c_nationkey"))).filter(F.coalesce(F.col("k") % 10 != 4, F.lit(True)))
+    for run, part in enumerate((later, c, changed, changed)):
+        run_chunks(spark, part, ["k"], 200, out, lambda d, run=run: d.withColumn("v", F.col("c_nationkey") * 2).withColumn("run", F.lit(run)))
+    return spark.read.parquet(out).select(F.col("k").alias("c_custkey"), "c_name", "v", "run")
+
+
+def half_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK1 + SNK3: what a broken write left behind is not taken for an
+    output; a published output is read and not computed again."""
+    out, runs = f"{_folder(spark)}/out", []
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    s.limit(3).write.parquet(f"{out}/data-left-over")   # files without a manifest
+    s.limit(5).write.parquet(f"{out}/_temporary/0/part")
+    work = lambda n: lambda: runs.append(n) or s.withColumn("run", F.lit(n))
+    for n in (1, 2):
+        run_unless_exists(spark, out, work(n))
+    s.limit(4).write.parquet(f"{out}/data-broken-off")  # a later version that never got as far as its manifest
+    run_unless_exists(spark, out, work(3))
+    assert runs == [1]
+    return read_committed(spark, out, verify=True)
+
+
+def null_key_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK5 with null keys: three runs over customers some of whose keys are
+    null give every key once."""
+    out = _folder(spark)
+    c = read_table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 50 != 0, F.col("c_custkey")).alias("k"), F.when(F.col("c_nationkey") != 3, F.col("c_nationkey")).alias("n")).distinct()
+    for part in (c.filter("k % 2 = 0 or k is null"), c, c):
+        process_new_keys(spark, part, ["k", "n"], f"{out}/log", lambda d: d, f"{out}/out")
+    return spark.read.parquet(f"{out}/out").select("k", "n", "batch")
+
+
 def processed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK2 + SNK3 + SNK5: new keys only, run three times over growing input."""
     out = _folder(spark)
@@ -303,7 +379,7 @@ def processed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         process_new_keys(spark, part, "s_suppkey", f"{out}/log", lambda d: d.withColumn("n", F.length("s_name")), f"{out}/out")
     run_unless_exists(spark, f"{out}/once", lambda: spark.read.parquet(f"{out}/out"))
     run_unless_exists(spark, f"{out}/once", lambda: s.limit(0))
-    write_csv(spark.read.parquet(f"{out}/once"), f"{out}/csv")
+    write_csv(read_committed(spark, f"{out}/once"), f"{out}/csv")
     return read_csv(spark, f"{out}/csv", "s_suppkey long, s_name string, n long, batch long").select("s_suppkey", "s_name", "n", "batch")
 
 
@@ -368,9 +444,10 @@ p AS (
 
 _FACTS = """
 e AS (SELECT CAST(label % 3 AS VARCHAR) AS dataset, vec_id AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-w AS (SELECT e.dataset, e.item, q.A, q.N, q.R FROM e LEFT JOIN (
+w AS (SELECT e.dataset, e.item, CASE WHEN floor(q.A) % 3 <> 0 THEN q.A END AS A, CASE WHEN floor(q.N) % 3 <> 0 THEN q.N END AS N,
+             CASE WHEN floor(q.R) % 3 <> 0 THEN q.R END AS R FROM e LEFT JOIN (
   SELECT l_partkey, avg(l_quantity) FILTER (WHERE l_returnflag = 'A') AS A, avg(l_quantity) FILTER (WHERE l_returnflag = 'N') AS N,
-         avg(l_quantity) FILTER (WHERE l_returnflag = 'R') AS R FROM lineitem WHERE l_linenumber > 5 GROUP BY 1) q ON l_partkey = item)"""
+         avg(l_quantity) FILTER (WHERE l_returnflag = 'R') AS R FROM lineitem GROUP BY 1) q ON l_partkey = item)"""
 
 ORACLES = {
     "ingest_relational": _REL,
@@ -395,6 +472,10 @@ WITH r AS ({_TWO_PASS}), t AS (SELECT DISTINCT lower(p_name) || ' item' AS d FRO
 p AS (SELECT r.p_partkey, t.d, list_cosine_similarity({_vec('r.text')}, {_vec('t.d')}) AS s FROM r CROSS JOIN t WHERE r.status = 'ok'),
 b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY s DESC, d) = 1)
 SELECT r.p_partkey, b.d AS description, round(b.s, 6) AS score FROM r LEFT JOIN b USING (p_partkey)
+""",
+    "align_repeated_keys": f"""
+SELECT CASE WHEN CAST(p_partkey AS BIGINT) % 5 <> 0 THEN CAST(CAST(p_partkey AS BIGINT) % 40 AS VARCHAR) END AS key, status, r.description, r.food_item_discrepancy, lower(p_type) IN ('small', 'large') AS again
+FROM ({_TWO_PASS}) r JOIN (SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_type FROM part) p USING (p_partkey)
 """,
     "failing_calls": """
 SELECT c_custkey, CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey * 2 END AS twice, CASE WHEN c_nationkey % 5 = 0 THEN 'ValueError: nation ' || c_nationkey END AS error FROM customer
@@ -418,6 +499,15 @@ SELECT dataset, item, target, match, CAST(row_number() OVER (PARTITION BY datase
        CASE WHEN target = 'D0' THEN CAST(match AS VARCHAR) ELSE 'n' || match END AS match_space_name,
        round(s, 6) AS score, CASE WHEN dataset = 'D0' AND target = 'D1' THEN s >= 0.25 END AS same_item
 FROM p QUALIFY row_number() OVER (PARTITION BY dataset, item, target ORDER BY s DESC, CAST(match AS VARCHAR)) <= 2
+""",
+    "mapping_incremental": """
+WITH e AS (SELECT 'D' || (label % 4) AS dataset, vec_id AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.dataset, a.item, b.dataset AS target, b.item AS match,
+             CASE WHEN list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0.0 ELSE list_cosine_similarity(a.v, b.v) END AS s
+      FROM e a JOIN e b ON NOT (a.dataset = b.dataset AND a.item = b.item))
+SELECT dataset, item, target, match, round(s, 6) AS score,
+       CASE WHEN (dataset = 'D0' AND target = 'D1') OR (dataset = 'D3' AND target = 'D2') THEN s >= 0.25 END AS same_item
+FROM p QUALIFY row_number() OVER (PARTITION BY dataset, item, target ORDER BY s DESC, CAST(match AS VARCHAR)) = 1
 """,
     "shared_space": f"""
 WITH {_DATASETS}
@@ -448,6 +538,16 @@ p AS (SELECT a.vec_id, CASE WHEN list_dot_product(a.v, a.v) = 0 OR list_dot_prod
 SELECT vec_id, round(s, 6) AS score, round(least(1.0, greatest(0.0, 1.0 - s)), 6) AS distance FROM p
 """,
     "chunk_resume": "SELECT c_custkey, c_nationkey * 2 AS v FROM customer",
+    "chunk_growing_input": """
+WITH c AS (SELECT CASE WHEN c_custkey <> 1 THEN c_custkey END AS k, c_nationkey AS n, c_name FROM customer)
+SELECT k AS c_custkey, c_name, CASE WHEN n = 7 THEN -1 ELSE n END * 2 AS v, CASE WHEN n = 7 THEN 2 WHEN coalesce(k, 1) % 3 = 0 THEN 1 ELSE 0 END AS run
+FROM c WHERE coalesce(k % 10 <> 4, true)
+""",
+    "half_written": "SELECT s_suppkey, s_name, 1 AS run FROM supplier",
+    "null_key_log": """
+SELECT DISTINCT CASE WHEN c_custkey % 50 <> 0 THEN c_custkey END AS k, CASE WHEN c_nationkey <> 3 THEN c_nationkey END AS n,
+       CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 1 END AS batch FROM customer
+""",
     "processed_log": "SELECT s_suppkey, s_name, length(s_name) AS n, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 1 END AS batch FROM supplier",
     "score_matrix": """
 WITH n AS (SELECT p_partkey, p_name || CASE WHEN row_number() OVER w > 1 THEN '_' || (row_number() OVER w - 1) ELSE '' END AS name FROM part WINDOW w AS (PARTITION BY p_name ORDER BY p_partkey)),
@@ -470,4 +570,4 @@ ORACLES["ingest_nested_json"] = "SELECT 'user ' || (user_id % 50) AS description
 QUERIES = {f.__name__: f for f in (
     ingest_relational, ingest_nested_json, ingest_sheet, ingest_flat, sheet_meta, align_two_pass, align_resume, failing_calls,
     registry_choice, name_choice, mapping_validated, shared_space, transfer_impute, fact_round_trip, pair_cosine,
-    chunk_resume, processed_log, score_matrix, item_profile)}
+    align_repeated_keys, mapping_incremental, chunk_resume, chunk_growing_input, half_written, null_key_log, processed_log, score_matrix, item_profile)}

@@ -3,10 +3,14 @@ chunked runs, processed-key logs and the wide score-matrix export."""
 
 from __future__ import annotations
 
+import functools
+import json
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
@@ -34,8 +38,8 @@ def _fs_path(spark: SparkSession, path: str):
 
 
 def output_exists(spark: SparkSession, path: str) -> bool:
-    """SNK3: the output path exists (Hadoop FileSystem: local, HDFS, object
-    stores alike).  Any error reading the store counts as absent."""
+    """The path exists (Hadoop FileSystem: local, HDFS, object stores alike).
+    Any error reading the store counts as absent."""
     try:
         fs, p = _fs_path(spark, path)
         return bool(fs.exists(p))
@@ -43,75 +47,199 @@ def output_exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _fs_path(spark, path)
+    fs.delete(p, True)
+
+
+#: The file that names the published version of an output.
+MANIFEST = "_manifest.json"
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    """The manifest of the output at ``path``; ``None`` where nothing was published."""
+    if not output_exists(spark, f"{path}/{MANIFEST}"):
+        return None
+    fs, p = _fs_path(spark, f"{path}/{MANIFEST}")
+    stream = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _put_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Write beside, then rename over: a reader sees the old manifest or the new one."""
+    fs, staged = _fs_path(spark, f"{path}/{MANIFEST}.{uuid.uuid4().hex}")
+    stream = fs.create(staged, True)
+    stream.write(bytearray(json.dumps(manifest).encode()))
+    stream.close()
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    options[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(staged, _fs_path(spark, f"{path}/{MANIFEST}")[1], options)
+
+
+def commit_output(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> dict:
+    """SNK1 + SNK3: write a new version of the output and publish it.
+
+    The rows go to a folder of their own under ``path``; then a table of its
+    files and their row counts is written, and the manifest that names both
+    replaces the one before.  Until then readers see the version before, or
+    none: a write that broke off is never taken for an output.  Versions that
+    no manifest names are deleted by the next commit."""
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    data, files = f"{path}/data-{version}", f"{path}/files-{version}"
+    write_parquet(df, data, "errorifexists", partition_by)
+    written = spark.read.schema(df.schema).parquet(data)
+    per_file = written.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    per_file.write.parquet(files)
+    size = spark.read.parquet(files).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    manifest = {"version": version, "files": size["files"], "rows": size["rows"], "schema": df.schema.jsonValue()}
+    _put_manifest(spark, path, manifest)
+    fs, root = _fs_path(spark, path)
+    for found in fs.listStatus(root):
+        name = found.getPath().getName()
+        if name != MANIFEST and not name.endswith(version):
+            fs.delete(found.getPath(), True)
+    return manifest
+
+
+def read_committed(spark: SparkSession, path: str, verify: bool = False) -> DataFrame:
+    """The published version of an output.  ``verify`` counts its rows file by
+    file and compares them with those that were published."""
+    manifest = read_manifest(spark, path)
+    if manifest is None:
+        raise FileNotFoundError(f"nothing was published at {path}")
+    data = spark.read.schema(T.StructType.fromJson(manifest["schema"])).parquet(f"{path}/data-{manifest['version']}")
+    if verify:
+        now = data.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+        there = spark.read.parquet(f"{path}/files-{manifest['version']}")
+        lost = there.join(now, ["file", "rows"], "left_anti").first()
+        if lost is not None or now.count() != manifest["files"]:
+            raise ValueError(f"the files at {path} are not those that were published" + (f": {lost['file']} held {lost['rows']} rows" if lost else ""))
+    return data
+
+
 def run_unless_exists(spark: SparkSession, path: str, compute: Callable[[], DataFrame],
                       overwrite: bool = False, partition_by: Sequence[str] = ()) -> bool:
-    """SNK3: compute and write only when the output is absent (or
-    ``overwrite``).  The test runs *before* computing, so finished work is
-    skipped, not only the write.  Returns True when it ran."""
-    if output_exists(spark, path) and not overwrite:
+    """SNK3: compute and publish only when no output was published at
+    ``path`` (or ``overwrite``).  The test runs *before* computing, so finished
+    work is skipped, not only the write; what a broken run left behind does
+    not count.  Returns True when it ran; ``read_committed`` reads the output."""
+    if read_manifest(spark, path) is not None and not overwrite:
         return False
-    write_parquet(compute(), path, "overwrite", partition_by)
+    commit_output(compute(), path, partition_by)
     return True
 
 
-def chunk_ids(df: DataFrame, order: Sequence[str], chunk_size: int, name: str = "chunk") -> DataFrame:
-    """Chunk number ``floor(position / chunk_size)`` under an explicit order."""
-    from ..operators.tables import with_row_index
-    idx = with_row_index(df, order, "_pos")
-    return idx.withColumn(name, F.floor(F.col("_pos") / F.lit(chunk_size)).cast("long")).drop("_pos")
+def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Equal keys of two aliased tables, where a null equals a null."""
+    return functools.reduce(lambda a, b: a & b, [F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`")) for k in keys])
 
 
-def done_chunks(spark: SparkSession, path: str, name: str = "chunk") -> DataFrame | None:
-    if not output_exists(spark, path):
-        return None
-    return spark.read.parquet(path).select(name).distinct()
+def _without(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "left_anti") -> DataFrame:
+    return df.alias("_l").join(other.select(*keys).alias("_r"), same_keys("_l", "_r", keys), how)
 
 
-def run_chunks(spark: SparkSession, items: DataFrame, order: Sequence[str], chunk_size: int, path: str,
+def content_digest(df: DataFrame) -> Column:
+    """Hash of a row's whole content, by column name."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+
+
+def replace_rows(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], todo: DataFrame, current: DataFrame,
+                 chunks: DataFrame, name: str) -> None:
+    """Rewrite the ``chunks`` of an output: ``new`` rows, and of the rows
+    that are there those whose key is in ``current`` and not in ``todo``."""
+    from ..session import materialize
+    if output_exists(spark, path):
+        old = spark.read.schema(new.schema).parquet(path).join(chunks, name, "left_semi")
+        kept = _without(_without(old, todo, keys), current, keys, "left_semi")
+        new = kept.select(*new.columns).unionByName(new)
+    new = materialize(new)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
+    for (chunk,) in chunks.join(new.select(name).distinct(), name, "left_anti").collect():  # chunks that have no rows any more
+        delete_path(spark, f"{path}/{name}={chunk}")
+
+
+def _chunks_of(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Chunks that an output has rows of."""
+    return spark.read.parquet(path).select(F.col(name).cast("long").alias(name)).distinct()
+
+
+def run_chunks(spark: SparkSession, items: DataFrame, keys: Sequence[str], chunk_size: int, path: str,
                compute: Callable[[DataFrame], DataFrame], chunk_start: int | None = None,
                chunk_end: int | None = None, overwrite: bool = False, name: str = "chunk",
-               done_path: str | None = None) -> DataFrame:
-    """SNK4: resumable chunked run.  Rows get a chunk id; chunks already in
-    the output are skipped (``left_anti``) unless ``overwrite``; only chunks
-    in ``[chunk_start, chunk_end)`` run; results are written partitioned by
-    chunk with dynamic partition overwrite, so a rerun of one chunk replaces
-    just that chunk.  Returns the (distributed) table of chunk ids that ran;
-    nothing per chunk is brought to the driver.  Every chunk is one output
-    directory, so size chunks in the 1e5-1e6 row range at scale.  Where
-    further outputs follow this one, ``done_path`` names the last of them: a
-    chunk counts as done when it is there."""
+               then: Callable[[DataFrame, DataFrame, DataFrame], None] | None = None) -> DataFrame:
+    """SNK4: resumable run over an input that may change between runs.
+
+    A row's chunk is a hash of its key, so it does not depend on the other
+    rows.  A ledger beside the output (``<path>__done``) holds the key and
+    content digest of every row done; a run computes the rows that are not in
+    it -- new or changed ones -- and nothing else, and rows that left the
+    input leave the output.  Only chunks with such rows are rewritten, each
+    as one folder; only chunks in ``[chunk_start, chunk_end)`` run;
+    ``overwrite`` computes all of their rows again.  ``compute`` must keep
+    the keys and the chunk column; it may return several rows a key, or none.
+
+    ``then(todo, current, chunks)`` writes further outputs (with
+    ``replace_rows``).  The ledger is written last, so a run that broke off
+    anywhere is repeated and replaces what it left.  Keys must be unique (a
+    null is a key like any other).  The number of chunks is that of the first
+    run's rows by ``chunk_size``; size them to 1e5-1e6 rows at scale.  Returns
+    the table of chunk ids that ran."""
+    from ..operators.checks import assert_unique
     from ..session import materialize
-    tagged = chunk_ids(items, order, chunk_size, name)
-    if chunk_start is not None:
-        tagged = tagged.filter(F.col(name) >= chunk_start)
-    if chunk_end is not None:
-        tagged = tagged.filter(F.col(name) < chunk_end)
-    done = None if overwrite else done_chunks(spark, done_path or path, name)
-    todo = tagged if done is None else tagged.join(done, name, "left_anti")
+    keys, ledger = list(keys), f"{path}__done"
+    assert_unique(items, keys)
+    done = spark.read.parquet(ledger) if output_exists(spark, ledger) else None
+    n = (done.agg(F.max("_chunks")).first()[0] if done is not None else None) or max(1, -(-items.count() // chunk_size))
+    part = lambda df: df.filter((F.col(name) >= (chunk_start or 0)) & (F.col(name) < (n if chunk_end is None else chunk_end)))
+    tagged = items.withColumn("_digest", content_digest(items)).withColumn(name, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("long"))
+    tagged = materialize(part(tagged))
+    if done is not None:
+        # a chunk that had rows and is not there any more was lost, and counts as not done
+        there = (_chunks_of(spark, path, name) if output_exists(spark, path) else done.select(name).limit(0)).withColumn("_there", F.lit(True))
+        done = part(done).join(there, name, "left").filter(F.col("_there") | ~F.col("_has_rows"))
+        done = materialize(done.select(*keys, "_digest", name))
+    todo = tagged if done is None or overwrite else _without(tagged, done, [*keys, "_digest"])
+    touched = todo.select(name)
+    if done is not None:
+        touched = touched.unionByName(_without(done, tagged, keys).select(name))
+    chunks = materialize(touched.distinct())
+    if chunks.isEmpty():
+        return chunks
     todo = materialize(todo)
-    ran = todo.select(name).distinct()
-    if todo.isEmpty():
-        return ran
-    out = compute(todo)
-    if name not in out.columns:
-        raise ValueError(f"compute() must keep the {name!r} column")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
-    return ran
+    # rows may only have left the input: then there is nothing to compute
+    gone = todo.isEmpty() and output_exists(spark, path)
+    out = spark.read.parquet(path).withColumn(name, F.col(name).cast("long")).limit(0) if gone else compute(todo.drop("_digest"))
+    if missing := {*keys, name} - set(out.columns):
+        raise ValueError(f"compute() must keep the columns {sorted(missing)}")
+    replace_rows(spark, path, out, keys, todo, tagged, chunks, name)
+    if then is not None:
+        then(todo, tagged, chunks)
+    has_rows = _chunks_of(spark, path, name).withColumn("_has_rows", F.lit(True))
+    entries = tagged.join(chunks, name, "left_semi").join(has_rows, name, "left").select(
+        *keys, "_digest", F.lit(n).cast("long").alias("_chunks"), F.coalesce("_has_rows", F.lit(False)).alias("_has_rows"), name)
+    replace_rows(spark, ledger, entries, keys, entries, tagged, chunks, name)
+    return chunks
 
 
 def process_new_keys(spark: SparkSession, items: DataFrame, key: Sequence[str] | str, log_path: str,
                      compute: Callable[[DataFrame], DataFrame], out_path: str) -> int:
-    """SNK5: process only keys not yet in the log.  A run writes its output
-    and then its keys as the next batch, each a folder that is replaced as a
-    whole: a run that failed between the two is repeated under the same
-    number and leaves no duplicate.  Returns the number of new keys."""
+    """SNK5: process only keys not yet in the log; a null key is a key like
+    any other.  A run writes its output and then its keys as the next batch,
+    each a folder that is replaced as a whole: a run that failed between the
+    two is repeated under the same number and leaves no duplicate.  Returns
+    the number of new rows."""
     from ..operators.reshape import pivot_names
     from ..session import materialize
     keys = [key] if isinstance(key, str) else list(key)
     todo, batch = items, 0
     if output_exists(spark, log_path):
         log = spark.read.parquet(log_path)
-        todo = items.join(log.select(*keys), keys, "left_anti")
+        todo = _without(items, log, keys)
         batch = max(pivot_names(log, "batch"), default=-1) + 1
     todo = materialize(todo)
     n = todo.count()

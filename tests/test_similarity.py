@@ -20,10 +20,10 @@ def _items(spark):
 def test_best_k_ties_go_to_smaller_column():
     y = np.array([[1.0, 0.0], [0.6, 0.8], [0.6, 0.8], [0.0, 1.0], [0.6, 0.8]])
     x = np.array([[0.6, 0.8]])
-    rows, cols, vals = _best_k(x @ y.T, x, y, 2)
+    rows, cols, vals, _ = _best_k(x @ y.T, x, y, 2)
     assert cols.tolist() == [1, 2] and vals[0] == vals[1]
     scores = np.array([[-np.inf, 0.3, 0.2]])
-    rows, cols, vals = _best_k(scores, np.array([[1.0]]), np.array([[9.0], [0.3], [0.2]]), 5)
+    rows, cols, vals, _ = _best_k(scores, np.array([[1.0]]), np.array([[9.0], [0.3], [0.2]]), 5)
     assert cols.tolist() == [1, 2]
 
 
@@ -143,6 +143,37 @@ def test_cell_size_changes_nothing(spark):
     assert g == b
 
 
+@pytest.mark.parametrize("fall", [0.0, 1.5])
+def test_bound_rules_pairs_out_and_changes_nothing(spark, fall):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(900, 24)) * (1.0 / np.arange(1, 25) ** fall)
+    v[50], v[60], v[70] = v[40], v[40], 0.0  # equal and zero vectors
+    items = spark.createDataFrame([(f"d{i % 3}", i, [float(x) for x in r]) for i, r in enumerate(v)], "dataset string, item long, embedding array<double>")
+    for per_target, k, cell_rows in ((True, 3, None), (False, 1, 400), (False, 5, 950)):
+        how = dict(k=k, per_target=per_target, cell_rows=cell_rows)
+        plain, bound = ({tuple(r) for r in top_matches(items, None, always_bound=a, **how).collect()} for a in (False, True))
+        assert plain == bound and len(plain) == 900 * k * (3 if per_target else 1)
+        for a in (False, True):
+            share = similarity.scored_pairs(items, None, always_bound=a, **how).first()
+            assert share["pairs"] == 900 * 900
+            if a and fall and not per_target:
+                assert share["scored"] < 0.2 * share["pairs"]
+
+
+def test_single_precision_only_chooses_candidates():
+    rng = np.random.default_rng(2)
+    for d in (8, 300, 2000):
+        x = similarity._unit_rows(pa.chunked_array([pa.array(rng.normal(size=(40, d)).tolist())]))
+        y = np.repeat(x[:1], 60, axis=0) + rng.normal(size=(60, d)) * 1e-9  # all but equal scores
+        y /= np.linalg.norm(y, axis=1)[:, None]
+        single = x.astype(np.float32) @ y.astype(np.float32).T
+        assert np.abs(single - x @ y.T).max() <= similarity._rounding(d) / 2
+        rows, cols, vals, _ = _best_k(single, x, y, 4)
+        want = similarity._pair_scores(x, y, *(g.ravel() for g in np.indices((40, 60)))).reshape(40, 60)
+        for i in range(40):
+            assert sorted(range(60), key=lambda j: (-want[i, j], j))[:4] == cols[rows == i].tolist()
+
+
 def test_top_matches_with_range_equals_separate_passes(spark):
     from catalign.operators.similarity import top_matches_with_range
     items = _items(spark)

@@ -2,12 +2,13 @@ import base64
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from catalign.sources.readers import (literal_table, read_binary_files, read_csv, read_nested_json, read_parquet,
                                       read_sheet_rows)
-from catalign.sources.sinks import (dedupe_names, output_exists, process_new_keys, run_chunks, run_unless_exists,
-                                    wide_matrix, write_csv, write_parquet)
+from catalign.sources.sinks import (commit_output, dedupe_names, output_exists, process_new_keys, read_committed,
+                                    read_manifest, run_chunks, run_unless_exists, wide_matrix, write_csv, write_parquet)
 from catalign.streaming.incremental import image_payloads, process_new_files
 
 
@@ -92,18 +93,94 @@ def test_chunked_restart(spark, tmp_dir):
         seen.append(sorted(r.chunk for r in df.select("chunk").distinct().collect()))
         return df.withColumn("v", F.col("k") * 2)
     ids = lambda df: sorted(r[0] for r in df.collect())
-    assert ids(run_chunks(spark, items, ["k"], 3, path, compute, chunk_end=2)) == [0, 1]
-    assert ids(run_chunks(spark, items, ["k"], 3, path, compute)) == [2, 3]
+    all_ids = ids(items.select(F.pmod(F.xxhash64("k"), F.lit(4)).cast("long").alias("chunk")).distinct())  # 10 rows by 3 are 4 chunks
+    assert ids(run_chunks(spark, items, ["k"], 3, path, compute, chunk_end=2)) == [c for c in all_ids if c < 2]
+    assert ids(run_chunks(spark, items, ["k"], 3, path, compute)) == [c for c in all_ids if c >= 2]
     assert ids(run_chunks(spark, items, ["k"], 3, path, compute)) == []
     assert spark.read.parquet(path).count() == 10
     # a lost chunk alone is redone
     import shutil
-    shutil.rmtree(f"{path}/chunk=1")
-    assert ids(run_chunks(spark, items, ["k"], 3, path, compute)) == [1]
-    assert ids(run_chunks(spark, items, ["k"], 3, path, compute, chunk_start=3, overwrite=True)) == [3]
+    shutil.rmtree(f"{path}/chunk={all_ids[0]}")
+    assert ids(run_chunks(spark, items, ["k"], 3, path, compute)) == all_ids[:1]
+    assert ids(run_chunks(spark, items, ["k"], 3, path, compute, chunk_start=all_ids[-1], overwrite=True)) == all_ids[-1:]
     assert spark.read.parquet(path).count() == 10
 
 
+def test_chunks_follow_an_input_that_grows_changes_and_shrinks(spark, tmp_dir):
+    path, asked = f"{tmp_dir}/chunks", []
+    frame = lambda rows: spark.createDataFrame(rows, "k long, x string")
+
+    def compute(df):
+        asked.append(sorted((r.k if r.k is not None else -1) for r in df.collect()))
+        return df.withColumn("y", F.upper("x"))
+    first = [(k, f"a{k}") for k in range(10, 20)]
+    second = [(k, f"a{k}") for k in range(5, 20)] + [(None, "n")]
+    third = [(k, "new" if k == 12 else f"a{k}") for k in range(5, 18)] + [(None, "n")]
+    for rows in (first, second, second, third):
+        run_chunks(spark, frame(rows), ["k"], 5, path, compute)
+    assert asked == [list(range(10, 20)), [-1, *range(5, 10)], [12]]
+    got = sorted(((r.k, r.y) for r in spark.read.parquet(path).collect()), key=str)
+    assert got == sorted(((k, x.upper()) for k, x in third), key=str)
+    # rows that left a chunk empty take its folder with them
+    run_chunks(spark, frame([(12, "new")]), ["k"], 5, path, compute)
+    assert [(r.k, r.y) for r in spark.read.parquet(path).collect()] == [(12, "NEW")] and len(asked) == 3
+    with pytest.raises(ValueError):
+        run_chunks(spark, frame([(1, "a"), (1, "b")]), ["k"], 5, path, compute)
+
+
+def test_chunk_run_that_breaks_off_is_repeated(spark, tmp_dir):
+    items, path, asked = spark.range(20).withColumnRenamed("id", "k"), f"{tmp_dir}/chunks", []
+
+    def compute(df):
+        asked.append(df.count())
+        return df.filter("k % 4 <> 0")  # some rows have no output
+
+    def broken(*_):
+        raise RuntimeError("stopped")
+    with pytest.raises(RuntimeError):
+        run_chunks(spark, items, ["k"], 5, path, compute, then=broken)
+    run_chunks(spark, items, ["k"], 5, path, compute)
+    run_chunks(spark, items, ["k"], 5, path, compute)
+    assert asked == [20, 20] and spark.read.parquet(path).count() == 15
+
+
+def test_only_a_published_output_counts(spark, tmp_dir):
+    path, ran = f"{tmp_dir}/out", []
+    os.makedirs(f"{path}/_temporary/0")
+    spark.range(3).write.parquet(f"{path}/data-left")
+    work = lambda n: lambda: ran.append(n) or spark.range(n)
+    assert read_manifest(spark, path) is None
+    assert run_unless_exists(spark, path, work(5)) and not run_unless_exists(spark, path, work(6))
+    assert read_committed(spark, path, verify=True).count() == 5 and not os.path.exists(f"{path}/data-left")
+    # readers keep the old version until the new one is published
+    with pytest.raises(RuntimeError):
+        run_unless_exists(spark, path, lambda: (_ for _ in ()).throw(RuntimeError("stopped")), overwrite=True)
+    assert read_committed(spark, path).count() == 5
+    assert run_unless_exists(spark, path, work(7), overwrite=True)
+    manifest = read_manifest(spark, path)
+    assert (manifest["rows"], read_committed(spark, path).count(), ran) == (7, 7, [5, 7])
+    data = f"{path}/data-{manifest['version']}"
+    os.remove(next(f"{data}/{f}" for f in sorted(os.listdir(data)) if f.startswith("part-") and spark.read.parquet(f"{data}/{f}").count()))
+    with pytest.raises(ValueError):
+        read_committed(spark, path, verify=True)
+    with pytest.raises(FileNotFoundError):
+        read_committed(spark, f"{tmp_dir}/nothing")
+
+
+def test_partitioned_and_empty_outputs_are_published(spark, tmp_dir):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k long, p string")
+    commit_output(df, f"{tmp_dir}/p", ["p"])
+    assert sorted((r.k, r.p) for r in read_committed(spark, f"{tmp_dir}/p", verify=True).collect()) == [(1, "a"), (2, None)]
+    assert commit_output(df.limit(0), f"{tmp_dir}/e")["rows"] == 0
+    assert read_committed(spark, f"{tmp_dir}/e", verify=True).schema == df.schema
+
+
+def test_null_keys_are_processed_once(spark, tmp_dir):
+    items = spark.createDataFrame([(1, "a"), (None, "b"), (None, None)], "k long, s string")
+    new = [process_new_keys(spark, items, ["k", "s"], f"{tmp_dir}/log", lambda d: d, f"{tmp_dir}/out") for _ in range(3)]
+    assert new == [3, 0, 0] and spark.read.parquet(f"{tmp_dir}/out").count() == 3
+
+
 def test_processed_log(spark, tmp_dir):
     items = spark.createDataFrame([("a.jpg",), ("b.jpg",)], "name string")
     out, log = f"{tmp_dir}/out", f"{tmp_dir}/log"
