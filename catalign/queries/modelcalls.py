@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+import uuid
+
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.modelcall import embed_texts, letter_count_embedding, model_map, threshold_judge
+from ..operators.modelcall import embed_texts, ledger_map, letter_count_embedding, model_map, threshold_judge
 from ..operators.similarity import as_items, top_matches
-from ..session import read_table
+from ..session import ensure_checkpoint_dir, materialize, read_table
 
 JUDGE_THRESHOLD = 0.5
 LETTERS = "aeiou"
@@ -31,7 +35,68 @@ def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("embedding")[len(LETTERS)].alias("n_chars"))
 
 
+def call_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MDL1 + MDL7: the sizes of all parts are sent to a function that counts
+    its calls; the first run loses its task on the way, the second finishes, a
+    third finds everything in the ledger.  Every distinct input is called once."""
+    out = f"{ensure_checkpoint_dir(spark)}/calls-{uuid.uuid4().hex}"
+    part = read_table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") != 13, F.col("p_size")).alias("size"))
+
+    def fn(row):
+        size = -1 if row["size"] is None else int(row["size"])
+        store, base = pafs.FileSystem.from_uri(out if "://" in out else "file://" + out.replace("file:", "", 1))
+        store.create_dir(f"{base}/log", recursive=True)
+        if size == 37 and store.get_file_info(f"{base}/once").type == pafs.FileType.NotFound:
+            store.open_output_stream(f"{base}/once").close()
+            raise RuntimeError("the task is lost")  # before the call is made
+        with store.open_output_stream(f"{base}/log/{size}-{uuid.uuid4().hex}") as mark:
+            mark.write(b"1")  # Spark's readers pass over empty files
+        return {"twice": 2 * size}
+
+    run = lambda **kw: ledger_map(part, fn, ["size"], "twice long", f"{out}/ledger", "v1", retries=1, wait_s=0, tasks=1, flush=1, **kw)
+    try:
+        run(on_error="raise")  # a cluster retries the task, which goes on after its answers
+    except Exception as e:  # noqa: BLE001 - without retries the job fails
+        if "the task is lost" not in str(e):
+            raise
+    run()
+    answers = run()
+    log = spark.read.format("binaryFile").load(f"{out}/log").select(F.regexp_extract("path", r"/(-?\d+)-[^/]*$", 1).cast("long").alias("called"))
+    calls = log.groupBy("called").agg(F.count(F.lit(1)).alias("n_calls"))
+    size = F.coalesce(F.col("size").cast("long"), F.lit(-1).cast("long"))
+    return answers.join(calls, size == F.col("called"), "left").select("p_partkey", "size", "twice", "n_calls", F.col("_error").alias("error"))
+
+
+BOUND = 6
+
+
+def bounded_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MDL8: one bound for the whole run.  Every call records when it began
+    and ended; the most that were under way at once is within the bound."""
+    def fn(row):
+        began = time.time()
+        time.sleep(0.001)
+        return {"began": began, "ended": time.time()}
+
+    nations = read_table(spark, sf_dir, "customer").select("c_nationkey", (F.col("c_custkey") % 8).alias("deal")).distinct()
+    calls = materialize(model_map(nations, fn, ["c_nationkey", "deal"], "began double, ended double", keep_cols=["c_nationkey"], retries=1, wait_s=0, partitions=8, total_in_flight=BOUND))
+    # +1 where a call begins, -1 where it ends; an end comes before a beginning at the same time
+    steps = calls.select(F.explode(F.array(F.struct(F.col("began").alias("at"), F.lit(1).alias("step")), F.struct(F.col("ended").alias("at"), F.lit(-1).alias("step")))).alias("s")).select("s.*")
+    # time slices: what is under way at a slice's start, and the highest sum inside it
+    slices = steps.groupBy(F.floor("at").alias("slice")).agg(F.array_sort(F.collect_list(F.struct("at", "step"))).alias("s"), F.sum("step").alias("net"))
+    start = F.coalesce(F.sum("net").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.aggregate("s", F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+                         lambda a, x: F.struct((a["now"] + x["step"]).alias("now"), F.greatest(a["most"], a["now"] + x["step"]).alias("most")))["most"]
+    most = slices.select((start + inside).alias("most")).agg(F.max("most").alias("most"))
+    return calls.agg(F.count(F.lit(1)).alias("n_calls")).crossJoin(most).select("n_calls", (F.col("most") <= BOUND).alias("within_bound"))
+
+
 ORACLES = {
+    "call_ledger": """
+SELECT p_partkey, CASE WHEN p_size <> 13 THEN p_size END AS size, CASE WHEN p_size <> 13 THEN 2 * p_size ELSE -2 END AS twice,
+       CAST(1 AS BIGINT) AS n_calls, CAST(NULL AS VARCHAR) AS error FROM part
+""",
+    "bounded_calls": "SELECT count(*) AS n_calls, true AS within_bound FROM (SELECT DISTINCT c_nationkey, c_custkey % 8 FROM customer)",
     "judge_pairs": f"""
 WITH e AS (SELECT label AS dataset, vec_id AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (
@@ -51,4 +116,6 @@ FROM p QUALIFY row_number() OVER (PARTITION BY dataset, item, target ORDER BY s
 QUERIES = {
     "judge_pairs": judge_pairs,
     "embed_text": embed_text,
+    "call_ledger": call_ledger,
+    "bounded_calls": bounded_calls,
 }
