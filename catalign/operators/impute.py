@@ -3,15 +3,11 @@
 Facts are long rows ``(item, fact, value)``.  For every (item, fact) whose
 value is missing, the ``k`` nearest items that *have* that fact are needed.
 
-The direct search is the kernel with ``dataset = fact`` and
-``within_dataset=True``: one job for all facts, with no cell holding more than
-its bound, however large one fact is.  With many facts the caller can ask for
-a neighbour list first (``neighbours=m``): one similarity pass finds every
-item's ``m`` nearest items, and each missing (item, fact) takes its ``k`` best
-donors among them.  That answer is exact when ``k`` donors score strictly above
-the last neighbour's score (no item outside the list can beat them, ties
-included) or when the list holds every candidate; the remaining pairs go
-through the direct search, so both ways give the same values.
+One kernel run serves all facts: an item goes into it once, with the list of
+the facts it lacks or has, so a pair is scored once and a vector travels once
+per cell.  An item's neighbours are listed best first, ``neighbours`` of them;
+where that does not settle a fact, the item's list is doubled for the facts
+that are still open.
 Distance is ``clip(1 - cosine, 0, 1)``; ties go to the smaller donor key.
 Dividing distances by their global maximum changes neither the k=1 choice
 nor the weights below, so it is not applied here (see ``similarity_to_distance``).
@@ -19,65 +15,35 @@ nor the weights below, so it is not applied here (see ``similarity_to_distance``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .similarity import DATASET, ITEM, VECTOR, top_matches
+from .similarity import ITEM, VECTOR, nearest_with_facts
+
+#: Neighbours that an item lists at first.
+NEIGHBOURS = 32
+
 
 def split_known(facts: DataFrame):
     """IMP1: ``(known, missing)`` facts."""
     return facts.filter(F.col("value").isNotNull()), facts.filter(F.col("value").isNull())
 
 
-def _direct_donors(known: DataFrame, missing: DataFrame, vec: DataFrame, k: int,
-                   cell_rows: int | None, restrict: bool = False) -> DataFrame:
-    """Exact donor search per fact for the given missing (item, fact) rows
-    (``restrict``: only donors of the facts that occur in ``missing``)."""
-    if restrict:
-        known = known.join(missing.select("fact").distinct(), "fact", "left_semi")
-    left = missing.join(vec, ITEM).select(F.col("fact").alias(DATASET), ITEM, VECTOR)
-    right = known.join(vec, ITEM).select(F.col("fact").alias(DATASET), ITEM, VECTOR)
-    near = top_matches(left, right, k=k, per_target=True, exclude_self=False, within_dataset=True,
-                       cell_rows=cell_rows)
-    return near.select(ITEM, F.col(DATASET).alias("fact"), F.col("match").alias("donor"), "score", "rank")
-
-
 def nearest_donors(facts: DataFrame, vectors: DataFrame, k: int, cell_rows: int | None = None,
-                   neighbours: int | None = None) -> DataFrame:
+                   neighbours: int = NEIGHBOURS) -> DataFrame:
     """``(item, fact, donor, score, rank)`` for every missing (item, fact).
-    ``neighbours``: list length of the first pass, ``None`` for the direct
-    search only."""
+    ``neighbours``: length of the neighbour lists before they are doubled; it
+    changes the cost, never the result."""
     known, missing = split_known(facts)
     vec = vectors.select(F.col(ITEM), F.col(VECTOR)).dropna()
-    pairs = missing.select(ITEM, "fact")
-    if neighbours is None:
-        return _direct_donors(known, pairs, vec, k, cell_rows)
-    m = max(int(neighbours), k)
-    left = pairs.select(ITEM).distinct().join(vec, ITEM).select(F.lit(0).alias(DATASET), ITEM, VECTOR)
-    right = known.select(ITEM).distinct().join(vec, ITEM).select(F.lit(0).alias(DATASET), ITEM, VECTOR)
-    from ..session import materialize
-    # read three times below: checkpoint once (reliable, lineage cut)
-    nb = materialize(top_matches(left, right, k=m, per_target=False, exclude_self=True, cell_rows=cell_rows)
-                     .select(ITEM, F.col("match").alias("donor"), "score"))
-    edge = nb.groupBy(ITEM).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_edge"))
-    donors_of = known.select(F.col(ITEM).alias("donor"), "fact")
-    cand = pairs.join(nb, ITEM).join(donors_of, ["donor", "fact"])
-    w = Window.partitionBy(ITEM, "fact").orderBy(F.desc("score"), F.asc("donor"))  # at most m rows per group
-    top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    stats = top.groupBy(ITEM, "fact").agg(F.count(F.lit(1)).alias("_c"), F.min("score").alias("_kth"))
-    complete = F.coalesce(F.col("_n"), F.lit(0)) < m
-    exact = F.coalesce(complete | ((F.col("_c") >= k) & (F.col("_kth") > F.col("_edge"))), F.lit(False))
-    status = materialize(pairs.join(stats, [ITEM, "fact"], "left").join(edge, ITEM, "left")
-                         .select(ITEM, "fact", exact.alias("_exact")))
-    exact = F.col("_exact")
-    settled = status.filter(exact).select(ITEM, "fact")
-    rest = status.filter(~exact).select(ITEM, "fact")
-    first = top.join(settled, [ITEM, "fact"], "left_semi").select(ITEM, "fact", "donor", "score", "rank")
-    return first.unionByName(_direct_donors(known, rest, vec, k, cell_rows, restrict=True))
+    # the facts of one item: bounded by the number of facts
+    side = lambda df: df.groupBy(ITEM).agg(F.collect_set(F.col("fact").cast("string")).alias("facts")).join(vec, ITEM)
+    near = nearest_with_facts(side(missing), side(known), k=k, first=max(int(neighbours), k), cell_rows=cell_rows)
+    return near.withColumn("fact", F.col("fact").cast(facts.schema["fact"].dataType))
 
 
 def knn_values(facts: DataFrame, vectors: DataFrame, k: int = 1, weights: str = "distance",
-               cell_rows: int | None = None, neighbours: int | None = None) -> DataFrame:
+               cell_rows: int | None = None, neighbours: int = NEIGHBOURS) -> DataFrame:
     """IMP2: predicted value per missing (item, fact).
 
     ``uniform``: mean of the k donor values.  ``distance``: ``sum(v/d)/sum(1/d)``;
@@ -101,7 +67,7 @@ def knn_values(facts: DataFrame, vectors: DataFrame, k: int = 1, weights: str =
 
 
 def impute(facts: DataFrame, vectors: DataFrame, k: int = 1, weights: str = "distance",
-           cell_rows: int | None = None, neighbours: int | None = None) -> DataFrame:
+           cell_rows: int | None = None, neighbours: int = NEIGHBOURS) -> DataFrame:
     """IMP3: every fact row, known values kept and missing ones filled from
     the nearest donors (a fact without donors stays null).
     Output ``(item, fact, value, imputed)``."""

@@ -34,6 +34,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -423,3 +424,86 @@ def top_matches_with_range(left: DataFrame, right: DataFrame | None = None, *, k
     rng = rows.agg(F.min("_row_min").alias("lo"), F.max("_row_max").alias("hi")).first()
     out = _ranked(rows.drop("_row_min", "_row_max"), k, per_target)
     return out.select(DATASET, ITEM, "target", "match", "score", "rank"), rng["lo"], rng["hi"]
+
+
+# --- nearest donors of many facts ------------------------------------------------------------
+
+# cells of (row, neighbour, fact) looked at together
+_MAX_LOOKUPS = 16_000_000
+
+
+def _fact_table(column: pa.ChunkedArray, names: pa.Array) -> np.ndarray:
+    """(rows, names) booleans of a column of name lists."""
+    column = column.combine_chunks()
+    out = np.zeros((len(column), len(names)), bool)
+    code = pc.index_in(pc.list_flatten(column), names)
+    known = code.is_valid().to_numpy(zero_copy_only=False)
+    out[pc.list_parent_indices(column).to_numpy()[known], code.drop_null().to_numpy()] = True
+    return out
+
+
+def _donors_of(scores: np.ndarray, need: np.ndarray, has: np.ndarray, k: int, first: int, margin: float):
+    """Candidates (row, column, fact) for the ``k`` best columns of every
+    needed (row, fact) among the columns that have the fact.  Each row looks
+    at its best ``first`` columns; where they do not settle a fact -- fewer
+    than k of them have it, or the k-th is no better than a column outside
+    the list may be -- the row's list is doubled for the facts still open."""
+    n, need, found = scores.shape[1], need.copy(), [(np.zeros(0, np.int64),) * 3]
+    rows, m = np.flatnonzero(need.any(axis=1)), min(max(first, 2 * k), n)
+    while rows.size:
+        m = n if 4 * m > n else m
+        step = max(1, _MAX_LOOKUPS // (m * has.shape[1]))
+        for at in range(0, rows.size, step):
+            part = rows[at:at + step]
+            val = scores[part]
+            if m < n:
+                col = np.argpartition(-val, m - 1, axis=1)[:, :m]
+                val = np.take_along_axis(val, col, axis=1)
+            else:
+                col = np.broadcast_to(np.arange(n), val.shape)
+            order = np.argsort(-val, axis=1, kind="stable")
+            col, val = np.take_along_axis(col, order, axis=1), np.take_along_axis(val, order, axis=1)
+            have = has[col] & need[part][:, None, :]
+            count = np.cumsum(have, axis=1, dtype=np.int32)
+            enough = count[:, -1] >= k
+            floor = np.where(enough, np.take_along_axis(val, np.argmax(count >= k, axis=1), axis=1) - margin, -np.inf)
+            settled = need[part] & ((enough & (floor > val[:, -1:])) if m < n else True)
+            r, j, f = np.nonzero(have & settled[:, None, :] & (val[:, :, None] >= floor[:, None, :]))
+            found.append((part[r], col[r, j], f))
+            need[part] &= ~settled
+        rows, m = rows[need[rows].any(axis=1)], min(2 * m, n)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def nearest_with_facts(left: DataFrame, right: DataFrame, *, k: int, first: int = 32, cell_rows: int | None = None) -> DataFrame:
+    """``(item, fact, donor, score, rank)``: for every fact that a left row
+    ``(item, facts, embedding)`` lists, its best ``k`` right rows among those
+    that list the fact, ties to the smaller donor.  A pair is scored once
+    whatever the number of facts, and a vector is shuffled once per cell.
+    ``first`` is the length of the neighbour lists before they are doubled."""
+    as_rows = lambda df: df.select(F.lit(0).alias(DATASET), ITEM, VECTOR, "facts")
+    left, right = as_rows(left), as_rows(right)
+    schema = T.StructType([left.schema[ITEM], T.StructField("fact", T.StringType()), T.StructField("donor", right.schema[ITEM].dataType), T.StructField("score", T.DoubleType())])
+    empty = to_arrow_schema(schema).empty_table()
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return empty
+        work = _Cell(left, right, False, False, False)
+        names = pc.unique(pc.list_flatten(work.right.column("facts").combine_chunks()))
+        if not len(names):
+            return empty
+        need, has = _fact_table(left.column("facts"), names), _fact_table(work.right.column("facts"), names)
+        margin = np.float32(_rounding(work.x.shape[1]))
+        found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
+        for part, s, e in work.parts():
+            rows, cols, facts = _donors_of(work.scores(part, s, e), need[part], has[s:e], k, first, margin)
+            pair, which = np.unique(rows * (e - s) + cols, return_inverse=True)  # a pair may serve several facts
+            vals = _pair_scores(work.x[part], work.y[s:e], pair // (e - s), pair % (e - s))[which]
+            group, cols, vals = _first_k(rows * len(names) + facts, cols, vals, k)
+            found.append((part[group // len(names)], group % len(names), cols + s, vals))
+        rows, facts, cols, vals = (np.concatenate(f) for f in zip(*found))
+        return pa.table({ITEM: left.column(ITEM).take(rows), "fact": names.take(pa.array(facts)), "donor": work.right.column(ITEM).take(cols), "score": vals})
+    near = _blocked(left, right, cell_rows).applyInArrow(cell, schema=schema)
+    w = Window.partitionBy(ITEM, "fact").orderBy(F.desc("score"), F.asc("donor"))  # k rows a cell
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

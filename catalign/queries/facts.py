@@ -73,7 +73,7 @@ def impute_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _impute(spark, sf_dir, 3, "distance")
 
 
-# neighbours listed per item before the direct search
+# neighbours listed per item at first
 NEIGHBOURS = 32
 
 
@@ -90,14 +90,15 @@ def _item_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def impute_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IMP1-IMP3 with the neighbour list first, over the facts of the line items."""
+    """IMP1-IMP3 with neighbour lists, which rare facts double several
+    times, over the facts of the line items."""
     vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), "embedding")
     out = impute(_item_facts(spark, sf_dir), vectors, k=3, weights="uniform", neighbours=NEIGHBOURS)
     return out.select(F.col("item").alias("vec_id"), "fact", F.round("value", 6).alias("value"), "imputed")
 
 
 def impute_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by the direct search, weighted by distance."""
+    """The same weighted by distance."""
     vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), "embedding")
     out = impute(_item_facts(spark, sf_dir), vectors, k=3, weights="distance")
     return out.select(F.col("item").alias("vec_id"), "fact", F.round("value", 6).alias("value"), "imputed")
@@ -125,12 +126,14 @@ _LINE_FACTS_SQL = """
 e AS (SELECT vec_id AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 seen AS (SELECT l_partkey AS item, l_returnflag || l_linenumber AS fact, avg(l_quantity) FILTER (WHERE l_linestatus = 'F') AS value FROM lineitem GROUP BY ALL),
 f AS (SELECT e.item, n.fact, seen.value FROM e CROSS JOIN (SELECT DISTINCT fact FROM seen) n LEFT JOIN seen ON seen.item = e.item AND seen.fact = n.fact),
-miss AS (SELECT f.item, f.fact, e.v FROM f JOIN e USING (item) WHERE f.value IS NULL),
-don AS (SELECT f.item AS donor, f.fact, f.value, e.v FROM f JOIN e USING (item) WHERE f.value IS NOT NULL),
-p AS (SELECT m.item, m.fact, d.donor, d.value,
-             CASE WHEN list_dot_product(m.v, m.v) = 0 OR list_dot_product(d.v, d.v) = 0 THEN 0.0
-                  ELSE list_cosine_similarity(m.v, d.v) END AS s
-      FROM miss m JOIN don d ON m.fact = d.fact)
+miss AS (SELECT item, fact FROM f WHERE value IS NULL),
+don AS (SELECT item AS donor, fact, value FROM f WHERE value IS NOT NULL),
+pairs AS MATERIALIZED (SELECT a.item, b.item AS donor,
+                 CASE WHEN list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0.0
+                      ELSE list_cosine_similarity(a.v, b.v) END AS s
+          FROM e a JOIN e b ON a.item <> b.item),
+p AS (SELECT m.item, m.fact, d.donor, d.value, pairs.s
+      FROM pairs JOIN miss m ON m.item = pairs.item JOIN don d ON d.donor = pairs.donor AND d.fact = m.fact)
 """
 
 

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from catalign.operators.consolidate import transfer_facts
-from catalign.operators.impute import facts_long, facts_wide, impute, knn_values
+from catalign.operators.impute import facts_long, facts_wide, impute, knn_values, nearest_donors
 
 VEC = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [0.7, 0.7]), (5, [1.0, 0.0])]
 
@@ -70,24 +70,42 @@ def _emb_facts(spark):
     return wide.unpivot(["item"], ["f0", "f1"], "fact", "value"), emb.select(F.col("vec_id").alias("item"), "embedding")
 
 
-def test_two_phase_search_equals_direct(spark):
+def test_list_length_changes_nothing(spark):
     facts, vec = _emb_facts(spark)
     def run(**kw):  # values compared to 12 places: summation order may differ
         return {(r.item, r.fact): (None if r.value is None else round(r.value, 12)) for r in impute(facts, vec, **kw).collect()}
     for k in (1, 3):
-        direct = run(k=k, neighbours=None)
-        few = run(k=k, neighbours=k)  # many pairs fall back to the direct search
-        assert direct == few == run(k=k) == run(k=k, neighbours=32)
+        whole = run(k=k, neighbours=10_000)  # every list holds every item
+        few = run(k=k, neighbours=k)  # most lists are doubled
+        assert whole == few == run(k=k) == run(k=k, neighbours=k, cell_rows=40)
+
+
+def test_donors_equal_brute_force(spark):
+    import random
+    rng = random.Random(7)
+    vec = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(80)]
+    vec[10], vec[11], vec[12] = (10, vec[9][1]), (11, vec[9][1]), (12, [0.0] * 4)  # equal and zero vectors
+    facts = [(i, f, rng.random() if rng.random() < p else None) for i, _ in vec for f, p in (("common", 0.8), ("rare", 0.05), ("none", 0.0), ("all", 1.0))]
+    unit = {i: [x / (sum(y * y for y in v) ** 0.5 or 1.0) for x in v] for i, v in vec}
+    want = set()
+    for i, f, value in facts:
+        if value is None:
+            donors = sorted((-round(sum(a * b for a, b in zip(unit[i], unit[j])), 12), j) for j, g, v in facts if g == f and v is not None)
+            want |= {(i, f, j, r + 1) for r, (_, j) in enumerate(donors[:3])}
+    f = spark.createDataFrame(facts, "item int, fact string, value double")
+    v = spark.createDataFrame(vec, "item int, embedding array<double>")
+    for how in (dict(neighbours=1), dict(neighbours=40), dict(neighbours=3, cell_rows=17)):
+        assert {(r.item, r.fact, r.donor, r["rank"]) for r in nearest_donors(f, v, 3, **how).collect()} == want
 
 
-def test_edge_ties_fall_back_to_direct_search(spark):
+def test_ties_at_the_edge_widen_the_list(spark):
     # items 2, 3 and 4 are identical: a one-neighbour list cannot prove which donor is first
     vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.6, 0.8]), (4, [0.6, 0.8])],
                                 "item int, embedding array<double>")
     facts = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "a", 30.0), (4, "a", 40.0), (2, "b", 5.0)],
                                   "item int, fact string, value double")
     got = {(r.item, r.fact): r.value for r in impute(facts, vec, k=1, neighbours=1).collect()}
-    exp = {(r.item, r.fact): r.value for r in impute(facts, vec, k=1, neighbours=None).collect()}
+    exp = {(r.item, r.fact): r.value for r in impute(facts, vec, k=1, neighbours=100).collect()}
     assert got == exp and got[(1, "a")] == 30.0 and got[(2, "a")] == 30.0
 
 
