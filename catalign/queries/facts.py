@@ -7,14 +7,18 @@ from the vectors themselves: ``f0`` = element 0 where element 1 > 0,
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.consolidate import transfer_facts, transfer_facts_long
 from ..operators.impute import impute
+from ..operators.joins import reindex
 from ..operators.reshape import pivot_names
 from ..operators.similarity import as_items, top_matches
-from ..session import read_table
+from ..session import ensure_checkpoint_dir, read_table
+from ..sources.sinks import write_bucketed
 
 FACTS = ["f0", "f1"]
 # datasets whose matches rank below all others in fact transfer
@@ -56,6 +60,27 @@ def fact_transfer_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("item").alias("vec_id"), "fact", F.round("value", 6).alias("value"))
 
 
+BUCKETS = 8
+
+
+def fact_transfer_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN5 + JN9 (PIP10) over bucketed storage: facts, matches and spine are
+    written bucketed and sorted by their keys; the facts join the matches, and
+    the result the spine, without an exchange of a stored table."""
+    out, name = f"{ensure_checkpoint_dir(spark)}/buckets-{uuid.uuid4().hex}", f"b{uuid.uuid4().hex}"
+    items = as_items(read_table(spark, sf_dir, "embeddings"), "label", "vec_id")
+    top = top_matches(items, None, k=TRANSFER_TOP_N, per_target=True).filter(F.col("target") != F.col("dataset"))
+    matches = top.select("dataset", "item", F.col("target").alias("matched_dataset"),
+                         F.col("match").alias("matched_item"), F.col("score").alias("matched_score"))
+    put = lambda df, what, keys: write_bucketed(df, f"{name}_{what}", f"{out}/{what}", keys, BUCKETS)
+    facts = put(_facts_wide(spark, sf_dir), "facts", ["dataset", "item"])
+    matches = put(matches, "matches", ["matched_dataset", "matched_item"])
+    spine = put(items.select("dataset", "item"), "spine", ["dataset", "item"])
+    moved = transfer_facts(matches.hint("merge"), facts, FACTS, low_priority=LOW_PRIORITY)
+    full = reindex(spine.hint("merge"), moved, ["dataset", "item"], check_unique=False)
+    return full.select(F.col("item").alias("vec_id"), *[F.round(c, 6).alias(c) for c in FACTS + ["matched_score"]])
+
+
 def _impute(spark, sf_dir, k, weights):
     emb = read_table(spark, sf_dir, "embeddings")
     wide = emb.select(F.col("vec_id").alias("item"), *_fact_columns())
@@ -201,7 +226,10 @@ SELECT item AS vec_id, fact, round(arg_max(v, r), 6) AS value FROM per GROUP BY
     "impute_lines": _impute_sql(3, "distance", _LINE_FACTS_SQL),
 }
 
+ORACLES["fact_transfer_bucketed"] = ORACLES["fact_transfer"]
+
 QUERIES = {
+    "fact_transfer_bucketed": fact_transfer_bucketed,
     "fact_transfer": fact_transfer,
     "fact_transfer_long": fact_transfer_long,
     "impute_k1": impute_k1,

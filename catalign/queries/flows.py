@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +28,9 @@ from ..plans.ingest import canonical_facts, fill_categories, near_east_items, ne
 from ..plans.mapping import collect_embeddings, cross_dataset_mapping, match_in_shared_space, validate_mappings
 from ..plans.transfer import best_name, choose_source_model, impute_all, registry_with_sources, transfer_from_lists
 from ..session import ensure_checkpoint_dir, read_table
-from ..sources.readers import read_csv, read_parquet
+from ..sources.readers import read_binary_files, read_chunk_files, read_csv, read_parquet
 from ..sources.sinks import dedupe_names, matrix_blocks, process_new_keys, read_committed, run_chunks, run_unless_exists, write_csv, write_parquet
-from ..specs import MEXT_FOOD_GROUPS, SPECS
+from ..specs import MEXT_FOOD_GROUPS, SPECS, Paths
 
 
 def _folder(spark: SparkSession) -> str:
@@ -92,6 +93,46 @@ def ingest_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.unionByName(meta)
 
 
+def chunk_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC2: a folder of chunk files by three generations of a writer -- whole
+    numbers first, then doubles and a new column, then a column that is gone
+    -- read as one table; a fourth whose types clash is refused by name."""
+    out, c = _folder(spark), read_table(spark, sf_dir, "customer")
+    part = lambda i: c.filter(F.col("c_custkey") % 3 == i)
+    key = F.col("c_custkey")
+    write_parquet(part(0).select(key.cast("int").alias("k"), F.col("c_nationkey").cast("int").alias("v"), F.lit(None).alias("note"), F.col("c_name").alias("name")), f"{out}/chunks/a")
+    write_parquet(part(1).select(key.alias("k"), F.col("c_acctbal").alias("v"), F.col("c_mktsegment").alias("note"), F.col("c_name").alias("name")), f"{out}/chunks/b")
+    write_parquet(part(2).select(F.col("c_mktsegment").alias("note"), F.col("c_acctbal").cast("float").alias("v"), key.cast("smallint").alias("k")), f"{out}/chunks/c")
+    got = read_chunk_files(spark, f"{out}/chunks")
+    write_parquet(got.select(F.col("k").cast("string").alias("k")), f"{out}/chunks/d")
+    try:
+        read_chunk_files(spark, f"{out}/chunks")
+        raise AssertionError("types that clash were read")
+    except ValueError as e:
+        assert "/chunks/d/" in str(e)
+    return got.select("k", F.round("v", 2).alias("v"), "note", "name")
+
+
+def binary_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC7 + SRC9: every page written as a binary file under the resolver's
+    raw-data path, found there by its name's pattern and read back as base64."""
+    raw = Paths(_folder(spark), "Pages").raw
+    pages = read_table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("string").alias("html"))
+
+    def write(batches):
+        store, base = pafs.FileSystem.from_uri(raw if "://" in raw else "file://" + raw.replace("file:", "", 1))
+        store.create_dir(base, recursive=True)
+        for pdf in batches:
+            for k, html in zip(pdf["page_id"], pdf["html"]):
+                for ending, body in (("page", (html or "\0").encode()), ("skip", b"x")):
+                    with store.open_output_stream(f"{base}/{k}.{ending}") as f:
+                        f.write(body)
+            yield pdf[["page_id"]]
+    pages.mapInPandas(write, "page_id long").write.format("noop").mode("overwrite").save()
+    found = read_binary_files(spark, raw, "*.page")
+    return found.select(F.substring_index("name", ".", 1).cast("long").alias("page_id"), "payload_b64")
+
+
 def ingest_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PIP4 + SRC4 + PRJ3 + PRJ4 + PRJ5 + PRJ8 + PRJ13 + PRJ14 + PRJ15: two
     flat catalogues read from CSV and brought to one vocabulary."""
@@ -460,6 +501,11 @@ SELECT 'a' AS dataset, p_partkey AS id, p_type AS food_category, p_name || ', '
 UNION ALL
 SELECT 'b', c_custkey, coalesce(CASE WHEN c_acctbal > 0 THEN c_mktsegment END, 'Unclassified'), replace(c_name, 'Customer#', 'c'), CASE WHEN c_acctbal >= 0 THEN c_acctbal END FROM customer
 """,
+    "chunk_generations": """
+SELECT c_custkey AS k, round(CASE c_custkey % 3 WHEN 0 THEN c_nationkey ELSE c_acctbal END, 2) AS v,
+       CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS note, CASE WHEN c_custkey % 3 < 2 THEN c_name END AS name FROM customer
+""",
+    "binary_pages": "SELECT page_id, to_base64(encode(CASE WHEN coalesce(html, '') = '' THEN chr(0) ELSE html END)) AS payload_b64 FROM pages",
     "sheet_meta": """
 WITH a AS (SELECT * FROM customer WHERE c_custkey = 0), b AS (SELECT * FROM customer WHERE c_custkey = 1)
 SELECT 'name' AS column_name, a.c_name AS first, b.c_name AS second FROM a, b
@@ -568,6 +614,6 @@ ORACLES["ingest_nested_json"] = "SELECT 'user ' || (user_id % 50) AS description
     f"avg(CAST(round(value * 100) AS BIGINT)) FILTER (WHERE event_type = '{t}') AS n_{t}" for t in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1"
 
 QUERIES = {f.__name__: f for f in (
-    ingest_relational, ingest_nested_json, ingest_sheet, ingest_flat, sheet_meta, align_two_pass, align_resume, failing_calls,
+    ingest_relational, ingest_nested_json, ingest_sheet, chunk_generations, binary_pages, ingest_flat, sheet_meta, align_two_pass, align_resume, failing_calls,
     registry_choice, name_choice, mapping_validated, shared_space, transfer_impute, fact_round_trip, pair_cosine,
     align_repeated_keys, mapping_incremental, chunk_resume, chunk_growing_input, half_written, null_key_log, processed_log, score_matrix, item_profile)}

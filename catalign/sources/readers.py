@@ -5,11 +5,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions.columns import nan_to_null
+from ..operators.joins import union_all
 
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None,
@@ -69,10 +74,91 @@ def read_sheet_rows(spark: SparkSession, path: str, n_columns: int | None = None
 def read_binary_files(spark: SparkSession, path: str, glob: str = "*.jpg") -> DataFrame:
     """SRC7: binary files matching ``glob`` -> ``(path, name, payload_b64)``."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    # Spark breaks base64 into lines; a payload is one line
     return df.select("path", F.element_at(F.split("path", "/"), -1).alias("name"),
-                     F.base64("content").alias("payload_b64"))
+                     F.translate(F.base64("content"), "\r\n", "").alias("payload_b64"))
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
     """SRC8: a literal dimension table (codes kept as zero-padded strings)."""
     return spark.createDataFrame(list(rows), schema)
+
+
+# --- chunk files whose schemas differ (SRC2) --------------------------------------------------
+
+# types in which every value of the ones before it is exact, by family; a file
+# of an earlier type widens to a later one
+_WIDER = (["tinyint", "smallint", "int", "bigint", "decimal(20,0)"], ["tinyint", "smallint", "int", "double"], ["float", "double"], ["date", "timestamp"])
+
+
+def wider_type(a: str, b: str) -> str | None:
+    """The narrowest type that holds all values of both, ``None`` if there is
+    none.  ``void`` (a column that a file knows only as null) widens to any;
+    a long meets a double as a double, as in a table that was read in one go."""
+    if a == b or b == "void":
+        return a
+    if a == "void":
+        return b
+    if {a, b} <= {"bigint", "float", "double"}:
+        return "double"
+    for family in _WIDER:
+        if a in family and b in family:
+            return max(a, b, key=family.index)
+    return None
+
+
+def file_schemas(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, name, type)`` of every column of every parquet file below
+    ``path``, from the files' footers; no data is read.  The files are listed
+    by Spark and their footers read by the tasks, so ``path`` has to be on a
+    store that Arrow's file systems know (local, HDFS, S3, GCS)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select(F.col("path").alias("file"))
+
+    def footers(batches):
+        for pdf in batches:
+            rows = []
+            for file in pdf["file"]:
+                store, name = pafs.FileSystem.from_uri(file.replace("file:/", "file:///", 1) if file.startswith("file:/") and not file.startswith("file://") else file)
+                with store.open_input_file(name) as f:
+                    schema = from_arrow_schema(pq.read_schema(f))
+                rows += [(file, c.name, c.dataType.simpleString()) for c in schema.fields]
+            yield pd.DataFrame(rows, columns=["file", "name", "type"])
+
+    return files.mapInPandas(footers, "file string, name string, type string")
+
+
+def widened_schema(schemas: DataFrame) -> T.StructType:
+    """One schema for all files: columns in the order of their names' first
+    file, each in the narrowest type that holds every file's values.  A column
+    whose types have none is an error that names two of its files."""
+    types = schemas.groupBy("name", "type").agg(F.min("file").alias("file")).orderBy("file", "name").collect()  # one row per column and type
+    plan: dict[str, tuple[str, str]] = {}
+    for r in types:
+        kind, first = plan.get(r["name"], (r["type"], r["file"]))
+        wide = wider_type(kind, r["type"])
+        if wide is None:
+            raise ValueError(f"column {r['name']!r} is {kind} in {first} and {r['type']} in {r['file']}")
+        plan[r["name"]] = (wide, first if wide == kind else r["file"])
+    return T.StructType([T.StructField(n, T._parse_datatype_string(kind if kind != "void" else "string")) for n, (kind, _) in plan.items()])
+
+
+def read_chunk_files(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """SRC2: all chunk files below ``path`` as one table, whatever generation
+    of the writer they are from: columns widen (``widened_schema``), those that
+    a file lacks are null.  Files of one schema are one scan, so pruning and
+    pushdown work as ever."""
+    schemas = file_schemas(spark, path)
+    schema = widened_schema(schemas)
+    # one row per generation: its columns, and its files (Spark's scan needs their names)
+    generation = schemas.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("name", "type"))).alias("columns"))
+    frames = []
+    for g in generation.groupBy("columns").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy(F.get("files", F.lit(0))).collect():
+        have = {c["name"]: c["type"] for c in g["columns"] if c["type"] != "void"}
+        own = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in have.items()])
+        df = spark.read.schema(own).parquet(*g["files"])
+        frames.append(df.select(*[(F.col(f"`{c.name}`") if c.name in have else F.lit(None)).cast(c.dataType).alias(c.name) for c in schema]))
+    if not frames:
+        raise FileNotFoundError(f"no parquet file below {path}")
+    df = union_all(frames)
+    return nan_to_null(df.select(*columns) if columns is not None else df)
+

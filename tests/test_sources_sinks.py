@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from catalign.sources.readers import (literal_table, read_binary_files, read_csv, read_nested_json, read_parquet,
+from catalign.sources.readers import (literal_table, read_binary_files, read_chunk_files, read_csv, read_nested_json, read_parquet,
                                       read_sheet_rows)
 from catalign.sources.sinks import (commit_output, dedupe_names, output_exists, process_new_keys, read_committed,
                                     read_manifest, run_chunks, run_unless_exists, wide_matrix, write_csv, write_parquet)
@@ -59,10 +59,10 @@ def test_binary_files(spark, tmp_dir):
     os.makedirs(f"{tmp_dir}/img")
     for n in ["p1.jpg", "p2.png"]:
         with open(f"{tmp_dir}/img/{n}", "wb") as f:
-            f.write(b"\x00\x01" + n.encode())
+            f.write(b"\x00\x01" + n.encode() * 100)
     out = read_binary_files(spark, f"{tmp_dir}/img").collect()
     assert [r.name for r in out] == ["p1.jpg"]
-    assert base64.b64decode(out[0].payload_b64) == b"\x00\x01p1.jpg"
+    assert out[0].payload_b64 == base64.b64encode(b"\x00\x01" + b"p1.jpg" * 100).decode()
 
 
 def test_literal_dimension(spark):
@@ -216,3 +216,37 @@ def test_wide_matrix_with_duplicate_names(spark):
     assert sorted(w.columns) == ["m", "m_1", "n", "row"]
     r = {x.row: x for x in w.collect()}
     assert r["x"].m == 0.5 and r["x"].m_1 == 0.7 and r["y"].n == 0.1
+
+
+def test_chunk_files_of_several_generations(spark, tmp_dir):
+    path = f"{tmp_dir}/chunks"
+    spark.sql("select 1 as k, 2 as v, 'a' as s").write.parquet(f"{path}/1")
+    spark.sql("select 2L as k, 2.5d as v").write.parquet(f"{path}/2")
+    spark.sql("select float(0.5) as v, date'2020-01-02' as d, 3L as k, 'NaN' as s").write.parquet(f"{path}/3")
+    out = read_chunk_files(spark, path)
+    assert dict(out.dtypes) == {"k": "bigint", "v": "double", "s": "string", "d": "date"}
+    got = sorted((r.k, r.v, r.s, str(r.d)) for r in out.collect())
+    assert got == [(1, 2.0, "a", "None"), (2, 2.5, None, "None"), (3, 0.5, "NaN", "2020-01-02")]
+    plan = read_chunk_files(spark, path, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<k:int>" in plan and "struct<k:int,v" not in plan
+    spark.sql("select 'x' as v").write.parquet(f"{path}/4")
+    with pytest.raises(ValueError, match="/4/"):
+        read_chunk_files(spark, path)
+
+
+def test_wider_types():
+    from catalign.sources.readers import wider_type
+    assert [wider_type(*p) for p in (("int", "bigint"), ("int", "double"), ("bigint", "double"), ("float", "int"), ("date", "timestamp"), ("void", "string"), ("string", "int"))] == [
+        "bigint", "double", "double", None, "timestamp", "string", None]
+
+
+def test_bucketed_tables_join_without_an_exchange(spark):
+    from catalign.queries.facts import fact_transfer_bucketed
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the whole plan is fixed before it runs
+    try:
+        plan = fact_transfer_bucketed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Bucketed: true") == 3
+    lines = [x.lstrip(" :+-*()0123456789") for x in plan.splitlines()]
+    assert sum(x.startswith("Exchange") for x in lines) == 1  # of the aggregate between the two joins
