@@ -3,12 +3,16 @@
 A document's features are its distinct words and their prefixes.  Logistic
 weights are fitted on a bounded sample of labelled rows.  Each sampled text
 that names an identity group is paired with a copy in which the names are
-swapped for other names of their group; the fit penalises the squared change
-of the logit between the two, so a group's mention alone moves no score."""
+swapped for other names of their group; a text that names none is used a
+second time, under its label, with a mention inserted, and that copy is paired
+with one whose mention is swapped.  So every fit has a pair for every row.  The
+fit penalises the squared change of the logit between the two texts of a pair,
+so a group's mention alone moves no score."""
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -42,6 +46,12 @@ IDENTITY_TERMS = (
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrants", "refugees", "natives", "foreigners"),
     ("disabled", "deaf", "blind", "autistic"), ("old", "young"),
+    ("frauen", "männer"), ("muslime", "christen", "juden"), ("schwarze", "weiße", "asiaten", "araber"),
+    ("schwule", "lesben", "heteros"), ("einwanderer", "flüchtlinge", "ausländer", "einheimische"), ("behinderte", "gehörlose", "blinde"),
+    ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs", "hindous"), ("noirs", "blancs", "asiatiques", "arabes"),
+    ("homosexuels", "lesbiennes", "hétérosexuels"), ("immigrés", "réfugiés", "étrangers", "autochtones"), ("handicapés", "sourds", "aveugles"),
+    ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos", "hindúes"), ("negros", "blancos", "asiáticos", "árabes"),
+    ("homosexuales", "lesbianas", "heterosexuales"), ("inmigrantes", "refugiados", "extranjeros", "nativos"), ("discapacitados", "sordos", "ciegos"),
 )
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -51,6 +61,11 @@ def swap_table(terms=IDENTITY_TERMS) -> dict[str, str]:
     return {a: b for row in terms for a, b in zip(row, row[1:] + row[:1])}
 
 
+def mention(text: str | None, terms: list[str]) -> str:
+    """The name inserted into a text that has none, chosen by its content alone."""
+    return terms[zlib.crc32((text or "").encode()) % len(terms)]
+
+
 def word_features(word: str) -> list[str]:
     """The word and its prefixes (marked by ``^``)."""
     return [word, *("^" + word[:k] for k in PREFIXES if len(word) > k)]
@@ -67,8 +82,8 @@ def words_of(text: str | None) -> set[str]:
 class Model:
     """Feature weights and bias; small and bounded by the vocabulary."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[str, float], bias: float, pairs: int = 0):
+        self.weights, self.bias, self.pairs = weights, bias, pairs  # pairs: of the fit
 
     def scorer(self):
         """A function from a word set to its logit, with a bounded cache of words."""
@@ -99,7 +114,8 @@ def fit_logistic(idx: list[np.ndarray], y: np.ndarray, n: int, pairs: list[tuple
                  penalty: float = PENALTY, ridge: float = RIDGE, positive_weight: float | None = POSITIVE_WEIGHT,
                  rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Weights and bias for sparse binary rows ``idx``; ``pairs`` are the
-    rows of texts and of their swapped copies.  Full-batch Adam."""
+    rows of texts and of their swapped copies.  Full-batch Adam with
+    steps that fall to 0, so that it settles in the minimum."""
     col, row = _rows(idx)
     flat = [(np.setdiff1d(a, b), np.setdiff1d(b, a)) for a, b in pairs]
     pcol, prow = _rows([np.concatenate(p) for p in flat])
@@ -119,7 +135,7 @@ def fit_logistic(idx: list[np.ndarray], y: np.ndarray, n: int, pairs: list[tuple
             change = np.bincount(prow, psign * w[pcol], len(flat))
             g[:n] += 2 * penalty / len(flat) * np.bincount(pcol, psign * change[prow], n)[:n]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        w -= 0.05 * (1 - (t - 1) / rounds) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     return w[:n], float(w[n])
 
 
@@ -155,21 +171,29 @@ def fit(texts: DataFrame, swaps: dict[str, str] | None = None, max_labelled: int
     expected = F.col("n") * share
     top = counts.where(F.col("n") >= MIN_DF).orderBy(F.desc(F.abs((F.col("p") - expected) / F.sqrt(expected + 1))), "feature").limit(vocabulary)
     vocab = [r["feature"] for r in top.select("feature").collect()]
+    # the names' features take part whether or not the sample has them
+    vocab = list(dict.fromkeys([*vocab, *sorted(features(set(swaps)))]))
+    terms = sorted(swaps)
     index = {f: i for i, f in enumerate(vocab)}
 
     def encode(frames):
         pick = lambda words: sorted({index[f] for w in words for f in word_features(w) if f in index})
         for frame in frames:
             own = [words_of(t) for t in frame["text"]]
+            # with a mention: the words as they are, or with one inserted
+            named = [w if not swaps.keys().isdisjoint(w) else w | {mention(t, terms)} if terms else w for w, t in zip(own, frame["text"])]
             yield pd.DataFrame({"toxic": frame["toxic"], "own": [pick(w) for w in own],
-                                "swapped": [pick({swaps.get(x, x) for x in w}) if not swaps.keys().isdisjoint(w) else None for w in own]})
+                                "inserted": [pick(n) if n is not w else None for w, n in zip(own, named)],
+                                "swapped": [pick({swaps.get(x, x) for x in n}) if terms else None for n in named]})
 
-    rows = texts.mapInPandas(encode, "toxic double, own array<int>, swapped array<int>").limit(max_labelled).toPandas()
-    idx = [np.asarray(x, np.int64) for x in rows["own"]]
-    pairs = [(a, np.asarray(b, np.int64)) for a, b in zip(idx, rows["swapped"]) if b is not None]
-    order = sorted(range(len(idx)), key=lambda i: (len(idx[i]), idx[i].tolist(), rows["toxic"][i]))
-    w, bias = fit_logistic([idx[i] for i in order], rows["toxic"].to_numpy()[order], len(vocab), pairs, penalty, **how)
-    return Model({f: float(x) for f, x in zip(vocab, w) if abs(x) > 1e-6}, bias)
+    rows = texts.mapInPandas(encode, "toxic double, own array<int>, inserted array<int>, swapped array<int>").limit(max_labelled).toPandas()
+    as_array = lambda x: np.asarray(x, np.int64)
+    labelled = [(as_array(x), y) for c in ("own", "inserted") for x, y in zip(rows[c], rows["toxic"]) if x is not None]
+    labelled.sort(key=lambda r: (len(r[0]), r[0].tolist(), r[1]))
+    pairs = [(as_array(own if new is None else new), as_array(b)) for own, new, b in zip(rows["own"], rows["inserted"], rows["swapped"]) if b is not None]
+    pairs.sort(key=lambda p: (len(p[0]), p[0].tolist(), p[1].tolist()))
+    w, bias = fit_logistic([x for x, _ in labelled], np.array([y for _, y in labelled]), len(vocab), pairs, penalty, **how)
+    return Model({f: float(x) for f, x in zip(vocab, w) if abs(x) > 1e-6}, bias, len(pairs))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -196,7 +220,9 @@ def train(docs: DataFrame, labels: DataFrame, **how) -> Model:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a column ``out`` from 0 to 1, computed from the whole
-    text alone.  Null texts count as empty and get the model's base score."""
+    text alone, however long.  Null texts count as empty and get the model's
+    base score; repeated rows are scored alike; a column ``out`` of the input
+    is replaced; an empty table gives an empty one."""
     @F.pandas_udf("double")
     def udf(texts: pd.Series) -> pd.Series:
         logit = model.scorer()
@@ -207,7 +233,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
 
 def split_by_score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``."""
+    """The rows of ``docs`` that score below ``threshold``; repeated rows stay
+    or go together, null texts score as empty ones."""
     return score(docs, model, out="_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
 
 

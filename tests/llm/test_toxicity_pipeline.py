@@ -62,6 +62,47 @@ def test_penalty_takes_the_weight_off_group_names(spark):
     assert fair[2] > fair[1] + 1
 
 
+def test_a_swapped_name_moves_no_score_on_the_given_tables(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    sample = tx.labelled_sample(docs, labels)
+    model = tx.fit(sample)
+    assert model.pairs == sample.count() > 100  # a pair for every row, although no row names a group
+    logit = model.scorer()
+    table = tx.swap_table()
+    texts = [r["text"] for r in sample.limit(60).collect()]
+    for a, b in table.items():
+        for t in texts[:: max(1, len(texts) // 10)]:
+            p, q = (1 / (1 + np.exp(-np.clip(logit(tx.words_of(f"{t} {x}")), -30, 30))) for x in (a, b))
+            assert abs(p - q) < 0.05
+
+
+def slow_loss(w, b, idx, y, pairs, penalty, ridge):
+    """The fit's objective, row by row."""
+    pos = sum(y) or 1
+    weight = [(len(y) - sum(y)) / pos if t > 0 else 1.0 for t in y]
+    z = [b + sum(w[i] for i in x) for x in idx]
+    loss = sum(c * (np.logaddexp(0, s) - t * s) for c, s, t in zip(weight, z, y)) / sum(weight) + ridge / 2 * sum(v * v for v in w)
+    return loss + (penalty / len(pairs) * sum((sum(w[i] for i in p) - sum(w[i] for i in q)) ** 2 for p, q in pairs) if pairs else 0.0)
+
+
+def test_fit_reaches_the_minimum_of_a_slow_version():
+    rng = np.random.default_rng(3)
+    idx = [np.flatnonzero(rng.random(8) < 0.4) for _ in range(80)]
+    y = np.array([float(rng.random() < (0.8 if 0 in x else 0.2)) for x in idx])
+    pairs = [(np.array([0, 2]), np.array([1, 2])), (np.array([3]), np.array([4]))] * 5
+    for penalty in (0.0, 2.0):
+        w, b = tx.fit_logistic(idx, y, 8, pairs, penalty, ridge=0.05, rounds=3000)
+        best = slow_loss(w, b, idx, y, pairs, penalty, 0.05)
+        for i in range(9):  # the objective is convex: no step along an axis may lower it
+            for step in (0.02, -0.02):
+                v, c = w.copy(), b
+                if i < 8:
+                    v[i] += step
+                else:
+                    c += step
+                assert slow_loss(v, c, idx, y, pairs, penalty, 0.05) > best - 1e-6
+
+
 def test_swaps_stay_in_their_group():
     table = tx.swap_table()
     for row in tx.IDENTITY_TERMS:
