@@ -2,16 +2,25 @@
 
 A signature is the chain of content words that follows a common word (or the
 start of the text).  A text's fingerprint is its sorted set of signature
-hashes; likeness is the Jaccard measure of two sets, pruned by their sizes:
-it cannot exceed the smaller size over the larger."""
+hashes; likeness is the Jaccard measure of two sets.
+
+``near_copies`` finds all likenesses of a threshold or more.  Equal sets are one
+class.  Classes are partitioned by set length, so that sets whose lengths
+allow the threshold are in one partition or in two adjacent ones.  Inside them
+classes meet by their rarest signatures alone, of which two sets that reach
+the threshold must share one; a meeting counts only if the signatures that
+remain after it can still reach the threshold; then the exact likeness decides."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .scratch import Scratch
 
 CHAIN = 2
+THRESHOLD = 0.8
 #: Common words of the four languages that anchor a signature.
 ANCHORS = tuple("""
 a an the of and to in is was for on that with by at from as are be it this or
@@ -42,9 +51,9 @@ def chains(content: Column, text: Column) -> Column:
     for i in range(2, CHAIN + 1):
         later = F.transform(F.slice(content, i, n), lambda x: F.ltrim(x, F.lit("^")))
         tail = later if tail is None else F.zip_with(tail, later, lambda a, b: F.concat_ws(" ", a, b))
-    pairs = F.zip_with(nxt, tail, lambda a, b: F.when(a.startswith("^"), F.hash(F.concat_ws(" ", a, b))))
+    pairs = F.zip_with(nxt, tail, lambda a, b: F.when(a.startswith("^"), F.xxhash64(F.concat_ws(" ", a, b))))
     found = F.array_sort(F.array_distinct(F.filter(pairs, lambda x: x.isNotNull())))
-    return F.when(F.size(found) > 0, found).when(F.length(text) > 0, F.array(F.hash(text))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(found) > 0, found).when(F.length(text) > 0, F.array(F.xxhash64(text))).otherwise(F.array().cast("array<bigint>"))
 
 
 def with_signatures(df: DataFrame, text_col: str, out: str) -> DataFrame:
@@ -55,8 +64,8 @@ def with_signatures(df: DataFrame, text_col: str, out: str) -> DataFrame:
 
 
 def as_text(sigs: Column) -> Column:
-    """The fingerprint string: eight hex digits per signature."""
-    return F.array_join(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))), 8, "0"))), " ")
+    """The fingerprint string: sixteen hex digits per signature."""
+    return F.array_join(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -119,3 +128,63 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("head"), F.lit(1), third))
     out = with_signatures(out.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "sigs", "next_sigs"), "edited", "edited_sigs")
     return out.withColumn("near_edited", likeness(F.col("sigs"), F.col("edited_sigs"))).withColumn("near_next", likeness(F.col("sigs"), F.col("next_sigs")))
+
+
+def classes_of(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(members, classes)``: (doc_id, class_id) of every row with an id and
+    a signature, and (class_id, n, sigs) of every distinct signature set.  The
+    id of a class is the smallest doc_id in it."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    sets = with_signatures(rows, "text", "sigs").where(F.size("sigs") > 0)
+    # two unlike hashes and the length stand for a set
+    key = [F.xxhash64("sigs").alias("k1"), F.hash("sigs").alias("k2"), F.size("sigs").alias("n")]
+    sets = scratch.put(sets.select("doc_id", *key, "sigs"), "sets")
+    same = ["k1", "k2", "n"]
+    first = scratch.put(sets.groupBy(*same).agg(F.min("doc_id").alias("class_id")), "first")
+    members = sets.select("doc_id", *same).join(first, same).select("doc_id", "class_id")
+    classes = sets.join(first.select(F.col("class_id").alias("doc_id"), *same), ["doc_id", *same]).dropDuplicates(["doc_id", *same])
+    return members.distinct(), scratch.put(classes.select(F.col("doc_id").alias("class_id"), "n", "sigs"), "classes")
+
+
+def similar_classes(classes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, likeness), a < b, of all pairs of ``classes`` (class_id, n,
+    sigs) whose likeness is ``threshold`` or more (above 0)."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold has to be above 0 and at most 1")
+    t = F.lit(threshold)
+    each = classes.select("class_id", "n", F.explode("sigs").alias("sig"))
+    rare = scratch.put(each.groupBy("sig").agg(F.count("*").alias("df")), "df")
+    # of n signatures the rarest n - ceil(t * n) + 1 hold one of any set that is alike enough
+    eps = 1e-9
+    ranked = each.join(rare, "sig").withColumn("pos", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "sig")))  # one set
+    head = ranked.where(F.col("pos") <= F.col("n") - F.ceil(t * F.col("n") - eps) + 1)
+    # lengths n and m allow the threshold only if t <= n / m: their partitions are equal or adjacent
+    part = F.floor(F.ln(F.col("n").cast("double")) / math.log(1 / threshold) + eps) if threshold < 1 else F.col("n").cast("long")
+    head = scratch.put(head.select("sig", "class_id", "n", "pos", part.alias("part")), "heads")
+    low = head.select("sig", "part", F.col("class_id").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"))
+    reach = F.array("part", F.col("part") - 1) if threshold < 1 else F.array("part")
+    high = head.select("sig", F.explode(reach).alias("part"), F.col("class_id").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"))
+    shorter = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("x") < F.col("y")))
+    need = F.ceil((F.col("xn") + F.col("yn")) * t / (1 + t) - eps)
+    # at most the earlier places of the nearer one, this signature and what remains after it are common
+    most = F.least("xp", "yp") + F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp"))
+    meet = low.join(high, ["sig", "part"]).where(shorter & (F.col("xn") >= t * F.col("yn") - eps) & (most >= need))
+    pairs = scratch.put(meet.groupBy("x", "y").agg(F.lit(1).alias("one")).drop("one"), "candidates")
+    sets = classes.select("class_id", "sigs")
+    both = pairs.join(sets.withColumnsRenamed({"class_id": "x", "sigs": "xs"}), "x").join(sets.withColumnsRenamed({"class_id": "y", "sigs": "ys"}), "y")
+    out = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), likeness(F.col("xs"), F.col("ys")).alias("likeness"))
+    return out.where(F.col("likeness") >= t - eps)
+
+
+def near_copies(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(members, pairs)`` of ``docs``: the class of every document, and all
+    pairs of classes whose likeness is ``threshold`` or more.
+
+    Documents of one class have equal signature sets and are not paired.  Null
+    and empty texts have no signature and no class, nor have rows without an
+    id; rows that repeat an id may be in several classes; an empty table gives
+    two empty ones.  A class is joined by its rarest signatures, so a common
+    one brings sets together only where they have nothing rarer."""
+    scratch = Scratch(docs.sparkSession, "spots-near")
+    members, classes = classes_of(docs, scratch, id_col, text_col)
+    return members, similar_classes(classes, scratch, threshold)

@@ -159,3 +159,52 @@ def test_spots_run_without_python(spark):
 def test_likeness_is_exact_however_unlike(spark):
     df = spark.createDataFrame([([1, 2, 3], [2, 3, 4]), ([], []), ([1], []), ([1], list(range(1, 100)))], "a array<int>, b array<int>")
     assert [r[0] for r in df.select(spotsigs.likeness(F.col("a"), F.col("b"))).collect()] == [0.5, 1.0, 0.0, pytest.approx(1 / 99)]
+
+
+def near_corpus(seed=4):
+    """Texts of many lengths, exact copies, and copies with a share of words changed."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["the", "of", "in", "und", "la", *("".join(rng.choices("abcdefghij", k=4)) for _ in range(6))])
+    texts = [[word() for _ in range(rng.choice([3, 8, 20, 60, 200]))] for _ in range(60)]
+    for t in list(texts):
+        for change in (0.0, 0.01, 0.03, 0.08, 0.2):
+            texts.append([word() if rng.random() < change else w for w in t])
+    common = "the cat sat of dog in house und maus la casa".split()
+    texts += [common + [f"the word{i % 7}", "x"] for i in range(25)] + [[], ["!?"], ["solo"], ["solo"]]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5, 1.0, 0.95])
+def test_near_copies_equal_brute_force(spark, threshold):
+    rows = near_corpus()
+    members, pairs = spotsigs.near_copies(docs(spark, rows + [(None, rows[3][1]), (9999, None)]).repartition(5), threshold)
+    sets = {i: frozenset(slow_sigs(t)) or (frozenset([("text", t)]) if t else frozenset()) for i, t in rows}
+    first = {}
+    for i in sorted(sets):
+        if sets[i]:
+            first.setdefault(sets[i], i)
+    assert {(r["doc_id"], r["class_id"]) for r in members.collect()} == {(i, first[s]) for i, s in sets.items() if s}
+    reps = sorted(first.items(), key=lambda x: x[1])
+    want = {(i, j): jaccard(s, u) for n, (s, i) in enumerate(reps) for u, j in reps[n + 1:] if jaccard(s, u) >= threshold - 1e-9}
+    got = {(r["a"], r["b"]): r["likeness"] for r in pairs.collect()}
+    assert got == pytest.approx(want) and (len(got) >= 20 or threshold > 0.8)
+
+
+def test_near_copies_find_planted_ones_without_python(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    long = [(r["doc_id"], r["text"].split(" ")) for r in table.collect() if r["text"] and len(r["text"].split(" ")) > 120]
+    planted = [(100_000 + i, " ".join([*w[:60], "changed", *w[61:]])) for i, w in long]
+    members, pairs = spotsigs.near_copies(table.union(spark.createDataFrame(planted, table.schema)))
+    of = {r["doc_id"]: r["class_id"] for r in members.collect()}
+    linked = {(r["a"], r["b"]) for r in pairs.collect()}
+    hit = sum(of[i] == of[100_000 + i] or tuple(sorted((of[i], of[100_000 + i]))) in linked for i, _ in long)
+    assert len(long) > 50 and hit >= 0.95 * len(long)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_near_copies_of_empty_tables(spark):
+    members, pairs = spotsigs.near_copies(docs(spark, []))
+    assert members.collect() == [] and pairs.collect() == []
+    with pytest.raises(ValueError):
+        spotsigs.near_copies(docs(spark, []), 0.0)
