@@ -44,8 +44,8 @@ def test_topk_equals_brute_force(spark):
     rows += [(2000, None), (2001, [1.0, None]), (2002, [float("nan")] * 24), (2003, [float("inf")] * 24), (None, x[1].tolist())]
     rows += [(2050, [1.0, 2.0]), (2051, [0.5, -1.0]), (2100, [3.0])]  # other lengths
     want = brute_topk(rows)
-    for block in (64, 4096):
-        got = topk(spark, rows, block_rows=block)
+    for block, sample in ((64, 100), (64, 3), (4096, 2048)):
+        got = topk(spark, rows, block_rows=block, sample_rows=sample)
         assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -61,6 +61,34 @@ def test_topk_bound_holds_and_prunes():
         last = most.mean()
 
 
+def test_topk_dismisses_pairs_of_the_given_vectors(spark):
+    x = np.array([r[0] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").select("embedding").collect()], float)
+    x = np.floor(256 * x).astype(np.int64)
+    ids = np.arange(len(x))
+    qid = ids[::50]
+    other = qid[:, None] != ids[None, :]
+    exact = np.where(other, x[qid] @ x.T, -10 ** 12)
+    floor = np.sort(exact[:, ::2], axis=1)[:, -5].astype(float)  # a sample of half the candidates
+    alive = topk_segments.surviving(x[qid], x, other, 5, floor)
+    assert alive.mean() < 0.55
+    best = np.argsort(-exact, axis=1, kind="stable")[:, :5]
+    assert np.take_along_axis(alive, best, axis=1).all()
+    true = np.sort(exact, axis=1)[:, -5].astype(float)
+    assert topk_segments.surviving(x[qid], x, other, 5, true).mean() < 0.45
+
+
+def test_scores_are_exact_for_long_and_large_vectors():
+    rng = np.random.default_rng(9)
+    for dim, size in ((4096, 1 << 22), (4096, 1 << 20), (64, 300)):
+        q, c = rng.integers(-size, size, (4, dim)), rng.integers(-size, size, (6, dim))
+        want = [[sum(int(a) * int(b) for a, b in zip(x, y)) for y in c] for x in q]
+        assert topk_segments._scores(q, c).tolist() == want
+        rows, cols = (g.ravel() for g in np.indices((4, 6)))
+        assert topk_segments._pair_scores(q, c, rows, cols).reshape(4, 6).tolist() == want
+    with pytest.raises(OverflowError):
+        topk_segments._scores(np.array([[1 << 40]]), np.array([[1 << 40]]))
+
+
 def test_topk_empty_and_large_components(spark):
     assert topk(spark, []) == []
     assert topk(spark, [(0, [1e6, 1e6]), (1, [1e6, 3.0])]) == [(0, 1, 1, 256 * 10 ** 6 * 256 * 10 ** 6 + 256 * 10 ** 6 * 768)]
