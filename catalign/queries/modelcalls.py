@@ -23,7 +23,7 @@ def judge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = as_items(read_table(spark, sf_dir, "embeddings"), "label", "vec_id")
     pairs = top_matches(items, None, k=3, per_target=True).select("item", "match", "score")
     judged = model_map(pairs, threshold_judge(JUDGE_THRESHOLD), ["score"], "same_item boolean",
-                       keep_cols=["item", "match"], retries=1, wait_s=0)
+                       keep_cols=["item", "match"], retries=1, wait_s=0, partitions=spark.sparkContext.defaultParallelism)
     return judged.select(F.col("item").alias("vec_id"), F.col("match").alias("match_vec_id"), "same_item")
 
 

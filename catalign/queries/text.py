@@ -100,7 +100,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _customer_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read_table(spark, sf_dir, "customer")
+    c = read_table(spark, sf_dir, "customer", spread=True)
     text = F.concat(F.lit("| c_custkey | c_name | c_mktsegment | note |\n|---|---|---|---|\n| "),
                     F.col("c_custkey").cast("string"), F.lit(" | "), F.col("c_name"), F.lit(" | "),
                     F.col("c_mktsegment"), F.lit(" |  |"))

@@ -290,5 +290,5 @@ def matrix_blocks(pairs: DataFrame, row: str, col: str, value: str, width: int =
     cells = cells.groupBy("row", F.floor(F.col("_at") / width).alias("block")).agg(
         F.map_from_entries(F.collect_list(F.struct((F.col("_at") % width).alias("at"), "_value"))).alias("_cells"))
     full = cells.join(heads, "block")
-    at = F.transform("_head", lambda h: F.get(F.map_values(F.map_filter("_cells", lambda k, _: k == h["_at"] % width)), F.lit(0)))
+    at = F.transform("_head", lambda h: F.try_element_at("_cells", h["_at"] % width))
     return full.select("row", "block", F.transform("_head", lambda h: h["_name"]).alias("names"), at.alias("values"))
