@@ -23,19 +23,21 @@ def markdown_cells(df: DataFrame, doc: str, text: str) -> DataFrame:
     stay an array until one explode at the end.
     """
     keep = lambda l: (F.trim(l) != "") & ~l.rlike(_SEPARATOR)
+    # an outer empty cell of a line stands for no cell: its place is null
     cells_of = lambda l: F.transform(F.split(F.trim(l), r"\|"), lambda c: F.trim(c))
-    # outer empty cells become null; inner ones stay empty
-    edge = lambda cells: F.transform(cells, lambda c, i: F.when((c == "") & ((i == 0) | (i == F.size(cells) - 1)), None).otherwise(c))
-    rows = df.select(F.col(doc).alias("doc"), F.filter(F.split(F.col(text), "\n"), keep).alias("_lines"))
-    rows = rows.filter(F.size("_lines") > 1)
-    rows = rows.select("doc", F.transform("_lines", lambda l: edge(cells_of(l))).alias("_cells"))
-    rows = rows.select("doc", F.get("_cells", F.lit(0)).alias("_head"), F.slice(F.col("_cells"), F.lit(2), F.size("_cells")).alias("_data"))
-    rows = rows.withColumn("_width", F.array_max(F.transform("_data", lambda r: F.size(r))))
-    filled = F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda j: F.exists("_data", lambda r: F.coalesce(F.get(r, j), F.lit("")) != ""))
-    rows = rows.withColumn("_filled", filled)
-    line = rows.select("doc", "_head", "_filled", F.posexplode("_data").alias("_row", "_line"))
-    cell = line.select("doc", "_head", "_filled", (F.col("_row") + 1).alias("row"), F.posexplode("_line").alias("col", "value"))
-    return cell.filter(F.col("value").isNotNull() & F.get("_filled", F.col("col"))).select(
+    inner = lambda cells: F.transform(cells, lambda c, i: F.when((c == "") & ((i == 0) | (i == F.size(cells) - 1)), None).otherwise(c))
+    # each step's array is read several times below: explode of a one-element array keeps it computed once
+    once = lambda df, value, name: df.select("*", F.explode(F.array(value)).alias(name))
+    rows = once(df.select(F.col(doc).alias("doc"), F.col(text).alias("_text")), F.filter(F.split("_text", "\n"), keep), "_lines").drop("_text")
+    rows = once(rows.filter(F.size("_lines") > 1), F.transform("_lines", cells_of), "_split").drop("_lines")
+    rows = once(rows, F.transform("_split", inner), "_cells").drop("_split")
+    rows = rows.select("doc", F.get("_cells", F.lit(0)).alias("_head"), F.slice("_cells", F.lit(2), F.size("_cells")).alias("_data"))
+    rows = once(rows, F.col("_data"), "_rows").drop("_data")
+    places = F.flatten(F.transform("_rows", lambda r: F.transform(r, lambda c, i: F.when(c != "", i))))
+    rows = once(rows, F.array_distinct(F.array_compact(places)), "_used")
+    line = rows.select("doc", "_head", "_used", F.posexplode("_rows").alias("_row", "_line"))
+    cell = line.select("doc", "_head", "_used", (F.col("_row") + 1).alias("row"), F.posexplode("_line").alias("col", "value"))
+    return cell.filter(F.col("value").isNotNull() & F.array_contains("_used", F.col("col"))).select(
         "doc", "row", "col", F.get("_head", F.col("col")).alias("header"), "value")
 
 

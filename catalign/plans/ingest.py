@@ -34,7 +34,9 @@ KCAL, KJ = "KCAL", "kJ"
 
 def sr_style(spark: SparkSession, main_dir: str) -> dict[str, DataFrame]:
     """PIP1: relational CSVs -> ``items``, long ``facts_long``, wide ``facts``
-    and ``units``.  Descriptions and category ids must be unique."""
+    and ``units``.  Descriptions and category ids must be unique.  Of several
+    amounts of one food and nutrient the first counts: by file name, then by
+    place in the file (Spark reads a folder's larger files first)."""
     d = os.path.join(main_dir, "sr_legacy")
     food = read_csv(spark, os.path.join(d, "food.csv"), SR_FOOD).drop("data_type", "publication_date")
     cat = (read_csv(spark, os.path.join(d, "food_category.csv"), SR_CATEGORY)
@@ -47,13 +49,13 @@ def sr_style(spark: SparkSession, main_dir: str) -> dict[str, DataFrame]:
     items = join_dim(food, cat, "food_category_id").drop("food_category_id").join(attr, "fdc_id", "left")
 
     fn = (read_csv(spark, os.path.join(d, "food_nutrient.csv"), SR_FOOD_NUTRIENT)
-          .withColumn("_ord", F.monotonically_increasing_id()))
+          .withColumns({"_file": F.input_file_name(), "_mono": F.monotonically_increasing_id()}))
     nut = read_csv(spark, os.path.join(d, "nutrient.csv"), SR_NUTRIENT).withColumnRenamed("id", "nutrient_id")
-    long = join_dim(fn, nut, "nutrient_id").select("fdc_id", "name", "unit_name", "amount", "_ord")
+    long = join_dim(fn, nut, "nutrient_id").select("fdc_id", "name", "unit_name", "amount", "_file", "_mono")
     long = long.filter(F.col("name").isNotNull() & F.col("unit_name").isNotNull())
     headers = long.withColumn("_h", F.concat_ws("|", "name", "unit_name"))
     names = pivot_names(headers.filter(F.col("amount").isNotNull()), "_h")
-    wide = pivot_first(headers, ["fdc_id"], "_h", "amount", ["_ord"], names)
+    wide = pivot_first(headers, ["fdc_id"], "_h", "amount", ["_file", "_mono"], names)
     kcal, kj = f"{ENERGY}|{KCAL}", f"{ENERGY}|{KJ}"
     if kcal in names and kj in names:
         wide = wide.withColumn(kcal, F.coalesce(F.col(kcal), F.col(kj) / F.lit(KJ_PER_KCAL))).drop(kj)
@@ -63,7 +65,7 @@ def sr_style(spark: SparkSession, main_dir: str) -> dict[str, DataFrame]:
     wide = wide.select("fdc_id", *[F.col(f"`{h}`").alias(h.split("|", 1)[0]) for h in kept])
     units = spark.createDataFrame([tuple(h.split("|", 1)) for h in kept], "name string, unit string")
     facts = wide.join(items.select("fdc_id", "description"), "fdc_id", "left")
-    return {"items": items, "facts_long": long.drop("_ord"), "facts": facts, "units": units}
+    return {"items": items, "facts_long": long.drop("_file", "_mono"), "facts": facts, "units": units}
 
 
 def nested_json_facts(spark: SparkSession, path: str, array_field: str = "SurveyFoods",

@@ -41,7 +41,8 @@ def _folder(spark: SparkSession) -> str:
 
 def ingest_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PIP1 + SRC4 + AGG2: parts as foods, return flags as nutrients, through
-    CSV files: items with their category and common name, first amounts."""
+    CSV files: items with their category and common name, and of the amounts
+    of a part and flag (one a line item, some null) the first in the files."""
     out = _folder(spark)
     part, li = read_table(spark, sf_dir, "part"), read_table(spark, sf_dir, "lineitem")
     put = lambda df, name: write_csv(df, f"{out}/sr_legacy/{name}.csv")
@@ -53,7 +54,8 @@ def ingest_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("p_size") > 25, 1000).otherwise(999).alias("food_attribute_type_id"), F.lit("n").alias("name"), F.col("p_brand").alias("value")), "food_attribute")
     flag = F.col("l_returnflag")
     number = F.when(flag == "A", 100).when(flag == "N", 101).otherwise(200)
-    put(li.groupBy(F.col("l_partkey").alias("fdc_id"), number.alias("nutrient_id")).agg(F.sum("l_quantity").alias("amount")), "food_nutrient")
+    in_order = li.orderBy("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")  # numbered files, each a range
+    put(in_order.select(F.col("l_partkey").alias("fdc_id"), number.alias("nutrient_id"), F.when(F.col("l_discount") < 0.09, F.col("l_quantity")).alias("amount")), "food_nutrient")
     put(spark.createDataFrame([(100, "Energy", "KCAL"), (101, "Energy", "kJ"), (200, "Protein", "G")], "id int, name string, unit_name string"), "nutrient")
     got = sr_style(spark, out)
     return got["items"].join(got["facts"].drop("description"), "fdc_id", "left").select(
@@ -448,8 +450,9 @@ def item_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REL = """
-WITH li AS (SELECT l_partkey, sum(l_quantity) FILTER (WHERE l_returnflag = 'A') AS a, sum(l_quantity) FILTER (WHERE l_returnflag = 'N') AS n,
-                   sum(l_quantity) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)
+WITH f AS (SELECT l_partkey, l_returnflag AS flag, arg_min(l_quantity, (l_orderkey, l_linenumber, l_shipdate, l_quantity)) AS v
+           FROM lineitem WHERE l_discount < 0.09 GROUP BY 1, 2),
+li AS (SELECT l_partkey, max(v) FILTER (WHERE flag = 'A') AS a, max(v) FILTER (WHERE flag = 'N') AS n, max(v) FILTER (WHERE flag = 'R') AS r FROM f GROUP BY 1)
 SELECT p_partkey, p_name || ' ' || p_partkey AS description, 'Category ' || length(p_type) AS food_category,
        CASE WHEN p_size > 25 THEN p_brand END AS common_name, round(coalesce(a, n / 4.184), 6) AS energy, round(r, 6) AS protein
 FROM part LEFT JOIN li ON l_partkey = p_partkey

@@ -111,6 +111,20 @@ def md_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown_cells(_customer_markdown(spark, sf_dir), "doc_id", "text")
 
 
+def md_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR3: one markdown table an order, one line a line item: a column that
+    is empty in every line of some orders, one that is empty in all, and a
+    last cell that only odd line numbers have."""
+    li = read_table(spark, sf_dir, "lineitem")
+    line = F.struct("l_linenumber", F.floor("l_quantity").alias("qty"), F.when(F.col("l_linestatus") == "F", F.col("l_returnflag")).otherwise("").alias("flag"))
+    orders = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(line)).alias("_lines"))
+    body = F.transform("_lines", lambda r: F.concat(
+        F.lit("| "), r["qty"].cast("string"), F.lit(" | "), r["flag"], F.lit(" |  |"),
+        F.when(r["l_linenumber"] % 2 == 1, F.concat(F.lit(" x"), r["l_linenumber"].cast("string"), F.lit(" |"))).otherwise("")))
+    head = F.lit("| qty | flag | gap | note |\n|---|:--|---|---|\n")
+    return markdown_cells(orders.select("doc_id", F.concat(head, F.array_join(body, "\n")).alias("text")), "doc_id", "text")
+
+
 def sheet_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC6 + PRJ9: sheet rows whose header sits in row 4 and two metadata rows
     follow it; data rows are the customer table."""
@@ -232,6 +246,13 @@ FROM (
   SELECT c_custkey, 1 AS col, 'c_custkey' AS header, CAST(c_custkey AS VARCHAR) AS value FROM customer
   UNION ALL SELECT c_custkey, 2, 'c_name', c_name FROM customer
   UNION ALL SELECT c_custkey, 3, 'c_mktsegment', c_mktsegment FROM customer)
+""",
+    "md_tables": """
+WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS n, CAST(floor(l_quantity) AS BIGINT) AS qty, CASE WHEN l_linestatus = 'F' THEN l_returnflag ELSE '' END AS flag FROM lineitem),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY n, qty, flag) AS INTEGER) AS row, max(flag) OVER (PARTITION BY doc) AS any_flag FROM l)
+SELECT doc, row, 1 AS col, 'qty' AS header, CAST(qty AS VARCHAR) AS value FROM r
+UNION ALL SELECT doc, row, 2, 'flag', flag FROM r WHERE any_flag <> ''
+UNION ALL SELECT doc, row, 4, 'note', 'x' || n FROM r WHERE n % 2 = 1
 """,
     "sheet_promote": """
 SELECT CAST(c_custkey AS VARCHAR) AS CustKey, c_name AS "Customer name", c_mktsegment AS Marketsegment FROM customer
@@ -258,6 +279,7 @@ QUERIES = {
     "unit_convert": unit_convert,
     "candidates": candidates,
     "md_cells": md_cells,
+    "md_tables": md_tables,
     "sheet_promote": sheet_promote,
     "part_slice": part_slice,
     "part_top_k": part_top_k,

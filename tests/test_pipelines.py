@@ -37,6 +37,18 @@ def test_sr_style_ingest(spark, tmp_dir):
     assert sorted(tuple(r) for r in out["units"].collect()) == [("Energy", "KCAL"), ("Protein", "G")]
 
 
+def test_sr_style_first_amount_by_file_name(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "sr_legacy")
+    _write(f"{d}/food.csv", "fdc_id,data_type,description,food_category_id,publication_date\n1,sr,Milk,10,2019\n")
+    _write(f"{d}/food_category.csv", "id,code,description\n10,0100,Dairy and Egg Products\n")
+    _write(f"{d}/food_attribute.csv", "id,fdc_id,seq_num,food_attribute_type_id,name,value\n")
+    _write(f"{d}/nutrient.csv", "id,name,unit_name\n200,Protein,G\n")
+    _write(f"{d}/food_nutrient.csv/part-0.csv", "fdc_id,nutrient_id,amount\n1,200,\n1,200,3.5\n1,200,3.2\n")
+    # a larger file, which Spark reads before the smaller one
+    _write(f"{d}/food_nutrient.csv/part-1.csv", "fdc_id,nutrient_id,amount\n" + "1,200,9.9\n" * 2000)
+    assert [r.Protein for r in sr_style(spark, tmp_dir)["facts"].collect()] == [3.5]
+
+
 def test_sr_style_rejects_duplicates(spark, tmp_dir):
     d = os.path.join(tmp_dir, "sr_legacy")
     _write(f"{d}/food.csv", "fdc_id,data_type,description,food_category_id,publication_date\n1,a,Milk,1,x\n2,a,Milk,1,x\n")
