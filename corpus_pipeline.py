@@ -1,7 +1,13 @@
 """The corpus pipeline: five stages over ``documents``, each one operator of
 ``catalign.llm``.  A stage takes the documents that the one before kept,
 written as Parquet and read again, and returns them with the same columns;
-the last returns the packed bins."""
+the last returns the packed bins.
+
+For every stage: a null in any column is a value like any other, a null text
+is an empty one; rows are judged whole, however long the text; rows that are
+repeated are decided each by itself, save where the stage says otherwise; an
+empty table gives an empty one; further columns pass the first four stages, but
+for names with a leading underscore, which are the stages' own."""
 
 from __future__ import annotations
 
@@ -12,7 +18,8 @@ from catalign.llm.scratch import Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the toxicity threshold."""
+    """Documents that score below the toxicity threshold.  Equal texts score
+    alike, so repeated rows stay or go together."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.split_by_score(docs, model)
 
@@ -26,7 +33,9 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
+    """One document of each SimHash group, that of the smallest doc_id (of
+    repeated ids the smallest text).  Texts without a word are one group; rows
+    without a doc_id all stay."""
     return simhash_cover.keep_one(docs)
 
 
