@@ -184,3 +184,26 @@ def test_top_matches_with_range_equals_separate_passes(spark):
         assert {tuple(r[c] for c in cols) for r in top.collect()} == {tuple(r[c] for c in cols) for r in ref.collect()}
         rng = score_range(items, exclude_self=True, cell_rows=cell_rows).first()
         assert abs(lo - rng.min_score) < 1e-12 and abs(hi - rng.max_score) < 1e-12
+
+
+def test_small_cells_send_no_more_candidates_and_hold_few_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    table = lambda n, ds: pa.table({"dataset": [f"{ds}{i % 2}" for i in range(n)], "item": np.arange(n), "embedding": list(rng.normal(size=(n, 8)))})
+    left, right, held, unit = table(60, "a"), table(90, "b"), [], similarity._unit_rows
+    schema = similarity.T._parse_datatype_string("dataset string, item long, target string, match long, score double")
+    monkeypatch.setattr(similarity, "_unit_rows", lambda c: held.append(len(c)) or unit(c))
+    rows = [similarity._cell_function(3, True, False, False, False, schema, most=m)(left, right).to_pylist() for m in (7, 1000)]
+    key = lambda r: (r["item"], r["target"], -r["score"], r["match"])
+    assert sorted(rows[0], key=key) == sorted(rows[1], key=key) and len(rows[0]) == 60 * 2 * 3  # not so many a cell
+    monkeypatch.setattr(similarity, "TILE_ROWS", 10)
+    monkeypatch.setattr(similarity, "AXES_ROWS", 10)
+    held.clear()
+    similarity._cell_function(3, True, False, False, False, schema)(left, right)
+    assert held[0] == 60 and max(held[1:]) <= 20  # the right side comes by tiles
+
+
+def test_a_group_is_a_fixed_share_of_memory():
+    left, right = similarity.cell_rows_for(64, similarity.LEFT_MB), similarity.cell_rows_for(64)
+    gl, gr = grid_shape(600_000, 600_000, right, 12, left)
+    assert 600_000 / gl <= left == 32_768 and 600_000 / gr <= right
+    assert grid_shape(100, 1_000_000, right, 12, left)[0] <= 2  # few left rows are not dealt out against many right ones
