@@ -98,13 +98,19 @@ def ingest_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC2: a folder of chunk files by three generations of a writer -- whole
     numbers first, then doubles and a new column, then a column that is gone
-    -- read as one table; a fourth whose types clash is refused by name."""
+    -- read as one table; a fourth whose types clash is refused by name.  A
+    generation with narrow keys writes those too large for them in wide files
+    of its own."""
     out, c = _folder(spark), read_table(spark, sf_dir, "customer")
     part = lambda i: c.filter(F.col("c_custkey") % 3 == i)
     key = F.col("c_custkey")
-    write_parquet(part(0).select(key.cast("int").alias("k"), F.col("c_nationkey").cast("int").alias("v"), F.lit(None).alias("note"), F.col("c_name").alias("name")), f"{out}/chunks/a")
+    def write(df, kind, name):
+        narrow, wide = F.col("k").try_cast(kind).alias("k"), F.col("k").try_cast(kind).isNull() & F.col("k").isNotNull()
+        write_parquet(df.filter(~wide).select(*[narrow if x == "k" else x for x in df.columns]), f"{out}/chunks/{name}")
+        write_parquet(df.filter(wide), f"{out}/chunks/{name}_wide")
+    write(part(0).select(key.alias("k"), F.col("c_nationkey").cast("int").alias("v"), F.lit(None).alias("note"), F.col("c_name").alias("name")), "int", "a")
     write_parquet(part(1).select(key.alias("k"), F.col("c_acctbal").alias("v"), F.col("c_mktsegment").alias("note"), F.col("c_name").alias("name")), f"{out}/chunks/b")
-    write_parquet(part(2).select(F.col("c_mktsegment").alias("note"), F.col("c_acctbal").cast("float").alias("v"), key.cast("smallint").alias("k")), f"{out}/chunks/c")
+    write(part(2).select(F.col("c_mktsegment").alias("note"), F.col("c_acctbal").cast("float").alias("v"), key.alias("k")), "smallint", "c")
     got = read_chunk_files(spark, f"{out}/chunks")
     write_parquet(got.select(F.col("k").cast("string").alias("k")), f"{out}/chunks/d")
     try:

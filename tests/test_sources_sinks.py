@@ -250,3 +250,12 @@ def test_bucketed_tables_join_without_an_exchange(spark):
     assert plan.count("SortMergeJoin") == 2 and plan.count("Bucketed: true") == 3
     lines = [x.lstrip(" :+-*()0123456789") for x in plan.splitlines()]
     assert sum(x.startswith("Exchange") for x in lines) == 1  # of the aggregate between the two joins
+
+
+def test_chunk_generations_takes_keys_of_any_size(spark, tmp_dir):
+    from catalign.queries.flows import chunk_generations
+    keys = [3, 4, 5, 32_768, 32_769, 32_770, 40_001, 3 * 2 ** 32, 2 + 3 * 2 ** 32, None]
+    c = spark.createDataFrame([(k, 7, 1.25, "s", f"c{k}") for k in keys], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string, c_name string")
+    c.write.parquet(f"{tmp_dir}/customer.parquet")
+    got = {r.k: (r.v, r.note, r.name) for r in chunk_generations(spark, tmp_dir).collect()}
+    assert got == {k: (7.0 if k % 3 == 0 else 1.25, "s" if k % 3 else None, f"c{k}" if k % 3 < 2 else None) for k in keys if k is not None}
