@@ -107,16 +107,16 @@ def align(spark: SparkSession, items: DataFrame, source: DatasetSpec, target: Da
         emb = embed_texts(materialize(text), "text", embed_fn, **model_kw).drop(ERROR_COL)
         return emb.join(todo.select(F.col(source.key).alias("_key"), "chunk"), F.col(source.key).eqNullSafe(F.col("_key"))).drop("_key")
 
-    def match(todo: DataFrame, current: DataFrame, chunks: DataFrame) -> None:
+    def match(todo: DataFrame, current: DataFrame, chunks: DataFrame, per: int) -> None:
         emb = spark.read.parquet(f"{out_dir}/embeddings").join(chunks, "chunk", "left_semi").filter(F.col("phase") == "final")
         emb = emb.alias("_l").join(todo.select(source.key).alias("_r"), same_keys("_l", "_r", [source.key]), "left_semi")
         pairs = top_matches(as_items(emb, F.lit(source.name), source.key), target_items, k=k, per_target=False)
         pairs = pairs.select(F.col("item").alias("_key"), F.col("match").alias(target.key), F.col("score").alias("similarity_score"), "rank")
         every = emb.select(source.key, F.col("chunk").cast("long").alias("chunk")).join(pairs, F.col(source.key) == F.col("_key"), "left").drop("_key")
         every = materialize(every)
-        replace_rows(spark, f"{out_dir}/pair_scores", every, [source.key], todo, current, chunks, "chunk")
+        replace_rows(spark, f"{out_dir}/pair_scores", every, [source.key], todo, current, chunks, "chunk", per)
         top = every.filter(F.coalesce("rank", F.lit(1)) == 1).drop("rank")
-        replace_rows(spark, f"{out_dir}/top_match", top, [source.key], todo, current, chunks, "chunk")
+        replace_rows(spark, f"{out_dir}/top_match", top, [source.key], todo, current, chunks, "chunk", per)
 
     return run_chunks(spark, items, [source.key], chunk_size, f"{out_dir}/embeddings", compute, chunk_start, chunk_end, overwrite, then=match)
 

@@ -159,19 +159,31 @@ def content_digest(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
 
 
+#: Folders of a chunked output; more chunks share them.
+MAX_FOLDERS = 256
+
+
 def replace_rows(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], todo: DataFrame, current: DataFrame,
-                 chunks: DataFrame, name: str) -> None:
+                 chunks: DataFrame, name: str, per: int = 1) -> None:
     """Rewrite the ``chunks`` of an output: ``new`` rows, and of the rows
-    that are there those whose key is in ``current`` and not in ``todo``."""
+    that are there those whose key is in ``current`` and not in ``todo``.
+    ``per`` successive chunks share a folder, each folder written as one file
+    then; rows of the other chunks of a folder stay as they are."""
     from ..session import materialize
+    at = name if per == 1 else f"{name}_folder"
+    placed = lambda df: df if per == 1 else df.withColumn(at, F.floor(F.col(name) / per).cast("long"))
+    folders, new = placed(chunks).select(at).distinct(), placed(new)
     if output_exists(spark, path):
-        old = spark.read.schema(new.schema).parquet(path).join(chunks, name, "left_semi")
-        kept = _without(_without(old, todo, keys), current, keys, "left_semi")
+        old = spark.read.schema(new.schema).parquet(path).join(folders, at, "left_semi").select(*new.columns)
+        kept = _without(_without(old.join(chunks, name, "left_semi"), todo, keys), current, keys, "left_semi")
         new = kept.select(*new.columns).unionByName(new)
+        if per > 1:
+            new = new.unionByName(old.join(chunks, name, "left_anti").select(*new.columns))
     new = materialize(new)
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
-    for (chunk,) in chunks.join(new.select(name).distinct(), name, "left_anti").collect():  # chunks that have no rows any more
-        delete_path(spark, f"{path}/{name}={chunk}")
+    rows = new if per == 1 else new.repartition(at)  # else every task would write a file in every folder
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(at).parquet(path)
+    for (folder,) in folders.join(new.select(at).distinct(), at, "left_anti").collect():  # those that have no rows any more
+        delete_path(spark, f"{path}/{at}={folder}")
 
 
 def _chunks_of(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -182,20 +194,21 @@ def _chunks_of(spark: SparkSession, path: str, name: str) -> DataFrame:
 def run_chunks(spark: SparkSession, items: DataFrame, keys: Sequence[str], chunk_size: int, path: str,
                compute: Callable[[DataFrame], DataFrame], chunk_start: int | None = None,
                chunk_end: int | None = None, overwrite: bool = False, name: str = "chunk",
-               then: Callable[[DataFrame, DataFrame, DataFrame], None] | None = None) -> DataFrame:
+               then: Callable[[DataFrame, DataFrame, DataFrame, int], None] | None = None) -> DataFrame:
     """SNK4: resumable run over an input that may change between runs.
 
     A row's chunk is a hash of its key, so it does not depend on the other
     rows.  A ledger beside the output (``<path>__done``) holds the key and
     content digest of every row done; a run computes the rows that are not in
     it -- new or changed ones -- and nothing else, and rows that left the
-    input leave the output.  Only chunks with such rows are rewritten, each
-    as one folder; only chunks in ``[chunk_start, chunk_end)`` run;
+    input leave the output.  Only folders of chunks with such rows are
+    rewritten; a chunk is a folder, but more than ``MAX_FOLDERS`` chunks share
+    that many folders.  Only chunks in ``[chunk_start, chunk_end)`` run;
     ``overwrite`` computes all of their rows again.  ``compute`` must keep
     the keys and the chunk column; it may return several rows a key, or none.
 
-    ``then(todo, current, chunks)`` writes further outputs (with
-    ``replace_rows``).  The ledger is written last, so a run that broke off
+    ``then(todo, current, chunks, per)`` writes further outputs (with
+    ``replace_rows``, ``per`` chunks a folder).  The ledger is written last, so a run that broke off
     anywhere is repeated and replaces what it left.  Keys must be unique (a
     null is a key like any other).  The number of chunks is that of the first
     run's rows by ``chunk_size``; size them to 1e5-1e6 rows at scale.  Returns
@@ -206,6 +219,7 @@ def run_chunks(spark: SparkSession, items: DataFrame, keys: Sequence[str], chunk
     assert_unique(items, keys)
     done = spark.read.parquet(ledger) if output_exists(spark, ledger) else None
     n = (done.agg(F.max("_chunks")).first()[0] if done is not None else None) or max(1, -(-items.count() // chunk_size))
+    per = -(-n // MAX_FOLDERS)
     part = lambda df: df.filter((F.col(name) >= (chunk_start or 0)) & (F.col(name) < (n if chunk_end is None else chunk_end)))
     tagged = items.withColumn("_digest", content_digest(items)).withColumn(name, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("long"))
     tagged = materialize(part(tagged))
@@ -224,16 +238,16 @@ def run_chunks(spark: SparkSession, items: DataFrame, keys: Sequence[str], chunk
     todo = materialize(todo)
     # rows may only have left the input: then there is nothing to compute
     gone = todo.isEmpty() and output_exists(spark, path)
-    out = spark.read.parquet(path).withColumn(name, F.col(name).cast("long")).limit(0) if gone else compute(todo.drop("_digest"))
+    out = spark.read.parquet(path).withColumn(name, F.col(name).cast("long")).drop(*[f"{name}_folder"] * (per > 1)).limit(0) if gone else compute(todo.drop("_digest"))
     if missing := {*keys, name} - set(out.columns):
         raise ValueError(f"compute() must keep the columns {sorted(missing)}")
-    replace_rows(spark, path, out, keys, todo, tagged, chunks, name)
+    replace_rows(spark, path, out, keys, todo, tagged, chunks, name, per)
     if then is not None:
-        then(todo, tagged, chunks)
+        then(todo, tagged, chunks, per)
     has_rows = _chunks_of(spark, path, name).withColumn("_has_rows", F.lit(True))
     entries = tagged.join(chunks, name, "left_semi").join(has_rows, name, "left").select(
         *keys, "_digest", F.lit(n).cast("long").alias("_chunks"), F.coalesce("_has_rows", F.lit(False)).alias("_has_rows"), name)
-    replace_rows(spark, ledger, entries, keys, entries, tagged, chunks, name)
+    replace_rows(spark, ledger, entries, keys, entries, tagged, chunks, name, per)
     return chunks
 
 

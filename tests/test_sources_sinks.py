@@ -252,6 +252,27 @@ def test_bucketed_tables_join_without_an_exchange(spark):
     assert sum(x.startswith("Exchange") for x in lines) == 1  # of the aggregate between the two joins
 
 
+def test_more_chunks_than_folders_share_them(spark, tmp_dir, monkeypatch):
+    from catalign.sources import sinks
+    monkeypatch.setattr(sinks, "MAX_FOLDERS", 4)
+    path, asked = f"{tmp_dir}/chunks", []
+    frame = lambda rows: spark.createDataFrame(rows, "k long, x string")
+
+    def compute(df):
+        asked.append(sorted(r.k for r in df.collect()))
+        return df.withColumn("y", F.upper("x"))
+    first = [(k, f"a{k}") for k in range(40)]
+    second = [(k, "new" if k == 12 else f"a{k}") for k in range(2, 45)]
+    for rows in (first, second, second, [(12, "new")]):
+        run_chunks(spark, frame(rows), ["k"], 2, path, compute)
+        got = spark.read.parquet(path)
+        assert sorted((r.k, r.y) for r in got.collect()) == sorted((k, x.upper()) for k, x in rows)
+        folders = [f for f in os.listdir(path) if "=" in f]
+        assert len(folders) <= 4 and all(sum(f.endswith(".parquet") for f in os.listdir(f"{path}/{d}")) == 1 for d in folders)
+    assert asked == [list(range(40)), [12, *range(40, 45)]]
+    assert got.select("chunk").distinct().count() == 1
+
+
 def test_chunk_generations_takes_keys_of_any_size(spark, tmp_dir):
     from catalign.queries.flows import chunk_generations
     keys = [3, 4, 5, 32_768, 32_769, 32_770, 40_001, 3 * 2 ** 32, 2 + 3 * 2 ** 32, None]
