@@ -299,10 +299,10 @@ def matrix_blocks(pairs: DataFrame, row: str, col: str, value: str, width: int =
     table of names, so neither the driver nor one row holds all columns."""
     from ..operators.tables import with_row_index
     names = with_row_index(pairs.select(F.col(col).alias("_name")).dropna().distinct(), ["_name"], "_at")
-    heads = names.groupBy(F.floor(F.col("_at") / width).alias("block")).agg(F.array_sort(F.collect_list(F.struct("_at", "_name"))).alias("_head"))
+    heads = names.groupBy(F.floor(F.col("_at") / width).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_name"))), lambda h: h["_name"]).alias("names"))
     cells = pairs.select(F.col(row).alias("row"), F.col(col).alias("_name"), F.col(value).alias("_value")).join(names, "_name")
     cells = cells.groupBy("row", F.floor(F.col("_at") / width).alias("block")).agg(
         F.map_from_entries(F.collect_list(F.struct((F.col("_at") % width).alias("at"), "_value"))).alias("_cells"))
     full = cells.join(heads, "block")
-    at = F.transform("_head", lambda h: F.try_element_at("_cells", h["_at"] % width))
-    return full.select("row", "block", F.transform("_head", lambda h: h["_name"]).alias("names"), at.alias("values"))
+    # the columns of a block are numbered without gaps, so a name's place is its number in the block
+    return full.select("row", "block", "names", F.transform("names", lambda _, i: F.try_element_at("_cells", i.cast("long"))).alias("values"))

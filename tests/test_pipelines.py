@@ -396,3 +396,12 @@ def test_matrix_blocks_hold_any_number_of_columns(spark):
     rows = matrix_blocks(pairs, "r", "c", "v", width=400).collect()
     got = {(r.row, n): v for r in rows for n, v in zip(r.names, r["values"]) if v is not None}
     assert got == {(i % 3, f"c{i:05d}"): i for i in range(2500)} and len(rows) == 21
+
+
+def test_matrix_blocks_make_names_once_a_block(spark):
+    from catalign.sources.sinks import matrix_blocks
+    pairs = spark.range(90).select((F.col("id") % 4).alias("r"), F.format_string("c%02d", F.col("id") % 30).alias("c"), F.col("id").alias("v"))
+    out = matrix_blocks(pairs.dropDuplicates(["r", "c"]), "r", "c", "v", width=8)
+    top = out._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert top.startswith("Project") and top.count("transform(") == 1  # the values'; the names come with the block
+    assert all(r.names == [f"c{i:02d}" for i in range(8 * r.block, min(30, 8 * r.block + 8))] and len(r["values"]) == len(r.names) for r in out.collect())
