@@ -17,6 +17,7 @@ come and look them up before they call.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -52,6 +53,18 @@ def _call_with_retry(fn, args, retries, wait_s, validate):
     return None, f"{type(last).__name__}: {last}"
 
 
+def _call_rows(pool, call, rows: list, workers: int) -> list:
+    """``call`` of every row, in order.  Each of the pool's ``workers`` takes the
+    next row when it is done with its last one, so no call is queued by itself."""
+    results, at = [None] * len(rows), itertools.count()
+
+    def work(_):
+        while (i := next(at)) < len(rows):
+            results[i] = call(rows[i])
+    list(pool.map(work, range(workers)))  # raises what a worker raised
+    return results
+
+
 def model_map(df: DataFrame, fn: Callable[[dict], object], in_cols: Sequence[str], out_schema: T.StructType | str,
               keep_cols: Sequence[str] = (), retries: int = 3, wait_s: float = 1.0, max_in_flight: int = 8,
               on_error: str = "null", validate: Callable[[dict, object], bool] | None = None,
@@ -79,10 +92,11 @@ def model_map(df: DataFrame, fn: Callable[[dict], object], in_cols: Sequence[str
                           + [T.StructField(ERROR_COL, T.StringType())])
 
     def run(batches):
-        with ThreadPoolExecutor(max_workers=max(1, max_in_flight)) as pool:
+        workers = max(1, max_in_flight)
+        with ThreadPoolExecutor(max_workers=workers) as pool:
             for pdf in batches:
                 rows = pdf[in_cols].to_dict("records")
-                results = list(pool.map(lambda r: _call_with_retry(fn, r, retries, wait_s, validate), rows))
+                results = _call_rows(pool, lambda r: _call_with_retry(fn, r, retries, wait_s, validate), rows, workers)
                 if on_error == "raise":
                     for _, err in results:
                         if err:

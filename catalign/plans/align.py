@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..operators.joins import flag_in, keyed_update, union_all, with_prefix
 from ..operators.modelcall import ERROR_COL, embed_texts, model_map
 from ..operators.similarity import as_items, top_matches
-from ..session import materialize
+from ..session import materialize, over_cores
 from ..sources.sinks import replace_rows, run_chunks, same_keys
 from ..specs import SECOND_PASS_FLAGS, DatasetSpec, prepare_items, simplify_items
 
@@ -59,8 +59,9 @@ def two_pass_translate(items: DataFrame, source: DatasetSpec, target: DatasetSpe
     replace the first ones (JN11), nulls included.  The model is called once
     per record and pass.  Records are told apart by a row id (column ``_row``
     of the results), so repeated and null keys stay records of their own.
+    The calls are dealt over all cores, however few files the records came from.
     Returns ``(final, phase_1, redone)``."""
-    items = materialize(items.withColumn(ROW, F.monotonically_increasing_id()))
+    items = over_cores(materialize(items.withColumn(ROW, F.monotonically_increasing_id())))
     keep = [source.key, ROW]
     phase_1 = translate(items, source, target, fn, keep, **model_kw)
     flagged = phase_1.filter(flag_in("food_item_discrepancy", flags)).select(ROW)

@@ -27,7 +27,7 @@ from ..plans.align import align, two_pass_translate
 from ..plans.ingest import canonical_facts, fill_categories, near_east_items, nested_json_facts, sheet_with_offset_header, sr_style
 from ..plans.mapping import collect_embeddings, cross_dataset_mapping, match_in_shared_space, validate_mappings
 from ..plans.transfer import best_name, choose_source_model, impute_all, registry_with_sources, transfer_from_lists
-from ..session import ensure_checkpoint_dir, read_table
+from ..session import ensure_checkpoint_dir, materialize, read_table
 from ..sources.readers import read_binary_files, read_chunk_files, read_csv, read_parquet
 from ..sources.sinks import dedupe_names, matrix_blocks, process_new_keys, read_committed, run_chunks, run_unless_exists, write_csv, write_parquet
 from ..specs import MEXT_FOOD_GROUPS, SPECS, Paths
@@ -180,7 +180,7 @@ def _translate(row: dict) -> dict:
 
 
 def _source_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read_table(spark, sf_dir, "part")
+    part = read_table(spark, sf_dir, "part", spread=True)
     return part.select(F.col("p_partkey").cast("string").alias("hebrew_name"), F.col("p_name").alias("short_description"), F.lower("p_type").alias("category_hint"))
 
 
@@ -209,9 +209,10 @@ def align_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PIP5 + SNK3 + SNK4: alignment of the parts in two runs of chunks into
     the top match per record; the second run does what the first left out."""
     out = _folder(spark)
-    items = _source_items(spark, sf_dir)
+    items = materialize(_source_items(spark, sf_dir))
     target = read_table(spark, sf_dir, "part").select(F.lower(F.concat("p_name", F.lit(" item"))).alias("text")).distinct()
     emb = model_map(target, _embed, ["text"], "embedding array<double>", keep_cols=["text"], retries=1, wait_s=0).withColumnRenamed("text", "description")
+    emb = materialize(emb)  # the target is embedded once for both runs
     n = items.count()
     how = dict(chunk_size=max(1, n // 3), retries=1, wait_s=0)
     align(spark, items, SPECS["HPP"], SPECS["SR_Legacy"], emb, _translate, _embed, f"{out}/run", chunk_end=1, **how)

@@ -163,6 +163,11 @@ def content_digest(df: DataFrame) -> Column:
 MAX_FOLDERS = 256
 
 
+def _any_folder(spark: SparkSession, paths: Sequence[str]) -> bool:
+    """One of the folders is there.  An error reading the store is raised: it must not pass for an absent folder."""
+    return any(fs.exists(p) for fs, p in (_fs_path(spark, path) for path in paths))
+
+
 def replace_rows(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], todo: DataFrame, current: DataFrame,
                  chunks: DataFrame, name: str, per: int = 1) -> None:
     """Rewrite the ``chunks`` of an output: ``new`` rows, and of the rows
@@ -173,6 +178,11 @@ def replace_rows(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[
     at = name if per == 1 else f"{name}_folder"
     placed = lambda df: df if per == 1 else df.withColumn(at, F.floor(F.col(name) / per).cast("long"))
     folders, new = placed(chunks).select(at).distinct(), placed(new)
+    write = lambda df: (df if per == 1 else df.repartition(at)).write.mode("overwrite").option(  # noqa: E731  (else every task would write a file in every folder)
+        "partitionOverwriteMode", "dynamic").partitionBy(at).parquet(path)
+    if not _any_folder(spark, [f"{path}/{at}={folder}" for (folder,) in folders.collect()]):
+        write(new)  # nothing to keep and none to delete: the rows are computed and written once
+        return
     if output_exists(spark, path):
         old = spark.read.schema(new.schema).parquet(path).join(folders, at, "left_semi").select(*new.columns)
         kept = _without(_without(old.join(chunks, name, "left_semi"), todo, keys), current, keys, "left_semi")
@@ -180,8 +190,7 @@ def replace_rows(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[
         if per > 1:
             new = new.unionByName(old.join(chunks, name, "left_anti").select(*new.columns))
     new = materialize(new)
-    rows = new if per == 1 else new.repartition(at)  # else every task would write a file in every folder
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(at).parquet(path)
+    write(new)
     for (folder,) in folders.join(new.select(at).distinct(), at, "left_anti").collect():  # those that have no rows any more
         delete_path(spark, f"{path}/{at}={folder}")
 
@@ -228,14 +237,13 @@ def run_chunks(spark: SparkSession, items: DataFrame, keys: Sequence[str], chunk
         there = (_chunks_of(spark, path, name) if output_exists(spark, path) else done.select(name).limit(0)).withColumn("_there", F.lit(True))
         done = part(done).join(there, name, "left").filter(F.col("_there") | ~F.col("_has_rows"))
         done = materialize(done.select(*keys, "_digest", name))
-    todo = tagged if done is None or overwrite else _without(tagged, done, [*keys, "_digest"])
+    todo = tagged if done is None or overwrite else materialize(_without(tagged, done, [*keys, "_digest"]))
     touched = todo.select(name)
     if done is not None:
         touched = touched.unionByName(_without(done, tagged, keys).select(name))
     chunks = materialize(touched.distinct())
     if chunks.isEmpty():
         return chunks
-    todo = materialize(todo)
     # rows may only have left the input: then there is nothing to compute
     gone = todo.isEmpty() and output_exists(spark, path)
     out = spark.read.parquet(path).withColumn(name, F.col(name).cast("long")).drop(*[f"{name}_folder"] * (per > 1)).limit(0) if gone else compute(todo.drop("_digest"))

@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from catalign.operators.modelcall import ledger_map, model_map, shared_bound
+from catalign.operators.modelcall import _call_rows, ledger_map, model_map, shared_bound
 
 
 def _calls(folder):
@@ -88,3 +88,19 @@ def test_one_bound_for_all_tasks(spark):
             now += s
             most = max(most, now)
         assert len(rows) == 40 and most <= total
+
+
+def test_calls_are_not_queued_one_by_one():
+    from concurrent.futures import ThreadPoolExecutor
+    queued = []
+
+    class Pool(ThreadPoolExecutor):
+        def submit(self, *a, **k):
+            queued.append(a)
+            return super().submit(*a, **k)
+    with Pool(max_workers=3) as pool:
+        assert _call_rows(pool, lambda r: -r, list(range(500)), 3) == [-r for r in range(500)]
+        assert _call_rows(pool, lambda r: -r, [], 3) == []
+        assert len(queued) == 6
+        with pytest.raises(SystemExit):
+            _call_rows(pool, lambda r: exec("raise SystemExit"), [1, 2], 3)

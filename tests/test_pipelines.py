@@ -405,3 +405,32 @@ def test_matrix_blocks_make_names_once_a_block(spark):
     top = out._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
     assert top.startswith("Project") and top.count("transform(") == 1  # the values'; the names come with the block
     assert all(r.names == [f"c{i:02d}" for i in range(8 * r.block, min(30, 8 * r.block + 8))] and len(r["values"]) == len(r.names) for r in out.collect())
+
+
+def test_two_pass_calls_run_on_all_cores(spark):
+    def fn(row):
+        from pyspark import TaskContext
+        return {"description": f"part {TaskContext.get().partitionId()} milk", "food_category": "Beverages", "food_item_discrepancy": "same food item"}
+    items = _hpp_items(spark, 200).coalesce(1)
+    final, _, _ = two_pass_translate(items, SPECS["HPP"], SPECS["SR_Legacy"], fn, retries=1, wait_s=0)
+    assert final.select("description").distinct().count() == spark.sparkContext.defaultParallelism
+    assert final.count() == 200
+
+
+def test_align_resume_embeds_the_target_once(spark, tmp_dir, monkeypatch):
+    from catalign.queries import flows
+    names = ["red bolt", "blue ring", None, "old plate", "red bolt", "hot pin"]
+    parts = spark.createDataFrame([(i, n, "STANDARD" if i % 2 else "SMALL") for i, n in enumerate(names)], "p_partkey long, p_name string, p_type string")
+    parts.write.parquet(f"{tmp_dir}/part.parquet")
+    calls, real = spark.sparkContext.accumulator(0), flows.model_map
+
+    def counted(fn):
+        def call(row):
+            calls.add(1)
+            return fn(row)
+        return call
+    monkeypatch.setattr(flows, "model_map", lambda df, fn, *a, **k: real(df, counted(fn), *a, **k))
+    got = {r.p_partkey: r.description for r in flows.align_resume(spark, tmp_dir).collect()}
+    assert calls.value == 5  # four names and the null
+    # flagged parts are done again without their name
+    assert sorted(got) == [str(i) for i in range(6)] and got["1"] == "blue ring item" and got["3"] == "old plate item"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalign.sources.readers import (literal_table, read_binary_files, read_chunk_files, read_csv, read_nested_json, read_parquet,
                                       read_sheet_rows)
 from catalign.sources.sinks import (commit_output, dedupe_names, output_exists, process_new_keys, read_committed,
-                                    read_manifest, run_chunks, run_unless_exists, wide_matrix, write_csv, write_parquet)
+                                    read_manifest, replace_rows, run_chunks, run_unless_exists, wide_matrix, write_csv, write_parquet)
 from catalign.streaming.incremental import image_payloads, process_new_files
 
 
@@ -280,3 +280,18 @@ def test_chunk_generations_takes_keys_of_any_size(spark, tmp_dir):
     c.write.parquet(f"{tmp_dir}/customer.parquet")
     got = {r.k: (r.v, r.note, r.name) for r in chunk_generations(spark, tmp_dir).collect()}
     assert got == {k: (7.0 if k % 3 == 0 else 1.25, "s" if k % 3 else None, f"c{k}" if k % 3 < 2 else None) for k in keys if k is not None}
+
+
+def test_folders_that_are_not_there_are_written_without_a_checkpoint(spark, tmp_dir, monkeypatch):
+    import catalign.session as session
+    kept, real, path = [], session.materialize, f"{tmp_dir}/out"
+    monkeypatch.setattr(session, "materialize", lambda df: kept.append(df) or real(df))
+    table = lambda *rows: spark.createDataFrame(rows, "k long, v string, chunk long")
+    put = lambda new, current: replace_rows(spark, path, new, ["k"], new, current, new.select("chunk").distinct(), "chunk")
+    rows = lambda: sorted(tuple(r) for r in spark.read.parquet(path).select("k", "v", "chunk").collect())
+    first, other = table((1, "a", 0), (2, "b", 0)), table((3, "c", 1))
+    put(first, first)
+    put(other, first.union(other))
+    assert not kept and rows() == [(1, "a", 0), (2, "b", 0), (3, "c", 1)]
+    put(table((2, "new", 0)), first.union(other))  # a folder that is there keeps its other rows
+    assert kept and rows() == [(1, "a", 0), (2, "new", 0), (3, "c", 1)]
