@@ -207,3 +207,42 @@ def test_a_group_is_a_fixed_share_of_memory():
     gl, gr = grid_shape(600_000, 600_000, right, 12, left)
     assert 600_000 / gl <= left == 32_768 and 600_000 / gr <= right
     assert grid_shape(100, 1_000_000, right, 12, left)[0] <= 2  # few left rows are not dealt out against many right ones
+
+
+def _tied_table(n, seed):
+    """Rows of which some vectors are zero, some equal, and some keys come twice."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, 8)).astype("float32")
+    v[1::9], v[::17] = v[2:3], 0.0
+    item = np.where(np.arange(n) % 23 == 0, np.arange(n) // 2, np.arange(n))
+    return pa.table({"dataset": [f"d{i % 3}" for i in item], "item": item, "embedding": list(v)})
+
+
+@pytest.mark.parametrize("strip,most", [(8192, None), (8192, 30), (40, 7), (8, 1)])
+@pytest.mark.parametrize("per_target,within", [(True, False), (False, False), (True, True)])
+def test_zero_equal_and_repeated_rows_rank_as_every_pair_scored(strip, most, per_target, within, monkeypatch):
+    left, right = _tied_table(150, 1), _tied_table(260, 1)
+    monkeypatch.setattr(similarity, "TILE_ROWS", strip)
+    schema = similarity.T.StructType().add("dataset", "string").add("item", "long").add("target", "string").add("match", "long").add("score", "double")
+    x, y = (similarity._unit_rows(t.column("embedding")) for t in (left, right))
+    a, b = ([(r["dataset"], r["item"]) for r in t.drop_columns(["embedding"]).to_pylist()] for t in (left, right))
+    score = similarity._pair_scores(x, y, *(g.ravel() for g in np.indices((150, 260)))).reshape(150, 260)
+    want = []
+    for i, key in enumerate(a):
+        pairs = sorted(((b[j][0] if per_target or within else ""), -score[i, j], *b[j]) for j in range(260) if b[j] != key and (not within or b[j][0] == key[0]))
+        for group in {p[0] for p in pairs}:
+            want += [(*key, p[2], p[3], round(-p[1], 12) + 0.0) for p in [p for p in pairs if p[0] == group][:3]]
+    for always in (False, True):
+        got = similarity._cell_function(3, per_target, True, within, False, schema, always, most)(left, right).to_pylist()
+        assert sorted((r["dataset"], r["item"], r["target"], r["match"], round(r["score"], 12) + 0.0) for r in got) == sorted(want)
+
+
+def test_zero_vectors_and_small_cells_score_few_pairs():
+    table = _tied_table(1200, 3)
+    shares = []
+    for most in (30, 400):
+        work = similarity._Cell(table, table, True, True, False, most)
+        pairs, scored = np.sum([f[3:] for f in similarity._search(work, work.bound(), 3)], axis=0)
+        assert pairs == 1200 * 1200
+        shares.append(scored / pairs)
+    assert max(shares) < 0.04, shares
